@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, urls
+from . import mixing, quality, sharding, urls
 from .common import table
 
 #: The rules of op7: host, path prefix and verdict.
@@ -20,6 +20,23 @@ URL_RULES = [
 ]
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dealt = sharding.shard_documents(table(spark, sf_dir, "documents"), shards=24)
+    return dealt.select(
+        "doc_id",
+        "size",
+        F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.plan_mixture(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, urls.RULE_SCHEMA)
     return urls.judge_urls(table(spark, sf_dir, "pages"), rules).select("page_id", "host", "path", "rule", "verdict")
