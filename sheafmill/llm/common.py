@@ -8,6 +8,8 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 #: Where tests and single machines write; a cluster names its own folder in spark.checkpoint.dir.
 LOCAL_SHARED = "/tmp/checkpoints"
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -72,4 +74,4 @@ def n_words(text: Column) -> Column:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
