@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import codec, mixing, packing, quality, sharding, urls
+from . import codec, embeddings, minhash, mixing, packing, quality, sharding, urls
 from .common import table
 
 #: The rules of op7: host, path prefix and verdict.
@@ -45,10 +45,20 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash.near_duplicates(table(spark, sf_dir, "documents"), words=5, percent=85)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan_mixture(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = embeddings.near_vectors(table(spark, sf_dir, "embeddings"), least=0.93)
+    return found.select("vec_id", "n_links", "component_id", "kept")
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, urls.RULE_SCHEMA)
     return urls.judge_urls(table(spark, sf_dir, "pages"), rules).select("page_id", "host", "path", "rule", "verdict")
