@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import codec, embeddings, minhash, mixing, packing, quality, sharding, urls
+from . import codec, embeddings, language, minhash, mixing, packing, quality, secrets, sharding, urls
 from .common import table
 
 #: The rules of op7: host, path prefix and verdict.
@@ -69,8 +69,20 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *quality.METRICS)
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row a candidate: its document and word, the crc32 of its text, the forest's score and verdict."""
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"), [F.col("doc_id")])
+    return found.select(F.col("__key0").alias("doc_id"), "word_ix", F.crc32(F.col("finding").cast("binary")).alias("finding_crc32"), "score", "is_secret")
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: v for k, v in globals().items() if k.startswith("op") and k[2:3].isdigit()}
+    import corpus_pipeline
+
+    return {k: v for k, v in globals().items() if k.startswith("op") and k[2:3].isdigit()} | {"pipeline": corpus_pipeline.run}
 
 
 OP7_SQL = """
