@@ -163,7 +163,11 @@ def quality_metrics(
             "base_failed": (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words")),
         }
     )
-    return df.withColumn("kept", ~F.col("base_failed") & (F.col("lost_chars") <= max_lost_share * F.col("word_chars")))
+    whole = F.col("lost_chars") <= max_lost_share * F.col("word_chars")
+    df = df.withColumn("kept", ~F.col("base_failed") & whole)
+    # A generated row holds the results: else a filter on one of them is pushed down into the arrays and worked out anew for every element.
+    held = F.explode(F.array(F.struct(*METRICS, "clean_text"))).alias("__held")
+    return df.select(*own, held).select(*own, "__held.*")
 
 
 def clean_documents(docs: DataFrame, text: str = "text", **rules) -> DataFrame:
