@@ -8,16 +8,20 @@ secrets are masked in the text, the mixture repeats or cuts documents to the sou
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sheafmill.llm import minhash, mixing, packing, quality, secrets
 from sheafmill.llm.common import materialise
 from sheafmill.session import ship
 
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+def _measured(docs: DataFrame) -> DataFrame:
+    """n_chars follows the text that a stage has changed."""
+    return docs.withColumn("n_chars", F.length("text").cast("long"))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality.clean_documents(docs)
+    return _measured(quality.clean_documents(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,11 +29,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return secrets.redacted(docs)
+    return _measured(secrets.redacted(docs))
 
 
 def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix_documents(docs)
+    return _measured(mixing.mix_documents(docs))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
