@@ -3,20 +3,45 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+MODULES = ("text_plans", "service_plans", "layout_plans")
+
+
+def query(sql: str | None = None) -> Callable:
+    """Register a plan under its function's name, with the SQL that gives the same rows where there is one."""
+
+    def register(plan: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[plan.__name__] = plan
+        if sql:
+            SQL[plan.__name__] = sql
+        return plan
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _load() -> None:
+    for m in MODULES:
+        import_module(f"sheafmill.plans.{m}")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(SQL)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["quality_by_language"](spark, sf_dir)
+    return queries()["quality_by_language"](spark, sf_dir)
