@@ -1,0 +1,195 @@
+"""Queries on boxes and rasters. Boxes come from ``lineitem`` (an order is a page), rasters from ``embeddings`` (8 x 8 pixels)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..operators import geometry as G
+from ..operators import raster as P
+from .registry import query, table
+
+W, H = 1000, 1400
+BOXES = """b AS (SELECT l_orderkey AS page, l_linenumber AS ix, l_partkey % 900 AS x1, l_suppkey * 7 % 1200 AS y1, l_partkey % 900 + l_quantity::int * 12 + 10 AS x2, l_suppkey * 7 % 1200 + 5 + l_linenumber * 6 AS y2, l_linenumber % 6 AS lines FROM lineitem)"""
+PIXELS = """e AS (SELECT vec_id AS img, unnest(embedding)::double AS e, generate_subscripts(embedding, 1) - 1 AS i, list_min(embedding)::double AS lo, list_max(embedding)::double AS hi FROM embeddings),
+px AS (SELECT img, (i // 8)::int AS r, (i % 8)::int AS c, floor((e - lo) / (hi - lo) * 255)::int AS v FROM e)"""
+
+
+def boxes(spark, sf):
+    x, y, n = F.col("l_partkey") % 900, F.col("l_suppkey") * 7 % 1200, F.col("l_linenumber")
+    return table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("page"), n.alias("ix"), x.alias("x1"), y.alias("y1"), (x + F.col("l_quantity").cast("int") * 12 + 10).alias("x2"), (y + 5 + n * 6).alias("y2"), (n % 6).alias("lines")
+    )
+
+
+def pixels(spark, sf):
+    return P.pixels(table(spark, sf, "embeddings"), "vec_id", "embedding")
+
+
+INTER = "greatest(0, least(a.x2, o.x2) - greatest(a.x1, o.x1)) * greatest(0, least(a.y2, o.y2) - greatest(a.y1, o.y1))"
+
+
+@query(f"WITH {BOXES} SELECT a.page, a.ix AS a_ix, o.ix AS b_ix, {INTER} AS shared, round(({INTER}) / greatest(1, (a.x2 - a.x1) * (a.y2 - a.y1))::double, 6) AS fraction, round(greatest(0, least(a.x2, o.x2) - greatest(a.x1, o.x1)) / least(a.x2 - a.x1, o.x2 - o.x1)::double, 6) AS horizontal FROM b a JOIN b o ON a.page = o.page AND a.ix < o.ix")
+def bbox_overlap(spark, sf):
+    b = boxes(spark, sf)
+    pair = G.named(b, "a_").join(G.named(b, "b_"), "page").filter("a_ix < b_ix")
+    least = F.least(F.col("a_x2") - F.col("a_x1"), F.col("b_x2") - F.col("b_x1"))
+    shared = G.intersection("a_", "b_")
+    return pair.select(
+        "page", "a_ix", "b_ix", shared.alias("shared"), F.round(shared / F.greatest(F.lit(1), G.area("a_")), 6).alias("fraction"), F.round(G.overlap_x("a_", "b_") / least, 6).alias("horizontal")
+    )
+
+
+@query(f"WITH {BOXES} SELECT page, ix, x1, y1, x2, y2 FROM b a WHERE ix <= 4 AND NOT EXISTS (SELECT 1 FROM b o WHERE o.page = a.page AND o.ix > 4 AND ({INTER}) / greatest(1, (a.x2 - a.x1) * (a.y2 - a.y1))::double > 0.35) UNION ALL SELECT page, ix, x1, y1, x2, y2 FROM b WHERE ix > 4")
+def region_replace_anti_join(spark, sf):
+    b = boxes(spark, sf)
+    return G.replace_overlapped(b.filter("ix <= 4"), b.filter("ix > 4")).select("page", "ix", *G.BOX)
+
+
+@query(f"""WITH {BOXES}, s AS (SELECT a.page, a.ix, count(*) FILTER (o.lines > 3 AND greatest(0, least(a.x2, o.x2) - greatest(a.x1, o.x1)) >= 0.20 * least(a.x2 - a.x1, o.x2 - o.x1) AND o.y1 - a.y2 BETWEEN -20 AND 80) AS under,
+  coalesce(sum({INTER}) FILTER (o.lines > 1 AND (o.x2 - o.x1) * (o.y2 - o.y1) > (a.x2 - a.x1) * (a.y2 - a.y1)), 0) AS covered FROM b a JOIN b o ON o.page = a.page AND o.ix <> a.ix GROUP BY ALL)
+SELECT b.page, b.ix FROM b LEFT JOIN s ON s.page = b.page AND s.ix = b.ix WHERE s.ix IS NULL OR (NOT (lines <= 1 AND ((x2 - x1 >= 600 AND y2 - y1 <= 30) OR (x2 - x1 >= 550 AND under >= 2))) AND (lines > 1 OR covered / greatest(1, (x2 - x1) * (y2 - y1))::double < 0.55))""")
+def region_redundancy(spark, sf):
+    return G.without_redundant(boxes(spark, sf), W, H).select("page", "ix")
+
+
+@query(f"""WITH {BOXES}, n AS (SELECT *, count(*) OVER (PARTITION BY page) AS k FROM b WHERE x2 - x1 < 680),
+p AS (SELECT a.page, bool_or(abs((a.x1 + a.x2) / 2.0 - (o.x1 + o.x2) / 2.0) >= 180 AND (greatest(0, least(a.y2, o.y2) - greatest(a.y1, o.y1)) / greatest(1, least(a.y2 - a.y1, o.y2 - o.y1))::double >= 0.20 OR a.k >= 3)) AS found FROM n a JOIN n o ON a.page = o.page AND a.ix < o.ix GROUP BY a.page)
+SELECT DISTINCT b.page, coalesce(found, false) AS complex FROM b LEFT JOIN p ON p.page = b.page""")
+def complex_layout(spark, sf):
+    return G.complex_layout(boxes(spark, sf), W)
+
+
+@query(f"WITH {BOXES} SELECT page, ix FROM b WHERE x2 - x1 >= 24 AND y2 - y1 BETWEEN 5 AND 168 AND (x2 - x1) * (y2 - y1) <= 0.22 * {W * H} AND (ix * 37 % 100) / 100.0::double BETWEEN 0.035 AND 0.72")
+def box_filter(spark, sf):
+    w, h, ink = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"), (F.col("ix") * 37 % 100) / 100.0
+    return boxes(spark, sf).filter((w >= max(24, int(0.018 * W))) & h.between(5, max(120, int(0.12 * H))) & (w * h <= 0.22 * W * H) & ink.between(0.035, 0.72)).select("page", "ix")
+
+
+@query(f"WITH {BOXES} SELECT page, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2, count(*) AS n FROM b GROUP BY page")
+def bbox_envelope(spark, sf):
+    return boxes(spark, sf).groupBy("page").agg(F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"), F.count("*").alias("n"))
+
+
+@query(f"""WITH {BOXES}, p AS (SELECT page, ix, greatest(0, x1 - greatest(8, 25)) AS x1, greatest(0, y1 - greatest(6, trunc(0.08 * (y2 - y1))::int)) AS y1, least({W}, x2 + 25) AS x2, least({H}, y2 + greatest(6, trunc(0.08 * (y2 - y1))::int)) AS y2 FROM b)
+SELECT page, ix, x1, y1, x2, y2, x2 > x1 AND y2 > y1 AS valid, x1 + (x2 - x1) // 2 AS half_x2, y1 + (y2 - y1) // 2 AS half_y2 FROM p""")
+def bbox_pad_clamp(spark, sf):
+    """A crop padded and kept on the page, and the same box rebased from a crop of twice the size."""
+    pad_x, pad_y = max(8, int(0.025 * W)), F.greatest(F.lit(6), (0.08 * (F.col("y2") - F.col("y1"))).cast("int"))
+    p = boxes(spark, sf).select(
+        "page", "ix", F.greatest(F.lit(0), F.col("x1") - pad_x).alias("x1"), F.greatest(F.lit(0), F.col("y1") - pad_y).alias("y1"), F.least(F.lit(W), F.col("x2") + pad_x).alias("x2"), F.least(F.lit(H), F.col("y2") + pad_y).alias("y2")
+    )
+    half = lambda a, b: F.col(a) + F.floor((F.col(b) - F.col(a)) / 2)
+    return p.select("*", ((F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1"))).alias("valid"), half("x1", "x2").alias("half_x2"), half("y1", "y2").alias("half_y2"))
+
+
+@query(f"WITH {BOXES}, s AS (SELECT page, y1 - lag(y2) OVER (PARTITION BY page ORDER BY y1, x1, ix) AS d FROM b), g AS (SELECT page, greatest(0, d) AS gap FROM s WHERE d IS NOT NULL) SELECT page, round(quantile_cont(gap, 0.5)::double, 4) AS p50, round(quantile_cont(gap, 0.65)::double, 4) AS p65, round(quantile_cont(gap, 0.7)::double, 4) AS p70 FROM g GROUP BY page")
+def gap_percentile(spark, sf):
+    w = Window.partitionBy("page").orderBy("y1", "x1", "ix")
+    s = boxes(spark, sf).select("page", F.lag("y2").over(w).alias("p"), "y1").filter("p is not null").withColumn("gap", F.greatest(F.lit(0), F.col("y1") - F.col("p")))
+    return s.groupBy("page").agg(*[F.round(F.percentile("gap", q), 4).alias(f"p{int(q * 100)}") for q in (0.5, 0.65, 0.7)])
+
+
+@query(f"WITH {BOXES} SELECT page, ix, x2 - x1 >= 680 AS wide, (sum((x2 - x1 >= 680)::int) OVER (PARTITION BY page ORDER BY y1, x1, ix ROWS UNBOUNDED PRECEDING))::bigint AS band FROM b")
+def reading_bands(spark, sf):
+    return G.reading_bands(boxes(spark, sf), W).select("page", "ix", "wide", "band")
+
+
+@query()
+def reading_order(spark, sf):
+    return G.reading_order(boxes(spark, sf), W)
+
+
+@query()
+def merge_nearby_boxes(spark, sf):
+    return G.merge_nearby(boxes(spark, sf))
+
+
+@query()
+def group_lines(spark, sf):
+    return G.group_lines(boxes(spark, sf))
+
+
+@query(f"SELECT l_orderkey AS page, l_linenumber AS ix, trunc(w * s)::int AS w, trunc(h * s)::int AS h FROM (SELECT *, CASE WHEN greatest(w, h) > 2500 THEN 2500.0::double / greatest(w, h) ELSE 1.0 END AS s FROM (SELECT l_orderkey, l_linenumber, floor(l_extendedprice / 20)::int + 1 AS w, l_partkey + 300 AS h FROM lineitem))")
+def resize_dims(spark, sf):
+    d = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", (F.floor(F.col("l_extendedprice") / 20).cast("int") + 1).alias("w"), (F.col("l_partkey") + 300).alias("h"))
+    most = F.greatest("w", "h")
+    s = F.when(most > 2500, F.lit(2500.0) / most).otherwise(F.lit(1.0))
+    return d.select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("ix"), (F.col("w") * s).cast("int").alias("w"), (F.col("h") * s).cast("int").alias("h"))
+
+
+@query(f"""WITH {BOXES}, a AS (SELECT page, degrees(atan2((y2 - y1)::double, (x2 - x1)::double)) AS angle FROM b), m AS (SELECT page, median(angle) FILTER (abs(angle) < 30) AS angle FROM a GROUP BY page)
+SELECT page, round(CASE WHEN angle IS NULL OR abs(angle) < 0.3 THEN 0.0 ELSE angle END, 4) AS angle FROM m""")
+def skew_angle(spark, sf):
+    angle = F.degrees(F.atan2((F.col("y2") - F.col("y1")).cast("double"), (F.col("x2") - F.col("x1")).cast("double")))
+    m = boxes(spark, sf).select("page", angle.alias("a")).groupBy("page").agg(F.median(F.when(F.abs("a") < 30, F.col("a"))).alias("a"))
+    return m.select("page", F.round(F.when(F.col("a").isNull() | (F.abs("a") < 0.3), 0.0).otherwise(F.col("a")), 4).alias("angle"))
+
+
+@query(f"WITH {PIXELS} SELECT img, r, c, v FROM px")
+def minmax_normalize(spark, sf):
+    return pixels(spark, sf)
+
+
+@query(f"WITH {PIXELS} SELECT img, 'r' AS axis, r AS at, count(*) FILTER (v >= 128) AS ink FROM px GROUP BY ALL UNION ALL SELECT img, 'c', c, count(*) FILTER (v >= 128) FROM px GROUP BY ALL")
+def projection_profile(spark, sf):
+    px, on = pixels(spark, sf), F.col("v") >= 128
+    both = [P.profile(px, axis, on).select("img", F.lit(axis).alias("axis"), F.col(axis).alias("at"), "ink") for axis in ("r", "c")]
+    return both[0].unionByName(both[1])
+
+
+@query(f"WITH {PIXELS}, p AS (SELECT img, r, count(*) FILTER (v >= 128) AS ink FROM px GROUP BY ALL), s AS (SELECT *, avg(ink) OVER (PARTITION BY img ORDER BY r ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS smooth FROM p), t AS (SELECT img, greatest(1, 0.35 * quantile_cont(smooth, 0.7)) AS least FROM s GROUP BY img) SELECT img, r, round(smooth, 6) AS smooth, smooth > least AS active FROM s JOIN t USING (img)")
+def projection_smooth(spark, sf):
+    p = P.profile(pixels(spark, sf), "r", F.col("v") >= 128)
+    s = p.withColumn("smooth", F.avg("ink").over(Window.partitionBy("img").orderBy("r").rowsBetween(-1, 1)))
+    least = F.greatest(F.lit(1.0), 0.35 * F.percentile("smooth", 0.7).over(Window.partitionBy("img")))
+    return s.withColumn("least", least).select("img", "r", F.round("smooth", 6).alias("smooth"), (F.col("smooth") > F.col("least")).alias("active"))
+
+
+RUNS = "m AS (SELECT img, r, c, c - row_number() OVER (PARTITION BY img, r ORDER BY c) AS island FROM px WHERE v >= 128), runs AS (SELECT img, r, min(c) AS start, max(c) + 1 AS \"end\" FROM m GROUP BY img, r, island)"
+
+
+@query(f'WITH {PIXELS}, {RUNS} SELECT img, r, start, "end" FROM runs')
+def mask_runs(spark, sf):
+    return G.mask_runs(pixels(spark, sf), ["img", "r"], "c", F.col("v") >= 128)
+
+
+@query(f'WITH {PIXELS}, {RUNS}, g AS (SELECT *, CASE WHEN start - lag("end") OVER w < 2 THEN 0 ELSE 1 END AS new FROM runs WINDOW w AS (PARTITION BY img, r ORDER BY start)), k AS (SELECT *, sum(new) OVER (PARTITION BY img, r ORDER BY start) AS run FROM g) SELECT img, r, min(start) AS start, max("end") AS "end" FROM k GROUP BY img, r, run')
+def run_merge(spark, sf):
+    return G.merge_runs(G.mask_runs(pixels(spark, sf), ["img", "r"], "c", F.col("v") >= 128), ["img", "r"], 2)
+
+
+NEAR = "a.img = o.img AND o.r BETWEEN a.r - 1 AND a.r + 1 AND o.c BETWEEN a.c - 1 AND a.c + 1"
+
+
+@query(f"WITH {PIXELS}, s AS (SELECT a.img, a.r, a.c, any_value(a.v) AS v, count(*) AS n, sum(o.v)::double AS s, sum(o.v * o.v)::double AS q FROM px a JOIN px o ON {NEAR} GROUP BY a.img, a.r, a.c) SELECT img, r, c, CASE WHEN v > s / n * (1 + 0.2 * (sqrt(greatest(0.0, q / n - (s / n) * (s / n))) / 128.0 - 1)) THEN 255 ELSE 0 END AS v FROM s")
+def sauvola_binarize(spark, sf):
+    return P.sauvola(pixels(spark, sf))
+
+
+def _morph(name: str, source: str, fn: str, lo: int, hi: int) -> str:
+    return f"{name} AS (SELECT a.img, a.r, a.c, {fn}(o.v) AS v FROM {source} a JOIN {source} o ON a.img = o.img AND o.r BETWEEN a.r + {lo} AND a.r + {hi} AND o.c BETWEEN a.c + {lo} AND a.c + {hi} GROUP BY a.img, a.r, a.c)"
+
+
+@query(f"WITH {PIXELS}, {_morph('m1', 'px', 'min', -1, 0)}, {_morph('m2', 'm1', 'max', 0, 1)}, {_morph('m3', 'm2', 'max', 0, 1)}, {_morph('m4', 'm3', 'min', -1, 0)} SELECT img, r, c, v FROM m4")
+def morph_open_close(spark, sf):
+    return P.open_close(pixels(spark, sf))
+
+
+@query(f"WITH {PIXELS}, b AS (SELECT img, min(c) AS x1, max(c) AS x2, min(r) AS y1, max(r) AS y2 FROM px WHERE v >= 230 GROUP BY img) SELECT px.img, r, c, CASE WHEN c >= 6 AND NOT coalesce(c BETWEEN x1 - 1 AND x2 + 1 AND r BETWEEN y1 - 1 AND y2 + 1, false) THEN 255 ELSE v END AS v FROM px LEFT JOIN b ON b.img = px.img")
+def sidebar_mask(spark, sf):
+    """Pixels of the right margin that no padded box covers turn white."""
+    px = pixels(spark, sf)
+    b = px.filter("v >= 230").groupBy("img").agg(F.min("c").alias("x1"), F.max("c").alias("x2"), F.min("r").alias("y1"), F.max("r").alias("y2"))
+    covered = F.coalesce(F.col("c").between(F.col("x1") - 1, F.col("x2") + 1) & F.col("r").between(F.col("y1") - 1, F.col("y2") + 1), F.lit(False))
+    return px.join(b, "img", "left").select("img", "r", "c", F.when((F.col("c") >= 6) & ~covered, 255).otherwise(F.col("v")).alias("v"))
+
+
+@query(f"WITH {PIXELS}, s AS (SELECT a.img, a.r, a.c, any_value(a.v) AS v, count(*) AS n, sum(o.v)::double AS s FROM px a JOIN px o ON {NEAR} GROUP BY a.img, a.r, a.c) SELECT img, r, c, least(255, greatest(0, round(1.5 * v - 0.5 * s / n)))::int AS v FROM s")
+def sharpen(spark, sf):
+    return P.sharpen(pixels(spark, sf))
+
+
+@query()
+def raster_components(spark, sf):
+    return P.components(pixels(spark, sf))
