@@ -5,11 +5,11 @@
 2. Classes meet in band buckets. Buckets of one class go before signatures are attached.
 3. In a bucket, packed signatures are compared by counting equal b-bit lanes; with chance agreement 2^-b, the similarity is
    (agreement - 2^-b) / (1 - 2^-b). Only a spanning forest of the most similar pairs leaves a bucket, never all pairs.
-4. The forest's pairs are confirmed on whole shingle sets and joined to components. Then every pair of a bucket whose ends still are in
-   different components, and whose estimate is within ``margin`` of the threshold, is confirmed too. So no link between components is lost,
-   and a group of n near copies costs about n confirmations.
-   A bucket of more than ``block`` classes is dealt into blocks; in the second round, those outside the bucket's largest component
-   are compared with all its blocks.
+4. The forest's pairs are confirmed on whole shingle sets and joined to components. Classes that the forest holds together are a family;
+   in a family of several components, every pair of different components whose estimate is within ``margin`` of the threshold is confirmed too, most
+   similar first, unless it is joined by then. So no link between components is lost, and only links that join two components leave a task.
+   A bucket of more than ``block`` classes is dealt into blocks and is one family; a family is dealt into blocks too, and those outside its
+   largest component meet all its blocks.
 A pair at the threshold shares a band with probability 1 - (1 - s^rows)^bands: 1 - 3e-6 by default.
 
 Edge cases: null text, or one without words, has no shingles and links with nothing; a text with fewer words than a shingle is one shingle;
@@ -225,28 +225,51 @@ def _forest_pairs(rows: DataFrame, least: float) -> DataFrame:
     return dealt.mapInArrow(run, _PAIRS)
 
 
-def _crossing_pairs(rows: DataFrame, least: float) -> DataFrame:
-    """rows: bucket, block, class, sig, root, query. Pairs of a query and any other row of its block with another root."""
+def _crossing_links(rows: DataFrame, least: float, percent: int) -> DataFrame:
+    """rows: family, block, class, sig, set, root, query. Links of a query and another row of its block that join two components there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, first in whole_groups(batches, ["bucket", "block"]):
+        for t, first in whole_groups(batches, ["family", "block"]):
             sig, classes = binary_matrix(t.column("sig"), "<u8"), t.column("class").to_pylist()
-            root = np.unique(np.array(t.column("root").to_pylist(), dtype=object), return_inverse=True)[1]
+            sets = [np.frombuffer(x, "<u8") for x in t.column("set").to_pylist()]
+            part = np.unique(np.array(t.column("root").to_pylist(), dtype=object), return_inverse=True)[1]
             query = t.column("query").to_numpy()
-            left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            left, right = [], []
             for g in range(len(first) - 1):
                 own = slice(first[g], first[g + 1])
                 index = np.flatnonzero(~query[own]) + first[g]
+                found = []
                 for q in np.flatnonzero(query[own]) + first[g]:
-                    hit = index[(root[index] != root[q]) & (estimate(sig[q], sig[index]) >= least)]
-                    left.append(np.full(len(hit), q))
-                    right.append(hit)
-            yield _pairs(classes, np.concatenate(left), np.concatenate(right))
-
-    dealt = rows.select("bucket", "block", "class", "sig", "root", "query").repartition("bucket", "block").sortWithinPartitions("bucket", "block")
+                    near = estimate(sig[q], sig[index])
+                    hit = (part[index] != part[q]) & (near >= least)
+                    found += zip(-near[hit], np.full(hit.sum(), q), index[hit], strict=True)
+                joined: dict[int, int] = {}
+
+                def top(x: int) -> int:
+                    while x in joined:  # noqa: B023
+                        x = joined[x]  # noqa: B023
+                    return x
+
+                for _, q, i in sorted(found):  # most similar first: what is joined by then need not be confirmed
+                    x, y = top(int(part[q])), top(int(part[i]))
+                    if x != y and _linked(sets[q], sets[i], percent):
+                        joined[max(x, y)] = min(x, y)
+                        left.append(q)
+                        right.append(i)
+            yield _pairs(classes, np.array(left, dtype=np.int64), np.array(right, dtype=np.int64))
+
+    dealt = rows.select("family", "block", "class", "sig", "set", "root", "query").repartition("family", "block").sortWithinPartitions("family", "block")
     return dealt.mapInArrow(run, _PAIRS)
 
 
+def _linked(s: np.ndarray, t: np.ndarray, percent: int) -> bool:
+    """Whether 100 * intersection >= percent * union of two sorted sets."""
+    if 100 * min(len(s), len(t)) < percent * max(len(s), len(t)):
+        return False
+    both = len(np.intersect1d(s, t, assume_unique=True))
+    return 100 * both >= percent * (len(s) + len(t) - both)
+
+
 def _distinct_pairs(pairs: DataFrame, tag: str) -> DataFrame:
     return materialise(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct(), tag)
 
@@ -272,14 +295,8 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                s, t = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-                if 100 * min(len(s), len(t)) < percent * max(len(s), len(t)):
-                    keep.append(False)
-                    continue
-                both = len(np.intersect1d(s, t, assume_unique=True))
-                keep.append(100 * both >= percent * (len(s) + len(t) - both))
+            both = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
+            keep = [_linked(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), percent) for x, y in both]
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
 
@@ -289,7 +306,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = 5, percent: int = 85, margin: float = 0.13, block: int = 2000
+    docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = 5, percent: int = 85, margin: float = 0.13, block: int = 500
 ) -> DataFrame:
     """Per document: key, n_shingles, component_id (the least key reachable by links) and kept (whether that is its own key)."""
     features = materialise(document_features(docs, text, key, words), "features")
@@ -302,24 +319,28 @@ def near_duplicates(
     )
     least = percent / 100 - margin
     rows = _bucket_rows(classes).join(classes.select("class", "sig"), "class")
-    rows = materialise(rows.select("bucket", "class", "sig", "n", F.ceil(F.col("n") / block).cast("long").alias("blocks")), "bucket-rows")
-    blocked = rows.withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")))
-    first = _distinct_pairs(_forest_pairs(blocked, least), "forest")
+    rows = materialise(rows.select("bucket", "class", "sig", "n", F.pmod(F.xxhash64("class"), F.ceil(F.col("n") / block).cast("long")).alias("block")), "bucket-rows")
+    first = _distinct_pairs(_forest_pairs(rows, least), "forest")
     ends = rows.select("class").distinct()
     sets = _class_sets(docs, text, words, classes.join(ends, "class", "left_semi").select("class", "text_hash"))
     links = materialise(_confirmed(first, sets, percent), "links-1")
     roots = materialise(connected_components(links), "roots-1")
-    # Second round: what is still apart in a bucket. The bucket's largest component is its index, all others are queries against the bucket.
-    labelled = materialise(
-        rows.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class")), "labelled"
-    )
-    parts = labelled.groupBy("bucket", "root").agg(F.count("*").alias("m")).groupBy("bucket")
-    apart = materialise(parts.agg(F.count("*").alias("parts"), F.max_by("root", "m").alias("main")).filter("parts > 1").drop("parts"), "apart")
-    open_ = materialise(labelled.join(apart, "bucket"), "open")
+    # Second round: classes that the forest's estimates hold together are a family. Where a family's links leave it in several components,
+    # its largest component is the index and all others are queries against the whole family, in blocks.
+    split = rows.filter(F.col("n") > block).select("bucket", "class")
+    heads = materialise(split.groupBy("bucket").agg(F.min("class").alias("a")), "heads")
+    bridges = split.join(heads, "bucket").select("a", F.col("class").alias("b"))
+    families = materialise(connected_components(first.unionByName(bridges)), "families").select(F.col("node").alias("class"), F.col("root").alias("family"))
+    labelled = families.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    labelled = materialise(labelled, "labelled")
+    parts = labelled.groupBy("family", "root").agg(F.count("*").alias("m")).groupBy("family")
+    apart = parts.agg(F.count("*").alias("parts"), F.max_by("root", "m").alias("main"), F.sum("m").alias("n")).filter("parts > 1")
+    apart = materialise(apart.select("family", "main", F.ceil(F.col("n") / block).cast("long").alias("blocks")), "apart")
+    open_ = labelled.join(apart, "family").withColumn("family", F.xxhash64("family"))
+    open_ = materialise(open_.join(classes.select("class", "sig"), "class").join(sets, "class"), "open")
     index = open_.withColumns({"block": F.pmod(F.xxhash64("class"), F.col("blocks")), "query": F.lit(False)})
     query = open_.filter("root <> main").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn("query", F.lit(True))
-    second = _distinct_pairs(_crossing_pairs(index.unionByName(query), least), "crossing")
-    more = materialise(_confirmed(second, sets, percent), "links-2")
+    more = materialise(_crossing_links(index.unionByName(query), least, percent), "links-2")
     joined = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)
     roots = materialise(connected_components(joined), "roots")
     of_class = classes.select("class", "key").join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
