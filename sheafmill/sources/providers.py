@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 Provider = Callable[[pd.Series], pd.Series]
 _REGISTRY: dict[str, Provider] = {}
@@ -39,7 +39,7 @@ for _name, _provider in (("echo", echo), ("upper", upper), ("fails", fails)):
 def ladder(rows: DataFrame, text: str, names: list[str]) -> DataFrame:
     """``rows`` with output, provider and ok: the first provider's answer that is neither null nor blank."""
     steps = [(n, _REGISTRY[n]) for n in names]
-    schema = rows.select("*", F.lit("").alias("output"), F.lit("").alias("provider"), F.lit(True).alias("ok")).schema
+    schema = StructType([*rows.schema, *StructType.fromDDL("output string, provider string, ok boolean")])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
