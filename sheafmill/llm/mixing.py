@@ -41,7 +41,7 @@ def water_fill(sizes: list[int], weights: list[float], most: float = 3.0, total:
                 targets[i] = left * weights[i] / share
             break
         for i in over:
-            targets[i] = most * sizes[i]
+            targets[i] = float(most * sizes[i])
             open_.discard(i)
         left -= sum(targets[i] for i in over)
     return targets

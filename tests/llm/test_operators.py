@@ -1,0 +1,331 @@
+"""The ten operators on a small table with nulls, empty and long texts, ties, repeated rows and clashing columns, against brute force."""
+
+from __future__ import annotations
+
+import bisect
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from sheafmill.llm import codec, embeddings, language, minhash, mixing, packing, quality, secrets, sharding, tokens, urls
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, shard int, kept boolean, piece int"
+
+
+def prose(seed: int, n: int) -> str:
+    rng = np.random.default_rng(seed)
+    vocab = [f"w{i}x" for i in range(400)]
+    return " ".join(f"{vocab[i]}{'.' if k % 9 == 8 else ''}" for k, i in enumerate(rng.integers(0, 400, n)))
+
+
+@pytest.fixture(scope="module")
+def texts():
+    base = prose(1, 300)
+    near = base.replace(" ", "  ", 1).upper().lower()
+    out = [(i, prose(100 + i, 60 + i % 40)) for i in range(60)]
+    out += [(100, base), (101, base), (102, near), (103, base + " tail end"), (104, " ".join(base.split()[:150])), (105, None), (106, ""), (107, " \n\t"), (108, "one two three"), (109, "one two three")]
+    out += [(110, prose(7, 40_000)), (111, "a | b | c | d"), (112, "same line here\n" * 40), (113, "tab\there  twice\n\nnew a b c"), (None, prose(9, 80)), (5, prose(105, 65)), (5, prose(105, 65))]
+    return out
+
+
+@pytest.fixture(scope="module")
+def docs(spark, texts):
+    rows = [(i, t, "en", ["s1", "s2", "s1", None][k % 4] if k % 3 else "s1", 0, -1, -1, None, -1) for k, (i, t) in enumerate(texts)]
+    return spark.createDataFrame(rows, SCHEMA).repartition(5)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def coded(texts):
+    from tokenizers import Tokenizer
+
+    tk = Tokenizer.from_file(tokens.default_tokenizer())
+    return Counter((i, tuple(tk.encode(t or "", add_special_tokens=False).ids + [0])) for i, t in texts)
+
+
+def test_encoder_equals_the_library():
+    enc = tokens.TokenEncoder(tokens.default_tokenizer(), max_pieces=200)
+    cases = ["", " ", "a", " a", "a ", "a  b", "a\n\nb", "\n", "x\ty", "a\u00a0b", "é ü\nß", "<|endoftext|>", "a <|endoftext|> b", "don't it's\n'tis", "a\x1cb", "a　b c", "😀 x\n😀", "\n a", "a\n", "12 34\n56 ab12", prose(3, 900)]
+    for s, got in zip(cases, enc.encode(cases), strict=True):
+        assert np.frombuffer(got, enc.dtype).tolist() == enc.tokenizer.encode(s, add_special_tokens=False).ids, s
+
+
+def test_packing(docs, empty, coded):
+    rows = packing.pack_documents(docs, with_ids=True).collect()
+    bins = defaultdict(list)
+    for r in rows:
+        assert len(r.ids) == 4 * r.length and zlib.crc32(r.ids) == r.ids_crc32
+        bins[r.sequence_id].append((r.offset, r.length))
+    for b in bins.values():
+        at = 0
+        for offset, length in sorted(b):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    total = sum(r.length for r in rows)
+    assert total == sum(len(x) * n for (_, x), n in coded.items())
+    assert len(bins) <= -(-total // 2048) + 1
+    whole = defaultdict(list)
+    for r in rows:
+        if r.doc_id not in (5, None):
+            whole[r.doc_id].append((r.piece, r.start, list(np.frombuffer(r.ids, "<u4"))))
+    for i, parts in whole.items():
+        ids = [x for _, _, p in sorted(parts) for x in p]
+        assert (i, tuple(ids)) in coded and all(len(p) == 2048 for k, _, p in parts if k)
+    assert packing.pack_documents(empty).count() == 0
+
+
+def test_best_fit_plan_places_every_item_once():
+    rng = np.random.default_rng(0)
+    counts = {int(k): int(v) for k, v in zip(rng.integers(1, 101, 60), rng.integers(1, 500, 60), strict=True)}
+    bins, seen = Counter(), Counter()
+    for length, rank, n, first, per, offset in packing.plan_best_fit(counts, 100):
+        for k in range(n):
+            bins[first + k // per] += length
+            assert offset + (k % per + 1) * length <= 100
+        seen[length] += n
+        assert rank + n <= counts[length]
+    assert seen == Counter(counts) and max(bins.values()) <= 100
+    free: list[int] = []
+    for length in sorted(counts, reverse=True):  # best fit, item by item
+        for _ in range(counts[length]):
+            at = bisect.bisect_left(free, length)
+            bisect.insort(free, (free.pop(at) if at < len(free) else 100) - length)
+    assert len(bins) == len(free)
+
+
+def test_sharding(docs, empty):
+    rows = sharding.shard_documents(docs, shards=4, bucket_rows=1).collect()
+    by = defaultdict(list)
+    for r in rows:
+        assert r["size"] == 8 + len((r.text or "").encode())
+        by[r.shard].append(r.slot)
+    assert all(sorted(v) == list(range(len(v))) for v in by.values()) and sum(map(len, by.values())) == docs.count()
+    assert sharding.shard_documents(empty).count() == 0
+
+
+def test_splitters_cut_a_group_only_if_it_is_too_large(spark):
+    rows = [(7, i, 10) for i in range(3000)] + [(1000 + i % 900 * 7_000_000, i, 10) for i in range(6000)]
+    keys = spark.createDataFrame(rows, "h long, t long, size long").withColumns({"h": sharding.text_key(F.col("h").cast("string")), "t": sharding.row_key(F.col("t"))})
+    found = sharding.find_splitters(keys, 9, 0.01)
+    sizes = keys.groupBy(sharding.shard_of(F.col("h"), F.col("t"), found).alias("s")).agg(F.sum("size").alias("n")).collect()
+    assert len(sizes) == 9 and all(abs(r.n - 10_000) < 400 for r in sizes)
+    assert sum(1 for _, t in found if t) <= 4
+
+
+def test_token_files(docs, empty, coded, tmp_path):
+    manifest = codec.write_token_files(docs, path=f"file://{tmp_path}/f", file_ids=20_000)
+    rows = sorted(codec.read_token_files(manifest).collect(), key=lambda r: r.start)
+    assert manifest.count() > 1
+    assert Counter((r.key, tuple(np.frombuffer(r.ids, "<u4").tolist())) for r in rows) == coded
+    keys = [-1 if r.key is None else r.key for r in rows]
+    assert keys == sorted(keys)
+    assert [r.start for r in rows] == np.cumsum([0, *(len(r.ids) // 4 for r in rows)]).tolist()[:-1]
+    assert codec.read_token_files(codec.write_token_files(empty)).count() == 0
+
+
+def test_rank_coding_round_trip():
+    ranks = np.array([0, 255, 256, 65535, 65536, 1 << 24, (1 << 32) - 1, 3, 70000], dtype=np.uint32)
+    control, data = codec.encode_ranks(ranks)
+    c = np.frombuffer(control, np.uint8)
+    assert codec.n_data_bytes(c, len(ranks)) == len(data)
+    assert codec.decode_ranks(c, np.frombuffer(data, np.uint8), len(ranks)).tolist() == ranks.tolist()
+
+
+def shingles(text, k=5):
+    w = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())
+
+
+def test_minhash(docs, empty, texts):
+    sets = [shingles(t) for _, t in texts]
+    part = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            n = len(sets[i] & sets[j])
+            if sets[i] and 100 * n >= 85 * (len(sets[i]) + len(sets[j]) - n):
+                old = part[i]
+                part = [part[j] if p == old else p for p in part]
+    least = {p: min((texts[i][0] for i in range(len(texts)) if part[i] == p and texts[i][0] is not None), default=None) for p in set(part)}
+    want = Counter((texts[i][0], len(sets[i]), least[part[i]], texts[i][0] == least[part[i]]) for i in range(len(texts)))
+    got = minhash.near_duplicates(docs).select("doc_id", "n_shingles", "component_id", "kept")
+    assert Counter(map(tuple, got.collect())) == want
+    assert minhash.near_duplicates(empty).count() == 0
+    left = minhash.deduplicated(docs)
+    assert left.columns == docs.columns and {101, 102, 103, 109}.isdisjoint({r.doc_id for r in left.collect()})
+
+
+def test_minhash_splits_large_buckets(spark):
+    base = prose(5, 200).split()
+    rows = [(i, " ".join(base[: 190 + i % 10] + [f"z{i}"])) for i in range(120)]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), block=16).collect()
+    assert {r.component_id for r in got} == {0} and [r.doc_id for r in got if r.kept] == [0]
+
+
+def test_estimate_is_corrected_for_chance():
+    rng = np.random.default_rng(2)
+    common, a, b = (rng.integers(0, 1 << 63, n, dtype=np.uint64) for n in (8000, 1000, 1000))
+    packed, _ = minhash.signatures([np.unique(np.concatenate([common, x])) for x in (a, b)] + [np.unique(rng.integers(0, 1 << 63, 500, dtype=np.uint64))])
+    words = packed.view("<u8")
+    assert abs(minhash.estimate(words[0], words[1:2])[0] - 0.8) < 0.15 and abs(minhash.estimate(words[0], words[2:3])[0]) < 0.15
+
+
+def test_mixing(docs, empty):
+    rows = mixing.plan_mixture(docs).collect()
+    assert sum(r.target for r in {r.source: r for r in rows}.values()) == pytest.approx(sum(r["size"] for r in rows))
+    for s in {r.source for r in rows}:
+        own = [r for r in rows if r.source == s]
+        assert own[0].target <= 3 * own[0].source_size + 1e-6 and all(0 <= r.taken <= 3 * r["size"] for r in own)
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 64 + 0.02 * own[0].target
+    taken = Counter()
+    for r in rows:
+        taken[r.doc_id] += r.taken
+    mixed = Counter()
+    for r in mixing.mix_documents(docs).collect():
+        mixed[r.doc_id] += len(WORD.findall(r.text or ""))
+    assert +taken == +mixed
+    assert Counter((r.doc_id, r.taken) for r in rows) == Counter((r.doc_id, r.taken) for r in mixing.plan_mixture(docs.repartition(3)).collect())
+    assert mixing.plan_mixture(empty).count() == 0 and mixing.mix_documents(empty).count() == 0
+
+
+def test_apportionment():
+    assert mixing.sainte_lague([53.0, 24.0, 23.0], 7, [99] * 3) == [3, 2, 2]
+    assert sum(mixing.sainte_lague([5.0, 1.0, 0.2], 9, [2, 9, 9])) == 9
+    assert mixing.water_fill([10, 100, 1000], [1, 1, 1]) == pytest.approx([30, 300, 780])
+    assert mixing.water_fill([], []) == []
+
+
+def test_vectors(spark):
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal((150, 16))
+    for i in range(100, 150):
+        x[i] = x[i % 10] + rng.standard_normal(16) * rng.uniform(0.05, 0.35)
+    rows = [(i, v.tolist(), int(i % 2)) for i, v in enumerate(x)]
+    rows += [(200, x[0].tolist(), 0), (201, x[0].tolist(), 1), (202, x[0].tolist(), None), (203, None, 0), (204, [0.0] * 16, 0), (205, [float("nan")] * 16, 0), (206, [1.0] * 8, 0), (207, [None] * 16, 0), (0, x[0].tolist(), 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    ok = [(i, np.array(v), lab) for i, v, lab in rows if lab is not None and v and None not in v and np.isfinite(v).all() and np.any(v)]
+    part, links = list(range(len(ok))), [0] * len(ok)
+    for i in range(len(ok)):
+        for j in range(i):
+            (_, a, la), (_, b, lb) = ok[i], ok[j]
+            if la == lb and len(a) == len(b) and a @ b / np.sqrt((a @ a) * (b @ b)) >= 0.93:
+                links[i], links[j] = links[i] + 1, links[j] + 1
+                old = part[i]
+                part = [part[j] if p == old else p for p in part]
+    least = {p: min(ok[i][0] for i in range(len(ok)) if part[i] == p) for p in part}
+    want = Counter((ok[i][0], links[i], least[part[i]]) for i in range(len(ok))) + Counter((i, 0, i) for i in (202, 203, 204, 205, 207))
+    assert Counter((r.vec_id, r.n_links, r.component_id) for r in embeddings.near_vectors(df, cell_rows=16, block=8).collect()) == want
+    assert embeddings.near_vectors(df.limit(0)).count() == 0
+
+
+def test_urls(spark):
+    rules = spark.createDataFrame([("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")], urls.RULE_SCHEMA)
+    cases = {
+        "http://A.Example.ORG/es/x?q": ("a.example.org", "/es/x", "example.org/es/", "block"),
+        "https://example.org/es": ("example.org", "/es", "org/", "allow"),
+        "https://notexample.org/es/": ("notexample.org", "/es/", "org/", "allow"),
+        "x://example.org/en/12#t": ("example.org", "/en/12", "example.org/en/1", "block"),
+        "x://com/de/": ("com", "/de/", "com/de/", "block"),
+        "x://b.com/es/": ("b.com", "/es/", None, "allow"),
+        "x://org": ("org", "", None, "allow"),
+        "no scheme/org": ("", "", None, "allow"),
+        None: ("", "", None, "allow"),
+        "": ("", "", None, "allow"),
+    }
+    pages = spark.createDataFrame([(i, u, "old") for i, u in enumerate([*cases, *cases])], "page_id long, url string, rule string")
+    got = urls.judge_urls(pages, rules).collect()
+    assert len(got) == 2 * len(cases) and all((r.host, r.path, r.rule, r.verdict) == cases[r.url] for r in got)
+    assert urls.judge_urls(pages.limit(0), rules).count() == 0
+    assert {r.verdict for r in urls.judge_urls(pages, rules.limit(0)).collect()} == {"allow"}
+
+
+def test_secrets(spark):
+    key = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
+    rows = [(1, f'set token = "{key}" now', "src/a.py"), (2, f"commit {key} was fine", "src/a.py"), (3, "write to x.19@mail5.example.com today", None), (4, None, "s"), (5, "", "s"), (None, f'my secret = "{key}" x', "s")]
+    docs = spark.createDataFrame([*rows, rows[0]], "doc_id long, text string, source string")
+    got = secrets.find_secrets(docs, [F.col("doc_id")]).collect()
+    assert Counter((r["__key0"], r.is_secret) for r in got) == Counter({(1, True): 2, (2, False): 1, (3, False): 1, (None, True): 1})
+    clean = {r.doc_id: r.text for r in secrets.redacted(docs).collect()}
+    assert clean[1] == 'set token = "[SECRET]" now' and clean[None] == 'my secret = "[SECRET]" x' and clean[2] == rows[1][1] and clean[4] is None
+    assert secrets.redacted(docs).count() == 7 and secrets.find_secrets(docs.limit(0), [F.col("doc_id")]).count() == 0
+
+
+def measured(t):
+    w = WORD.findall(t or "")
+    windows = defaultdict(list)
+    for i in range(len(w) - 2):
+        windows[tuple(w[i : i + 3])].append(i)
+    covered = {j for v in windows.values() if len(v) > 1 for i in v for j in (i, i + 1, i + 2)}
+    lines = [x for x in (t or "").split("\n") if WORD.search(x)]
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t or "")), len(lines) - len(set(lines)), len(covered)
+
+
+def test_quality(docs, empty, texts):
+    got = quality.quality_metrics(docs).select("doc_id", *quality.METRICS).collect()
+    assert Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in got) == Counter((i, *measured(t)) for i, t in texts)
+    for r in got:
+        assert r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words) and not (r.base_failed and r.kept)
+    assert all(r.kept for r in got if r.doc_id is not None and r.doc_id < 105)
+    kept = quality.clean_documents(docs)
+    assert kept.filter("doc_id < 60").select("text").exceptAll(docs.select("text")).count() == 0
+    assert quality.clean_documents(empty).count() == 0
+
+
+def test_quality_removes_lines(spark):
+    body = prose(11, 80)
+    text = f"{body}\nHome | About | Shop\n{prose(12, 20)}\nBUY!! NOW!!\n{prose(12, 20)}\n### ***\nWe use cookies on this site"
+    row = quality.clean_documents(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert row.text == f"{body}\n{prose(12, 20)}"
+
+
+def test_language(spark):
+    words = {"en": "the and thing with that from hand", "fr": "le que été avec où élan même", "de": "der und schön über nicht eins groß"}
+    rng = np.random.default_rng(0)
+    rows = [(i, " ".join(rng.choice(words[k].split(), 30)), k) for i in range(240) for k in [["en", "fr", "de"][i % 3]]]
+    rows += [(900, None, "en"), (901, "", "fr"), (902, "12 34 !!", "de"), (903, "the and thing with été avec où même élan que le", None), (None, "the hand and that thing", "en"), (3, rows[3][1], "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language.identify(docs).collect()
+    by = {r.doc_id: r for r in got}
+    assert len(got) == len(rows) and all(0 <= r.score <= 1 for r in got)
+    assert all(by[i].lang_pred == k for i, _, k in rows[:240]) and by[None].lang_pred == "en"
+    assert [by[i].lang_pred for i in (900, 901, 902)] == ["und"] * 3
+    assert all(by[i].held_out == (zlib.crc32(str(i).encode()) % 4 == 2) for i, _, _ in rows[:240])
+    model = language.train({k: [t for _, t, lang in rows[:240] if lang == k] for k in words})
+    mixed = language.label_documents(docs.filter("doc_id = 903"), model, with_words=True).first()
+    assert mixed.word_langs == ["en"] * 4 + ["fr"] * 7
+    assert language.identify(docs.limit(0)).count() == 0
+
+
+def test_forward_backward_equals_enumeration():
+    rng = np.random.default_rng(3)
+    e, moves, start = rng.standard_normal((1, 4, 3)), rng.standard_normal((3, 3)), rng.standard_normal(3)
+    total, sums = 0.0, np.zeros((4, 3))
+    for path in np.ndindex(3, 3, 3, 3):
+        p = np.exp(start[path[0]] + sum(e[0, t, y] for t, y in enumerate(path)) + sum(moves[a, b] for a, b in zip(path, path[1:], strict=False)))
+        total += p
+        for t, y in enumerate(path):
+            sums[t, y] += p
+    marginal, _, z = language.forward_backward(e, np.array([4]), moves, start)
+    assert np.allclose(marginal[0], sums / total) and np.isclose(z, np.log(total))
+
+
+def test_pipeline(spark, docs, empty):
+    import corpus_pipeline as cp
+
+    assert [n for n, _ in cp.STAGES] == ["quality rules", "near-duplicates", "secret scan", "source mixture", "best-fit packing"]
+    rows = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    for _, stage in cp.STAGES[:-1]:
+        rows = stage(spark, rows, "")
+        assert rows.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    ids = {r.doc_id for r in rows.collect()}
+    assert 100 in ids and {101, 102, 103, 106, 107, 111, 112}.isdisjoint(ids)
+    assert cp.STAGES[-1][1](spark, rows, "").count() >= len(ids)
