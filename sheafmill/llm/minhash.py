@@ -121,7 +121,7 @@ def estimate(one: np.ndarray, many: np.ndarray) -> np.ndarray:
 def _text_groups(column, most: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
     """(first row, texts as bytes), about ``most`` bytes at a time and always whole texts."""
     at, size, held = 0, 0, []
-    for i, t in enumerate(column.to_pylist()):
+    for i, t in enumerate(t for start in range(0, len(column), 256) for t in column.slice(start, 256).to_pylist()):
         b = (t or "").encode()
         held.append(b)
         size += len(b)

@@ -26,7 +26,7 @@ from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from .common import materialise
-from .tokens import default_tokenizer, encoder
+from .tokens import CACHE_PIECES, default_tokenizer, encoder
 
 PLAN = "length int, first_rank long, n_items long, first_bin long, per_bin int, first_offset int"
 PIECE = "piece int, start long, length int, ids_crc32 long, __task int, __rank long"
@@ -75,11 +75,11 @@ def plan_best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, int,
     return records
 
 
-def tokenized_pieces(docs: DataFrame, text: str, keys: list[str], capacity: int, tokenizer: str, end_id: int, with_ids: bool) -> DataFrame:
+def tokenized_pieces(docs: DataFrame, text: str, keys: list[str], capacity: int, tokenizer: str, end_id: int, with_ids: bool, cache_pieces: int) -> DataFrame:
     """A row a piece: ``keys``, PIECE and, if asked for, ``ids`` (little-endian unsigned 32-bit)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, task = encoder(tokenizer), TaskContext.get().partitionId()
+        enc, task = encoder(tokenizer, cache_pieces), TaskContext.get().partitionId()
         ranks = np.zeros(capacity + 1, dtype=np.int64)
         end = np.array([end_id], dtype="<u4")
         for batch in batches:
@@ -131,11 +131,12 @@ def pack_documents(
     tokenizer: str | None = None,
     end_id: int = 0,
     with_ids: bool = False,
+    cache_pieces: int = CACHE_PIECES,
 ) -> DataFrame:
-    """Per piece: keys, piece, start, length, ids_crc32, (ids,) sequence_id and offset."""
+    """Per piece: keys, piece, start, length, ids_crc32, (ids,) sequence_id and offset. ``cache_pieces`` bounds a worker's memory, not the result."""
     spark = docs.sparkSession
     keys = [k for k in keys if k not in ADDED]
-    pieces = materialise(tokenized_pieces(docs, text, keys, capacity, tokenizer or default_tokenizer(), end_id, with_ids), "pack-pieces")
+    pieces = materialise(tokenized_pieces(docs, text, keys, capacity, tokenizer or default_tokenizer(), end_id, with_ids, cache_pieces), "pack-pieces")
     counts = materialise(pieces.groupBy("__task", "length").agg(F.count("*").alias("__n")), "pack-counts")
     histogram = {r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("__n")).collect()}
     plan = spark.createDataFrame(plan_best_fit(histogram, capacity), PLAN)

@@ -103,5 +103,43 @@ FROM p LEFT JOIN best ON p.host = best.host AND p.path = best.path
 """
 
 
+#: Whole shingle sets and their Jaccard similarity; n^2 only where documents share a shingle.
+OP4_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS k FROM w, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS t(i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.k = b.k AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 85 * (x.n + y.n - shared)),
+r AS (SELECT doc_id, doc_id AS reached FROM documents UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.reached)
+SELECT r.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(reached) AS component_id, r.doc_id = min(reached) AS kept FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id
+"""
+
+OP6_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::double[] AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_inner_product(a.e, b.e) / sqrt(list_inner_product(a.e, a.e) * list_inner_product(b.e, b.e)) >= 0.93),
+r AS (SELECT vec_id, vec_id AS reached FROM embeddings UNION SELECT r.vec_id, l.b FROM r JOIN l ON l.a = r.reached),
+c AS (SELECT vec_id, min(reached) AS component_id FROM r GROUP BY vec_id), n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT c.vec_id, coalesce(n, 0) AS n_links, component_id, c.vec_id = component_id AS kept FROM c LEFT JOIN n ON n.a = c.vec_id
+"""
+
+FURNITURE_SQL = " OR ".join(f"contains(lower(line), '{x}')" for x in quality.FURNITURE)
+OP9_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT rid, doc_id, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws, string_split(t, chr(10)) AS ls FROM d),
+win AS (SELECT rid, i, array_to_string(ws[i : i + 2], ' ') AS k FROM w, unnest(range(1, len(ws) - 1)) AS u(i)),
+rep AS (SELECT rid, i FROM win QUALIFY count(*) OVER (PARTITION BY rid, k) > 1),
+cov AS (SELECT rid, count(DISTINCT j) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS j FROM rep) GROUP BY rid),
+ln AS (SELECT rid, ix, ls[ix] AS line FROM w, unnest(range(1, len(ls) + 1)) AS u(ix)),
+m AS (SELECT *, length(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g')) AS chars, len(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS words,
+  length(line) - length(replace(line, '|', '')) AS pipes, length(line) - length(regexp_replace(line, '[#*$%&|<>]', '', 'g')) AS symbols, (length(line) - length(replace(line, '!!', ''))) / 2.0 AS shouts,
+  row_number() OVER (PARTITION BY rid, line ORDER BY ix) > 1 AS again FROM ln),
+f AS (SELECT rid, sum(CASE WHEN again AND chars > 0 THEN 1 ELSE 0 END) AS dups, sum(CASE WHEN chars > 0 AND (again OR (pipes > 0 AND pipes >= 0.2 * words) OR symbols > 0.1 * chars OR (shouts > 0 AND shouts >= 0.5 * words) OR (words <= 12 AND ({FURNITURE_SQL}))) THEN chars ELSE 0 END) AS lost FROM m GROUP BY rid),
+r AS (SELECT doc_id, len(ws)::bigint AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, dups::bigint AS n_dup_lines, coalesce(n, 0)::bigint AS n_repeat_words, lost::bigint AS lost_chars
+  FROM w JOIN f USING (rid) LEFT JOIN cov USING (rid))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND lost_chars <= 0.4 * word_chars AS kept FROM r
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_url_filter": OP7_SQL}
+    """SQL where it expresses a query; the others are tested against brute force, round trips and held-out accuracy in tests/llm."""
+    return {"op4_minhash": OP4_SQL, "op6_embedding_dedup": OP6_SQL, "op7_url_filter": OP7_SQL, "op9_quality_rules": OP9_SQL}

@@ -13,13 +13,15 @@ import os
 
 import numpy as np
 
-_ENCODERS: dict[str, TokenEncoder] = {}
+#: Distinct pieces a worker keeps, about 200 bytes each.
+CACHE_PIECES = 1_000_000
+_ENCODERS: dict[tuple[str, int], TokenEncoder] = {}
 
 
 class TokenEncoder:
     """encode(texts) -> one bytes of little-endian unsigned 16-bit (or 32-bit, by vocabulary) ids a text."""
 
-    def __init__(self, path: str, max_pieces: int = 1_000_000):
+    def __init__(self, path: str, max_pieces: int = CACHE_PIECES):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -81,11 +83,11 @@ class TokenEncoder:
         return out
 
 
-def encoder(path: str) -> TokenEncoder:
+def encoder(path: str, max_pieces: int = CACHE_PIECES) -> TokenEncoder:
     """The worker's encoder for a tokenizer file; it and its cache last as long as the worker."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = TokenEncoder(path)
-    return _ENCODERS[path]
+    if (path, max_pieces) not in _ENCODERS:
+        _ENCODERS[path, max_pieces] = TokenEncoder(path, max_pieces)
+    return _ENCODERS[path, max_pieces]
 
 
 def default_tokenizer() -> str:
