@@ -37,7 +37,7 @@ def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(docs, capacity=2048)
+    return packing.pack_documents(docs, capacity=2048, cache_pieces=100_000)  # workers still hold what the stages before needed
 
 
 STAGES = [
