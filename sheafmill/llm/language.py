@@ -26,29 +26,58 @@ from pyspark.sql.types import StructType
 CHAIN = 64
 TRAIN_DOCS = 400
 TRAIN_CHAINS = 500
-N_FEATURES = 1 << 15
+N_BITS = 15
+N_FEATURES = 1 << N_BITS
 MAX_LANGUAGES = 500
 MAX_KNOWN_WORDS = 400_000
 
 
-def word_features(word: str, lexicon: frozenset[str] | set[str]) -> list[int]:
-    """Feature numbers of a lower-cased word; none without a letter."""
-    core = "".join(c for c in word if c.isalpha())
-    if not core:
-        return []
-    padded = f"^{core}$"
-    names = {f"p{core[:k]}" for k in (2, 3)} | {f"s{core[-k:]}" for k in (2, 3, 4)}
-    names |= {f"g{padded[i : i + n]}" for n in (1, 2, 3) for i in range(len(padded) - n + 1)}
-    names |= {f"u{c}" for c in core if c > "\x7f"}
-    if core in lexicon:
-        names.add(f"w{core}")
-    return [zlib.crc32(x.encode()) & N_FEATURES - 1 for x in names]
+_SEEDS = np.random.default_rng(10).integers(1, 1 << 62, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def core_of(word: str) -> str:
+    """The letters of a lower-cased word."""
+    return word if word.isalpha() else "".join(filter(str.isalpha, word))
+
+
+def word_features(words: list[str], lexicon: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Feature numbers of lower-cased words, and the word that each belongs to; none for a word without a letter.
+
+    The n-grams of one to three characters of ^letters$ (those at the ends are affixes), the first four and the last four and
+    five characters of it as longer affixes, and the word itself if the lexicon has it. All words at once, on code points.
+    """
+    cores = [core_of(w) for w in words]
+    spoken = np.array([i for i, c in enumerate(cores) if c], dtype=np.int64)
+    if not len(spoken):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    points = np.frombuffer("".join(f"^{cores[i]}$" for i in spoken).encode("utf-32-le"), dtype="<u4").astype(np.uint64)
+    sizes = np.array([len(cores[i]) + 2 for i in spoken])
+    owner = np.repeat(np.arange(len(spoken)), sizes)
+    first = np.repeat(np.cumsum(sizes) - sizes, sizes)
+    place = np.arange(len(points)) - first
+    left = np.repeat(sizes, sizes) - place
+    numbers, owners = [], []
+    gram = np.zeros(len(points), dtype=np.uint64)
+    for n in range(1, 6):
+        ahead = np.zeros(len(points), dtype=np.uint64)
+        ahead[: len(points) - n + 1] = points[n - 1 :]
+        gram = (gram + ahead) * _SEEDS[n]
+        on = left >= n if n < 4 else (left == n) | (place == 0) & (left >= n) if n == 4 else left == n
+        numbers.append(gram[on] ^ gram[on] >> np.uint64(29))
+        owners.append(owner[on])
+    known = [(j, lexicon[cores[i]]) for j, i in enumerate(spoken) if cores[i] in lexicon]
+    if known:
+        at, number = np.array(known, dtype=np.int64).T
+        numbers.append((number.astype(np.uint64) + np.uint64(1)) * _SEEDS[7])
+        owners.append(at)
+    mixed = np.concatenate(numbers) * _SEEDS[0]
+    return (mixed >> np.uint64(64 - N_BITS)).astype(np.int64), spoken[np.concatenate(owners)]
 
 
 class Potentials:
     """Emission potentials of words, worked out once a word."""
 
-    def __init__(self, weights: np.ndarray, lexicon: frozenset[str]):
+    def __init__(self, weights: np.ndarray, lexicon: dict[str, int]):
         self.weights, self.lexicon = weights, lexicon
         self.clear()
 
@@ -61,13 +90,15 @@ class Potentials:
             self.clear()
         found = list(map(self.known.get, words))
         if None in found:
-            for w in {w for w, i in zip(words, found, strict=True) if i is None}:
-                at = self.known[w] = len(self.known)
-                if at >= len(self.rows):
-                    self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-                if f := word_features(w, self.lexicon):
-                    self.rows[at, :-1] = self.weights[f].sum(axis=0)
-                    self.rows[at, -1] = 1
+            new = list({w for w, i in zip(words, found, strict=True) if i is None})
+            begin, k = len(self.known), self.weights.shape[1]
+            self.known.update(zip(new, range(begin, begin + len(new)), strict=True))
+            while len(self.known) > len(self.rows):
+                self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+            flat, owner = word_features(new, self.lexicon)
+            for j in range(k):
+                self.rows[begin : begin + len(new), j] = np.bincount(owner, self.weights[flat, j], len(new))
+            self.rows[begin : begin + len(new), k] = np.bincount(owner, minlength=len(new)) > 0
             found = [i if i is not None else self.known[w] for w, i in zip(words, found, strict=True)]
         return self.rows[found]
 
@@ -110,7 +141,7 @@ def forward_backward(emission: np.ndarray, lengths: np.ndarray, moves: np.ndarra
     return marginal, expected, z
 
 
-def train(texts: dict[str, list[str]], rounds: int = 60, seed: int = 4) -> dict:
+def train(texts: dict[str, list[str]], rounds: int = 40, seed: int = 4) -> dict:
     """Weights, moves, start and lexicon from some texts of each language."""
     labels, rng = sorted(texts), np.random.default_rng(seed)
     chains: list[tuple[list[str], list[int]]] = []
@@ -132,13 +163,11 @@ def train(texts: dict[str, list[str]], rounds: int = 60, seed: int = 4) -> dict:
     seen: dict[str, int] = {}
     for w, _ in pool:
         for x in w:
-            core = "".join(c for c in x if c.isalpha())
+            core = core_of(x)
             seen[core] = seen.get(core, 0) + 1
-    lexicon = frozenset(w for w, n in seen.items() if n >= 3 and w)
+    lexicon = {w: i for i, w in enumerate(sorted(w for w, n in seen.items() if n >= 3 and w))}
     vocab = {w: i for i, w in enumerate(dict.fromkeys(x for w, _ in chains for x in w))}
-    of = [word_features(w, lexicon) for w in vocab]
-    flat = np.array([f for x in of for f in x], dtype=np.int64)
-    owner = np.repeat(np.arange(len(of)), [len(x) for x in of])
+    flat, owner = word_features(list(vocab), lexicon)
     k, n = len(labels), len(chains)
     at, gold, lengths = np.zeros((n, CHAIN), dtype=np.int64), np.zeros((n, CHAIN), dtype=np.int64), np.array([len(w) for w, _ in chains])
     for i, (w, y) in enumerate(chains):
@@ -153,11 +182,11 @@ def train(texts: dict[str, list[str]], rounds: int = 60, seed: int = 4) -> dict:
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     total = max(1, int(lengths.sum()))
     for step in range(1, rounds + 1):
-        word_scores = np.stack([np.bincount(owner, weights[flat, j], len(of)) for j in range(k)], axis=1)
+        word_scores = np.stack([np.bincount(owner, weights[flat, j], len(vocab)) for j in range(k)], axis=1)
         emission = word_scores[at] * inside[:, :, None]
         marginal, expected, _ = forward_backward(emission, lengths, moves, start)
         wrong = truth - marginal * inside[:, :, None]
-        by_word = np.stack([np.bincount(at.ravel(), wrong[:, :, j].ravel(), len(of)) for j in range(k)], axis=1)
+        by_word = np.stack([np.bincount(at.ravel(), wrong[:, :, j].ravel(), len(vocab)) for j in range(k)], axis=1)
         by_feature = np.stack([np.bincount(flat, by_word[owner, j], N_FEATURES) for j in range(k)], axis=1)
         for j, (p, g) in enumerate(zip(params, (by_feature, gold_moves - expected, wrong[:, 0].sum(axis=0)), strict=True)):
             g = g / total - 1e-6 * p
