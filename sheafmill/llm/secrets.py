@@ -1,6 +1,6 @@
 """Secret scan: candidates by shape, false positives removed by a random forest trained on labelled findings.
 
-A candidate is a run of at least ``MIN_CHARS`` key characters with a digit inside one word of the text. The forest sees its length,
+A candidate is a run of at least ``MIN_CHARS`` key characters with a digit inside one word of the text; every run of a word is one. The forest sees its length,
 its character transitions, how much of it dictionary words cover, the path it comes from and the neighbouring words.
 The labelled findings are generated (``labelled_findings``, a bounded number of rows): formats of live keys in their usual
 surroundings against digests, ids, hosts, versions, file names and placeholders in theirs.
@@ -23,6 +23,8 @@ from .common import BLANKS, materialise, swapped
 
 MIN_CHARS = 16
 SHAPE = "[A-Za-z0-9+/_.\\-]{16,}={0,2}"
+#: The end of a gap that names what the next run is assigned to.
+NAMED = "[A-Za-z_][A-Za-z0-9_.\\-]*[\"'`\\]]*[=:]+[\"'`(\\[]*$"
 #: Up to this many redacted documents their secrets are broadcast (about 100 bytes each); beyond, the join is shuffled.
 MAX_BROADCAST_DOCS = 50_000
 #: Words that stand beside keys, and words that stand beside what only looks like one.
@@ -111,8 +113,20 @@ def forest(spark: SparkSession, rows: int = 6000, trees: int = 24) -> RandomFore
     return _MODELS[known]
 
 
+def _placed(run: Column, i: Column) -> Column:
+    """A run of a word with what stands before and after it.
+
+    Before the first run: two words and the gap. Before a later one: the name that it is assigned to, if the gap ends in one, else the
+    gap, the run before it and the gap before that (so a word of many runs is read twice, not once a run).
+    """
+    gap = F.get("__gaps", i)
+    left = F.when((i > 0) & gap.rlike(NAMED), gap).otherwise(F.concat_ws("", F.get("__gaps", i - 1), F.get("__runs", i - 1), gap))
+    before = F.concat_ws(" ", F.when(i == 0, F.col("s.b2")), F.when(i == 0, F.col("s.b1")), left)
+    return F.struct(run.alias("finding"), before.alias("before"), F.when(i == F.size("__runs") - 1, F.col("s.a")).otherwise(F.get("__gaps", i + 1)).alias("after"))
+
+
 def find_secrets(docs: DataFrame, keys: list[Column], text: str = "text", path: str | None = "source", least: float = 0.5) -> DataFrame:
-    """Per candidate: ``keys``, word_ix (its word, from 0), finding, score (the forest's) and is_secret."""
+    """Per candidate: ``keys``, word_ix (its word, from 0; a word may hold several), finding, score (the forest's) and is_secret."""
     spaced = F.split(swapped(F.coalesce(F.col(text), F.lit("")), BLANKS[1:], " "), " ")
     names = [f"__key{i}" for i in range(len(keys))]
     named = [k.alias(n) for k, n in zip(keys, names, strict=True)]
@@ -122,13 +136,16 @@ def find_secrets(docs: DataFrame, keys: list[Column], text: str = "text", path:
     around = F.transform(w, lambda x, i: F.struct(i.alias("i"), x.alias("x"), F.get(w, i - 1).alias("b1"), F.get(w, i - 2).alias("b2"), F.get(w, i + 1).alias("a")))
     shaped = F.filter(around, lambda s: (F.length(s["x"]) >= MIN_CHARS) & s["x"].rlike("[0-9]") & s["x"].rlike(SHAPE))
     rows = words.select(*names, "__path", F.explode(shaped).alias("s"))
+    # Columns of their own: inside the lambda below the expressions would run once a run, not once a word.
+    rows = rows.select(*names, "__path", "s", F.regexp_extract_all("s.x", F.lit(SHAPE), F.lit(0)).alias("__runs"), F.split("s.x", SHAPE).alias("__gaps"))
+    rows = rows.select(*names, "__path", F.col("s.i").alias("i"), F.explode(F.transform("__runs", _placed)).alias("r"))
     rows = rows.select(
         *names,
         "__path",
-        F.col("s.i").cast("long").alias("word_ix"),
-        F.regexp_extract("s.x", SHAPE, 0).alias("finding"),
-        F.concat_ws(" ", "s.b2", "s.b1", F.regexp_extract("s.x", f"^(.*?){SHAPE}", 1)).alias("__before"),
-        F.col("s.a").alias("__after"),
+        F.col("i").cast("long").alias("word_ix"),
+        F.col("r.finding").alias("finding"),
+        F.col("r.before").alias("__before"),
+        F.col("r.after").alias("__after"),
     ).filter(F.col("finding").rlike("[0-9]"))
     rows = rows.select("*", *[c.alias(k) for k, c in features(F.col("finding"), F.col("__before"), F.col("__after"), F.col("__path")).items()])
     model = forest(docs.sparkSession)
