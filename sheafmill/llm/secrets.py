@@ -1,7 +1,9 @@
 """Secret scan: candidates by shape, false positives removed by a random forest trained on labelled findings.
 
-A candidate is a run of at least ``MIN_CHARS`` key characters with a digit inside one word of the text; every run of a word is one. The forest sees its length,
-its character transitions, how much of it dictionary words cover, the path it comes from and the neighbouring words.
+Candidates inside one word of the text are (1) every run of at least ``MIN_CHARS`` key characters that has a digit, both cases, a known
+prefix or a key word beside it, and (2) every value of 4 or more characters assigned to a name with a key word in it, unless the value is
+such a run. A value of (2) may hold a run of (1): both are rows. The forest sees length, character transitions, how much of it
+dictionary words cover, the path it comes from and the neighbouring words.
 The labelled findings are generated (``labelled_findings``, a bounded number of rows): formats of live keys in their usual
 surroundings against digests, ids, hosts, versions, file names and placeholders in theirs.
 
@@ -13,6 +15,8 @@ a null path or neighbour counts as empty; an empty table gives an empty result;
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -30,10 +34,21 @@ MAX_BROADCAST_DOCS = 50_000
 #: Words that stand beside keys, and words that stand beside what only looks like one.
 KEY_WORDS = "token|secret|passw|pwd|api.?key|access.?key|private.?key|auth|bearer|credential|signing"
 OTHER_WORDS = "sha|md5|checksum|commit|digest|hash|uuid|guid|version|revision|isbn|phone|mail|file|image|host|order|etag|example"
-DICTIONARY = "example|sample|placeholder|changeme|your|here|test|dummy|mail|http|www|com|org|net|html|json|version|release|report|image|photo|key|token|secret|password"
+DICTIONARY = "none|null|true|false|string|required|optional|default|value|name|type|text|field|input|user|example|sample|placeholder|changeme|your|here|test|dummy|mail|http|www|com|org|net|html|json|version|release|report|image|photo|key|token|secret|password"
 TEST_PATHS = "(?i)test|example|sample|fixture|mock|docs?/"
+#: Beginnings of keys of known services.
+PREFIX = "^(AKIA|ASIA|gh[pousr]_|github_pat_|glpat-|[sr]k_live_|sk-|xox[abprs]-|AIza|eyJ|npm_|SG\\.)"
+#: A name with a key word, and what may stand between it and its value; bounded, as they are looked behind.
+NAME = f"(?:{KEY_WORDS})[A-Za-z0-9_.\\-]{{0,40}}[\"'`\\])\\\\]{{0,3}}"
+SIGN = "(?:=>|:=|={1,3}|:)"
+OPEN = "[\"'`(\\[\\\\]{0,3}"
+#: An assigned value: up to the quote if one opens it, else up to a delimiter.
+_PLAIN = "\\s\"'`,;&<>(){}\\[\\]"
+VALUE = f"(?i)(?<={NAME} ?{SIGN} ?{OPEN})(?:(?<=[\"'`])[^\"'`\\s]{{4,}}(?<!\\\\)|(?<![\"'`])[^{_PLAIN}=:\\\\][^{_PLAIN}]{{3,}})"
+#: The end of the words before that is a name, with its sign or before it.
+PENDING = f"(?i){NAME} ?(?:{SIGN}{OPEN})?$"
 FEATURES = [
-    "f_length", "f_digits", "f_upper", "f_lower", "f_other", "f_distinct", "f_runs", "f_vowels", "f_hex", "f_alpha_runs",
+    "f_length", "f_digits", "f_upper", "f_lower", "f_other", "f_symbols", "f_prefix", "f_distinct", "f_runs", "f_vowels", "f_hex", "f_alpha_runs",
     "f_dictionary", "f_path", "f_key_near", "f_other_near", "f_assigned", "f_quoted",
 ]
 _MODELS: dict[tuple[str, int, int], RandomForestClassificationModel] = {}
@@ -50,6 +65,8 @@ def features(core: Column, before: Column, after: Column, path: Column) -> dict[
         "f_upper": share("A-Z"),
         "f_lower": share("a-z"),
         "f_other": share("+/_.=\\-"),
+        "f_symbols": F.length(F.regexp_replace(core, "[A-Za-z0-9+/_.=\\-]", "")) / n,
+        "f_prefix": core.rlike(PREFIX).cast("double"),
         "f_distinct": F.size(F.array_distinct(F.split(core, ""))) / n,
         "f_runs": F.length(runs) / n,
         "f_vowels": share("aeiouAEIOU"),
@@ -80,6 +97,19 @@ def labelled_findings(spark: SparkSession, rows: int = 6000) -> DataFrame:
     live = F.concat(word, F.lit(" "), key, sign)
     noted = F.concat(word, F.lit(" "), note, F.lit(" "))
     plain = F.concat(word, F.lit(" "), word, F.lit(" "))
+    # Without digits, short, and the names and words that stand in the same places.
+    letters = F.translate(b64, "0123456789+/", "gHkQzWvBxJyR")
+    lower = F.translate(sha, "0123456789", "ghijklmnop")
+    cut = lambda c, salt, least, most: F.substring(c, F.lit(1), (F.pmod(F.xxhash64(i, F.lit(salt)), F.lit(most - least + 1)) + least).cast("int"))
+    quoted = F.concat(word, F.lit(" "), key, pick(9, [" = \"", "=\"", ": '", " := \"", "\":\"", "\": \""]))
+    bare = F.concat(word, F.lit(" "), key, pick(10, ["=", ": ", " = "]))
+    either = F.when(F.pmod(F.xxhash64(i, F.lit(11)), F.lit(2)) == 0, quoted).otherwise(bare)
+    parts = ["account", "service", "get", "client", "manager", "handler", "request", "session", "config", "access", "user", "provider", "factory", "remote", "context", "string", "bundes", "kraft", "wirtschaft", "gesellschaft", "schaftlich", "internal", "connection", "response", "storage", "header", "smith", "martin", "system", "reset"]
+    one, two, three = pick(12, parts), pick(13, parts), pick(14, parts)
+    camel = F.concat(one, F.initcap(two), F.initcap(three), pick(15, ["Handler", "Factory", "Exception", "Controller"]))
+    compound = F.concat(F.initcap(one), two, three, pick(15, ["ung", "schaft", "heit", "keit"]))
+    snake = F.concat_ws("_", one, two, three, pick(16, ["key", "id", "secret", "token", "name", "value"]))
+    weak = F.concat(pick(17, ["Tr0ub4dor", "Summer", "hunter", "Winter", "dragon", "M0nkey", "admin", "letmein", "Pa55w0rd", "qwerty"]), cut(digits, 18, 1, 4), pick(19, ["", "!", "&3", "#", "$x", "@1"]))
     kinds = [
         (hexes, live, 1), (hexes, live, 1), (F.substring(b64, 1, 40), live, 1),
         (F.concat(F.lit("AKIA"), F.upper(F.substring(sha, 1, 16))), F.concat(word, pick(5, [" ", " key ", " id = \""])), 1),
@@ -93,6 +123,19 @@ def labelled_findings(spark: SparkSession, rows: int = 6000) -> DataFrame:
         (F.concat(F.lit("xxxxxxxxxxxxxxxx"), F.substring(digits, 1, 1)), live, 0),
         (F.concat(F.lit("2024-01-"), F.substring(digits, 1, 2), F.lit("T10.20.30.000Z")), plain, 0),
         (F.concat(word, F.lit("thonereding"), word, F.substring(digits, 1, 2), F.lit("ation")), plain, 0),
+        (cut(letters, 20, 16, 40), either, 1), (cut(lower, 21, 16, 40), either, 1),
+        (F.concat(F.lit("AKIA"), F.translate(F.upper(F.substring(sha, 1, 16)), "0123456789", "GHJKLMNPQR")), F.concat(word, pick(5, [" ", " key ", " id = \""])), 1),
+        (F.concat(pick(22, ["ghp_", "gho_", "glpat-", "xoxb-", "sk_live_"]), cut(letters, 23, 20, 36)), F.concat(word, pick(6, [" ", " token: "])), 1),
+        (weak, either, 1), (F.concat(cut(b64, 24, 4, 9), pick(25, ["&", "!", "#", "@", "$", "%"]), F.substring(b64, 12, 3)), either, 1),
+        (cut(sha, 26, 6, 15), either, 1), (cut(b64, 27, 6, 15), either, 1), (cut(letters, 28, 8, 15), either, 1), (cut(lower, 29, 8, 15), quoted, 1),
+        (pick(30, ["letmein", "swordfish", "iloveyou", "qwertz", "dragonfly", "sunshine"]), quoted, 1),
+        (camel, plain, 0), (camel, either, 0), (compound, plain, 0), (compound, bare, 0), (snake, either, 0), (F.upper(snake), either, 0), (F.concat_ws("-", one, two, three), plain, 0),
+        (one, bare, 0), (F.initcap(one), bare, 0), (F.concat_ws("_", one, pick(16, ["key", "id", "secret", "token"])), either, 0), (F.concat_ws(".", one, two), bare, 0),
+        (pick(31, ["None", "null", "true", "false", "string", "required", "optional", "default", "password", "changeme", "example", "your-token", "value", "text"]), either, 0),
+        (pick(32, ["xxxxxxxx", "********", "${TOKEN}", "<token>", "....", "{{secret}}", "%s%s", "$PASSWORD"]), either, 0),
+        (cut(digits, 33, 4, 6), F.concat(word, pick(34, [" tokens: ", " max_tokens=", " token_count = ", " auth: "])), 0),
+        (F.concat(F.lit("//"), one, F.lit("."), two, F.lit(".com/"), three), F.concat(pick(35, ["see https:", "auth url: https:", "token from https:"])), 0),
+        (cut(letters, 36, 16, 40), noted, 0), (pick(37, ["mail5.example.com", "docs.example.org/login", "www.Example.com/Passwords"]), either, 0),
     ]
     kind = F.pmod(i, F.lit(len(kinds)))
     choose = lambda at: F.coalesce(*[F.when(kind == k, x[at] if isinstance(x[at], Column) else F.lit(x[at])) for k, x in enumerate(kinds)])
@@ -113,16 +156,33 @@ def forest(spark: SparkSession, rows: int = 6000, trees: int = 24) -> RandomFore
     return _MODELS[known]
 
 
-def _placed(run: Column, i: Column) -> Column:
+def _placed(runs: str, gaps: str) -> Callable[[Column, Column], Column]:
     """A run of a word with what stands before and after it.
 
     Before the first run: two words and the gap. Before a later one: the name that it is assigned to, if the gap ends in one, else the
     gap, the run before it and the gap before that (so a word of many runs is read twice, not once a run).
     """
-    gap = F.get("__gaps", i)
-    left = F.when((i > 0) & gap.rlike(NAMED), gap).otherwise(F.concat_ws("", F.get("__gaps", i - 1), F.get("__runs", i - 1), gap))
-    before = F.concat_ws(" ", F.when(i == 0, F.col("s.b2")), F.when(i == 0, F.col("s.b1")), left)
-    return F.struct(run.alias("finding"), before.alias("before"), F.when(i == F.size("__runs") - 1, F.col("s.a")).otherwise(F.get("__gaps", i + 1)).alias("after"))
+
+    def placed(run: Column, i: Column) -> Column:
+        gap = F.get(gaps, i)
+        left = F.when((i > 0) & gap.rlike(NAMED), gap).otherwise(F.concat_ws("", F.get(gaps, i - 1), F.get(runs, i - 1), gap))
+        before = F.concat_ws(" ", F.when(i == 0, F.col("s.b2")), F.when(i == 0, F.col("s.b1")), left)
+        after = F.when(i == F.size(runs) - 1, F.col("s.a")).otherwise(F.get(gaps, i + 1))
+        return F.struct(run.alias("finding"), before.alias("before"), after.alias("after"))
+
+    return placed
+
+
+def _admitted(r: Column) -> Column:
+    x = r["finding"]
+    return x.rlike("[0-9]") | (x.rlike("[a-z]") & x.rlike("[A-Z]")) | x.rlike(PREFIX) | F.concat_ws(" ", r["before"], r["after"]).rlike(f"(?i){KEY_WORDS}")
+
+
+def _masked(text: Column, secret: Column, mask: str) -> Column:
+    """Runs go wherever they stand; other values only where no letter or digit continues them."""
+    exact = F.concat(F.lit("(?<![A-Za-z0-9])\\Q"), F.replace(secret, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E(?![A-Za-z0-9])"))
+    by = mask.replace("\\", "\\\\").replace("$", "\\$")
+    return F.when(secret.rlike(f"^{SHAPE}$"), F.replace(text, secret, F.lit(mask))).otherwise(F.regexp_replace(text, exact, F.lit(by)))
 
 
 def find_secrets(docs: DataFrame, keys: list[Column], text: str = "text", path: str | None = "source", least: float = 0.5) -> DataFrame:
@@ -131,14 +191,24 @@ def find_secrets(docs: DataFrame, keys: list[Column], text: str = "text", path:
     names = [f"__key{i}" for i in range(len(keys))]
     named = [k.alias(n) for k, n in zip(keys, names, strict=True)]
     origin = (F.col(path) if path else F.lit("")).cast("string").alias("__path")
-    words = docs.filter(F.col(text).rlike("[0-9]")).select(*named, origin, F.filter(spaced, lambda w: w != "").alias("__w"))
+    words = docs.select(*named, origin, F.filter(spaced, lambda w: w != "").alias("__w"))
     w = F.col("__w")
     around = F.transform(w, lambda x, i: F.struct(i.alias("i"), x.alias("x"), F.get(w, i - 1).alias("b1"), F.get(w, i - 2).alias("b2"), F.get(w, i + 1).alias("a")))
-    shaped = F.filter(around, lambda s: (F.length(s["x"]) >= MIN_CHARS) & s["x"].rlike("[0-9]") & s["x"].rlike(SHAPE))
+    signed = lambda s: s["x"].contains("=") | s["x"].contains(":") | F.substring(s["b1"], -1, 1).isin("=", ":", ">")
+    keyed = lambda s: F.concat_ws(" ", s["b2"], s["b1"], s["x"]).rlike(f"(?i){KEY_WORDS}")
+    shaped = F.filter(around, lambda s: ((F.length(s["x"]) >= MIN_CHARS) & s["x"].rlike(SHAPE)) | (signed(s) & keyed(s)))
     rows = words.select(*names, "__path", F.explode(shaped).alias("s"))
-    # Columns of their own: inside the lambda below the expressions would run once a run, not once a word.
-    rows = rows.select(*names, "__path", "s", F.regexp_extract_all("s.x", F.lit(SHAPE), F.lit(0)).alias("__runs"), F.split("s.x", SHAPE).alias("__gaps"))
-    rows = rows.select(*names, "__path", F.col("s.i").alias("i"), F.explode(F.transform("__runs", _placed)).alias("r"))
+    pending = F.regexp_extract(F.concat_ws(" ", "s.b2", "s.b1"), PENDING, 0)
+    rows = rows.select(*names, "__path", "s", F.when(signed(F.col("s")) & keyed(F.col("s")), F.concat(pending, F.when(pending != "", " ").otherwise(""), "s.x")).otherwise("").alias("__y"))
+    # Columns of their own: inside the lambdas below the expressions would run once a run, not once a word.
+    runs = (F.regexp_extract_all("s.x", F.lit(SHAPE), F.lit(0)), F.split("s.x", SHAPE))
+    values = (F.regexp_extract_all("__y", F.lit(VALUE), F.lit(0)), F.split("__y", VALUE))
+    rows = rows.select(*names, "__path", "s", *[c.alias(n) for c, n in zip((*runs, *values), ("__runs", "__gaps", "__values", "__value_gaps"), strict=True)])
+    found = F.concat(
+        F.filter(F.transform("__runs", _placed("__runs", "__gaps")), _admitted),
+        F.filter(F.transform("__values", _placed("__values", "__value_gaps")), lambda r: ~r["finding"].rlike(f"^{SHAPE}$")),
+    )
+    rows = rows.select(*names, "__path", F.col("s.i").alias("i"), F.explode(found).alias("r"))
     rows = rows.select(
         *names,
         "__path",
@@ -146,7 +216,7 @@ def find_secrets(docs: DataFrame, keys: list[Column], text: str = "text", path:
         F.col("r.finding").alias("finding"),
         F.col("r.before").alias("__before"),
         F.col("r.after").alias("__after"),
-    ).filter(F.col("finding").rlike("[0-9]"))
+    )
     rows = rows.select("*", *[c.alias(k) for k, c in features(F.col("finding"), F.col("__before"), F.col("__after"), F.col("__path")).items()])
     model = forest(docs.sparkSession)
     judged = model.transform(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows))
@@ -160,5 +230,5 @@ def redacted(docs: DataFrame, text: str = "text", key: str = "doc_id", path: str
     secrets = materialise(found.groupBy(F.col("__key0").alias("__k")).agg(F.collect_set("finding").alias("__secrets")), "secrets")
     small = F.broadcast if secrets.count() <= MAX_BROADCAST_DOCS else lambda x: x
     joined = docs.withColumn("__k", own).join(small(secrets), "__k", "left")
-    masked = F.aggregate(F.reverse(F.array_sort(F.transform("__secrets", lambda s: F.struct(F.length(s).alias("n"), s.alias("s"))))), F.col(text), lambda t, s: F.replace(t, s["s"], F.lit(mask)))
+    masked = F.aggregate(F.reverse(F.array_sort(F.transform("__secrets", lambda s: F.struct(F.length(s).alias("n"), s.alias("s"))))), F.col(text), lambda t, s: _masked(t, s["s"], mask))
     return joined.withColumn(text, F.when(F.col("__secrets").isNull(), F.col(text)).otherwise(masked)).select(*[F.col(f"`{c}`") for c in docs.columns])
