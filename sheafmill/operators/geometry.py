@@ -140,11 +140,14 @@ def merge_nearby(boxes: DataFrame) -> DataFrame:
     return ordered.select("page", F.posexplode(F.expr(fold)).alias("ix", "m")).select("page", "ix", "m.*")
 
 
-def group_lines(lines: DataFrame) -> DataFrame:
-    """page, region, and the lines in it: each line joins the compatible open region that it fits best.
-
-    A region is compatible if the line starts within [-h, max(18, 2.7 h)] below its end (h: the page's median line height) and
-    overlaps it horizontally by at least 0.35 of the smaller width; the score is that overlap plus 1 / (1 + gap), the first best wins.
+def group_lines(lines: DataFrame, width: int, height: int) -> DataFrame:
+    """page, ix, region: each line joins the compatible open region that it fits best; lines of regions of no text size are left out.
+
+    A region is compatible if the line starts within [-h, max(18, 2.7 h)] below its end (h: the page's median line height) and is of its
+    column: it overlaps by at least 0.35 of the smaller width and the widths are alike (ratio of at least 0.42) or both at least 0.62 of the
+    page's; or the widths are alike and the centres within 0.28 of the larger width. The score is that overlap plus 1 / (1 + gap), the first
+    best wins. Regions narrower than max(30, 0.025 of the page), under 7 high or of more than 0.35 of the page's area are dropped; the
+    others are numbered from 0 as they were opened.
     """
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -156,8 +159,12 @@ def group_lines(lines: DataFrame) -> DataFrame:
             best, score = -1, -1.0
             for k, (x1, _, x2, y2) in enumerate(regions):
                 gap = r.y1 - y2
-                share = max(0, min(x2, r.x2) - max(x1, r.x1)) / max(1, min(x2 - x1, r.x2 - r.x1))
-                if -h <= gap <= max(18, int(2.7 * h)) and share >= 0.35:
+                w, v = x2 - x1, r.x2 - r.x1
+                share = max(0, min(x2, r.x2) - max(x1, r.x1)) / max(1, min(w, v))
+                alike = min(w, v) / max(1, w, v) >= 0.42
+                wide = w >= width * 0.62 and v >= width * 0.62
+                near = abs((r.x1 + r.x2) / 2 - (x1 + x2) / 2) <= max(w, v) * 0.28
+                if -h <= gap <= max(18, int(2.7 * h)) and ((share >= 0.35 and (alike or wide)) or (near and alike)):
                     s = share + 1 / (1 + max(0, gap))
                     if s > score:
                         best, score = k, s
@@ -168,7 +175,10 @@ def group_lines(lines: DataFrame) -> DataFrame:
                 g = regions[best]
                 regions[best] = [min(g[0], r.x1), min(g[1], r.y1), max(g[2], r.x2), max(g[3], r.y2)]
             home.append(best)
-        return pd.DataFrame({"page": pdf.page, "ix": pdf.ix, "region": home})
+        sized = [x2 - x1 >= max(30, int(width * 0.025)) and y2 - y1 >= 7 and (x2 - x1) * (y2 - y1) <= height * width * 0.35 for x1, y1, x2, y2 in regions]
+        place = np.cumsum(sized) - 1
+        out = pd.DataFrame({"page": pdf.page, "ix": pdf.ix, "region": place[home]})
+        return out[np.array(sized)[home]]
 
     schema = f"page {lines.schema['page'].dataType.simpleString()}, ix long, region long"
     return lines.select("page", F.col("ix").cast("long"), *BOX).groupBy("page").applyInPandas(fold, schema)

@@ -107,7 +107,7 @@ def merge_nearby_boxes(spark, sf):
 
 @query()
 def group_lines(spark, sf):
-    return G.group_lines(boxes(spark, sf))
+    return G.group_lines(boxes(spark, sf), W, H)
 
 
 @query(f"SELECT l_orderkey AS page, l_linenumber AS ix, trunc(w * s)::int AS w, trunc(h * s)::int AS h FROM (SELECT *, CASE WHEN greatest(w, h) > 2500 THEN 2500.0::double / greatest(w, h) ELSE 1.0 END AS s FROM (SELECT l_orderkey, l_linenumber, floor(l_extendedprice / 20)::int + 1 AS w, l_partkey + 300 AS h FROM lineitem))")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import io
+import random
+import statistics
 import zipfile
 
 import pytest
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 from sheafmill.functions import routing as R
 from sheafmill.functions import text as T
 from sheafmill.functions import translit
+from sheafmill.operators import geometry as G
 from sheafmill.operators import quality as Q
 from sheafmill.sources import files, providers
 from sheafmill.streaming import sessions
@@ -117,3 +120,54 @@ def test_stream_equals_batch(spark, tmp_path):
     assert got == {tuple(r) for r in sessions.replay(events).collect()} == {(1, 1, "a" * 100), (1, 2, "a" * 100 + "c" * 120), (2, 1, " " * 100)}
     assert out.filter("kind = 'done'").first().text == "a" * 100 + "c" * 120
     assert out.filter("kind = 'status'").count() == 1
+
+
+def surveyed_regions(lines, w_img, h_img):
+    """The surveyed fold L3 with the size filter F9, on lists: the lines' numbers of each region that stays."""
+    order = sorted(range(len(lines)), key=lambda i: (lines[i][1], lines[i][0]))
+    median_h = statistics.median(b[3] - b[1] for b in lines)
+    regions = []
+    for i in order:
+        line, best, best_score = lines[i], None, 0.0
+        for box, members in regions:
+            gap = line[1] - box[3]
+            if gap < -median_h or gap > max(18, int(median_h * 2.7)):
+                continue
+            a, b = box[2] - box[0], line[2] - line[0]
+            overlap = max(0, min(box[2], line[2]) - max(box[0], line[0])) / float(max(1, min(a, b)))
+            comparable = min(a, b) / float(max(a, b)) >= 0.42
+            both_wide = a >= w_img * 0.62 and b >= w_img * 0.62
+            centred = abs((line[0] + line[2]) / 2.0 - (box[0] + box[2]) / 2.0) <= max(a, b) * 0.28
+            if (overlap >= 0.35 and (comparable or both_wide)) or (centred and comparable):
+                score = overlap + 1.0 / (1.0 + max(0, gap))
+                if score > best_score:
+                    best, best_score = (box, members), score
+        if best is None:
+            regions.append((list(line), [i]))
+            continue
+        box, members = best
+        box[:] = [min(box[0], line[0]), min(box[1], line[1]), max(box[2], line[2]), max(box[3], line[3])]
+        members.append(i)
+    size = lambda b: (b[2] - b[0], b[3] - b[1])
+    kept = [(size(b), m) for b, m in regions]
+    return [set(m) for (w, h), m in kept if w >= max(30, int(w_img * 0.025)) and h >= 7 and w * h <= h_img * w_img * 0.35]
+
+
+def test_lines_are_grouped_by_the_surveyed_rule(spark):
+    rng = random.Random(5)
+    pages = {
+        1: [(50, 10, 950, 40), (50, 50, 350, 70), (50, 75, 350, 95), (600, 50, 940, 70)],  # a heading over two columns
+        2: [(100, 10, 300, 30), (190, 35, 290, 55), (100, 60, 300, 80)],  # a narrower line off the centre
+        3: [(100, 100, 110, 120), (400, 100, 700, 105), (100, 300, 400, 320)],  # too narrow, too low, kept
+        4: [(0, 20 * k, 990, 20 * k + 18) for k in range(40)],  # one region of over 0.35 of the page
+        5: [(20, 10, 980, 30), (20, 35, 650, 55), (300, 60, 430, 80)],
+    }
+    for p in range(6, 40):
+        pages[p] = [(x, y, x + rng.choice([20, 60, 150, 300, 640]), y + rng.choice([5, 12, 20])) for x, y in ((rng.randrange(0, 360, 20), rng.randrange(0, 200, 7)) for _ in range(14))]
+    rows = [(p, i, *b) for p, lines in pages.items() for i, b in enumerate(lines)]
+    got = {}
+    for r in G.group_lines(spark.createDataFrame(rows, "page int, ix int, x1 int, y1 int, x2 int, y2 int"), 1000, 1400).collect():
+        got.setdefault(r.page, {}).setdefault(r.region, set()).add(r.ix)
+    for p, lines in pages.items():
+        assert [got.get(p, {})[k] for k in sorted(got.get(p, {}))] == surveyed_regions(lines, 1000, 1400), p
+    assert got[1] == {0: {0}, 1: {1, 2}, 2: {3}} and got[3] == {0: {2}} and 4 not in got
