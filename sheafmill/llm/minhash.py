@@ -353,7 +353,26 @@ def near_duplicates(
 
 
 def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
-    """``docs`` without the documents whose component keeps another one."""
-    gone = materialise(near_duplicates(docs, text, key, **options).filter("not kept").select(key).distinct(), "dropped")
-    small = F.broadcast if gone.count() <= MAX_BROADCAST_TEXTS else lambda x: x
-    return docs.join(small(gone), key, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """``docs`` with one row of each component: of its least (key, text hash), null keys last; rows without shingles all stay.
+
+    Rows are told apart by key and text, not by key alone; of rows equal in both, the one with the least hash of all columns stays.
+    """
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    own = F.struct(F.col(key).isNull().alias("n"), F.col(key).alias("k"), F.xxhash64(text).alias("h"))
+    seen = materialise(near_duplicates(docs.select(own.alias("__id"), F.col(text)), text, "__id", **options).select("__id.k", "__id.h", "n_shingles", "kept"), "seen")
+
+    def listed(rows: DataFrame, tag: str) -> tuple[DataFrame, int]:
+        rows = materialise(rows.select(F.col("k").alias("__k"), F.col("h").alias("__h")), tag)
+        n = rows.count()
+        return (F.broadcast(rows) if n <= MAX_BROADCAST_TEXTS else rows), n
+
+    same = F.col(key).eqNullSafe(F.col("__k")) & (F.xxhash64(text) == F.col("__h"))
+    repeated, n_repeated = listed(seen.filter("kept and n_shingles > 0").groupBy("k", "h").count().filter("count > 1"), "repeated")
+    gone = seen.filter("not kept").select("k", "h").distinct()
+    if n_repeated:
+        gone = gone.unionByName(repeated.select(F.col("__k").alias("k"), F.col("__h").alias("h")))
+    kept = docs.join(listed(gone, "dropped")[0], same, "left_anti").select(*names)
+    if n_repeated:
+        rows = docs.join(repeated, same).groupBy("__k", "__h").agg(F.min_by(F.struct(*names), F.xxhash64(*names)).alias("__row"))
+        kept = kept.unionByName(rows.select("__row.*"))
+    return kept

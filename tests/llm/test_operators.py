@@ -248,6 +248,14 @@ def test_urls(spark):
     assert {r.verdict for r in urls.judge_urls(pages, rules.limit(0)).collect()} == {"allow"}
 
 
+def test_deduplicated_rows_with_repeated_null_and_reused_keys(spark):
+    a, b, c, d, e = (prose(500 + i, 80) for i in range(5))
+    rows = [(1, a, "x"), (1, a, "x"), (2, a, "x"), (None, b, "y"), (None, b, "z"), (None, b, "z"), (3, c, "x"), (4, c, "x"), (4, d, "x"), (5, e, "x"), (6, None, "x"), (6, None, "x")]
+    got = minhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string, source string"), percent=80)
+    assert got.columns == ["doc_id", "text", "source"]
+    assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter({(1, a): 1, (None, b): 1, (3, c): 1, (4, d): 1, (5, e): 1, (6, None): 2})
+
+
 def test_secrets(spark):
     key = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
     rows = [(1, f'set token = "{key}" now', "src/a.py"), (2, f"commit {key} was fine", "src/a.py"), (3, "write to x.19@mail5.example.com today", None), (4, None, "s"), (5, "", "s"), (None, f'my secret = "{key}" x', "s")]
