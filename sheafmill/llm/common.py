@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,9 +20,11 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; set here only where the session names none."""
+    """The folder that driver and executors share. Only a local master has one of its own where the session names none."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = LOCAL_SHARED
         spark.conf.set("spark.checkpoint.dir", found)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -30,7 +33,51 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    """A new path in the shared folder; ``cleanup``, or the end of the application, removes what is written there."""
+    app = spark.sparkContext.applicationId
+    root = f"{shared_dir(spark)}/sheafmill-{app}"
+    if _ROOTS.get(app) != root:
+        _ROOTS[app] = root
+        path, files = _hadoop(spark, root)
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+    return f"{root}/{tag}-{uuid.uuid4().hex}"
+
+
+_ROOTS: dict[str, str] = {}
+_OPEN: list[list[str]] = []
+
+
+def _hadoop(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def remove(spark: SparkSession, *paths: str) -> None:
+    for path in paths:
+        p, files = _hadoop(spark, path)
+        files.delete(p, True)
+
+
+def cleanup(spark: SparkSession) -> None:
+    """Remove all tables of this application from the shared folder; results that still read them must have been consumed."""
+    root = _ROOTS.pop(spark.sparkContext.applicationId, None)
+    if root:
+        remove(spark, root)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Removes the tables written inside when it ends, but for those put in the list that it gives: what the result reads."""
+    kept: list[DataFrame] = []
+    _OPEN.append([])
+    try:
+        yield kept
+    finally:
+        written, stay = _OPEN.pop(), {getattr(d, "_table", None) for d in kept}
+        remove(spark, *[w for w in written if w not in stay])
+        if _OPEN:
+            _OPEN[-1] += [w for w in written if w in stay]
 
 
 @contextmanager
@@ -47,13 +94,17 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to a table in the shared folder and read it back.
 
     Cuts the lineage: what follows re-reads the table if an executor goes. The shuffle files that the
-    write needed are removed when it ends, so disk holds one copy of the step.
+    write needed are removed when it ends, so disk holds one copy of the step. The table goes with the ``scratch`` it is written in.
     """
     spark = df.sparkSession
     path = fresh_path(spark, tag)
     with _conf(spark, CLEANUP, "true"):
         df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if _OPEN:
+        _OPEN[-1].append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._table = path
+    return out
 
 
 def swapped(text: Column, chars: str, by: str) -> Column:

@@ -6,8 +6,11 @@ projections; a cell holds about ``cell_rows`` rows whatever the size of the labe
 at least ``count`` tables is verified by its cosine in double precision. ``calibrate`` chooses the number of tables from the
 collision probability of a pair exactly at the threshold, so that it is missed with at most ``miss``.
 
-Rows carry their places in all tables, so a pair is counted and verified in the first table where it collides, and only there. A
-cell sends on sums and a spanning star of its links a row, never pairs. A cell of more than ``block`` rows is dealt into blocks that meet two at a time.
+A row of a table carries the class and its vector, as the table has it (4 bytes a component for floats); the places in all tables follow from
+the vector inside the task, so bytes a vector grow with the number of tables and not with its square. Places are worked out on rounded whole
+numbers, whose sums doubles hold exactly, so every task finds the same places, and a pair is counted and verified in the first
+table where it collides, and only there. A cell sends on sums and a spanning star of its links a row, never pairs. A cell of more than
+``block`` rows is dealt into blocks that meet two at a time.
 
 Edge cases: a null label, and a vector that is null, zero, or has null or non-finite components, links with nothing; vectors of different lengths are never compared;
 repeated rows are linked copies; a null id is the least of a component only if all are null; an empty table gives an empty result; other columns stay out.
@@ -15,7 +18,6 @@ repeated rows are linked copies; a null id is the least of a component only if a
 
 from __future__ import annotations
 
-import hashlib
 import math
 from collections.abc import Iterator
 
@@ -23,10 +25,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, FloatType, StructType
 
-from .common import materialise
-from .graph import binary_matrix, connected_components, whole_groups
+from .common import materialise, scratch
+from .graph import connected_components, whole_groups
 
 
 def calibrate(least: float, bits: int, window: float, count: int, miss: float) -> int:
@@ -39,47 +41,101 @@ def calibrate(least: float, bits: int, window: float, count: int, miss: float) -
     return tables
 
 
+_SEEDS = np.random.default_rng(61).integers(1, 1 << 63, 4, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Units of a component and of a direction's component: whole numbers up to 2^18 and about 2^17, whose products' sums stay below 2^53.
+_UNIT, _STEP = float(1 << 18), float(1 << 14)
+
+
 def directions(dim: int, tables: int, bits: int) -> np.ndarray:
-    """Gaussian directions: a projection and ``bits`` sign projections a table."""
-    return np.random.default_rng([dim, tables, bits, 6]).standard_normal((dim, tables * (bits + 1)))
+    """Gaussian directions in whole steps: a projection and ``bits`` sign projections a table."""
+    return np.round(np.random.default_rng([dim, tables, bits, 6]).standard_normal((dim, tables * (bits + 1))) * _STEP)
+
+
+def unit_rows(raw: np.ndarray) -> np.ndarray:
+    """Rows in double precision and of length 1."""
+    x = raw.astype(np.float64)
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+
+
+def places_of(x: np.ndarray, planes: np.ndarray, tables: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Cells and projections of unit rows in all tables; the same for a row whatever rows are worked out with it."""
+    proj = (np.round(x * _UNIT) @ planes).reshape(len(x), tables, bits + 1)
+    cells = ((proj[:, :, 1:] > 0) << np.arange(bits)).sum(axis=2).astype("<u4")
+    return cells, (proj[:, :, 0] / (_UNIT * _STEP)).astype(np.float32)
+
+
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def _classes(x: np.ndarray, labels: np.ndarray) -> list[bytes]:
+    """128-bit hashes of a label's hash and a row of numbers."""
+    words = (x.astype(np.float64) + 0.0).view(np.uint64)  # no negative zeros
+    at = np.arange(1, x.shape[1] + 1, dtype=np.uint64)
+    two = [_mix(_mix(words ^ (at * _SEEDS[k])).sum(axis=1, dtype=np.uint64) ^ _mix(labels.astype(np.uint64) * _SEEDS[k + 2])) for k in (0, 1)]
+    return [row.tobytes() for row in np.stack(two, axis=1)]
 
 
 def _vectors(table: DataFrame, vector: str, key: str, label: str) -> DataFrame:
-    """key, class (16 bytes, null if it links with nothing), label_hash, dim, vec (doubles of length 1 as binary)."""
+    """key, class (16 bytes, null if it links with nothing), label_hash, dim, vec (its numbers as binary, floats or doubles)."""
+    single = isinstance(table.schema[vector].dataType, ArrayType) and isinstance(table.schema[vector].dataType.elementType, FloatType)
+    kind = np.float32 if single else np.float64
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            classes, dims, vecs = [], [], []
-            for lab, row in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                x = np.array(row, dtype=np.float64) if lab is not None and row and None not in row else np.zeros(0)
-                top = np.abs(x).max(initial=0.0)
-                if not top or not np.isfinite(top):
-                    classes.append(None)
-                    dims.append(None)
-                    vecs.append(None)
-                    continue
-                x = x + 0.0  # no negative zeros
-                classes.append(hashlib.blake2b(x.tobytes() + repr(lab).encode(), digest_size=16).digest())
-                x = x / top
-                dims.append(len(x))
-                vecs.append((x / np.sqrt(x @ x)).tobytes())
+            n, lists = batch.num_rows, batch.column(3)
+            sizes = np.diff(lists.offsets.to_numpy())
+            first = lists.offsets.to_numpy()[:-1] - lists.offsets.to_numpy()[0]
+            flat = lists.flatten() if not lists.null_count else lists.values.slice(lists.offsets[0].as_py(), int(sizes.sum()))
+            values = flat.to_numpy(zero_copy_only=False).astype(kind)  # null components become NaN
+            usable = np.array(lists.is_valid()) & np.array(batch.column(1)) & (sizes > 0)
+            classes, dims, vecs = np.full(n, None, dtype=object), np.zeros(n, dtype=np.int32), np.full(n, None, dtype=object)
+            hashes = batch.column(2).to_numpy(zero_copy_only=False)
+            for dim in np.unique(sizes[usable]):
+                own = np.flatnonzero(usable & (sizes == dim))
+                x = values[first[own][:, None] + np.arange(dim)]
+                good = np.isfinite(x).all(axis=1) & (x != 0).any(axis=1)
+                own, x = own[good], x[good]
+                if len(own):
+                    classes[own] = _classes(x, hashes[own])
+                    dims[own] = dim
+                    vecs[own] = [row.tobytes() for row in x]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(3), pa.array(classes, pa.binary()), pa.array(dims, pa.int32()), pa.array(vecs, pa.binary())],
+                [batch.column(0), batch.column(2), pa.array(classes.tolist(), pa.binary()), pa.array(dims), pa.array(vecs.tolist(), pa.binary())],
                 names=["key", "label_hash", "class", "dim", "vec"],
             )
 
     schema = StructType().add("key", table.schema[key].dataType)
     for f in StructType.fromDDL("label_hash long, class binary, dim int, vec binary"):
         schema.add(f)
-    used = table.select(F.col(key).alias("key"), F.col(label).alias("label"), F.col(vector).cast("array<double>"), F.xxhash64(label).alias("label_hash"))
+    used = table.select(
+        F.col(key).alias("key"), F.col(label).isNotNull().alias("labelled"), F.xxhash64(label).alias("label_hash"), F.col(vector).cast("array<float>" if single else "array<double>")
+    )
     return used.mapInArrow(run, schema)
 
 
-def _placed(classes: DataFrame, tables: int, bits: int) -> DataFrame:
-    """A row a class and table: cell, and what a row carries (places: cells and projections of all tables)."""
+class _Places:
+    """Places of rows held as binary, with the directions of each dimension worked out once a task."""
+
+    def __init__(self, tables: int, bits: int, single: bool) -> None:
+        self.tables, self.bits, self.kind = tables, bits, np.float32 if single else np.float64
+        self.planes: dict[int, np.ndarray] = {}
+
+    def __call__(self, vecs: list[bytes], dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if dim not in self.planes:
+            self.planes[dim] = directions(dim, self.tables, self.bits)
+        x = unit_rows(np.frombuffer(b"".join(vecs), dtype=self.kind).reshape(len(vecs), dim))
+        return x, *places_of(x, self.planes[dim], self.tables, self.bits)
+
+
+def _placed(classes: DataFrame, tables: int, bits: int, single: bool) -> DataFrame:
+    """A row a class and table: its cell there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes: dict[int, np.ndarray] = {}
+        places = _Places(tables, bits, single)
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
@@ -87,14 +143,8 @@ def _placed(classes: DataFrame, tables: int, bits: int) -> DataFrame:
                 for dim in np.unique(dims):
                     own = np.flatnonzero(dims == dim)
                     rows = part.take(pa.array(own))
-                    x = np.frombuffer(b"".join(rows.column(3).to_pylist()), dtype=np.float64).reshape(len(own), dim)
-                    if dim not in planes:
-                        planes[dim] = directions(dim, tables, bits)
-                    proj = (x @ planes[dim]).reshape(len(own), tables, bits + 1)
-                    cells = ((proj[:, :, 1:] > 0) << np.arange(bits)).sum(axis=2).astype("<u4")
-                    places = np.concatenate([cells, proj[:, :, 0].astype("<f4").view("<u4")], axis=1)
+                    _, cells, _ = places(rows.column(3).to_pylist(), int(dim))
                     took = pa.array(np.repeat(np.arange(len(own)), tables))
-                    held = pa.array([p.tobytes() for p in places], pa.binary())
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(np.tile(np.arange(tables, dtype=np.int32), len(own))),
@@ -102,26 +152,21 @@ def _placed(classes: DataFrame, tables: int, bits: int) -> DataFrame:
                             rows.column(1).take(took),
                             rows.column(2).take(took),
                             rows.column(0).take(took),
-                            rows.column(4).take(took),
-                            rows.column(3).take(took),
-                            held.take(took),
                         ],
-                        names=["table", "cell", "label_hash", "dim", "class", "weight", "vec", "places"],
+                        names=["table", "cell", "label_hash", "dim", "class"],
                     )
 
-    schema = "table int, cell long, label_hash long, dim int, class binary, weight long, vec binary, places binary"
-    return classes.select("class", "label_hash", "dim", "vec", "weight").mapInArrow(run, schema)
+    return classes.select("class", "label_hash", "dim", "vec").mapInArrow(run, "table int, cell long, label_hash long, dim int, class binary")
 
 
 GROUP = ["label_hash", "dim", "table", "cell", "b1", "b2"]
 
 
-def _cell_links(rows: DataFrame, tables: int, least: float, width: float, count: int) -> DataFrame:
+def _cell_links(rows: DataFrame, tables: int, bits: int, single: bool, least: float, width: float, count: int) -> DataFrame:
     """class, links (weights of other classes linked in this cell), root (a class of the same component in this cell)."""
 
-    def collided(places: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        cells, proj = places[:, :tables], places[:, tables:].view("<f4")
-        return (cells[i] == cells[j]) & (np.abs(proj[i] - proj[j]) <= width)
+    def collided(cells: np.ndarray, proj: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return (cells[i] == cells[j]) & (np.abs(proj[i] - proj[j]) <= np.float32(width))
 
     def pairs_in(p: np.ndarray, side: np.ndarray, one: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Pairs of rows within the window of each other, in slices of queries."""
@@ -143,19 +188,19 @@ def _cell_links(rows: DataFrame, tables: int, least: float, width: float, count:
             at = end
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places = _Places(tables, bits, single)
         for t, first in whole_groups(batches, GROUP):
-            places = binary_matrix(t.column("places"), "<u4")
-            table, b1, b2 = (t.column(k).to_numpy() for k in ("table", "b1", "b2"))
+            table, dims, b1, b2 = (t.column(k).to_numpy() for k in ("table", "dim", "b1", "b2"))
             side, weight = t.column("side").to_numpy(), t.column("weight").to_numpy()
             vecs = t.column("vec").to_pylist()
             links, root = np.zeros(t.num_rows, dtype=np.int64), np.arange(t.num_rows)
             for g in np.flatnonzero(np.diff(first) > 1):
                 lo, hi = first[g], first[g + 1]
-                held, k = places[lo:hi], int(table[lo])
-                x = np.frombuffer(b"".join(vecs[lo:hi]), dtype=np.float64).reshape(hi - lo, -1)
+                k = int(table[lo])
+                x, cells, proj = places(vecs[lo:hi], int(dims[lo]))
                 found_i, found_j = [], []
-                for i, j in pairs_in(held[:, tables + k].copy().view("<f4"), side[lo:hi], b1[lo] == b2[lo]):
-                    hit = collided(held, i, j)
+                for i, j in pairs_in(proj[:, k], side[lo:hi], b1[lo] == b2[lo]):
+                    hit = collided(cells, proj, i, j)
                     ok = (hit.argmax(axis=1) == k) & (hit.sum(axis=1) >= count)
                     i, j = i[ok], j[ok]
                     near = np.einsum("ij,ij->i", x[i], x[j]) >= least
@@ -182,7 +227,7 @@ def _cell_links(rows: DataFrame, tables: int, least: float, width: float, count:
                     names=["class", "links", "root"],
                 )
 
-    dealt = rows.select(*GROUP, "side", "class", "weight", "vec", "places").repartition(*GROUP).sortWithinPartitions(*GROUP)
+    dealt = rows.select(*GROUP, "side", "class", "weight", "vec").repartition(*GROUP).sortWithinPartitions(*GROUP)
     return dealt.mapInArrow(run, "class binary, links long, root binary")
 
 
@@ -199,6 +244,18 @@ def near_vectors(
     block: int = 1000,
 ) -> DataFrame:
     """Per vector: key, n_links (others linked directly), component_id (least key reachable by links), kept."""
+    with scratch(table.sparkSession) as held:
+        features, named = _linked_classes(table, least, vector, key, label, window, count, miss, cell_rows, block)
+        held += [features, named]
+    out = features.filter("class is not null").select("key", "class").join(named, "class").select("key", "n_links", "component_id")
+    alone = features.filter("class is null").select("key", F.lit(0).cast("long").alias("n_links"), F.col("key").alias("component_id"))
+    return out.unionByName(alone).withColumn("kept", F.col("key").eqNullSafe(F.col("component_id"))).withColumnRenamed("key", key)
+
+
+def _linked_classes(
+    table: DataFrame, least: float, vector: str, key: str, label: str, window: float, count: int, miss: float, cell_rows: int, block: int
+) -> tuple[DataFrame, DataFrame]:
+    """The vectors' features, and class with n_links and component_id."""
     features = materialise(_vectors(table, vector, key, label), "vectors")
     valid = features.filter("class is not null")
     classes = materialise(
@@ -215,14 +272,16 @@ def near_vectors(
     bits = max(0, math.ceil(math.log2(max(largest, 1) / cell_rows)))
     tables = calibrate(least, bits, window, count, miss)
     width = window * math.sqrt(2 - 2 * least)
-    placed = materialise(_placed(classes, tables, bits), "placed")
+    single = table.schema[vector].dataType.simpleString() == "array<float>"
+    placed = materialise(_placed(classes, tables, bits, single), "placed")
     cell = ["label_hash", "dim", "table", "cell"]
     counts = materialise(placed.groupBy(*cell).agg(F.count("*").alias("n")).filter("n > 1"), "cells")
     rows = placed.join(counts, cell).withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
     rows = rows.withColumn("side", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.withColumns({"b1": F.least("side", "other"), "b2": F.greatest("side", "other")})
-    found = materialise(_cell_links(rows, tables, least, width, count), "vector-links")
+    rows = rows.join(classes.select("class", "weight", "vec"), "class")
+    found = materialise(_cell_links(rows, tables, bits, single, least, width, count), "vector-links")
     sums = found.groupBy("class").agg(F.sum("links").alias("links"))
     roots = materialise(connected_components(found.select(F.col("class").alias("a"), F.col("root").alias("b"))), "vector-roots")
     of_class = classes.select("class", "key", "weight").join(roots.withColumnRenamed("node", "class"), "class", "left").join(sums, "class", "left")
@@ -230,7 +289,4 @@ def near_vectors(
         of_class.select("class", "key", F.coalesce("root", "class").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links")), "class-links"
     )
     leasts = materialise(of_class.groupBy("root").agg(F.min("key").alias("component_id")), "vector-components")
-    named = materialise(of_class.join(leasts, "root").select("class", "n_links", "component_id"), "class-vectors")
-    out = valid.select("key", "class").join(named, "class").select("key", "n_links", "component_id")
-    alone = features.filter("class is null").select("key", F.lit(0).cast("long").alias("n_links"), F.col("key").alias("component_id"))
-    return out.unionByName(alone).withColumn("kept", F.col("key").eqNullSafe(F.col("component_id"))).withColumnRenamed("key", key)
+    return features, materialise(of_class.join(leasts, "root").select("class", "n_links", "component_id"), "class-vectors")

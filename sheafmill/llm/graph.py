@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, scratch
 
 #: Up to this many links the minima of a round are broadcast (at most two ends a link, about 40 bytes each); beyond, they are shuffled.
 MAX_BROADCAST_LINKS = 100_000
@@ -29,43 +29,52 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
         if now == state or not now[0]:
             return pairs.select(F.col("x").alias("node"), F.col("y").alias("root")).union(pairs.select("y", "y").distinct())
         state = now
-        small = F.broadcast if now[0] <= MAX_BROADCAST_LINKS else lambda m: materialise(m, "minima")
-        both = pairs.select(F.col("x").alias("u"), F.col("y").alias("v")).union(pairs.select("y", "x"))
-        least = small(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("x"), F.col("m").alias("y"))
-        # A node that is least among its neighbours keeps itself as their root; others pass their links on.
-        large = materialise(large.filter("x > y").distinct(), "large-star")
-        own = large.groupBy("x").agg(F.min("y").alias("m"))
-        moved = large.join(small(own), "x").select(F.col("y").alias("x"), F.col("m").alias("y")).filter("x > y")
-        pairs = materialise(moved.union(own.select("x", "m")).distinct(), "small-star")
+        with scratch(pairs.sparkSession) as kept:
+            pairs = _star_round(pairs, now[0])
+            kept.append(pairs)
 
 
-def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """Tables of complete groups of rows sorted by integer ``keys``, with the groups' first rows and the table's size."""
-    held: pa.Table | None = None
+def _star_round(pairs: DataFrame, n: int) -> DataFrame:
+    small = F.broadcast if n <= MAX_BROADCAST_LINKS else lambda m: materialise(m, "minima")
+    both = pairs.select(F.col("x").alias("u"), F.col("y").alias("v")).union(pairs.select("y", "x"))
+    least = small(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+    large = both.filter("v > u").join(least, "u").select(F.col("v").alias("x"), F.col("m").alias("y"))
+    # A node that is least among its neighbours keeps itself as their root; others pass their links on.
+    large = materialise(large.filter("x > y").distinct(), "large-star")
+    own = large.groupBy("x").agg(F.min("y").alias("m"))
+    moved = large.join(small(own), "x").select(F.col("y").alias("x"), F.col("m").alias("y")).filter("x > y")
+    return materialise(moved.union(own.select("x", "m")).distinct(), "small-star")
 
-    def starts(t: pa.Table) -> np.ndarray:
-        new = np.zeros(t.num_rows, dtype=bool)
-        new[0] = True
-        for k in keys:
-            v = t.column(k).to_numpy()
-            new[1:] |= v[1:] != v[:-1]
-        return np.flatnonzero(new)
 
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of complete groups of rows sorted by integer ``keys``, with the groups' first rows and the table's size.
+
+    Every batch is looked at once: those of a group that has not ended wait in a list.
+    """
+    held: list[pa.RecordBatch] = []
+    starts: list[np.ndarray] = []
+    size, last = 0, None
     for batch in batches:
         if not batch.num_rows:
             continue
-        t = pa.Table.from_batches([batch])
-        held = t if held is None else pa.concat_tables([held, t])
-        first = starts(held)
-        if first[-1]:
-            done = held.slice(0, first[-1]).combine_chunks()
-            yield done, np.append(first[:-1], done.num_rows)
-            held = held.slice(first[-1])
-    if held is not None:
-        held = held.combine_chunks()
-        first = starts(held)
-        yield held, np.append(first, held.num_rows)
+        values = [batch.column(batch.schema.get_field_index(k)).to_numpy(zero_copy_only=False) for k in keys]
+        new = np.zeros(batch.num_rows, dtype=bool)
+        new[0] = last is None or any(v[0] != x for v, x in zip(values, last, strict=True))
+        for v in values:
+            new[1:] |= v[1:] != v[:-1]
+        first, last = np.flatnonzero(new), [v[-1] for v in values]
+        if len(first) and (size or first[-1]):
+            cut = int(first[-1])
+            done = pa.Table.from_batches([*held, *([batch.slice(0, cut)] if cut else [])]).combine_chunks()
+            yield done, np.append(np.concatenate([*starts, first[:-1] + size]), done.num_rows).astype(np.int64)
+            held, starts, size = [batch.slice(cut)], [np.zeros(1, np.int64)], batch.num_rows - cut
+        else:
+            held.append(batch)
+            starts.append(first + size)
+            size += batch.num_rows
+    if held:
+        t = pa.Table.from_batches(held).combine_chunks()
+        yield t, np.append(np.concatenate(starts), t.num_rows).astype(np.int64)
 
 
 def binary_matrix(column: pa.ChunkedArray, dtype: str) -> np.ndarray:

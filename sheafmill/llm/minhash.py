@@ -5,12 +5,14 @@
 2. Classes meet in band buckets. Buckets of one class go before signatures are attached.
 3. In a bucket, packed signatures are compared by counting equal b-bit lanes; with chance agreement 2^-b, the similarity is
    (agreement - 2^-b) / (1 - 2^-b). Only a spanning forest of the most similar pairs leaves a bucket, never all pairs.
-4. The forest's pairs are confirmed on whole shingle sets and joined to components. Classes that the forest holds together are a family;
-   in a family of several components, every pair of different components whose estimate is within ``margin`` of the threshold is confirmed too, most
-   similar first, unless it is joined by then. So no link between components is lost, and only links that join two components leave a task.
-   A bucket of more than ``block`` classes is dealt into blocks and is one family; a family is dealt into blocks too, and those outside its
-   largest component meet all its blocks.
-A pair at the threshold shares a band with probability 1 - (1 - s^rows)^bands: 1 - 3e-6 by default.
+   A bucket of more than ``block`` classes is dealt into blocks.
+4. The forest's pairs are confirmed on whole shingle sets and joined to components. Classes that the forest holds together are a family.
+   Where a family is several components, pairs of different components whose estimate is within the margin are confirmed too, most
+   similar first, unless they are joined by then: within the family if it has at most ``family_rows`` classes, else within each of its
+   band buckets. The group's largest component is the index, all others are queries; both are dealt into blocks, and a task holds one block
+   of each. So no link between components is lost, and only links that join two components leave a task.
+``calibrate`` chooses rows, bands and the margin so that a pair exactly at the threshold is missed with a probability of at most ``miss`` by
+the bands, and with as much by the estimate.
 
 Edge cases: null text, or one without words, has no shingles and links with nothing; a text with fewer words than a shingle is one shingle;
 repeated rows are copies of one class; a null key never is a component's least key unless all are null; an empty table gives an empty result;
@@ -19,7 +21,9 @@ other columns stay out of the shuffles.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +31,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import materialise
+from .common import materialise, scratch
 from .graph import binary_matrix, connected_components, whole_groups
 
-K, BITS, ROWS, BANDS = 128, 4, 5, 22
+K, BITS = 128, 4
 #: Up to this many wanted texts their hashes are broadcast (16 bytes each); beyond, the join is shuffled.
 MAX_BROADCAST_TEXTS = 200_000
 
@@ -43,6 +47,17 @@ _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _IS_BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
+def calibrate(percent: int, miss: float) -> tuple[int, int, float]:
+    """Rows of a band, bands, and how far an estimate may fall below the threshold, for pairs exactly at it."""
+    s = percent / 100
+    for rows in range(16, 0, -1):
+        bands = math.ceil(math.log(miss) / math.log(1 - s**rows)) if s < 1 else 1
+        if rows * bands <= K:
+            break
+    agree = s + (1 - s) * 2.0**-BITS
+    return rows, min(bands, K // rows), NormalDist().inv_cdf(1 - miss) * math.sqrt(agree * (1 - agree) / K) / (1 - 2.0**-BITS)
+
+
 def _mix(h: np.ndarray) -> np.ndarray:
     """The finalizer of splitmix64."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -93,7 +108,7 @@ def shingle_sets(texts: list[bytes], words: int = 5) -> list[np.ndarray]:
     return out
 
 
-def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def signatures(sets: list[np.ndarray], rows: int = 5, n_bands: int = 20) -> tuple[np.ndarray, np.ndarray]:
     """For non-empty sets: packed low bits of the minima (rows of K * BITS / 8 bytes) and band hashes."""
     sizes = np.array([len(s) for s in sets])
     first = np.cumsum(sizes) - sizes
@@ -104,9 +119,9 @@ def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     mixed = _mix(minima)
     low = (mixed & np.uint64((1 << BITS) - 1)).astype(np.uint8)
     packed = low[:, 0::2] | low[:, 1::2] << 4
-    bands = np.zeros((len(sets), BANDS), dtype=np.uint64)
-    for r in range(ROWS):
-        bands = _mix(bands * _STEP + mixed[:, r : ROWS * BANDS : ROWS] + np.arange(BANDS, dtype=np.uint64))
+    bands = np.zeros((len(sets), n_bands), dtype=np.uint64)
+    for r in range(rows):
+        bands = _mix(bands * _STEP + mixed[:, r : rows * n_bands : rows] + np.arange(n_bands, dtype=np.uint64))
     return np.ascontiguousarray(packed), bands
 
 
@@ -132,7 +147,7 @@ def _text_groups(column, most: int = 1 << 20) -> Iterator[tuple[int, list[bytes]
         yield at, held
 
 
-def document_features(docs: DataFrame, text: str, key: str, words: int) -> DataFrame:
+def document_features(docs: DataFrame, text: str, key: str, words: int, rows: int, n_bands: int) -> DataFrame:
     """key, text_hash, n_shingles, class (16 bytes), sig and bands (binaries); no class without shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,7 +157,7 @@ def document_features(docs: DataFrame, text: str, key: str, words: int) -> DataF
                 full = [i for i, s in enumerate(sets) if len(s)]
                 classes, sigs, bands = [None] * len(sets), [None] * len(sets), [None] * len(sets)
                 if full:
-                    packed, keys = signatures([sets[i] for i in full])
+                    packed, keys = signatures([sets[i] for i in full], rows, n_bands)
                     for j, i in enumerate(full):
                         s = sets[i]
                         classes[i] = np.array([s.sum(dtype=np.uint64) ^ np.uint64(len(s)), _mix(s + _STEP).sum(dtype=np.uint64)]).tobytes()
@@ -226,23 +241,27 @@ def _forest_pairs(rows: DataFrame, least: float) -> DataFrame:
 
 
 def _crossing_links(rows: DataFrame, least: float, percent: int) -> DataFrame:
-    """rows: family, block, class, sig, set, root, query. Links of a query and another row of its block that join two components there."""
+    """rows: group, bi, bq, class, sig, set, root, outer, query. Links of a query and an index row of its task that join two components there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, first in whole_groups(batches, ["family", "block"]):
+        for t, first in whole_groups(batches, ["group", "bi", "bq"]):
             sig, classes = binary_matrix(t.column("sig"), "<u8"), t.column("class").to_pylist()
             sets = [np.frombuffer(x, "<u8") for x in t.column("set").to_pylist()]
+            sizes = np.array([len(x) for x in sets])
             part = np.unique(np.array(t.column("root").to_pylist(), dtype=object), return_inverse=True)[1]
-            query = t.column("query").to_numpy()
+            rank = np.unique(np.array(classes, dtype=object), return_inverse=True)[1]
+            query, outer = t.column("query").to_numpy(), t.column("outer").to_numpy()
             left, right = [], []
             for g in range(len(first) - 1):
                 own = slice(first[g], first[g + 1])
                 index = np.flatnonzero(~query[own]) + first[g]
                 found = []
                 for q in np.flatnonzero(query[own]) + first[g]:
-                    near = estimate(sig[q], sig[index])
-                    hit = (part[index] != part[q]) & (near >= least)
-                    found += zip(-near[hit], np.full(hit.sum(), q), index[hit], strict=True)
+                    alike = 100 * np.minimum(sizes[index], sizes[q]) >= percent * np.maximum(sizes[index], sizes[q])
+                    # Two queries meet twice, once in each role: the pair is taken once.
+                    near = index[alike & (part[index] != part[q]) & (~outer[index] | (rank[index] < rank[q]))]
+                    e = estimate(sig[q], sig[near])
+                    found += zip(-e[e >= least], np.full((e >= least).sum(), q), near[e >= least], strict=True)
                 joined: dict[int, int] = {}
 
                 def top(x: int) -> int:
@@ -258,7 +277,8 @@ def _crossing_links(rows: DataFrame, least: float, percent: int) -> DataFrame:
                         right.append(i)
             yield _pairs(classes, np.array(left, dtype=np.int64), np.array(right, dtype=np.int64))
 
-    dealt = rows.select("family", "block", "class", "sig", "set", "root", "query").repartition("family", "block").sortWithinPartitions("family", "block")
+    keys = ["group", "bi", "bq"]
+    dealt = rows.select(*keys, "class", "sig", "set", "root", "outer", "query").repartition(*keys).sortWithinPartitions(*keys)
     return dealt.mapInArrow(run, _PAIRS)
 
 
@@ -305,11 +325,57 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "__x", "__y").mapInArrow(run, _PAIRS)
 
 
+def _open_groups(labelled: DataFrame, rows: DataFrame, family_rows: int) -> DataFrame:
+    """group, class, root of the families of several components; of a family of more than ``family_rows`` classes, of its band buckets."""
+    parts = labelled.groupBy("family", "root").agg(F.count("*").alias("m")).groupBy("family")
+    apart = materialise(parts.agg(F.count("*").alias("parts"), F.sum("m").alias("n")).filter("parts > 1").select("family", "n"), "apart")
+    members = labelled.join(apart, "family")
+    small = members.filter(F.col("n") <= family_rows).select(F.xxhash64("family").alias("group"), "class", "root")
+    if not apart.filter(F.col("n") > family_rows).limit(1).count():
+        return small
+    large = members.filter(F.col("n") > family_rows).select("class", "root").join(rows.select("bucket", "class"), "class")
+    return small.unionByName(large.select(F.xxhash64("bucket", F.lit(1)).alias("group"), "class", "root"))
+
+
+def _second_round(labelled: DataFrame, rows: DataFrame, classes: DataFrame, sets: DataFrame, least: float, percent: int, block: int, family_rows: int) -> DataFrame:
+    """Links that join components of one family."""
+    members = materialise(_open_groups(labelled, rows, family_rows), "members")
+    parts = members.groupBy("group", "root").agg(F.count("*").alias("m")).groupBy("group")
+    groups = parts.agg(F.count("*").alias("parts"), F.max_by("root", "m").alias("main"), F.sum("m").alias("n"), F.max("m").alias("most")).filter("parts > 1")
+    blocks = lambda n: F.ceil(n / block).cast("long")
+    groups = materialise(groups.select("group", "main", blocks(F.col("n")).alias("ni"), blocks(F.col("n") - F.col("most")).alias("nq")), "groups")
+    open_ = members.join(groups, "group").withColumn("outer", F.col("root") != F.col("main"))
+    open_ = materialise(open_.join(classes.select("class", "sig"), "class").join(sets, "class"), "open")
+    all_of = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    index = open_.withColumn("bi", F.pmod(F.xxhash64("class"), F.col("ni"))).withColumn("bq", all_of("nq")).withColumn("query", F.lit(False))
+    query = open_.filter("outer").withColumn("bq", F.pmod(F.xxhash64("class"), F.col("nq"))).withColumn("bi", all_of("ni")).withColumn("query", F.lit(True))
+    return materialise(_crossing_links(index.unionByName(query), least, percent), "links-2")
+
+
 def near_duplicates(
-    docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = 5, percent: int = 85, margin: float = 0.13, block: int = 500
+    docs: DataFrame,
+    text: str = "text",
+    key: str = "doc_id",
+    words: int = 5,
+    percent: int = 85,
+    miss: float = 1e-5,
+    block: int = 500,
+    family_rows: int = 20_000,
 ) -> DataFrame:
     """Per document: key, n_shingles, component_id (the least key reachable by links) and kept (whether that is its own key)."""
-    features = materialise(document_features(docs, text, key, words), "features")
+    with scratch(docs.sparkSession) as held:
+        features, named = _components(docs, text, key, words, percent, miss, block, family_rows)
+        held += [features, named]
+    spoken = features.filter("class is not null")
+    out = spoken.select("key", "n_shingles", "class").join(named, "class").select("key", "n_shingles", "component_id")
+    alone = features.filter("class is null").select("key", "n_shingles", F.col("key").alias("component_id"))
+    return out.unionByName(alone).withColumn("kept", F.col("key").eqNullSafe(F.col("component_id"))).withColumnRenamed("key", key)
+
+
+def _components(docs: DataFrame, text: str, key: str, words: int, percent: int, miss: float, block: int, family_rows: int) -> tuple[DataFrame, DataFrame]:
+    """The documents' features, and class with component_id."""
+    band_rows, n_bands, margin = calibrate(percent, miss)
+    features = materialise(document_features(docs, text, key, words, band_rows, n_bands), "features")
     spoken = features.filter("class is not null")
     classes = materialise(
         spoken.groupBy("class").agg(
@@ -325,31 +391,18 @@ def near_duplicates(
     sets = _class_sets(docs, text, words, classes.join(ends, "class", "left_semi").select("class", "text_hash"))
     links = materialise(_confirmed(first, sets, percent), "links-1")
     roots = materialise(connected_components(links), "roots-1")
-    # Second round: classes that the forest's estimates hold together are a family. Where a family's links leave it in several components,
-    # its largest component is the index and all others are queries against the whole family, in blocks.
     split = rows.filter(F.col("n") > block).select("bucket", "class")
     heads = materialise(split.groupBy("bucket").agg(F.min("class").alias("a")), "heads")
     bridges = split.join(heads, "bucket").select("a", F.col("class").alias("b"))
     families = materialise(connected_components(first.unionByName(bridges)), "families").select(F.col("node").alias("class"), F.col("root").alias("family"))
     labelled = families.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-    labelled = materialise(labelled, "labelled")
-    parts = labelled.groupBy("family", "root").agg(F.count("*").alias("m")).groupBy("family")
-    apart = parts.agg(F.count("*").alias("parts"), F.max_by("root", "m").alias("main"), F.sum("m").alias("n")).filter("parts > 1")
-    apart = materialise(apart.select("family", "main", F.ceil(F.col("n") / block).cast("long").alias("blocks")), "apart")
-    open_ = labelled.join(apart, "family").withColumn("family", F.xxhash64("family"))
-    open_ = materialise(open_.join(classes.select("class", "sig"), "class").join(sets, "class"), "open")
-    index = open_.withColumns({"block": F.pmod(F.xxhash64("class"), F.col("blocks")), "query": F.lit(False)})
-    query = open_.filter("root <> main").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn("query", F.lit(True))
-    more = materialise(_crossing_links(index.unionByName(query), least, percent), "links-2")
+    more = _second_round(materialise(labelled, "labelled"), rows, classes, sets, least, percent, max(1, block // 2), family_rows)
     joined = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)
     roots = materialise(connected_components(joined), "roots")
     of_class = classes.select("class", "key").join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     of_class = materialise(of_class, "class-roots")
     leasts = materialise(of_class.groupBy("root").agg(F.min("key").alias("component_id")), "components")
-    named = materialise(of_class.join(leasts, "root").select("class", "component_id"), "class-components")
-    out = spoken.select("key", "n_shingles", "class").join(named, "class").select("key", "n_shingles", "component_id")
-    alone = features.filter("class is null").select("key", "n_shingles", F.col("key").alias("component_id"))
-    return out.unionByName(alone).withColumn("kept", F.col("key").eqNullSafe(F.col("component_id"))).withColumnRenamed("key", key)
+    return features, materialise(of_class.join(leasts, "root").select("class", "component_id"), "class-components")
 
 
 def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:

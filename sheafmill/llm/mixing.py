@@ -5,12 +5,13 @@ blocks of ``block_words``. All streams get integer quotas of blocks by highest q
 a quota of q takes each block q // n times and a seeded, evenly spread q % n of them once more. Which blocks those
 are is arithmetic on the block number, so no block is ever a row.
 
-Positions come from sums by (stream, bucket), then a window within a bucket, so a source with a third of all rows is many tasks.
-On the driver: one row a source and one a stream, at most ``MAX_STREAMS`` plus two a source; more than ``MAX_SOURCES`` sources raise an error.
+Positions come from sums by (source, bucket), then a window within a bucket, so a source with a third of all rows is many tasks. Up to
+``driver_sources`` sources are apportioned on the driver: a row a source and one a stream, at most ``MAX_STREAMS`` plus two a source. More
+are apportioned as tables: the water level and the multiplier are found by sums, and what ties leave over goes by rank.
 
 Edge cases: null text has size 0 and takes nothing; a null source is a source, the last one; repeated rows are
-documents of their own and share a stream; an empty table gives an empty result; other columns pass through and the
-names added here replace their namesakes.
+documents of their own and share a stream; an empty table gives an empty result. ``plan_mixture`` passes other columns through, and the names that it
+adds replace their namesakes; ``mix_documents`` returns all columns as they came.
 """
 
 from __future__ import annotations
@@ -22,9 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialise, n_words
+from .common import materialise, n_words, scratch
 
-MAX_SOURCES = 100_000
 MAX_STREAMS = 256
 ADDED = ("size", "source_size", "target", "taken", "stream", "start", "repeats", "n_blocks", "extra", "phase")
 
@@ -79,6 +79,123 @@ def _words_before(p: str, block: int) -> str:
     return f"({_chosen_before(k)}) * {block} + (({p}) % {block}) * (({_chosen_before(f'{k} + 1')}) - ({_chosen_before(k)}))"
 
 
+def _numbered(rows: DataFrame, *order, tag: str) -> DataFrame:
+    """``rows`` with __at: their places from 0 in this order, numbered by the tasks of a range partitioning."""
+    spread = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id())
+    spread = materialise(spread.withColumn("__part", F.shiftright("__id", 33)), tag)
+    sizes = sorted((r[0], r[1]) for r in spread.groupBy("__part").count().collect())  # a row a task
+    before, bases = 0, []
+    for part, n in sizes:
+        bases.append((part, before))
+        before += n
+    bases = rows.sparkSession.createDataFrame(bases, "__part long, __base long")
+    return spread.join(F.broadcast(bases), "__part").withColumn("__at", F.col("__base") + F.col("__id").bitwiseAND((1 << 33) - 1)).drop("__id", "__part", "__base")
+
+
+def _joined(left: DataFrame, right: DataFrame, *keys: str) -> DataFrame:
+    """An inner join on keys that may be null, each kept once."""
+    named = right.withColumnsRenamed({k: f"{k}_" for k in keys})
+    on = [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in keys]
+    return left.join(named, on).drop(*[f"{k}_" for k in keys])
+
+
+STREAMS = "__s long, __t long, source_size long, target double, __n long, stream string, repeats long, n_blocks long, extra long, phase long"
+
+
+def _streams_on_driver(sums: DataFrame, weights: tuple[float, ...], most: int, block: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    spark, source_type = sums.sparkSession, sums.schema["__src"].dataType
+    found = sums.groupBy("__src").agg(F.sum("__n")).collect()
+    found = sorted(((r[0], r[1] or 0) for r in found), key=lambda r: (r[0] is None, r[0] or ""))
+    sizes = [n for _, n in found]
+    targets = water_fill(sizes, [weights[i % len(weights)] for i in range(len(sizes))], most)
+    stream_words = max(20_000, sum(sizes) // MAX_STREAMS)
+    own = f"__src {source_type.simpleString()}"
+    streams = [max(1, -(-n // stream_words)) for n in sizes]
+    sources = spark.createDataFrame([(s, k) for (s, _), k in zip(found, streams, strict=True)], f"{own}, __streams long")
+    rank = {s: i for i, (s, _) in enumerate(found)}
+    dealt = _dealt(sums, sources).groupBy("__src", "__t").agg(F.sum("__n").alias("n")).collect()
+    dealt = sorted((rank[r["__src"]], r["__t"], r["n"]) for r in dealt)
+    blocks = [-(-n // block) for _, _, n in dealt]
+    entitled = [targets[s] * n / max(1, sizes[s]) / block for s, _, n in dealt]
+    quotas = sainte_lague(entitled, round(sum(entitled)), [most * n for n in blocks])
+    rows = []
+    for (s, t, size), n, q in zip(dealt, blocks, quotas, strict=True):
+        n = max(n, 1)
+        rows.append((found[s][0], s, t, sizes[s], targets[s], size, f"{s}-{t}", q // n, n, q % n, (s * 7919 + t * 104_729 + seed * 31) % n))
+    return sources, spark.createDataFrame(rows, f"{own}, {STREAMS}")
+
+
+def _dealt(sums: DataFrame, sources: DataFrame) -> DataFrame:
+    """``sums`` with __t and __b: the stream of each fine bucket and its place there. Sources of one stream need not be listed."""
+    many = F.broadcast(sources.filter("__streams > 1"))  # at most MAX_STREAMS of them
+    named = many.withColumnRenamed("__src", "__src_")
+    out = sums.join(named, F.col("__src").eqNullSafe(F.col("__src_")), "left").drop("__src_").withColumn("__streams", F.coalesce("__streams", F.lit(1).cast("long")))
+    return out.withColumns({"__t": F.pmod("__fine", "__streams"), "__b": F.floor(F.col("__fine") / F.col("__streams"))})
+
+
+def _streams_as_tables(sums: DataFrame, weights: tuple[float, ...], most: int, block: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """The same plan with nothing of the size of the sources on the driver."""
+    sizes = sums.groupBy("__src").agg(F.sum("__n").alias("source_size"))
+    ranked = _numbered(sizes, F.col("__src").isNull(), F.col("__src"), tag="mix-sources").withColumnRenamed("__at", "__s")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("__s") % len(weights) + 1).cast("int"))
+    ranked = materialise(ranked.withColumn("__w", weight), "mix-weights")
+    total = ranked.agg(F.sum("source_size")).first()[0] or 0
+    level, capped = 0.0, F.lit(False)
+    while True:  # the level rises until no further source is above its most
+        r = ranked.agg(F.sum(F.when(capped, F.col("source_size"))), F.sum(F.when(~capped, F.col("__w")))).first()
+        if not r[1] or (total - most * (r[0] or 0)) / r[1] <= level:
+            break
+        level = (total - most * (r[0] or 0)) / r[1]
+        capped = level * F.col("__w") > most * F.col("source_size")
+    target = F.least(level * F.col("__w"), (most * F.col("source_size")).cast("double"))
+    stream_words = max(20_000, total // MAX_STREAMS)
+    ranked = ranked.withColumns({"target": target, "__streams": F.greatest(F.lit(1), F.ceil(F.col("source_size") / stream_words)).cast("long")})
+    dealt = _dealt(sums, ranked.select("__src", "__streams")).groupBy("__src", "__t").agg(F.sum("__n").alias("__n"))
+    own = _joined(dealt, ranked.drop("__w", "__streams"), "__src")
+    own = own.withColumns({"__e": F.col("target") * F.col("__n") / F.greatest(F.lit(1), "source_size") / block, "__blocks": F.ceil(F.col("__n") / block)})
+    own = materialise(own, "mix-entitled")
+    seats = round(own.agg(F.sum("__e")).first()[0] or 0.0)
+    held = lambda f: F.least(most * F.col("__blocks"), F.floor(F.col("__e") * f + 0.5))
+    taken = lambda f: own.agg(F.sum(held(f))).first()[0] or 0
+    low, high = 0.0, 2.0
+    for _ in range(60):
+        middle = (low + high) / 2
+        low, high = (middle, high) if taken(middle) <= seats else (low, middle)
+    rest = seats - taken(low)
+    own = own.withColumn("__q", held(low))
+    nexts = F.when(F.col("__q") < most * F.col("__blocks"), F.col("__e") / (2 * F.col("__q") + 1)).otherwise(-1.0)
+    own = _numbered(own.withColumn("__next", nexts), F.desc("__next"), F.asc("__s"), F.asc("__t"), tag="mix-quotas")
+    own = own.withColumns({"__q": F.col("__q") + ((F.col("__at") < rest) & (F.col("__next") >= 0)).cast("long"), "n_blocks": F.greatest(F.lit(1), "__blocks")})
+    phase = F.pmod(F.col("__s") * 7919 + F.col("__t") * 104_729 + seed * 31, "n_blocks")
+    own = own.withColumns({"stream": F.concat_ws("-", "__s", "__t"), "repeats": F.floor(F.col("__q") / F.col("n_blocks")), "extra": F.pmod("__q", "n_blocks"), "phase": phase})
+    split = ranked.filter("__streams > 1").select("__src", "__streams")
+    split = sums.sparkSession.createDataFrame(split.collect(), split.schema)  # at most MAX_STREAMS
+    return split, materialise(own.select("__src", "__s", "__t", "source_size", "target", "__n", "stream", "repeats", "n_blocks", "extra", "phase"), "mix-streams")
+
+
+def _planned(
+    sized: DataFrame, weights: tuple[float, ...], most: int, block_words: int, seed: int, buckets: int, driver_sources: int
+) -> tuple[DataFrame, DataFrame]:
+    """``sized`` (__src, size, __order and what is passed through) with ADDED, and the table that it reads."""
+    sized = sized.withColumn("__fine", F.pmod(F.xxhash64("__order", F.lit(1)), F.lit(buckets).cast("long")))
+    sums = materialise(sized.groupBy("__src", "__fine").agg(F.sum("size").alias("__n")), "mix-sums")
+    few = sums.select("__src").distinct().limit(driver_sources + 1).count() <= driver_sources
+    sources, streams = (_streams_on_driver if few else _streams_as_tables)(sums, weights, most, block_words, seed)
+    before = Window.partitionBy("__src", "__t").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    bases = _dealt(sums, sources).select("__src", "__t", "__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
+    bases = materialise(_joined(bases, streams.drop("__s", "__n"), "__src", "__t"), "mix-bases")
+    within = Window.partitionBy("__src", "__t", "__b").orderBy("__order").rowsBetween(Window.unboundedPreceding, -1)
+    placed = _dealt(sized, sources).drop("__streams", "__fine").withColumn("__before", F.coalesce(F.sum("size").over(within), F.lit(0)))
+    ranked = _joined(placed, bases, "__src", "__t", "__b").withColumn("start", F.col("__base") + F.col("__before"))
+    taken = f"repeats * size + ({_words_before('start + size', block_words)}) - ({_words_before('start', block_words)})"
+    return ranked.withColumn("taken", F.expr(taken)), bases
+
+
+def _sized(docs: DataFrame, text: str, source: str, key: str, seed: int, *passed) -> DataFrame:
+    order = F.xxhash64(F.col(key), F.xxhash64(F.col(text)), F.lit(seed))
+    return docs.select(*passed, F.col(source).alias("__src"), n_words(F.col(text)).alias("size"), order.alias("__order"))
+
+
 def plan_mixture(
     docs: DataFrame,
     text: str = "text",
@@ -88,60 +205,46 @@ def plan_mixture(
     most: int = 3,
     block_words: int = 32,
     seed: int = 17,
-    bucket_words: int = 2_000_000,
+    buckets: int = 65_536,
+    driver_sources: int = 100_000,
 ) -> DataFrame:
-    """``docs`` with ADDED: each document's size, its source's size and target, and how many of its words are taken."""
-    spark = docs.sparkSession
-    own = [c for c in docs.columns if c not in ADDED]
-    order = F.xxhash64(F.col(key), F.xxhash64(F.col(text)), F.lit(seed))
-    sized = docs.select(*own).withColumns({"size": n_words(F.col(text)), "__order": order})
-    found = sized.groupBy(source).agg(F.sum("size").alias("source_size")).limit(MAX_SOURCES + 1).collect()
-    if len(found) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    found = sorted(((r[0], r[1] or 0) for r in found), key=lambda r: (r[0] is None, r[0] or ""))
-    sizes = [n for _, n in found]
-    targets = water_fill(sizes, [weights[i % len(weights)] for i in range(len(sizes))], most)
-    total = sum(sizes)
-    stream_words = max(20_000, total // MAX_STREAMS)
-    kinds = docs.schema[source].dataType.simpleString()
-    sources = spark.createDataFrame(
-        [(s, i, n, t, max(1, -(-n // stream_words))) for i, ((s, n), t) in enumerate(zip(found, targets, strict=True))],
-        f"__source {kinds}, __s int, source_size long, target double, __streams long",
-    )
-    placed = (
-        sized.join(F.broadcast(sources), F.col(source).eqNullSafe(F.col("__source")))
-        .withColumn("__t", F.pmod(F.xxhash64("__order", F.lit(1)), F.col("__streams")))
-        .withColumn("__b", F.pmod(F.xxhash64("__order", F.lit(2)), F.lit(max(1, -(-stream_words // bucket_words)))))
-    )
-    sums = materialise(placed.groupBy("__s", "__t", "__b").agg(F.sum("size").alias("__n")), "mix-sums")
-    found_streams = sums.groupBy("__s", "__t").agg(F.sum("__n").alias("n")).orderBy("__s", "__t").collect()
-    blocks = [-(-r["n"] // block_words) for r in found_streams]
-    entitled = [targets[r["__s"]] * r["n"] / max(1, sizes[r["__s"]]) / block_words for r in found_streams]
-    quotas = sainte_lague(entitled, round(sum(entitled)), [most * n for n in blocks])
-    rows = []
-    for r, n, q in zip(found_streams, blocks, quotas, strict=True):
-        n = max(n, 1)
-        rows.append((r["__s"], r["__t"], f"{r['__s']}-{r['__t']}", q // n, n, q % n, (r["__s"] * 7919 + r["__t"] * 104_729 + seed * 31) % n))
-    plan = spark.createDataFrame(rows, "__s int, __t long, stream string, repeats long, n_blocks long, extra long, phase long")
-    before = Window.partitionBy("__s", "__t").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sums.withColumn("__base", F.coalesce(F.sum("__n").over(before), F.lit(0))).select("__s", "__t", "__b", "__base")
-    bases = bases.join(F.broadcast(plan), ["__s", "__t"])
-    within = Window.partitionBy("__s", "__t", "__b").orderBy("__order", key).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = placed.withColumn("__before", F.coalesce(F.sum("size").over(within), F.lit(0))).join(bases, ["__s", "__t", "__b"])
-    ranked = ranked.withColumn("start", F.col("__base") + F.col("__before"))
-    taken = f"repeats * size + ({_words_before('start + size', block_words)}) - ({_words_before('start', block_words)})"
-    return ranked.withColumn("taken", F.expr(taken)).select(*own, *ADDED)
+    """``docs`` without the text, with ADDED: each document's size, its source's size and target, and how many of its words are taken.
 
+    Texts are read once: sizes and the columns passed through are a table from then on.
+    """
+    own = [c for c in docs.columns if c not in (*ADDED, text)]
+    with scratch(docs.sparkSession) as held:
+        sized = materialise(_sized(docs, text, source, key, seed, *[F.col(f"`{c}`") for c in own]), "mix-sizes")
+        planned = _planned(sized, weights, most, block_words, seed, buckets, driver_sources)[0]
+        planned = materialise(planned.select(*own, *ADDED), "mix-plan")
+        held.append(planned)
+    return planned
 
-def mix_documents(docs: DataFrame, text: str = "text", block_words: int = 32, **options) -> DataFrame:
+
+def mix_documents(
+    docs: DataFrame,
+    text: str = "text",
+    source: str = "source",
+    key: str = "doc_id",
+    weights: tuple[float, ...] = (1, 2, 3),
+    most: int = 3,
+    block_words: int = 32,
+    seed: int = 17,
+    buckets: int = 65_536,
+    driver_sources: int = 100_000,
+) -> DataFrame:
     """The mixture itself: a row for every whole repeat of a document and one for the words taken once more, in the columns of ``docs``."""
-    planned = plan_mixture(docs, text=text, block_words=block_words, **options)
+    others = F.struct(F.col(key).alias("__key"), *[F.col(f"`{c}`") for c in docs.columns if c != text]).alias("__doc")
+    with scratch(docs.sparkSession) as held:
+        sized = _sized(docs, text, source, key, seed, others, F.col(text).alias("__text"))
+        planned, bases = _planned(sized, weights, most, block_words, seed, buckets, driver_sources)
+        held.append(bases)
     extra = F.col("taken") - F.col("repeats") * F.col("size")
     cut = F.expr(
-        f"array_join(filter(regexp_extract_all({text}, '[\\\\x20\\\\x09-\\\\x0D]*[^\\\\x20\\\\x09-\\\\x0D]+', 0), "
+        "array_join(filter(regexp_extract_all(__text, '[\\\\x20\\\\x09-\\\\x0D]*[^\\\\x20\\\\x09-\\\\x0D]+', 0), "
         f"(x, i) -> ({_chosen_before(f'(start + i) div {block_words} + 1')}) > ({_chosen_before(f'(start + i) div {block_words}')})), '')"
     )
-    whole = F.array_repeat(F.col(text), F.col("repeats").cast("int"))
-    part = F.when(extra == 0, F.array().cast("array<string>")).when(extra == F.col("size"), F.array(text)).otherwise(F.array(cut))
-    out = planned.withColumn("__text", F.explode(F.concat(whole, part)))
-    return out.select(*[F.col("__text").alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns if c == text or c not in ADDED])
+    whole = F.array_repeat(F.col("__text"), F.col("repeats").cast("int"))
+    part = F.when(extra == 0, F.array().cast("array<string>")).when(extra == F.col("size"), F.array("__text")).otherwise(F.array(cut))
+    out = planned.withColumn("__new", F.explode(F.concat(whole, part)))
+    return out.select(*[F.col("__new").alias(text) if c == text else F.col(f"__doc.`{c}`").alias(c) for c in docs.columns])

@@ -195,6 +195,99 @@ def test_mixing(docs, empty):
     assert +taken == +mixed
     assert Counter((r.doc_id, r.taken) for r in rows) == Counter((r.doc_id, r.taken) for r in mixing.plan_mixture(docs.repartition(3)).collect())
     assert mixing.plan_mixture(empty).count() == 0 and mixing.mix_documents(empty).count() == 0
+    assert mixing.plan_mixture(empty, driver_sources=0).count() == 0
+    assert mixing.mix_documents(docs).columns == docs.columns and {r["size"] for r in mixing.mix_documents(docs).collect()} == {-1}
+
+
+def quotients(entitled, seats, most):
+    """Sainte-Lague by its definition: one seat after another to the highest quotient."""
+    held = [0] * len(entitled)
+    for _ in range(seats):
+        open_ = [i for i in range(len(held)) if held[i] < most[i]]
+        if not open_:
+            break
+        best = max(open_, key=lambda i: (entitled[i] / (2 * held[i] + 1), -i))
+        held[best] += 1
+    return held
+
+
+def test_apportionment_equals_its_definition():
+    rng = np.random.default_rng(8)
+    for _ in range(60):
+        n = int(rng.integers(1, 12))
+        entitled = [float(x) for x in rng.integers(0, 60, n) / rng.integers(1, 5)]
+        most = [int(x) for x in rng.integers(0, 40, n)]
+        seats = int(rng.integers(0, 90))
+        got = mixing.sainte_lague(entitled, seats, most)
+        want = quotients([e or 1e-12 for e in entitled], seats, most)
+        positive = [i for i, e in enumerate(entitled) if e]
+        if sum(most[i] for i in positive) >= seats:
+            assert [got[i] for i in positive] == [want[i] for i in positive]
+
+
+def test_many_sources_are_apportioned_as_tables(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(["w"] * int(rng.integers(0, 400))), f"s{i % 37:02d}" if i % 41 else None) for i in range(400)]
+    rows += [(1000 + i, " ".join(["w"] * 900), "s03") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    few, many = (mixing.plan_mixture(docs, block_words=4, driver_sources=n).collect() for n in (100, 5))
+    for name in ("size", "source_size", "taken"):
+        assert Counter((r.doc_id, r[name]) for r in few) == Counter((r.doc_id, r[name]) for r in many)
+    one, two = ({r.source: r.target for r in x} for x in (few, many))
+    assert one.keys() == two.keys() and all(one[s] == pytest.approx(two[s]) for s in one)
+    sizes = defaultdict(int)
+    for _, t, s in rows:
+        sizes[s] += len(t.split())
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weights, left, capped = {s: 1 + i % 3 for i, s in enumerate(order)}, sum(sizes.values()), set()
+    while over := [s for s in order if s not in capped and (left - 3 * sum(sizes[c] for c in capped)) * weights[s] / sum(weights[o] for o in order if o not in capped) > 3 * sizes[s]]:
+        capped |= set(over)
+    rest = left - 3 * sum(sizes[c] for c in capped)
+    want = {s: 3 * sizes[s] if s in capped else rest * weights[s] / sum(weights[o] for o in order if o not in capped) for s in order}
+    assert all(one[s] == pytest.approx(want[s]) for s in order)
+    for s in order:
+        taken = sum(r.taken for r in few if r.source == s)
+        assert abs(taken - want[s]) <= 4 + 0.01 * want[s]
+
+
+def test_minhash_family_of_many_components(spark):
+    rng = np.random.default_rng(4)
+    base = [f"b{i}" for i in range(120)]
+    rows = []
+    for i in range(90):  # variants that share about 0.7 to 0.9 with each other
+        own = list(base)
+        for k in rng.choice(120, 1 + i % 5, replace=False):
+            own[k] = f"v{i % 30}x{k}"
+        rows.append((i, " ".join(own)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets, part = [shingles(t) for _, t in rows], list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            n = len(sets[i] & sets[j])
+            if 100 * n >= 85 * (len(sets[i]) + len(sets[j]) - n):
+                old = part[i]
+                part = [part[j] if p == old else p for p in part]
+    want = {i: min(k for k in range(len(rows)) if part[k] == part[i]) for i in range(len(rows))}
+    assert 3 < len(set(want.values())) < len(rows)
+    for options in ({}, {"family_rows": 10, "block": 8}, {"block": 4}):
+        assert {r.doc_id: r.component_id for r in minhash.near_duplicates(docs, **options).collect()} == want
+
+
+def test_calibrated_bands():
+    for percent in (50, 70, 80, 85, 95):
+        rows, bands, margin = minhash.calibrate(percent, 1e-5)
+        assert rows * bands <= minhash.K and (1 - (percent / 100) ** rows) ** bands <= 1.01e-5 and 0 < margin < 0.25
+
+
+def test_shared_folder_is_empty_after_cleanup(spark, docs, tmp_path, monkeypatch):
+    from sheafmill.llm import common
+
+    common.cleanup(spark)
+    monkeypatch.setattr(common, "shared_dir", lambda s: str(tmp_path))
+    assert minhash.near_duplicates(docs).count() == docs.count()
+    assert len({p.parent for p in tmp_path.rglob("*.parquet") if p.is_file()}) == 2  # what the result itself reads
+    common.cleanup(spark)
+    assert not list(tmp_path.rglob("*.parquet"))
 
 
 def test_apportionment():
