@@ -2,10 +2,12 @@
 
 Candidates inside one word of the text are (1) every run of at least ``MIN_CHARS`` key characters that has a digit, both cases, a known
 prefix or a key word beside it, and (2) every value of 4 or more characters assigned to a name with a key word in it, unless the value is
-such a run. A value of (2) may hold a run of (1): both are rows. The forest sees length, character transitions, how much of it
-dictionary words cover, the path it comes from and the neighbouring words.
-The labelled findings are generated (``labelled_findings``, a bounded number of rows): formats of live keys in their usual
-surroundings against digests, ids, hosts, versions, file names and placeholders in theirs.
+such a run. A value of (2) may hold a run of (1): both are rows. The forest sees length, character transitions (the mean log-odds of its
+pairs of neighbouring characters, and how often the class of character changes), how much of it dictionary words cover, the path it
+comes from and the neighbouring words.
+The labelled findings are generated (``labelled_findings``, a bounded number of rows): formats of live keys against digests, ids, hosts,
+versions, names in code and placeholders, where most surroundings, those with key words too, belong to both labels. The log-odds
+of transitions are fitted on one half of the findings and the forest on the other, so it does not trust them more than they deserve.
 
 Only DataFrame functions and the JVM's forest; no shuffle but for the findings' own keys when texts are redacted.
 
@@ -15,6 +17,7 @@ a null path or neighbour counts as empty; an empty table gives an empty result;
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
@@ -32,9 +35,21 @@ NAMED = "[A-Za-z_][A-Za-z0-9_.\\-]*[\"'`\\]]*[=:]+[\"'`(\\[]*$"
 #: Up to this many redacted documents their secrets are broadcast (about 100 bytes each); beyond, the join is shuffled.
 MAX_BROADCAST_DOCS = 50_000
 #: Words that stand beside keys, and words that stand beside what only looks like one.
-KEY_WORDS = "token|secret|passw|pwd|api.?key|access.?key|private.?key|auth|bearer|credential|signing"
+KEY_WORDS = "token|secret|passw|pwd|api.?key|access.?key|private.?key|[a-z0-9][_-]key|auth|bearer|credential|signing|passphrase"
 OTHER_WORDS = "sha|md5|checksum|commit|digest|hash|uuid|guid|version|revision|isbn|phone|mail|file|image|host|order|etag|example"
-DICTIONARY = "none|null|true|false|string|required|optional|default|value|name|type|text|field|input|user|example|sample|placeholder|changeme|your|here|test|dummy|mail|http|www|com|org|net|html|json|version|release|report|image|photo|key|token|secret|password"
+#: Common words of code and of four languages, four letters or more.
+DICTIONARY = (
+    "about abstract access account action after agent alle also application async auth author avec base batch been before body boolean buffer build "
+    "cache call change char check class client code column comme config connection constant container content context control copy count create current "
+    "data default delete description dict directory display document down driver each edit element encode entry error event every example exception "
+    "export external factory false field file final find first float folder form found from function general global good group handle handler have "
+    "header hello here high host html http image import index info init input instance integer internal into item json just keep kind language level "
+    "library like line link list load local long loop main make manager many message method mode model module more most name network next nicht node "
+    "none null number object only open option order other output page parameter parse part password path pattern person place plugin point policy post "
+    "print private process profile project provider public query read record remote report request reset resource response result return right role "
+    "root schema search section send server service session setting some source start state static status storage string system table task template "
+    "test text that their them there this time title tool total true type under update user value version view what when where which with work world your"
+).split()
 TEST_PATHS = "(?i)test|example|sample|fixture|mock|docs?/"
 #: Beginnings of keys of known services.
 PREFIX = "^(AKIA|ASIA|gh[pousr]_|github_pat_|glpat-|[sr]k_live_|sk-|xox[abprs]-|AIza|eyJ|npm_|SG\\.)"
@@ -42,22 +57,35 @@ PREFIX = "^(AKIA|ASIA|gh[pousr]_|github_pat_|glpat-|[sr]k_live_|sk-|xox[abprs]-|
 NAME = f"(?:{KEY_WORDS})[A-Za-z0-9_.\\-]{{0,40}}[\"'`\\])\\\\]{{0,3}}"
 SIGN = "(?:=>|:=|={1,3}|:)"
 OPEN = "[\"'`(\\[\\\\]{0,3}"
-#: An assigned value: up to the quote if one opens it, else up to a delimiter.
+#: An assigned value: up to the quote if one opens it, else up to a delimiter; "&" ends it only before another assignment.
 _PLAIN = "\\s\"'`,;&<>(){}\\[\\]"
-VALUE = f"(?i)(?<={NAME} ?{SIGN} ?{OPEN})(?:(?<=[\"'`])[^\"'`\\s]{{4,}}(?<!\\\\)|(?<![\"'`])[^{_PLAIN}=:\\\\][^{_PLAIN}]{{3,}})"
+_INNER = f"(?:[^{_PLAIN}]|&(?![A-Za-z0-9_.\\-]{{1,60}}=))"
+VALUE = f"(?i)(?<={NAME} ?{SIGN} ?{OPEN})(?:(?<=[\"'`])[^\"'`\\s]{{4,}}(?<!\\\\)|(?<![\"'`])[^{_PLAIN}=:\\\\]{_INNER}{{3,}})"
 #: The end of the words before that is a name, with its sign or before it.
 PENDING = f"(?i){NAME} ?(?:{SIGN}{OPEN})?$"
 FEATURES = [
     "f_length", "f_digits", "f_upper", "f_lower", "f_other", "f_symbols", "f_prefix", "f_distinct", "f_runs", "f_vowels", "f_hex", "f_alpha_runs",
-    "f_dictionary", "f_path", "f_key_near", "f_other_near", "f_assigned", "f_quoted",
+    "f_transition", "f_dictionary", "f_path", "f_key_near", "f_other_near", "f_assigned", "f_quoted",
 ]
-_MODELS: dict[tuple[str, int, int], RandomForestClassificationModel] = {}
+#: Letters, digits as one and all else as one.
+SYMBOLS = "abcdefghijklmnopqrstuvwxyz0-"
+_MODELS: dict[tuple[str, int, int], tuple[RandomForestClassificationModel, str]] = {}
 
 
-def features(core: Column, before: Column, after: Column, path: Column) -> dict[str, Column]:
+def transitions(core: Column) -> Column:
+    """The numbers of the pairs of neighbouring symbols; one pass over the characters, however many."""
+    symbols = F.regexp_replace(F.regexp_replace(F.lower(core), "[0-9]", "0"), "[^a-z0]", "-")
+    at = F.transform(F.regexp_extract_all(symbols, F.lit("."), F.lit(0)), lambda c: F.instr(F.lit(SYMBOLS), c) - 1)
+    return F.transform(F.slice(at, 1, F.greatest(F.size(at) - 1, F.lit(0))), lambda a, i: a * len(SYMBOLS) + F.get(at, i + 1))
+
+
+def features(core: Column, before: Column, after: Column, path: Column, pairs: Column, log_odds: str) -> dict[str, Column]:
+    """``pairs``: transitions(core). ``log_odds``: a number for each pair of symbols, in one string."""
     n = F.greatest(F.length(core), F.lit(1)).cast("double")
     low, context = F.lower(core), F.lower(F.concat_ws(" ", before, after))
     share = lambda chars: F.length(F.regexp_replace(core, f"[^{chars}]", "")) / n
+    odds = F.split(F.lit(log_odds), " ").cast("array<double>")
+    spelled = F.regexp_replace(low, "|".join(sorted(DICTIONARY, key=len, reverse=True)), "")
     runs = F.regexp_replace(F.regexp_replace(F.regexp_replace(core, "[0-9]+", "0"), "[a-z]+", "a"), "[A-Z]+", "A")
     return {
         "f_length": n,
@@ -72,7 +100,8 @@ def features(core: Column, before: Column, after: Column, path: Column) -> dict[
         "f_vowels": share("aeiouAEIOU"),
         "f_hex": core.rlike("^[0-9a-f]+$").cast("double"),
         "f_alpha_runs": (n - F.length(F.regexp_replace(core, "[A-Za-z]{5,}", ""))) / n,
-        "f_dictionary": (n - F.length(F.regexp_replace(low, f"({DICTIONARY})", ""))) / n,
+        "f_transition": F.aggregate(pairs, F.lit(0.0), lambda x, p: x + F.get(odds, p.cast("int"))) / F.greatest(F.size(pairs), F.lit(1)),
+        "f_dictionary": (n - F.length(spelled)) / n,
         "f_path": F.coalesce(path, F.lit("")).rlike(TEST_PATHS).cast("double"),
         "f_key_near": context.rlike(KEY_WORDS).cast("double"),
         "f_other_near": context.rlike(OTHER_WORDS).cast("double"),
@@ -81,13 +110,13 @@ def features(core: Column, before: Column, after: Column, path: Column) -> dict[
     }
 
 
-def labelled_findings(spark: SparkSession, rows: int = 6000) -> DataFrame:
-    """core, before, after, path, label: ``rows`` generated findings, the same on every run."""
+def labelled_findings(spark: SparkSession, rows: int = 8000) -> DataFrame:
+    """id, core, before, after, path, label: ``rows`` generated findings, the same on every run."""
     i = F.col("id")
     sha = F.sha2(i.cast("string").cast("binary"), 256)
     b64 = F.regexp_replace(F.base64(F.unhex(sha)), "=", "")
     pick = lambda salt, values: F.element_at(F.array(*[F.lit(v) for v in values]), (F.pmod(F.xxhash64(i, F.lit(salt)), F.lit(len(values))) + 1).cast("int"))
-    key = pick(1, ["token", "secret", "password", "api_key", "access_key", "auth token", "client_secret", "private key", "credential", "passwd"])
+    key = pick(1, ["token", "secret", "password", "api_key", "access_key", "auth token", "client_secret", "private key", "credential", "passwd", "first_key", "signing_key"])
     sign = pick(2, [" = \"", "=\"", ": '", "=", ": ", " = ", " := \"", " \""])
     note = pick(3, ["commit", "sha1", "md5", "checksum", "sha256:", "digest", "etag:", "revision", "image", "file hash", "order", "uuid", "guid ="])
     word = pick(4, ["the", "and", "of", "see", "der", "que", "le", "un", "on", "with", "is", "a"])
@@ -97,65 +126,96 @@ def labelled_findings(spark: SparkSession, rows: int = 6000) -> DataFrame:
     live = F.concat(word, F.lit(" "), key, sign)
     noted = F.concat(word, F.lit(" "), note, F.lit(" "))
     plain = F.concat(word, F.lit(" "), word, F.lit(" "))
-    # Without digits, short, and the names and words that stand in the same places.
     letters = F.translate(b64, "0123456789+/", "gHkQzWvBxJyR")
     lower = F.translate(sha, "0123456789", "ghijklmnop")
     cut = lambda c, salt, least, most: F.substring(c, F.lit(1), (F.pmod(F.xxhash64(i, F.lit(salt)), F.lit(most - least + 1)) + least).cast("int"))
     quoted = F.concat(word, F.lit(" "), key, pick(9, [" = \"", "=\"", ": '", " := \"", "\":\"", "\": \""]))
     bare = F.concat(word, F.lit(" "), key, pick(10, ["=", ": ", " = "]))
     either = F.when(F.pmod(F.xxhash64(i, F.lit(11)), F.lit(2)) == 0, quoted).otherwise(bare)
-    parts = ["account", "service", "get", "client", "manager", "handler", "request", "session", "config", "access", "user", "provider", "factory", "remote", "context", "string", "bundes", "kraft", "wirtschaft", "gesellschaft", "schaftlich", "internal", "connection", "response", "storage", "header", "smith", "martin", "system", "reset"]
+    anywhere = F.element_at(F.array(live, either, noted, plain), (F.pmod(F.xxhash64(i, F.lit(42)), F.lit(4)) + 1).cast("int"))
+    parts = ["account", "service", "get", "client", "manager", "handler", "request", "session", "config", "access", "user", "provider", "factory", "remote", "context", "string", "bundes", "kraft", "wirtschaft", "gesellschaft", "schaftlich", "internal", "connection", "response", "storage", "header", "smith", "martin", "system", "reset", "holder", "garden", "maison", "tiempo", "freund", "bericht"]
     one, two, three = pick(12, parts), pick(13, parts), pick(14, parts)
     camel = F.concat(one, F.initcap(two), F.initcap(three), pick(15, ["Handler", "Factory", "Exception", "Controller"]))
     compound = F.concat(F.initcap(one), two, three, pick(15, ["ung", "schaft", "heit", "keit"]))
     snake = F.concat_ws("_", one, two, three, pick(16, ["key", "id", "secret", "token", "name", "value"]))
-    weak = F.concat(pick(17, ["Tr0ub4dor", "Summer", "hunter", "Winter", "dragon", "M0nkey", "admin", "letmein", "Pa55w0rd", "qwerty"]), cut(digits, 18, 1, 4), pick(19, ["", "!", "&3", "#", "$x", "@1"]))
-    kinds = [
-        (hexes, live, 1), (hexes, live, 1), (F.substring(b64, 1, 40), live, 1),
-        (F.concat(F.lit("AKIA"), F.upper(F.substring(sha, 1, 16))), F.concat(word, pick(5, [" ", " key ", " id = \""])), 1),
-        (F.concat(F.lit("ghp_"), F.substring(F.regexp_replace(b64, "[+/]", "x"), 1, 36)), F.concat(word, pick(6, [" ", " token: "])), 1),
-        (F.concat(F.lit("sk_live_"), F.substring(F.regexp_replace(b64, "[+/]", "q"), 1, 24)), live, 1),
-        (hexes, noted, 0), (hexes, plain, 0), (uuid, F.concat(word, pick(7, [" id ", " uuid ", " guid: ", " request "])), 0),
-        (F.concat(F.lit("mail"), F.substring(digits, 1, 1), F.lit(".example.com")), F.concat(word, F.lit("."), F.substring(digits, 2, 2), F.lit("@")), 0),
-        (F.substring(F.concat(digits, digits), 1, 18), plain, 0),
-        (F.concat(F.lit("release-"), F.substring(digits, 1, 2), F.lit("."), F.substring(digits, 3, 2), F.lit("-"), word, F.lit(".html")), plain, 0),
-        (F.concat(F.lit("your-"), F.lit("api-key-here-"), F.substring(digits, 1, 3)), live, 0),
-        (F.concat(F.lit("xxxxxxxxxxxxxxxx"), F.substring(digits, 1, 1)), live, 0),
-        (F.concat(F.lit("2024-01-"), F.substring(digits, 1, 2), F.lit("T10.20.30.000Z")), plain, 0),
-        (F.concat(word, F.lit("thonereding"), word, F.substring(digits, 1, 2), F.lit("ation")), plain, 0),
-        (cut(letters, 20, 16, 40), either, 1), (cut(lower, 21, 16, 40), either, 1),
-        (F.concat(F.lit("AKIA"), F.translate(F.upper(F.substring(sha, 1, 16)), "0123456789", "GHJKLMNPQR")), F.concat(word, pick(5, [" ", " key ", " id = \""])), 1),
-        (F.concat(pick(22, ["ghp_", "gho_", "glpat-", "xoxb-", "sk_live_"]), cut(letters, 23, 20, 36)), F.concat(word, pick(6, [" ", " token: "])), 1),
-        (weak, either, 1), (F.concat(cut(b64, 24, 4, 9), pick(25, ["&", "!", "#", "@", "$", "%"]), F.substring(b64, 12, 3)), either, 1),
-        (cut(sha, 26, 6, 15), either, 1), (cut(b64, 27, 6, 15), either, 1), (cut(letters, 28, 8, 15), either, 1), (cut(lower, 29, 8, 15), quoted, 1),
-        (pick(30, ["letmein", "swordfish", "iloveyou", "qwertz", "dragonfly", "sunshine"]), quoted, 1),
-        (camel, plain, 0), (camel, either, 0), (compound, plain, 0), (compound, bare, 0), (snake, either, 0), (F.upper(snake), either, 0), (F.concat_ws("-", one, two, three), plain, 0),
-        (one, bare, 0), (F.initcap(one), bare, 0), (F.concat_ws("_", one, pick(16, ["key", "id", "secret", "token"])), either, 0), (F.concat_ws(".", one, two), bare, 0),
-        (pick(31, ["None", "null", "true", "false", "string", "required", "optional", "default", "password", "changeme", "example", "your-token", "value", "text"]), either, 0),
-        (pick(32, ["xxxxxxxx", "********", "${TOKEN}", "<token>", "....", "{{secret}}", "%s%s", "$PASSWORD"]), either, 0),
-        (cut(digits, 33, 4, 6), F.concat(word, pick(34, [" tokens: ", " max_tokens=", " token_count = ", " auth: "])), 0),
-        (F.concat(F.lit("//"), one, F.lit("."), two, F.lit(".com/"), three), F.concat(pick(35, ["see https:", "auth url: https:", "token from https:"])), 0),
-        (cut(letters, 36, 16, 40), noted, 0), (pick(37, ["mail5.example.com", "docs.example.org/login", "www.Example.com/Passwords"]), either, 0),
+    weak = F.concat(pick(17, ["Tr0ub4dor", "Summer", "hunter", "Winter", "dragon", "M0nkey", "admin", "letmein", "Pa55w0rd", "qwerty"]), cut(digits, 18, 1, 4), pick(19, ["", "!", "&3", "#", "$x", "@1", "secret9"]))
+    akia = F.concat(pick(43, ["AKIA", "ASIA"]), F.upper(F.substring(sha, 1, 16)))
+    domain = F.concat(one, pick(40, [".", "-", "2.", "7."]), two, pick(41, [".com", ".org", ".net", ".io", ".de", ".fr"]))
+    where = F.concat_ws("/", one, two, F.concat(three, F.substring(digits, 2, 3)))
+    live_kinds = [
+        (hexes, live), (hexes, live), (hexes, either), (F.substring(b64, 1, 40), live), (F.substring(b64, 1, 40), either), (akia, anywhere),
+        (F.concat(F.lit("AKIA"), F.translate(F.upper(F.substring(sha, 1, 16)), "0123456789", "GHJKLMNPQR")), anywhere),
+        (F.concat(pick(22, ["ghp_", "gho_", "glpat-", "xoxb-", "sk_live_", "npm_"]), cut(F.regexp_replace(b64, "[+/]", "x"), 23, 24, 36)), anywhere),
+        (F.concat(pick(22, ["ghp_", "gho_", "glpat-", "xoxb-", "sk_live_", "npm_"]), cut(letters, 23, 20, 36)), anywhere),
+        (F.concat(F.lit("eyJ"), F.substring(b64, 1, 17), F.lit("."), F.substring(b64, 5, 30)), anywhere),
+        (cut(letters, 20, 16, 40), either), (cut(letters, 20, 16, 40), live), (cut(lower, 21, 16, 40), either), (weak, either), (weak, quoted),
+        (F.concat(cut(b64, 24, 4, 9), pick(25, ["&", "!", "#", "@", "$", "%"]), F.substring(b64, 12, 3)), either),
+        (cut(sha, 26, 6, 15), either), (cut(b64, 27, 6, 15), either), (cut(letters, 28, 8, 15), either), (cut(lower, 29, 8, 15), quoted),
+        (pick(30, ["letmein", "swordfish", "iloveyou", "qwertz", "dragonfly", "sunshine"]), quoted),
     ]
-    kind = F.pmod(i, F.lit(len(kinds)))
-    choose = lambda at: F.coalesce(*[F.when(kind == k, x[at] if isinstance(x[at], Column) else F.lit(x[at])) for k, x in enumerate(kinds)])
-    made = spark.range(0, rows, 1, 4).select(
-        choose(0).alias("core"), choose(1).alias("before"), word.alias("after"), pick(8, ["src/app.py", "web/news", "src3", "docs/readme", "tests/data", "src11"]).alias("path"), choose(2).alias("label")
-    )
+    other_kinds = [
+        (hexes, noted), (hexes, noted), (hexes, plain), (uuid, noted), (uuid, plain), (F.substring(F.concat(digits, digits), 1, 18), plain), (F.substring(digits, 1, 16), noted),
+        (domain, F.concat(word, F.lit("."), F.substring(digits, 2, 2), F.lit("@"))), (domain, anywhere), (where, anywhere), (where, plain),
+        (F.concat(F.lit("release-"), F.substring(digits, 1, 2), F.lit("."), F.substring(digits, 3, 2), F.lit("-"), word, F.lit(".html")), anywhere),
+        (F.concat(pick(44, ["your-", "my-", "insert-", "the-"]), pick(45, ["api-key-here-", "token-goes-here", "secret-value", "password-here"]), F.substring(digits, 1, 3)), live),
+        (F.concat(F.repeat(pick(46, ["x", "X", "0", "*", "a", "-"]), 16), F.substring(digits, 1, 1)), live),
+        (F.concat(F.lit("20"), F.substring(digits, 2, 2), F.lit("-01-"), F.substring(digits, 1, 2), F.lit("T10.20.30.000Z")), anywhere),
+        (F.concat(one, two, F.substring(digits, 1, 2), three), plain), (F.concat(one, two, three), anywhere),
+        (camel, plain), (camel, either), (camel, live), (compound, plain), (compound, bare), (snake, either), (snake, live), (F.upper(snake), either),
+        (F.concat_ws("-", one, two, three), anywhere), (F.concat_ws(".", one, two, three), live),
+        (one, bare), (F.initcap(one), bare), (F.concat_ws("_", one, pick(16, ["key", "id", "secret", "token"])), either), (F.concat_ws(".", one, two), bare),
+        (pick(31, ["None", "null", "true", "false", "string", "required", "optional", "default", "password", "changeme", "example", "your-token", "value", "text", "user_id", "undefined"]), either),
+        (pick(32, ["xxxxxxxx", "********", "${TOKEN}", "<token>", "....", "{{secret}}", "%s%s", "$PASSWORD", "os.environ[", "process.env.KEY", "[REDACTED]"]), either),
+        (cut(digits, 33, 4, 6), F.concat(word, pick(34, [" tokens: ", " max_tokens=", " token_count = ", " auth: "]))),
+        (F.concat(F.lit("//"), domain, F.lit("/"), three), F.concat(pick(35, ["see https:", "auth url: https:", "token from https:"]))),
+        (cut(letters, 36, 16, 40), noted), (F.concat(domain, F.lit("/"), pick(37, ["login", "passwords", "Reset", "tokens"])), either),
+    ]
+    label = F.pmod(F.xxhash64(i, F.lit(50)), F.lit(5)) < 2
+    choose = lambda kinds, salt, at: F.coalesce(*[F.when(F.pmod(F.xxhash64(i, F.lit(salt)), F.lit(len(kinds))) == k, x[at]) for k, x in enumerate(kinds)])
+    either_of = lambda at: F.when(label, choose(live_kinds, 51, at)).otherwise(choose(other_kinds, 52, at))
+    code = pick(8, ["src/app.py", "config/prod.env", "deploy/values.yaml", "notes/setup.txt", "web", "forum", ""])
+    fixture = pick(8, ["tests/data/cases.json", "docs/readme.md", "examples/quickstart.py", "test/fixtures.rb"])
+    path = F.when(F.pmod(F.xxhash64(i, F.lit(53)), F.lit(100)) < F.when(label, 8).otherwise(25), fixture).otherwise(code)
+    made = spark.range(0, rows, 1, 4).select("id", either_of(0).alias("core"), either_of(1).alias("before"), word.alias("after"), path.alias("path"), label.cast("int").alias("label"))
     return made
 
 
-def forest(spark: SparkSession, rows: int = 6000, trees: int = 24) -> RandomForestClassificationModel:
-    """The forest, trained once an application on ``rows`` labelled findings."""
+def fitted_log_odds(found: DataFrame) -> str:
+    """For each pair of symbols, the log-odds that it comes from a secret (add-one counts); a row a pair and label on the driver."""
+    n = len(SYMBOLS) ** 2
+    counts = [[1.0] * n, [1.0] * n]
+    for r in found.select("label", F.explode(transitions(F.col("core"))).alias("p")).groupBy("label", "p").count().collect():
+        counts[r["label"]][r["p"]] += r["count"]
+    total = [sum(c) for c in counts]
+    return " ".join(f"{math.log(a / total[1]) - math.log(b / total[0]):.4f}" for b, a in zip(*counts, strict=True))
+
+
+def _featured(rows: DataFrame, log_odds: str, *kept: str) -> DataFrame:
+    """``kept`` and FEATURES of rows with core, before, after and path."""
+    rows = rows.withColumn("__pairs", transitions(F.col("core")))
+    made = features(F.col("core"), F.col("before"), F.col("after"), F.col("path"), F.col("__pairs"), log_odds)
+    return rows.select(*kept, *[c.alias(k) for k, c in made.items()])
+
+
+def forest(spark: SparkSession, rows: int = 8000, trees: int = 32) -> tuple[RandomForestClassificationModel, str]:
+    """The forest and the log-odds of transitions, fitted once an application on the two halves of ``rows`` labelled findings."""
     known = (spark.sparkContext.applicationId, rows, trees)
     if known not in _MODELS:
-        found = labelled_findings(spark, rows)
-        found = found.select("label", *[c.alias(k) for k, c in features(F.col("core"), F.col("before"), F.col("after"), F.col("path")).items()])
-        found = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(materialise(found, "findings"))
-        _MODELS[known] = RandomForestClassifier(numTrees=trees, maxDepth=7, seed=11, featureSubsetStrategy="sqrt", subsamplingRate=0.8).fit(found)
+        found = materialise(labelled_findings(spark, rows).withColumn("half", F.pmod(F.xxhash64("id", F.lit(60)), F.lit(2))), "findings")
+        log_odds = fitted_log_odds(found.filter("half = 0"))
+        used = materialise(_featured(found.filter("half = 1"), log_odds, "label"), "finding-features")
+        used = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(used)
+        _MODELS[known] = (RandomForestClassifier(numTrees=trees, maxDepth=9, seed=11, featureSubsetStrategy="sqrt", subsamplingRate=0.8).fit(used), log_odds)
     return _MODELS[known]
 
 
+def judged(rows: DataFrame, *kept: str, least: float = 0.5) -> DataFrame:
+    """``kept``, score and is_secret of rows with core, before, after and path."""
+    model, log_odds = forest(rows.sparkSession)
+    scored = model.transform(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(_featured(rows, log_odds, *kept)))
+    return scored.select(*kept, F.get(vector_to_array("probability"), F.lit(1)).alias("score")).withColumn("is_secret", F.col("score") >= least)
+
+
 def _placed(runs: str, gaps: str) -> Callable[[Column, Column], Column]:
     """A run of a word with what stands before and after it.
 
@@ -211,16 +271,14 @@ def find_secrets(docs: DataFrame, keys: list[Column], text: str = "text", path:
     rows = rows.select(*names, "__path", F.col("s.i").alias("i"), F.explode(found).alias("r"))
     rows = rows.select(
         *names,
-        "__path",
         F.col("i").cast("long").alias("word_ix"),
         F.col("r.finding").alias("finding"),
-        F.col("r.before").alias("__before"),
-        F.col("r.after").alias("__after"),
+        F.col("r.finding").alias("core"),
+        F.col("r.before").alias("before"),
+        F.col("r.after").alias("after"),
+        F.col("__path").alias("path"),
     )
-    rows = rows.select("*", *[c.alias(k) for k, c in features(F.col("finding"), F.col("__before"), F.col("__after"), F.col("__path")).items()])
-    model = forest(docs.sparkSession)
-    judged = model.transform(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows))
-    return judged.select(*names, "word_ix", "finding", F.get(vector_to_array("probability"), F.lit(1)).alias("score")).withColumn("is_secret", F.col("score") >= least)
+    return judged(rows, *names, "word_ix", "finding", least=least)
 
 
 def redacted(docs: DataFrame, text: str = "text", key: str = "doc_id", path: str | None = "source", mask: str = "[SECRET]") -> DataFrame:

@@ -395,6 +395,40 @@ def test_secrets_without_digits_and_short_ones(spark):
     assert clean[3] == 'set password = "[SECRET]" now' and clean[4] == 'see {"user":"bob","password":"[SECRET]"} now' and clean[6] == texts[6][0]
 
 
+def test_secrets_of_lines_written_by_hand(spark):
+    import secret_cases as cases
+
+    lines = [*cases.SECRETS, *cases.OTHERS]
+    docs = spark.createDataFrame([(i, t, "notes.txt") for i, (t, _) in enumerate(lines)], "doc_id long, text string, source string")
+    flagged = defaultdict(list)
+    for r in secrets.find_secrets(docs, [F.col("doc_id")]).filter("is_secret").collect():
+        flagged[r["__key0"]].append(r.finding)
+    n = len(cases.SECRETS)
+    caught = [i for i in range(n) if any(lines[i][1] in f for f in flagged[i])]
+    false = [i for i in range(n, len(lines)) if flagged[i]]
+    assert len(caught) >= 0.93 * n, [lines[i] for i in range(n) if i not in caught]
+    assert len(false) <= 0.07 * len(cases.OTHERS), [lines[i] for i in false]
+    clean = {r.doc_id: r.text for r in secrets.redacted(docs).collect()}
+    assert all(lines[i][1] not in clean[i] for i in caught)
+
+
+def test_secrets_on_findings_of_other_seeds(spark):
+    new = secrets.labelled_findings(spark, 12_000).filter("id >= 8000")
+    n = {(r.label, r.is_secret): r["count"] for r in secrets.judged(new, "label").groupBy("label", "is_secret").count().collect()}
+    assert n[1, True] >= 0.98 * (n[1, True] + n.get((1, False), 0)) and n.get((0, True), 0) <= 0.01 * n[0, False]
+
+
+def test_candidates_equal_a_plain_scan(spark):
+    """Every run of 16 or more key characters with a digit is a row, wherever it stands in a word."""
+    rng = np.random.default_rng(12)
+    parts = ["a", "Zq8", "=", ":", "&", "{", '"', ",", "/", " ", "\n", "k3y_", "x" * 15, "0123456789abcdef", "é", "token", "T0kenT0kenT0kenT0ken"]
+    rows = [(i, "".join(rng.choice(parts, int(rng.integers(0, 40)))), "s") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = Counter((r["__key0"], r.finding) for r in secrets.find_secrets(docs, [F.col("doc_id")]).collect())
+    want = Counter((i, f) for i, t, _ in rows for f in re.findall(r"[A-Za-z0-9+/_.\-]{16,}={0,2}", t) if re.search("[0-9]", f))
+    assert not want - got
+
+
 def measured(t):
     w = WORD.findall(t or "")
     windows = defaultdict(list)
