@@ -4,14 +4,15 @@ An id becomes its rank by frequency over all documents (ties: the smaller id fir
 an id, four ids a control byte, hold how many bytes its rank takes; the ranks' bytes follow in one run. A reader looks
 every control byte up in a table of 256 x 4 byte counts, sums them to positions, and gathers ranks and then ids with numpy.
 
-A file is a run of blocks in ascending key order; a file covers a range of keys that no other file covers:
+A file is a run of blocks in ascending order of (key, hash of the ids); a file covers a range of these that no other file covers, so
+a key that many rows share is as many files as it needs:
 
     "FRQB" | u32 documents | u64 ids | i64 keys | u8 key is null | u32 ids a document | control bytes | rank bytes
 
 Beside the files lies ``ranks-*.bin``: the ids by rank, unsigned 32-bit. All numbers are little-endian. Files get names of their own for every attempt;
 only those in the returned manifest count, so a lost or repeated task leaves at most a file that nobody reads.
 
-Edge cases: null and empty texts are the end id alone; a null key sorts first; rows with equal keys follow in order of their ids; an empty table gives an empty manifest; other columns are not carried.
+Edge cases: null and empty texts are the end id alone; a null key sorts first; rows with equal keys follow in order of the hash of their ids; an empty table gives an empty manifest; other columns are not carried.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ MAGIC = b"FRQB"
 #: Bytes of each of the four values that a control byte describes.
 BYTES_OF = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
 BLOCK_IDS = 1 << 20
+#: Schemes of Spark paths, and what pyarrow calls them.
+SCHEMES = [("s3a://", "s3://"), ("s3n://", "s3://"), ("abfss://", "abfs://"), ("dbfs:/", "/dbfs/")]
 
 
 def encode_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
@@ -66,9 +69,12 @@ def n_data_bytes(control: np.ndarray, n: int) -> int:
 
 
 def _files(path: str):
-    """The file system of a URI or local path, and the path in it."""
+    """The file system of a URI or local path, and the path in it. Hadoop's names of object stores are mapped to pyarrow's."""
     from pyarrow import fs
 
+    for hadoop, own in SCHEMES:
+        if path.startswith(hadoop):
+            path = own + path[len(hadoop) :]
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
@@ -137,7 +143,7 @@ def write_token_files(
     end_id: int = 0,
     file_ids: int = 8_000_000,
 ) -> DataFrame:
-    """Write the files and return their manifest: first_key, file, n_docs, n_tokens, file_bytes, ranks."""
+    """Write the files and return their manifest: first_key, first_hash, file, n_docs, n_tokens, file_bytes, ranks."""
     spark = docs.sparkSession
     tokenizer = tokenizer or default_tokenizer()
     enc = encoder(tokenizer)
@@ -158,7 +164,7 @@ def write_token_files(
             ids_by_rank = np.frombuffer(source.read(), dtype="<u4")
         rank_of = np.empty(len(ids_by_rank), dtype=np.uint32)
         rank_of[ids_by_rank] = np.arange(len(ids_by_rank), dtype=np.uint32)
-        out, keys, counts, held, size, total, n_docs, first, name = None, [], [], [], 0, 0, 0, None, ""
+        out, keys, counts, held, size, total, n_docs, first, name = None, [], [], [], 0, 0, 0, (None, None), ""
 
         def flush() -> None:
             nonlocal keys, counts, held, size
@@ -167,9 +173,9 @@ def write_token_files(
                 keys, counts, held, size = [], [], [], 0
 
         for batch in batches:
-            for k, n, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for k, n, x, h in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if out is None:
-                    first, name = k, f"{path}/ids-{uuid.uuid4().hex}.frqb"
+                    first, name = (k, h), f"{path}/ids-{uuid.uuid4().hex}.frqb"
                     out = files.open_output_stream(_files(name)[1])
                 keys.append(k)
                 counts.append(n)
@@ -181,19 +187,19 @@ def write_token_files(
             flush()
             out.close()
             stat = files.get_file_info(_files(name)[1])
-            yield pa.RecordBatch.from_pylist([{"first_key": first, "file": name, "n_docs": n_docs, "n_tokens": total, "file_bytes": stat.size, "ranks": ranks}], schema=MANIFEST)
+            yield pa.RecordBatch.from_pylist([{"first_key": first[0], "first_hash": first[1], "file": name, "n_docs": n_docs, "n_tokens": total, "file_bytes": stat.size, "ranks": ranks}], schema=MANIFEST)
 
     n_files = max(1, int(-(-int(counts.sum()) // file_ids)))
-    ordered = coded.repartitionByRange(n_files, "key").sortWithinPartitions("key", "n_tokens", "ids")
-    return materialise(ordered.mapInArrow(run, "first_key long, file string, n_docs long, n_tokens long, file_bytes long, ranks string"), "token-manifest")
+    ordered = coded.withColumn("hash", F.xxhash64("ids")).repartitionByRange(n_files, "key", "hash").sortWithinPartitions("key", "hash")
+    return materialise(ordered.mapInArrow(run, "first_key long, first_hash long, file string, n_docs long, n_tokens long, file_bytes long, ranks string"), "token-manifest")
 
 
-MANIFEST = pa.schema([("first_key", pa.int64()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("file_bytes", pa.int64()), ("ranks", pa.string())])
+MANIFEST = pa.schema([("first_key", pa.int64()), ("first_hash", pa.int64()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("file_bytes", pa.int64()), ("ranks", pa.string())])
 
 
 def read_token_files(manifest: DataFrame) -> DataFrame:
     """Per document, from the files: key, start (ids of all documents before it), ids (unsigned 32-bit) as binary."""
-    order = Window.orderBy(F.col("first_key").asc_nulls_first(), "file").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.orderBy(F.col("first_key").asc_nulls_first(), "first_hash", "file").rowsBetween(Window.unboundedPreceding, -1)
     starts = manifest.withColumn("before", F.coalesce(F.sum("n_tokens").over(order), F.lit(0)))  # a row a file
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -5,8 +5,11 @@ training words hold it often enough (the lexicon). Transitions are learned with
 of one language and on chains spliced from several. A chain is up to ``CHAIN`` consecutive words of a text; all words of a text are in
 chains. Forward-backward gives each word's marginals; a document's are the mean over its words with letters.
 
-Training takes at most ``TRAIN_DOCS`` documents a language, those with the lowest hashes, cut into at most ``TRAIN_CHAINS`` chains
-a language: a bounded, reproducible sample. The weights (2^15 features times languages) are the only thing sent to executors.
+Training takes at most ``TRAIN_DOCS`` documents a language, those with the lowest hashes, and of these at most ``TRAIN_CHAINS`` chains
+a language, of words cut to ``TRAIN_CHARS`` characters; and the ``MAX_LANGUAGES`` languages with the most usable documents (ties: the one that sorts
+first), as the transitions of a CRF grow with their square. That is a bounded, reproducible sample of labelled rows, and all that reaches the driver.
+The weights (2^15 features times languages) are the only thing sent to executors. A text is labelled in segments of at most ``SEGMENT`` characters, cut
+at white space, so a text of any length takes bounded memory.
 
 Edge cases: null text and text without a letter is ``und`` with score 0; without any training document all is ``und``; ties go to the language that
 sorts first; repeated rows are judged alike; an empty table gives an empty result; other columns stay out.
@@ -14,18 +17,24 @@ sorts first; repeated rows are judged alike; an empty table gives an empty resul
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
+from pyspark.sql.window import Window
 
 CHAIN = 64
 TRAIN_DOCS = 400
 TRAIN_CHAINS = 500
+TRAIN_CHARS = 64
+SEGMENT = 200_000
+SLICE = 4096
 N_BITS = 15
 N_FEATURES = 1 << N_BITS
 MAX_LANGUAGES = 500
@@ -141,12 +150,12 @@ def forward_backward(emission: np.ndarray, lengths: np.ndarray, moves: np.ndarra
     return marginal, expected, z
 
 
-def train(texts: dict[str, list[str]], rounds: int = 40, seed: int = 4) -> dict:
-    """Weights, moves, start and lexicon from some texts of each language."""
-    labels, rng = sorted(texts), np.random.default_rng(seed)
+def train(found: dict[str, list[list[str]]], rounds: int = 40, seed: int = 4) -> dict:
+    """Weights, moves, start and lexicon from some chains of lower-cased words of each language."""
+    labels, rng = sorted(found), np.random.default_rng(seed)
     chains: list[tuple[list[str], list[int]]] = []
     for y, label in enumerate(labels):
-        own = [w[i : i + CHAIN] for w in (t.lower().split() for t in texts[label]) for i in range(0, len(w), CHAIN)]
+        own = found[label]
         own = [own[i] for i in sorted(rng.permutation(len(own))[:TRAIN_CHAINS])]
         chains += [(w, [y] * len(w)) for w in own]
     pool = list(chains)
@@ -196,21 +205,100 @@ def train(texts: dict[str, list[str]], rounds: int = 40, seed: int = 4) -> dict:
     return {"labels": labels, "weights": weights.astype(np.float32), "moves": moves, "start": start, "lexicon": lexicon}
 
 
-def training_texts(docs: DataFrame, text: str, lang: str, key: str, usable: Column) -> dict[str, list[str]]:
-    """At most TRAIN_DOCS texts of each language, those with the lowest key hashes; only these reach the driver."""
+def chains_of(text: str) -> list[list[str]]:
+    words = [w[:TRAIN_CHARS] for w in text.lower().split()]
+    return [words[i : i + CHAIN] for i in range(0, len(words), CHAIN)]
+
+
+def training_chains(docs: DataFrame, text: str, lang: str, key: str, usable: Column, max_languages: int = MAX_LANGUAGES) -> dict[str, list[list[str]]]:
+    """At most TRAIN_CHAINS chains of each language, from the documents with the lowest key hashes; only these reach the driver."""
     rows = docs.filter(usable & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.col(key).alias("key"))
     rows = rows.withColumn("h", F.pmod(F.xxhash64("key"), F.lit(1 << 40)))
-    counts = rows.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
     if not counts:
         return {}
     # Twice the share that gives TRAIN_DOCS on average and at least all of a small language: then the lowest hashes of those.
-    limits = F.coalesce(*[F.when(F.col("lang") == r["lang"], F.lit(min(1 << 40, int((1 << 40) * 2 * TRAIN_DOCS / max(r["count"], 1))))) for r in counts])
-    taken: dict[str, list[tuple[int, str]]] = {}
-    for r in rows.filter(F.col("h") < limits).select("lang", "h", "text").collect():
-        taken.setdefault(r["lang"], []).append((r["h"], r["text"]))
-    return {k: [t for _, t in sorted(v)[:TRAIN_DOCS]] for k, v in taken.items()}
+    limits = [(r["lang"], min(1 << 40, int((1 << 40) * 2 * TRAIN_DOCS / max(r["count"], 1)))) for r in counts]
+    limits = docs.sparkSession.createDataFrame(limits, "lang string, most long")
+    rows = rows.join(F.broadcast(limits), "lang").filter("h < most")
+    low = rows.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy("h", F.xxhash64("text")))).filter(F.col("at") <= TRAIN_DOCS)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for lang_, at, t in zip(f["lang"], f["at"], f["text"], strict=True):
+                made = chains_of(t)
+                order = sorted((zlib.crc32(f"{at} {i}".encode()), i) for i in range(len(made)))[:TRAIN_CHAINS]
+                if not made:
+                    continue
+                yield pd.DataFrame({"lang": lang_, "c": [c for c, _ in order], "at": at, "i": [i for _, i in order], "words": [made[i] for _, i in order]})
+
+    made = low.select("lang", "at", "text").mapInPandas(run, "lang string, c long, at int, i int, words array<string>")
+    first = Window.partitionBy("lang").orderBy("c", "at", "i")
+    made = made.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= TRAIN_CHAINS)
+    out: dict[str, list[tuple[int, list[str]]]] = {}
+    for r in made.select("lang", "n", "words").collect():
+        out.setdefault(r["lang"], []).append((r["n"], r["words"]))
+    return {k: [w for _, w in sorted(v)] for k, v in out.items()}
+
+
+def segments(text: str) -> Iterator[str]:
+    """The text in pieces of at most SEGMENT characters, cut at white space; a longer word stays whole."""
+    at = 0
+    while len(text) - at > SEGMENT:
+        cut = max(text.rfind(" ", at, at + SEGMENT), text.rfind("\n", at, at + SEGMENT))
+        if cut <= at:
+            blank = re.compile(r"\s").search(text, at + 1)
+            cut = blank.start() if blank else len(text)
+        yield text[at:cut]
+        at = cut
+    yield text[at:]
+
+
+class _Labels:
+    """Labels of the words of texts: sums of marginals a document, and the words' labels where they are wanted."""
+
+    def __init__(self, model: dict, n_docs: int, with_words: bool) -> None:
+        self.model, self.labels = model, np.array(model["labels"], dtype=object)
+        self.potentials = Potentials(model["weights"], model["lexicon"])
+        self.reset(n_docs, with_words)
+
+    def reset(self, n_docs: int, with_words: bool) -> None:
+        self.spoken, self.sums = np.zeros(n_docs), np.zeros((n_docs, len(self.labels)))
+        self.words: list[list[str]] | None = [[] for _ in range(n_docs)] if with_words else None
+
+    def add(self, docs: list[int], texts: list[str]) -> None:
+        k = len(self.labels)
+        split = [t.lower().split() for t in texts]
+        counts = np.array([len(w) for w in split], dtype=np.int64)
+        if not counts.sum():
+            return
+        scored = self.potentials.of([x for w in split for x in w])
+        begin, lengths = chain_rows(counts)
+        owner = np.repeat(np.array(docs), counts)
+        named = np.empty(len(scored), dtype=object)
+        for at in range(0, len(begin), SLICE):
+            b, n = begin[at : at + SLICE], lengths[at : at + SLICE]
+            inside = np.arange(CHAIN)[None, :] < n[:, None]
+            spot = np.minimum(b[:, None] + np.arange(CHAIN), len(scored) - 1)
+            emission = scored[spot, :k].astype(np.float64) * inside[:, :, None]
+            marginal = forward_backward(emission, n, self.model["moves"], self.model["start"])[0][inside]  # in the words' order
+            own = slice(int(b[0]), int(b[0]) + len(marginal))
+            spoken = scored[own, k] > 0
+            np.add.at(self.spoken, owner[own], spoken)
+            for j in range(k):
+                self.sums[:, j] += np.bincount(owner[own], marginal[:, j] * spoken, len(self.sums))
+            if self.words is not None:
+                named[own] = np.where(spoken, self.labels[marginal.argmax(axis=1)], "und")
+        if self.words is not None:
+            ends = np.cumsum(counts)
+            for d, e, c in zip(docs, ends, counts, strict=True):
+                self.words[d] += named[e - c : e].tolist()
+
+    def result(self) -> tuple[list[str], np.ndarray]:
+        best, on = self.sums.argmax(axis=1), self.spoken > 0
+        langs = np.where(on, self.labels[best], "und").tolist()
+        share = self.sums[np.arange(len(best)), best] / np.maximum(self.spoken, 1)
+        return langs, np.where(on, np.minimum(1.0, share), 0.0)
 
 
 def label_documents(docs: DataFrame, model: dict | None, text: str = "text", keys: tuple[str, ...] = ("doc_id",), with_words: bool = False) -> DataFrame:
@@ -218,49 +306,30 @@ def label_documents(docs: DataFrame, model: dict | None, text: str = "text", key
     out = StructType([docs.schema[k] for k in keys])
     for f in StructType.fromDDL("lang_pred string, score double" + (", word_langs array<string>" if with_words else "")):
         out.add(f)
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held = docs.sparkSession.sparkContext.broadcast(model or {"labels": ["und"], "weights": np.zeros((N_FEATURES, 1), np.float32), "moves": np.zeros((1, 1)), "start": np.zeros(1), "lexicon": {}})
+    trained = model is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = held.value
-        potentials = Potentials(m["weights"], m["lexicon"]) if m else None
-        for batch in batches:
-            at, size, part = 0, 0, []
-            texts = batch.column(len(keys)).to_pylist()
-            for i, t in enumerate(texts):
-                part.append(t or "")
-                size += len(part[-1])
-                if size < 400_000 and i + 1 < len(texts):
-                    continue
-                yield judged(batch.slice(at, len(part)), part, m, potentials)
-                at, size, part = i + 1, 0, []
-
-    def judged(rows: pa.RecordBatch, texts: list[str], m: dict | None, potentials: Potentials | None) -> pa.RecordBatch:
-        split = [t.lower().split() for t in texts]
-        counts = np.array([len(w) for w in split])
-        langs, scores, words = ["und"] * len(texts), np.zeros(len(texts)), [["und"] * len(w) for w in split]
-        if m and counts.sum():
-            labels, k = np.array(m["labels"], dtype=object), len(m["labels"])
-            scored = potentials.of([x for w in split for x in w])
-            begin, lengths = chain_rows(counts)
-            spot = np.minimum(begin[:, None] + np.arange(CHAIN), len(scored) - 1)
-            inside = np.arange(CHAIN)[None, :] < lengths[:, None]
-            emission = scored[spot, :k].astype(np.float64) * inside[:, :, None]
-            marginal = forward_backward(emission, lengths, m["moves"], m["start"])[0][inside]  # in the words' order
-            spoken = scored[:, k] > 0
-            doc = np.repeat(np.arange(len(texts)), counts)
-            n = np.bincount(doc, spoken, len(texts))
-            sums = np.stack([np.bincount(doc, marginal[:, j] * spoken, len(texts)) for j in range(k)], axis=1)
-            best = sums.argmax(axis=1)
-            for i in np.flatnonzero(n):
-                langs[i] = labels[best[i]]
-                scores[i] = min(1.0, sums[i, best[i]] / n[i])
-            if with_words:
-                flat, ends = np.where(spoken, labels[marginal.argmax(axis=1)], "und").tolist(), np.cumsum(counts)
-                words = [flat[e - c : e] for e, c in zip(ends, counts, strict=True)]
-        columns = [rows.column(j) for j in range(len(keys))] + [pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
-        if with_words:
-            columns.append(pa.array(words, pa.list_(pa.string())))
-        return pa.RecordBatch.from_arrays(columns, names=out.names)
+        labels = _Labels(held.value, 0, with_words)
+        for whole in batches:
+            for row in range(0, whole.num_rows, 1000):
+                batch = whole.slice(row, 1000)
+                labels.reset(batch.num_rows, with_words)
+                owners, parts, size = [], [], 0
+                for i, t in enumerate(batch.column(len(keys)).to_pylist()):
+                    for part in segments(t or ""):
+                        owners.append(i)
+                        parts.append(part)
+                        size += len(part)
+                        if size >= 2 * SEGMENT:
+                            labels.add(owners, parts)
+                            owners, parts, size = [], [], 0
+                labels.add(owners, parts)
+                langs, scores = labels.result()
+                columns = [batch.column(j) for j in range(len(keys))] + [pa.array(langs, pa.string()), pa.array(scores if trained else scores * 0, pa.float64())]
+                if with_words:
+                    columns.append(pa.array(labels.words, pa.list_(pa.string())))
+                yield pa.RecordBatch.from_arrays(columns, names=out.names)
 
     return docs.select(*[F.col(f"`{k}`") for k in keys], F.col(text)).mapInArrow(run, out)
 
@@ -271,6 +340,6 @@ def held_out(key: str) -> Column:
 
 def identify(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> DataFrame:
     """Train on the documents that are not held out and label them all: key, held_out, lang_pred, score."""
-    texts = training_texts(docs, text, lang, key, ~held_out(key) & F.col(key).isNotNull())
-    found = label_documents(docs, train(texts) if texts else None, text, (key,))
+    chains = training_chains(docs, text, lang, key, ~held_out(key) & F.col(key).isNotNull())
+    found = label_documents(docs, train(chains) if chains else None, text, (key,))
     return found.select(F.col(key), held_out(key).alias("held_out"), "lang_pred", "score")

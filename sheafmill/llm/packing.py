@@ -28,6 +28,8 @@ from pyspark.sql.window import Window
 from .common import materialise
 from .tokens import CACHE_PIECES, default_tokenizer, encoder
 
+#: Up to this many (task, length) counts are broadcast (about 20 bytes each); more are joined by a shuffle.
+MAX_BROADCAST_COUNTS = 200_000
 PLAN = "length int, first_rank long, n_items long, first_bin long, per_bin int, first_offset int"
 PIECE = "piece int, start long, length int, ids_crc32 long, __task int, __rank long"
 ADDED = ("piece", "start", "length", "ids_crc32", "ids", "sequence_id", "offset", "__task", "__rank")
@@ -142,6 +144,7 @@ def pack_documents(
     plan = spark.createDataFrame(plan_best_fit(histogram, capacity), PLAN)
     before = Window.partitionBy("length").orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)
     bases = materialise(counts.select("__task", "length", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base")), "pack-bases")
+    bases = F.broadcast(bases) if bases.count() <= MAX_BROADCAST_COUNTS else bases.hint("merge")
     ranked = pieces.join(bases, ["__task", "length"]).withColumn("__rank", F.col("__base") + F.col("__rank"))
     slots = plan.withColumnRenamed("length", "__length")
     place = (F.col("length") == F.col("__length")) & (F.col("__rank") >= F.col("first_rank")) & (F.col("__rank") < F.col("first_rank") + F.col("n_items"))

@@ -2,7 +2,7 @@
 
 A list entry is a host and a path prefix (``example.org/es/``). A URL's candidates are its host and every parent
 domain, each with the first n characters of the path for every length n that occurs in the list. Candidates go
-through the filter (one 256-bit block a key, four bits in it), then possible hits meet the list itself.
+through the filter (a 256-bit block for each eight keys, four bits a key), then possible hits meet the list itself.
 
 Only DataFrame functions. Edge cases: a null URL or one without "://" has an empty host and path and fits no rule
 (verdict: the default); of equally long fitting rules the alphabetically last verdict, then rule, wins; repeated rows are judged
@@ -14,14 +14,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: The filter and the list are broadcast up to this many entries (32 bytes a block, one block an entry); longer lists are shuffled.
-MAX_BROADCAST_RULES = 200_000
+#: The list is broadcast up to this many entries, the filter up to that many (4 bytes an entry in blocks of 32); longer ones are shuffled.
+MAX_BROADCAST_RULES, MAX_BROADCAST_FILTER = 200_000, 5_000_000
+KEYS_A_BLOCK = 8
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RULE_SCHEMA = "rule string, verdict string"
 
 
 def host_of(url: Column) -> Column:
     rest = F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://([^/?#]*)", 1)
-    return F.translate(rest, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.translate(rest, UPPER, LOWER)
 
 
 def path_of(url: Column) -> Column:
@@ -52,7 +54,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
     spark: SparkSession = pages.sparkSession
     rules = rules.select("rule", "verdict").filter("rule is not null").distinct()
     listed = rules.select(
-        F.concat_ws("\x01", F.lower(F.regexp_extract("rule", r"(?s)^([^/]*)", 1)), F.regexp_extract("rule", r"(?s)^[^/]*(.*)$", 1)).alias("key"), "rule", "verdict"
+        F.concat_ws("\x01", F.translate(F.regexp_extract("rule", r"(?s)^([^/]*)", 1), UPPER, LOWER), F.regexp_extract("rule", r"(?s)^[^/]*(.*)$", 1)).alias("key"), "rule", "verdict"
     ).withColumn("path_chars", F.length(F.regexp_extract("rule", r"(?s)^[^/]*(.*)$", 1)))
     n_rules = listed.count()
     lengths = sorted(r[0] for r in listed.select("path_chars").distinct().collect())  # bounded by the longest path of the list
@@ -60,7 +62,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
     if not n_rules:
         return out.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
     small = (lambda x: F.broadcast(x)) if n_rules <= MAX_BROADCAST_RULES else (lambda x: x)
-    n_blocks = max(1, n_rules)
+    small_filter = (lambda x: F.broadcast(x)) if n_rules <= MAX_BROADCAST_FILTER else (lambda x: x)
+    n_blocks = -(-n_rules // KEYS_A_BLOCK)
     labels = F.split("host", r"\.")
     parents = F.transform(labels, lambda _, i: F.array_join(F.slice(labels, i + 1, F.size(labels)), "."))
     fits = F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= F.length("path"))
@@ -73,7 +76,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
     words = _bits(F.col("key"))
     possible = (
         candidates.withColumns({"__block": _block(F.col("key"), n_blocks)} | {f"__k{j}": words[j] for j in range(4)})
-        .join(small(bloom_blocks(listed, n_blocks)), "__block")
+        .join(small_filter(bloom_blocks(listed, n_blocks)), "__block")
         .filter(" and ".join(f"(__b{j} & __k{j}) = __k{j}" for j in range(4)))
         .select("host", "path", "key")
     )

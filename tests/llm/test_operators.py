@@ -113,6 +113,41 @@ def test_sharding(docs, empty):
     assert sharding.shard_documents(empty).count() == 0
 
 
+def test_shards_are_near_equal_whole_and_the_same_again(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, prose(int(rng.integers(0, 900)), int(rng.integers(5, 120)))) for i in range(1500)] + [(5000 + i, "a copy of one text " * 9) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sharding.shard_documents(docs, shards=6).collect()
+    by, homes = Counter(), defaultdict(set)
+    for r in got:
+        by[r.shard] += r["size"]
+        homes[r.text].add(r.shard)
+    groups = Counter()
+    for r in got:
+        groups[r.text] += r["size"]
+    mean, most = sum(by.values()) / 6, max(groups.values())
+    assert len(by) == 6 and all(abs(n - mean) <= most + 0.01 * mean for n in by.values())  # a bound of one group of equal texts
+    assert all(len(s) == 1 for s in homes.values())
+    again = sharding.shard_documents(docs.repartition(7), shards=6).collect()
+    assert Counter((r.doc_id, r.shard, r.slot) for r in got) == Counter((r.doc_id, r.shard, r.slot) for r in again)
+
+
+def test_clashing_columns_stay(spark):
+    rows = [(1, prose(20, 80), 7, "w", True, 3.0), (2, prose(21, 90), 8, "w", None, 4.0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_words int, source string, kept boolean, target double")
+    for made in (quality.clean_documents(docs), mixing.mix_documents(docs), secrets.redacted(docs), minhash.deduplicated(docs)):
+        assert made.columns == docs.columns and {(r.doc_id, r.n_words, r.kept, r.target) for r in made.collect()} <= {(1, 7, True, 3.0), (2, 8, None, 4.0)}
+
+
+def test_token_files_of_one_hot_key(spark, tmp_path):
+    rows = [(None if i % 2 else 7, prose(i, 50)) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    manifest = codec.write_token_files(docs, path=f"file://{tmp_path}/f", file_ids=2000)
+    read = sorted(codec.read_token_files(manifest).collect(), key=lambda r: r.start)
+    assert manifest.filter("first_key is null").count() > 1 and len(read) == 200
+    assert [r.key for r in read] == [None] * 100 + [7] * 100
+
+
 def test_splitters_cut_a_group_only_if_it_is_too_large(spark):
     rows = [(7, i, 10) for i in range(3000)] + [(1000 + i % 900 * 7_000_000, i, 10) for i in range(6000)]
     keys = spark.createDataFrame(rows, "h long, t long, size long").withColumns({"h": sharding.text_key(F.col("h").cast("string")), "t": sharding.row_key(F.col("t"))})
@@ -469,12 +504,36 @@ def test_language(spark):
     assert all(by[i].lang_pred == k for i, _, k in rows[:240]) and by[None].lang_pred == "en"
     assert [by[i].lang_pred for i in (900, 901, 902)] == ["und"] * 3
     assert all(by[i].held_out == (zlib.crc32(str(i).encode()) % 4 == 2) for i, _, _ in rows[:240])
-    model = language.train({k: [t for _, t, lang in rows[:240] if lang == k] for k in words})
+    model = language.train({k: [c for _, t, lang in rows[:240] if lang == k for c in language.chains_of(t)] for k in words})
     mixed = language.label_documents(docs.filter("doc_id = 903"), model, with_words=True).first()
     assert mixed.word_langs == ["en"] * 4 + ["fr"] * 7
     assert language.identify(docs.limit(0)).count() == 0
 
 
+def test_language_of_long_texts_and_many_languages(spark, monkeypatch):
+    words = {"en": "the and thing with that from hand", "fr": "le que été avec où élan même", "de": "der und schön über nicht eins groß"}
+    rng = np.random.default_rng(1)
+    train = {k: [rng.choice(w.split(), 40).tolist() for _ in range(60)] for k, w in words.items()}
+    model = language.train(train)
+    long_ = " ".join(rng.choice(words["fr"].split(), 5000)) + "\n" + " ".join(rng.choice(words["de"].split(), 60_000))
+    rows = [(1, long_, "x"), (2, "z" * 500_000 + " the and", "y"), (3, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang_pred string")
+    got = {r.doc_id: r for r in language.label_documents(docs, model, with_words=True).collect()}
+    assert got[1].lang_pred == "de" and 0.85 < got[1].score < 0.97 and len(got[1].word_langs) == 65_000 and got[1].word_langs[4000] == "fr"
+    assert len(got[2].word_langs) == 3 and got[3].lang_pred == "und" and got[3].score == 0
+    assert "".join(language.segments(long_)) == long_ and max(map(len, language.segments(long_))) <= language.SEGMENT
+    many = [(i, " ".join(train[k][i % 60]), k) for i in range(120) for k in [["en", "fr", "de"][i % 3]]] + [(500, "rare words only", "xx")]
+    docs = spark.createDataFrame(many, "doc_id long, text string, lang string")
+    found = language.training_chains(docs, "text", "lang", "doc_id", F.lit(True), max_languages=3)
+    assert set(found) == {"en", "fr", "de"}
+
+
+def test_language_on_the_tables(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = language.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out and lang is not null and lang_pred <> 'und'").collect()
+    assert len(got) > 100 and sum(r.lang_pred == r.lang for r in got) >= 0.99 * len(got)
+
+
 def test_forward_backward_equals_enumeration():
     rng = np.random.default_rng(3)
     e, moves, start = rng.standard_normal((1, 4, 3)), rng.standard_normal((3, 3)), rng.standard_normal(3)
