@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .text import SPACE, strip
@@ -24,6 +24,10 @@ LANGUAGE_ALIASES = {
 DISPLAY_NAMES = {"nepali": "Nepali", "tamang": "Tamang", "newari": "Nepal Bhasa (Newari)"}
 MODELS = [(1, "groq/whisper-large-v3"), (2, "groq/whisper-large-v3-turbo"), (3, "deepgram/nova-2"), (4, "local/whisper")]
 LADDER = [("groq", "whisper-large-v3"), ("groq", "whisper-large-v3-turbo"), ("deepgram", "nova-2"), ("local", "whisper")]
+BROWSER_MODEL = "browser-speech-API"
+LAYOUT_STRATEGY = "opencv_layout_tesseract"
+GUARDED = {"tamang": "Tamang", "newari": "Nepal Bhasa/Newari", "nepali": "Nepali"}
+DEFAULT_WHISPER = "tiny"
 IMAGE, PDF, WORD_FILE = (".png", ".jpg", ".jpeg", ".bmp", ".tiff", ".tif"), (".pdf",), (".docx", ".doc")
 AUDIO = (".mp3", ".wav", ".m4a", ".ogg", ".webm", ".weba", ".flac")
 
@@ -94,3 +98,37 @@ def extension(path: Column) -> Column:
 
 def route(ext: Column) -> Column:
     return F.when(ext.isin(*WORD_FILE), "word").when(ext.isin(*PDF), "pdf").when(ext.isin(*IMAGE), "image").when(ext.isin(*AUDIO), "audio").otherwise("rejected")
+
+
+def psm_strategy(psm: Column, compared: bool = False) -> Column:
+    """The name of a run over several segmentation modes, kept after a comparison or at once."""
+    name = F.concat(F.lit("tesseract_multi_psm_"), F.replace(psm, F.lit("--"), F.lit("")))
+    return F.concat(name, F.lit("_after_doctr_comparison")) if compared else name
+
+
+def vision_strategy(model: Column, script: Column | None = None) -> Column:
+    """The name of a vision answer taken early: for a script that was seen first, or because another script was suspected."""
+    if script is None:
+        return F.concat(F.lit("gemini_vision_wrong_script_pre_doctr_"), model)
+    return F.concat(F.lit("gemini_vision_"), script, F.lit("_preflight_"), model)
+
+
+def guard_target(language: Column) -> Column:
+    """The name of a guarded target language; null for others."""
+    return lookup(GUARDED, language_key(language))
+
+
+def eligible(provider: Column, groq_key: Column, deepgram_key: Column) -> Column:
+    return F.when(provider == "groq", groq_key).when(provider == "deepgram", deepgram_key).otherwise(provider == "local")
+
+
+def source_by_mode(language: Column, mode: Column) -> Column:
+    """What is typed in a script is of the language written in it, where the pair is chosen."""
+    return F.when((language == "Tamang/Newari") & (mode == "ranjana"), "Newari").when((language == "Tamang/Newari") & (mode == "tamyig"), "Tamang").otherwise(language)
+
+
+def configured(spark: SparkSession, settings: dict[str, str | None] | None = None) -> DataFrame:
+    """provider, enabled and model, from ``settings`` or the session's ``spark.sheafmill.*``: a key switches a hosted provider on."""
+    get = settings.get if settings is not None else (lambda k: spark.conf.get(f"spark.sheafmill.{k}", None))
+    rows = [("groq", bool(get("groq_api_key")), LADDER[0][1]), ("deepgram", bool(get("deepgram_api_key")), LADDER[2][1]), ("local", True, get("whisper_model") or DEFAULT_WHISPER)]
+    return spark.createDataFrame(rows, "provider string, enabled boolean, model string")

@@ -1,6 +1,9 @@
 """Boxes on pages: overlaps, replacement, redundancy, layout tests, runs of a mask and folds over sorted boxes.
 
 Every pair of boxes is of one page: joins are equi-joins on the page with the geometry as a residual condition.
+
+Edge cases: a box with a null side overlaps nothing (a null overlap fails every test) and keeps its place in an order, nulls first; boxes of no width or
+height have an area of 0, and divisors are at least 1; equal boxes are told apart by ``ix``; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -183,3 +186,110 @@ def group_lines(lines: DataFrame, width: int, height: int) -> DataFrame:
     schema = f"page {lines.schema['page'].dataType.simpleString()}, ix long, region long"
     return lines.select("page", F.col("ix").cast("long"), *BOX).groupBy("page").applyInPandas(fold, schema)
 
+
+def sidebar_white(px: DataFrame, words: DataFrame, width: int, height: int, share: float = 0.15) -> DataFrame:
+    """Pixels (page, x, y, v) of the last ``share`` of the page that no word box covers turn white; boxes grow by 5, 10, 25 and 10 pixels first."""
+    side = width - int(width * share)
+    grown = words.select(
+        "page",
+        F.greatest(F.lit(0), F.col("x1") - 5).alias("gx1"),
+        F.greatest(F.lit(0), F.col("y1") - 10).alias("gy1"),
+        F.least(F.lit(width), F.col("x2") + 25).alias("gx2"),
+        F.least(F.lit(height), F.col("y2") + 10).alias("gy2"),
+    ).filter(F.col("gx2") > side)
+    inside = (F.col("x") >= F.col("gx1")) & (F.col("x") < F.col("gx2")) & (F.col("y") >= F.col("gy1")) & (F.col("y") < F.col("gy2"))
+    outer = px.filter(F.col("x") >= side)
+    bare = outer.join(grown.withColumnRenamed("page", "g_page"), (F.col("page") == F.col("g_page")) & inside, "left_anti")
+    covered = outer.join(grown.withColumnRenamed("page", "g_page"), (F.col("page") == F.col("g_page")) & inside, "left_semi")
+    return px.filter(F.col("x") < side).unionByName(covered).unionByName(bare.withColumn("v", F.lit(255)))
+
+
+def active_runs(counts: DataFrame, keys: list[str], at: str, value: str, smooth: int, percentile: float, floor: float, gap: int) -> DataFrame:
+    """keys, start and end of runs along a projection: its mean over ``smooth`` places is over max(floor, 0.35 of its percentile); small gaps are closed.
+
+    Every place of a line is a row, with 0 where nothing is. Beyond the ends the line is reflected.
+    """
+    k, w = smooth // 2, Window.partitionBy(*keys)
+    n = (F.max(at).over(w) + 1).cast("int")
+    line = counts.withColumn("_n", n)
+    outer = F.concat(F.sequence(F.lit(-k), F.lit(-1)), F.sequence(F.col("_n"), F.col("_n") + k - 1))
+    source = lambda p: F.pmod(p, F.greatest(F.lit(1), 2 * F.col("_n") - 2))
+    copies = F.filter(outer, lambda p: F.when(source(p) < F.col("_n"), source(p)).otherwise(2 * F.col("_n") - 2 - source(p)) == F.col(at))
+    near = (F.col(at) <= k) | (F.col(at) >= F.col("_n") - 1 - k)
+    places = F.explode(F.concat(F.array(F.col(at).cast("int")), F.when(near, copies).otherwise(F.array().cast("array<int>"))))
+    wide = line.select(*keys, "_n", value, places.alias("_at"))
+    mean = wide.withColumn("_mean", F.avg(value).over(w.orderBy("_at").rowsBetween(-k, k))).filter("_at >= 0 and _at < _n")
+    level = F.greatest(F.lit(floor), 0.35 * F.percentile("_mean", percentile).over(w))
+    active = mean.withColumn("_level", level).withColumnRenamed("_at", at)
+    return merge_runs(mask_runs(active, keys, at, F.col("_mean") > F.col("_level")), keys, gap)
+
+
+def _odd(n: int) -> int:
+    return n + 1 - n % 2
+
+
+def split_wide_boxes(boxes: DataFrame, ink: DataFrame, width: int, height: int) -> DataFrame:
+    """page, ix, piece, x1 .. y2: page-wide flat boxes become the runs of text that they hold, if there are two or more; others stay (piece 0).
+
+    ``ink``: page, x, y of the dark pixels.
+    """
+    wide = ((F.col("x2") - F.col("x1")) >= 0.72 * width) & ((F.col("y2") - F.col("y1")) <= max(75, int(0.07 * height)))
+    flat = boxes.filter(wide)
+    keys = ["page", "ix"]
+    inside = (F.col("x") >= F.col("x1")) & (F.col("x") < F.col("x2")) & (F.col("y") >= F.col("y1")) & (F.col("y") < F.col("y2"))
+    dark = ink.join(flat.withColumnRenamed("page", "b_page"), (F.col("page") == F.col("b_page")) & inside).groupBy(*keys, (F.col("x") - F.col("x1")).alias("at")).agg(F.count("*").alias("n"))
+    line = flat.select(*keys, F.explode(F.sequence(F.lit(0), (F.col("x2") - F.col("x1") - 1).cast("int"))).alias("at"))
+    counts = line.join(dark, [*keys, "at"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    runs = active_runs(counts, keys, "at", "n", _odd(max(17, int(0.013 * width))), 0.70, 1.0, max(18, int(0.02 * width)))
+    runs = runs.filter((F.col("end") - F.col("start")) >= max(55, int(0.035 * width)))
+    runs = runs.withColumns({"piece": F.row_number().over(Window.partitionBy(*keys).orderBy("start")), "of": F.count("*").over(Window.partitionBy(*keys))}).filter("of > 1")
+    found = boxes.join(runs, keys, "left")
+    x1 = F.col("x1") + F.coalesce("start", F.lit(0))
+    x2 = F.when(F.col("end").isNull(), F.col("x2")).otherwise(F.col("x1") + F.col("end"))
+    return found.select(*keys, F.coalesce("piece", F.lit(0)).alias("piece"), x1.alias("x1"), "y1", x2.alias("x2"), "y2")
+
+
+def projection_columns(ink: DataFrame, pages: DataFrame, width: int, height: int) -> DataFrame:
+    """page, x1 .. y2 of text columns that stand beside each other in a band of text, from the dark pixels (page, x, y) of ``pages``.
+
+    Rows with a middling amount of ink are closed to bands; in a band the columns' projection gives the runs of text; a column is drawn in
+    to the rows from its first to its last with a middling amount of ink.
+    """
+    least_ink, most_ink = max(3, int(0.003 * width)), int(0.65 * width)
+    reach, kernel = max(25, int(0.035 * height)), Window.partitionBy("page").orderBy("y")
+    rows = pages.select("page", F.explode(F.sequence(F.lit(0), F.lit(height - 1))).alias("y"))
+    rows = rows.join(ink.groupBy("page", "y").agg(F.count("*").alias("n")), ["page", "y"], "left")
+    rows = rows.select("page", "y", F.coalesce("n", F.lit(0)).between(least_ink, most_ink).cast("int").alias("usable"))
+    lo, hi = -(reach // 2), reach - 1 - reach // 2
+    rows = rows.withColumn("_d", F.max("usable").over(kernel.rowsBetween(lo, hi))).withColumn("_closed", F.min("_d").over(kernel.rowsBetween(-hi, -lo)))
+    bands = mask_runs(rows, ["page"], "y", F.col("_closed") > 0).filter((F.col("end") - F.col("start")) >= max(55, int(0.045 * height)))
+    bands = bands.select("page", F.col("start").alias("b1"), F.col("end").alias("b2"))
+    usable = rows.filter("usable = 1").select("page", "y").join(bands, "page").filter("y >= b1 and y < b2")
+    enough = usable.groupBy("page", "b1", "b2").agg(F.count("*").alias("n")).filter("n >= 8").drop("n")
+    dark = ink.join(usable, ["page", "y"]).groupBy("page", "b1", "x").agg(F.count("*").alias("n"))
+    line = enough.select("page", "b1", F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("x"))
+    counts = line.join(dark, ["page", "b1", "x"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    runs = active_runs(counts, ["page", "b1"], "x", "n", _odd(max(21, int(0.018 * width))), 0.65, 2.0, max(18, int(0.022 * width)))
+    runs = runs.filter((F.col("end") - F.col("start")) >= max(85, int(0.10 * width)))
+    runs = runs.withColumn("of", F.count("*").over(Window.partitionBy("page", "b1"))).filter("of > 1").join(enough, ["page", "b1"])
+    pad = F.greatest(F.lit(4), ((F.col("end") - F.col("start")) * 0.015).cast("int"))
+    columns = runs.select("page", "b1", "b2", F.greatest(F.lit(0), F.col("start") - pad).alias("x1"), F.least(F.lit(width), F.col("end") + pad).alias("x2"))
+    own = (F.col("page") == F.col("i_page")) & (F.col("iy") >= F.col("b1")) & (F.col("iy") < F.col("b2")) & (F.col("ix") >= F.col("x1")) & (F.col("ix") < F.col("x2"))
+    text = columns.join(ink.select(F.col("page").alias("i_page"), F.col("x").alias("ix"), F.col("y").alias("iy")), own)
+    text = text.groupBy("page", "b1", "x1", "x2", "iy").agg(F.count("*").alias("n"))
+    text = text.filter((F.col("n") > F.greatest(F.lit(3), ((F.col("x2") - F.col("x1")) * 0.018).cast("int"))) & (F.col("n") < (F.col("x2") - F.col("x1")) * 0.60))
+    tight = text.groupBy("page", "b1", "x1", "x2").agg(F.min("iy").alias("y1"), (F.max("iy") + 1).alias("y2"), F.count("*").alias("rows"))
+    tight = tight.filter((F.col("rows") >= 5) & ((F.col("y2") - F.col("y1")) >= max(45, int(0.035 * height))))
+    return tight.select("page", *BOX)
+
+
+def layout_regions(lines: DataFrame, columns: DataFrame, width: int, height: int) -> DataFrame:
+    """page, place, x1 .. y2, lines: text lines grouped to regions, replaced where two or more projection columns cover them, without redundant
+    ones, in reading order."""
+    homes = group_lines(lines, width, height).join(lines.select("page", F.col("ix").cast("long"), *BOX), ["page", "ix"])
+    regions = homes.groupBy("page", "region").agg(F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"), F.count("*").alias("lines"))
+    regions = regions.withColumnRenamed("region", "ix")
+    counted = columns.withColumn("_of", F.count("*").over(Window.partitionBy("page"))).filter("_of > 1").drop("_of")
+    numbered = counted.select("page", (F.row_number().over(Window.partitionBy("page").orderBy("y1", "x1")) + 1_000_000).cast("long").alias("ix"), *BOX, F.lit(1).cast("long").alias("lines"))
+    merged = without_redundant(replace_overlapped(regions.select("page", "ix", *BOX, "lines"), numbered), width, height)
+    return merged.join(reading_order(merged, width), ["page", "ix"]).select("page", "place", *BOX, "lines")

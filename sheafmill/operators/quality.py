@@ -13,19 +13,9 @@ GATE_SCORE, GATE_CHARS = 0.68, 80
 
 
 def page_quality(pages: DataFrame, text: str = "text", confidence: str = "confidence") -> DataFrame:
-    """``pages`` with the quality columns. One projection over the text; null confidence is 0 and null text is empty."""
-    t = T.strip(F.coalesce(F.col(text), F.lit("")))
-    df = pages.withColumns(
-        {
-            "character_count": T.characters(t),
-            "word_count": F.regexp_count(t, F.lit(f"{T.NOT_SPACE}+")),
-            "devanagari_characters": T.devanagari(t),
-            "latin_characters": T.latin(t),
-            "_digits": T.digits(t),
-            "_single": T.single_character_tokens(t),
-            "_conf": F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(F.col(confidence).cast("double"), F.lit(0.0)))),
-        }
-    )
+    """``pages`` with the quality columns. One pass over the text; null confidence is 0 and null text is empty; an empty table gives an empty one."""
+    conf = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(F.col(confidence).cast("double"), F.lit(0.0))))
+    df = T.character_counts(pages, F.col(text)).withColumn("_conf", conf)
     letters = F.col("devanagari_characters") + F.col("latin_characters")
     ratio = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0)).cast("double")
     df = df.withColumns(
@@ -67,28 +57,50 @@ def wrong_script_reasons(q: DataFrame) -> Column:
     latin, deva = F.col("latin_characters"), F.col("devanagari_characters")
     few = F.greatest(F.lit(12), (0.18 * latin).cast("int"))
     found = _reasons(
-        ((latin >= 80) & (deva <= few), "latin_heavy"),
-        ((F.col("single_character_token_ratio") >= 0.32) & (F.col("confidence") < 0.58), "fragmented_tokens"),
-        ((F.col("valid_character_ratio") < 0.72) & (F.col("confidence") < 0.55), "invalid_characters"),
+        ((latin >= 80) & (deva <= few), "latin_like_wrong_script_ocr"),
+        ((F.col("single_character_token_ratio") >= 0.32) & (F.col("confidence") < 0.58), "fragmented_low_confidence_ocr"),
+        ((F.col("valid_character_ratio") < 0.72) & (F.col("confidence") < 0.55), "noisy_low_confidence_ocr"),
     )
     skip = (F.col("score") >= GATE_SCORE) | (F.col("character_count") < GATE_CHARS)
     return F.when(skip, F.array().cast("array<string>")).otherwise(found)
 
 
 def layout_reasons() -> Column:
-    """Of the diagnostics columns: why a regional extraction contradicts the global one. Missing values are 0."""
+    """Of the diagnostics columns: why a regional extraction contradicts the global one. Missing values are 0; gaps count only where the global one leads."""
     v = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("double")
     ratio = v("layout_text_length") / F.greatest(F.lit(1.0), v("global_text_length"))
     found = _reasons(
-        ((v("layout_text_length") >= v("global_text_length") + 250) & (ratio >= 1.60), "layout_much_longer"),
-        ((ratio >= 1.35) & (v("layout_quality") < MEDIUM), "layout_low_quality"),
-        ((ratio >= 1.35) & (F.abs(v("global_confidence") - v("layout_confidence")) >= 0.25), "confidence_gap"),
-        ((ratio >= 2.0) & (F.abs(v("global_quality") - v("layout_quality")) >= 0.15), "quality_gap"),
+        ((v("layout_text_length") >= v("global_text_length") + 250) & (ratio >= 1.60), "major_candidate_length_disagreement"),
+        ((ratio >= 1.35) & (v("layout_quality") < MEDIUM), "layout_candidate_gibberish"),
+        ((ratio >= 1.35) & (v("global_confidence") - v("layout_confidence") >= 0.25), "large_layout_confidence_gap"),
+        ((ratio >= 2.0) & (v("global_quality") - v("layout_quality") >= 0.15), "possible_global_ocr_omission"),
     )
     on = F.coalesce(F.col("complex_layout"), F.lit(False)) & F.coalesce(F.col("layout_attempted"), F.lit(False))
     return F.when(on, found).otherwise(F.array().cast("array<string>"))
 
 
+#: What a reviewer is told.
+AI_MESSAGE = "Conventional OCR was unreliable, so Gemini Vision produced this transcription. Review it before translating."
+LOW_MESSAGE = "OCR quality is low. Review the extracted text or retake the image with even lighting and the page filling the frame."
+LAYOUT_MESSAGE = "OCR candidates disagreed substantially on this complex layout. Review the extracted text before translating."
+
+
+def strategy_label(ai_model: Column, variant: Column, strategy: Column) -> Column:
+    """The accepted vision model's, or the variant's in front of what its own run says."""
+    own = F.concat(F.lit("adaptive_"), variant, F.lit("+"), F.coalesce(strategy, F.lit("unknown")))
+    return F.when(ai_model.isNotNull(), F.concat(F.lit("gemini_vision_fallback_"), ai_model)).otherwise(own)
+
+
+def review_message(ai_accepted: Column, status: Column, suspicious: Column) -> Column:
+    return F.when(ai_accepted, AI_MESSAGE).when(status == "low", LOW_MESSAGE).when(suspicious, LAYOUT_MESSAGE).otherwise("")
+
+
+def signature(settings: Column) -> Column:
+    """name=value of a map's entries, sorted, without those that only debug."""
+    kept = F.filter(F.array_sort(F.map_entries(settings)), lambda e: ~e["key"].isin("debug", "debug_output_dir"))
+    return F.array_join(F.transform(kept, lambda e: F.concat_ws("=", e["key"], e["value"])), ";")
+
+
 def best_by(rows: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """The first row of each group in the given order."""
     w = Window.partitionBy(*keys).orderBy(*order)

@@ -1,10 +1,15 @@
 """Rasters as pixel relations (img, r, c, v): profiles, smoothing, thresholds, morphology, masks and labels.
 
-Windows run within an image's rows or columns, so the work is spread by image and line.
+Windows run within an image's rows or columns, so the work is spread by image and line. A blur or local mean at an edge reads pixels reflected
+about the outermost one (2 1 | 0 1 2), or the outermost one again where ``border`` is "repeat"; least and largest values ignore what lies outside.
+
+Edge cases: a null value is no pixel of a mean and passes through a least or largest value; an image without pixels has no rows; an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -27,19 +32,128 @@ def _frame(line: str, along: str, lo: int, hi: int):
     return Window.partitionBy("img", line).orderBy(along).rowsBetween(lo, hi)
 
 
-def local_sums(px: DataFrame, k: int = 1) -> DataFrame:
-    """``px`` with n, s and q: number, sum and sum of squares of the pixels within k rows and columns (edges: fewer pixels)."""
-    rows = px.withColumns({"_n": F.count("*").over(_frame("r", "c", -k, k)), "_s": F.sum("v").over(_frame("r", "c", -k, k)), "_q": F.sum(F.col("v") * F.col("v")).over(_frame("r", "c", -k, k))})
-    col = _frame("c", "r", -k, k)
-    return rows.withColumns({"n": F.sum("_n").over(col), "s": F.sum("_s").over(col), "q": F.sum("_q").over(col)}).drop("_n", "_s", "_q")
+def _source(p: Column, n: Column, border: str) -> Column:
+    """The position that an outer position ``p`` of a line of ``n`` pixels reads."""
+    if border == "repeat":
+        return F.least(F.greatest(p, F.lit(0)), n - 1)
+    m = F.pmod(p, F.greatest(F.lit(1), 2 * n - 2))
+    return F.when(m < n, m).otherwise(2 * n - 2 - m)
+
+
+def padded(px: DataFrame, line: str, along: str, k: int, border: str = "reflect") -> DataFrame:
+    """``px`` and the k outer pixels at both ends of each line, copies of those that they read."""
+    n = F.max(along).over(Window.partitionBy("img", line)) + 1
+    outer = F.concat(F.sequence(F.lit(-k), F.lit(-1)), F.sequence(F.col("_n"), F.col("_n") + k - 1))
+    copies = F.filter(outer, lambda p: _source(p, F.col("_n"), border) == F.col(along))
+    near = (F.col(along) <= k) | (F.col(along) >= F.col("_n") - 1 - k)
+    at = F.explode(F.concat(F.array(F.col(along)), F.when(near, copies).otherwise(F.array().cast("array<int>"))))
+    own = [c for c in px.columns if c != along]
+    return px.withColumn("_n", n.cast("int")).select(*own, "_n", at.alias(along))
+
+
+def smoothed(px: DataFrame, values: dict[str, str], weights: list[float], border: str = "reflect") -> DataFrame:
+    """img, r, c, v and ``values`` (column: what it smooths): weighted sums over the neighbours within len(weights) // 2 rows and columns."""
+    k, held = len(weights) // 2, px.select("img", "r", "c", "v", *[F.col(v).cast("double").alias(name) for name, v in values.items()])
+    if not k:
+        return held
+    w = F.array(*[F.lit(float(x)) for x in weights])
+    for line, along in (("r", "c"), ("c", "r")):
+        frame = _frame(line, along, -k, k)
+        sums = {name: F.aggregate(F.zip_with(F.collect_list(name).over(frame), w, lambda a, b: a * b), F.lit(0.0), lambda x, y: x + y) for name in values}
+        wide = padded(held, line, along, k, border)
+        held = wide.withColumns(sums).filter((F.col(along) >= 0) & (F.col(along) < F.col("_n"))).drop("_n")
+    return held
+
+
+def box(k: int) -> list[float]:
+    return [1.0 / (2 * k + 1)] * (2 * k + 1)
+
+
+def gaussian(size: int, sigma: float) -> list[float]:
+    raw = [math.exp(-((i - size // 2) ** 2) / (2 * sigma * sigma)) for i in range(size)]
+    return [x / sum(raw) for x in raw]
+
+
+def sauvola(px: DataFrame, k: int = 12, weight: float = 0.2, spread: float = 128.0) -> DataFrame:
+    """255 where a pixel is over mean * (1 + weight * (std / spread - 1)) of the square around it, else 0."""
+    d = smoothed(px.withColumn("q", F.col("v") * F.col("v")), {"mean": "v", "square": "q"}, box(k))
+    std = F.sqrt(F.greatest(F.lit(0.0), F.col("square") - F.col("mean") * F.col("mean")))
+    return d.select("img", "r", "c", F.when(F.col("v") > F.col("mean") * (1 + weight * (std / spread - 1)), 255).otherwise(0).alias("v"))
+
+
+def adaptive_ink(px: DataFrame, window: int = 51, offset: int = 11) -> DataFrame:
+    """255 where a lightly blurred pixel is at least ``offset`` below the Gaussian mean around it, else 0."""
+    soft = smoothed(px, {"soft": "v"}, [0.25, 0.5, 0.25]).select("img", "r", "c", F.round("soft").cast("int").alias("v"))
+    sigma = 0.3 * ((window - 1) * 0.5 - 1) + 0.8
+    d = smoothed(soft, {"mean": "v"}, gaussian(window, sigma), "repeat")
+    return d.select("img", "r", "c", F.when(F.col("v") - F.round("mean") <= -offset, 255).otherwise(0).alias("v"))
+
+
+def grayscale(bgr: DataFrame) -> DataFrame:
+    """Pixels with b, g and r channels (``red`` to tell it from the row) as one value."""
+    v = F.round(0.114 * F.col("b") + 0.587 * F.col("g") + 0.299 * F.col("red")).cast("int")
+    return bgr.select("img", "r", "c", v.alias("v"))
+
+
+def without_blue(bgr: DataFrame) -> DataFrame:
+    """Pixels of a hue of 100 to 140 (of 180) with saturation and value of 50 or more, and their neighbours, turn white."""
+    b, g, red = (F.col(x).cast("double") for x in ("b", "g", "red"))
+    top, low = F.greatest(b, g, red), F.least(b, g, red)
+    span = top - low
+    hue = F.when(span == 0, 0.0).when(top == red, 60 * (g - b) / span).when(top == g, 120 + 60 * (b - red) / span).otherwise(240 + 60 * (red - g) / span)
+    half = F.round(F.when(hue < 0, hue + 360).otherwise(hue) / 2)
+    saturation = F.when(top == 0, 0.0).otherwise(F.round(255 * span / top))
+    blue = half.between(100, 140) & (saturation >= 50) & (top >= 50)
+    marked = dilate(bgr.select("img", "r", "c", blue.cast("int").alias("v"), "b", "g", "red"), -1, 1, keep=("b", "g", "red"))
+    white = lambda c: F.when(F.col("v") > 0, 255).otherwise(F.col(c)).cast("int").alias(c)
+    return marked.select("img", "r", "c", white("b"), white("g"), white("red"))
 
 
-def sauvola(px: DataFrame, k: int = 1, weight: float = 0.2, spread: float = 128.0) -> DataFrame:
-    """255 where a pixel is over mean * (1 + weight * (std / spread - 1)) of its neighbours, else 0."""
-    d = local_sums(px, k)
-    mean = F.col("s") / F.col("n")
-    std = F.sqrt(F.greatest(F.lit(0.0), F.col("q") / F.col("n") - mean * mean))
-    return d.select("img", "r", "c", F.when(F.col("v") > mean * (1 + weight * (std / spread - 1)), 255).otherwise(0).alias("v"))
+def _reach(k: int, times: int) -> tuple[int, int]:
+    """Offsets that a kernel of k pixels covers when it is used several times (its anchor is pixel k // 2)."""
+    return -(k // 2) * times, (k - 1 - k // 2) * times
+
+
+def opened(px: DataFrame, wide: int, high: int, times: int = 1) -> DataFrame:
+    """Erosion, then dilation, by ``wide`` columns and ``high`` rows."""
+    (cl, ch), (rl, rh) = _reach(max(1, wide), times), _reach(max(1, high), times)
+    eroded = px.withColumn("v", F.min("v").over(_frame("r", "c", cl, ch))).withColumn("v", F.min("v").over(_frame("c", "r", rl, rh)))
+    return eroded.withColumn("v", F.max("v").over(_frame("r", "c", -ch, -cl))).withColumn("v", F.max("v").over(_frame("c", "r", -rh, -rl)))
+
+
+def _inverted(px: DataFrame) -> DataFrame:
+    return px.select("img", "r", "c", (255 - F.col("v")).alias("v"), F.col("v").alias("_own"))
+
+
+def _whitened(marked: DataFrame) -> DataFrame:
+    return marked.select("img", "r", "c", F.when(F.col("v") > 0, 255).otherwise(F.col("_own")).alias("v"))
+
+
+def without_lines(px: DataFrame, wide: int, high: int) -> DataFrame:
+    """Dark runs that two openings by ``wide`` columns or ``high`` rows leave, and their neighbours, turn white (a page takes a 15th of its sides)."""
+    inverted = _inverted(px)
+    across = opened(inverted, wide, 1, 2).withColumnRenamed("v", "_h")
+    down = opened(across.withColumn("v", 255 - F.col("_own")), 1, high, 2)
+    both = down.withColumn("v", F.least(F.lit(255), F.col("_h") + F.col("v"))).drop("_h")
+    return _whitened(dilate(both, -1, 1, keep=("_own",)))
+
+
+def without_vertical_noise(px: DataFrame, high: int = 50) -> DataFrame:
+    """Dark runs of ``high`` rows and more turn white."""
+    return _whitened(opened(_inverted(px), 1, high, 2))
+
+
+def without_sidebar_noise(px: DataFrame, share: float = 0.01, high: int = 80) -> DataFrame:
+    """In the last ``share`` of the columns, dark runs of ``high`` rows and more turn white."""
+    w = (F.max("c").over(Window.partitionBy("img")) + 1).cast("int")
+    marked = px.withColumn("_side", F.col("c") >= w - (w * share).cast("int"))
+    side = _whitened(opened(_inverted(marked.filter("_side")), 1, high, 3))
+    return side.unionByName(marked.filter("not _side").select("img", "r", "c", "v"))
+
+
+def thinned(px: DataFrame) -> DataFrame:
+    """Dark strokes eroded by 2 x 2 pixels."""
+    return erode(_inverted(px).drop("_own")).select("img", "r", "c", (255 - F.col("v")).alias("v"))
 
 
 def erode(px: DataFrame, lo: int = -1, hi: int = 0) -> DataFrame:
@@ -48,9 +162,9 @@ def erode(px: DataFrame, lo: int = -1, hi: int = 0) -> DataFrame:
     return rows.select("img", "r", "c", F.min("_m").over(_frame("c", "r", lo, hi)).alias("v"))
 
 
-def dilate(px: DataFrame, lo: int = 0, hi: int = 1) -> DataFrame:
+def dilate(px: DataFrame, lo: int = 0, hi: int = 1, keep: tuple[str, ...] = ()) -> DataFrame:
     rows = px.withColumn("_m", F.max("v").over(_frame("r", "c", lo, hi)))
-    return rows.select("img", "r", "c", F.max("_m").over(_frame("c", "r", lo, hi)).alias("v"))
+    return rows.select("img", "r", "c", F.max("_m").over(_frame("c", "r", lo, hi)).alias("v"), *keep)
 
 
 def open_close(px: DataFrame) -> DataFrame:
@@ -78,7 +192,24 @@ def components(px: DataFrame, on: int = 128) -> DataFrame:
     return px.groupBy("img").applyInPandas(label, "img long, r int, c int, label long")
 
 
-def sharpen(px: DataFrame, amount: float = 1.5, rest: float = -0.5) -> DataFrame:
-    """Unsharp mask with a 3 x 3 mean as the blur, clipped to 0..255."""
-    d = local_sums(px, 1)
-    return d.select("img", "r", "c", F.least(F.lit(255), F.greatest(F.lit(0), F.round(amount * F.col("v") + rest * F.col("s") / F.col("n")))).cast("int").alias("v"))
+def sharpen(px: DataFrame, amount: float = 1.5, rest: float = -0.5, sigma: float = 3.0) -> DataFrame:
+    """Unsharp mask: a Gaussian blur of ``sigma`` (kernel of 6 sigma, odd) taken off, clipped to 0..255."""
+    size = round(6 * sigma + 1) | 1
+    d = smoothed(px, {"blur": "v"}, gaussian(size, sigma))
+    return d.select("img", "r", "c", F.least(F.lit(255), F.greatest(F.lit(0), F.round(amount * F.col("v") + rest * F.col("blur")))).cast("int").alias("v"))
+
+
+#: Cubic weights (a = -0.75) of the pixels two before to two after, for the first and the second half of a pixel.
+CUBIC = ((-0.03515625, 0.26171875, 0.87890625, -0.10546875, 0.0), (0.0, -0.10546875, 0.87890625, 0.26171875, -0.03515625))
+
+
+def doubled(px: DataFrame) -> DataFrame:
+    """Twice as many rows and columns by cubic interpolation, clipped to 0..255; the outermost pixel goes on beyond an edge."""
+    held = px.select("img", "r", "c", F.col("v").cast("double").alias("v"))
+    for line, along in (("r", "c"), ("c", "r")):
+        near = F.collect_list("v").over(_frame(line, along, -2, 2))
+        taps = padded(held, line, along, 2, "repeat").withColumn("_t", near).filter((F.col(along) >= 0) & (F.col(along) < F.col("_n")))
+        half = lambda w: F.aggregate(F.zip_with("_t", F.array(*map(F.lit, w)), lambda a, b: a * b), F.lit(0.0), lambda x, y: x + y)
+        both = taps.select("img", line, F.col(along).alias("_at"), F.posexplode(F.array(*[half(w) for w in CUBIC])).alias("_half", "v"))
+        held = both.select("img", line, (2 * F.col("_at") + F.col("_half")).alias(along), "v")
+    return held.select("img", "r", "c", F.least(F.lit(255), F.greatest(F.lit(0), F.round("v"))).cast("int").alias("v"))

@@ -100,7 +100,12 @@ def reading_order(spark, sf):
     return G.reading_order(boxes(spark, sf), W)
 
 
-@query()
+@query(f"""WITH RECURSIVE {BOXES}, o AS (SELECT page, x1, y1, x2, y2, row_number() OVER (PARTITION BY page ORDER BY y1, x1, x2, y2) AS k, median(y2 - y1) OVER (PARTITION BY page) AS h FROM b),
+f AS (SELECT page, k, x1, y1, x2, y2, 0::bigint AS m FROM o WHERE k = 1
+  UNION ALL SELECT page, k, CASE WHEN near THEN least(fx1, x1) ELSE x1 END, CASE WHEN near THEN least(fy1, y1) ELSE y1 END, CASE WHEN near THEN greatest(fx2, x2) ELSE x2 END, CASE WHEN near THEN greatest(fy2, y2) ELSE y2 END, CASE WHEN near THEN m ELSE m + 1 END
+  FROM (SELECT o.*, f.m, f.x1 AS fx1, f.y1 AS fy1, f.x2 AS fx2, f.y2 AS fy2, (greatest(0, least(f.y2, o.y2) - greatest(f.y1, o.y1)) >= 0.45 * least(f.y2 - f.y1, o.y2 - o.y1) OR abs(f.y1 - o.y1) <= greatest(6, trunc(0.65 * o.h))) AND o.x1 - f.x2 <= greatest(10, trunc(1.4 * o.h)) AS near
+    FROM f JOIN o ON o.page = f.page AND o.k = f.k + 1))
+SELECT page, m::int AS ix, x1, y1, x2, y2 FROM f QUALIFY row_number() OVER (PARTITION BY page, m ORDER BY k DESC) = 1""")
 def merge_nearby_boxes(spark, sf):
     return G.merge_nearby(boxes(spark, sf))
 
@@ -138,11 +143,24 @@ def projection_profile(spark, sf):
     return both[0].unionByName(both[1])
 
 
-@query(f"WITH {PIXELS}, p AS (SELECT img, r, count(*) FILTER (v >= 128) AS ink FROM px GROUP BY ALL), s AS (SELECT *, avg(ink) OVER (PARTITION BY img ORDER BY r ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS smooth FROM p), t AS (SELECT img, greatest(1, 0.35 * quantile_cont(smooth, 0.7)) AS least FROM s GROUP BY img) SELECT img, r, round(smooth, 6) AS smooth, smooth > least AS active FROM s JOIN t USING (img)")
+def _reflected(p: str, n: int = 8) -> str:
+    m = f"((({p}) % {2 * n - 2}) + {2 * n - 2}) % {2 * n - 2}"
+    return f"CASE WHEN {m} < {n} THEN {m} ELSE {2 * n - 2} - {m} END"
+
+
+def _offsets(k: int, name: str = "i") -> str:
+    return f"(SELECT unnest(range(-{k}, {k + 1})) AS {name}) AS o_{name}"
+
+
+@query(f"""WITH {PIXELS}, p AS (SELECT img, r, count(*) FILTER (v >= 128) AS ink FROM px GROUP BY ALL),
+s AS (SELECT a.img, a.r, avg(o.ink) AS smooth FROM p a CROSS JOIN {_offsets(1)} JOIN p o ON o.img = a.img AND o.r = {_reflected('a.r + i')} GROUP BY a.img, a.r),
+t AS (SELECT img, greatest(1, 0.35 * quantile_cont(smooth, 0.7)) AS least FROM s GROUP BY img) SELECT img, r, round(smooth, 6) AS smooth, smooth > least AS active FROM s JOIN t USING (img)""")
 def projection_smooth(spark, sf):
-    p = P.profile(pixels(spark, sf), "r", F.col("v") >= 128)
-    s = p.withColumn("smooth", F.avg("ink").over(Window.partitionBy("img").orderBy("r").rowsBetween(-1, 1)))
-    least = F.greatest(F.lit(1.0), 0.35 * F.percentile("smooth", 0.7).over(Window.partitionBy("img")))
+    p = P.profile(pixels(spark, sf), "r", F.col("v") >= 128).withColumn("line", F.lit(0))
+    wide = P.padded(p, "line", "r", 1)
+    w = Window.partitionBy("img")
+    s = wide.withColumn("smooth", F.avg("ink").over(w.orderBy("r").rowsBetween(-1, 1))).filter("r >= 0 and r < _n")
+    least = F.greatest(F.lit(1.0), 0.35 * F.percentile("smooth", 0.7).over(w))
     return s.withColumn("least", least).select("img", "r", F.round("smooth", 6).alias("smooth"), (F.col("smooth") > F.col("least")).alias("active"))
 
 
@@ -159,12 +177,89 @@ def run_merge(spark, sf):
     return G.merge_runs(G.mask_runs(pixels(spark, sf), ["img", "r"], "c", F.col("v") >= 128), ["img", "r"], 2)
 
 
-NEAR = "a.img = o.img AND o.r BETWEEN a.r - 1 AND a.r + 1 AND o.c BETWEEN a.c - 1 AND a.c + 1"
+def _blurred(name: str, source: str, value: str, weights: list[str], border: str = "reflect") -> str:
+    """SQL: ``source`` (img, r, c, v, value) with m, the weighted sum over rows and columns around, one direction after the other."""
+    k = len(weights) // 2
+    at = _reflected if border == "reflect" else (lambda p: f"greatest(0, least(7, {p}))")
+    w = "CASE i " + " ".join(f"WHEN {i - k} THEN {x}" for i, x in enumerate(weights)) + " END"
+    return f"""{name}_1 AS (SELECT a.img, a.r, a.c, any_value(a.v) AS v, sum(o.{value} * ({w})) AS m FROM {source} a CROSS JOIN {_offsets(k)} JOIN {source} o ON o.img = a.img AND o.r = a.r AND o.c = {at('a.c + i')} GROUP BY a.img, a.r, a.c),
+{name} AS (SELECT a.img, a.r, a.c, any_value(a.v) AS v, sum(o.m * ({w})) AS m FROM {name}_1 a CROSS JOIN {_offsets(k)} JOIN {name}_1 o ON o.img = a.img AND o.c = a.c AND o.r = {at('a.r + i')} GROUP BY a.img, a.r, a.c)"""
 
 
-@query(f"WITH {PIXELS}, s AS (SELECT a.img, a.r, a.c, any_value(a.v) AS v, count(*) AS n, sum(o.v)::double AS s, sum(o.v * o.v)::double AS q FROM px a JOIN px o ON {NEAR} GROUP BY a.img, a.r, a.c) SELECT img, r, c, CASE WHEN v > s / n * (1 + 0.2 * (sqrt(greatest(0.0, q / n - (s / n) * (s / n))) / 128.0 - 1)) THEN 255 ELSE 0 END AS v FROM s")
+def _bell(size: int, sigma: float) -> list[str]:
+    total = " + ".join(f"exp(-{(i - size // 2) ** 2} / {2 * sigma * sigma}::double)" for i in range(size))
+    return [f"exp(-{(i - size // 2) ** 2} / {2 * sigma * sigma}::double) / ({total})" for i in range(size)]
+
+
+@query(f"""WITH {PIXELS}, s AS (SELECT a.img, a.r, a.c, any_value(a.v) AS v, sum(o.v) / 9::double AS m, sum(o.v * o.v) / 9::double AS q FROM px a CROSS JOIN {_offsets(1)} CROSS JOIN {_offsets(1, 'j')} JOIN px o ON o.img = a.img AND o.r = {_reflected('a.r + i')} AND o.c = {_reflected('a.c + j')} GROUP BY a.img, a.r, a.c)
+SELECT img, r, c, CASE WHEN v > m * (1 + 0.2 * (sqrt(greatest(0.0, q - m * m)) / 128.0 - 1)) THEN 255 ELSE 0 END AS v FROM s""")
 def sauvola_binarize(spark, sf):
-    return P.sauvola(pixels(spark, sf))
+    return P.sauvola(pixels(spark, sf), 1)
+
+
+@query(f"""WITH {PIXELS}, {_blurred('s', 'px', 'v', ['0.25', '0.5', '0.25'])}, soft AS (SELECT img, r, c, round(m)::int AS v FROM s), {_blurred('g', 'soft', 'v', _bell(51, 8.0), 'repeat')}
+SELECT img, r, c, CASE WHEN v - round(m) <= -11 THEN 255 ELSE 0 END AS v FROM g""")
+def adaptive_ink(spark, sf):
+    return P.adaptive_ink(pixels(spark, sf))
+
+
+BGR = "bgr AS (SELECT img, r, c, v AS b, v * 7 % 256 AS g, v * 13 % 256 AS red FROM px)"
+
+
+def colours(spark, sf):
+    v = F.col("v")
+    return pixels(spark, sf).select("img", "r", "c", v.alias("b"), (v * 7 % 256).alias("g"), (v * 13 % 256).alias("red"))
+
+
+@query(f"WITH {PIXELS}, {BGR} SELECT img, r, c, round(0.114 * b + 0.587 * g + 0.299 * red)::int AS v FROM bgr")
+def grayscale(spark, sf):
+    return P.grayscale(colours(spark, sf))
+
+
+@query(f"WITH {PIXELS}, {BGR} SELECT img, r, c, [red, g, b] AS rgb FROM bgr")
+def channel_swap(spark, sf):
+    """Blue, green, red to red, green, blue."""
+    return colours(spark, sf).select("img", "r", "c", F.reverse(F.array("b", "g", "red")).alias("rgb"))
+
+
+@query(f"""WITH {PIXELS}, {BGR}, h AS (SELECT *, greatest(b, g, red)::double AS top, (greatest(b, g, red) - least(b, g, red))::double AS span FROM bgr),
+u AS (SELECT *, CASE WHEN span = 0 THEN 0 WHEN top = red THEN 60 * (g - b) / span WHEN top = g THEN 120 + 60 * (b - red) / span ELSE 240 + 60 * (red - g) / span END AS hue FROM h),
+k AS (SELECT img, r, c, round(CASE WHEN hue < 0 THEN hue + 360 ELSE hue END / 2) BETWEEN 100 AND 140 AND CASE WHEN top = 0 THEN 0 ELSE round(255 * span / top) END >= 50 AND top >= 50 AS blue FROM u),
+d AS (SELECT a.img, a.r, a.c, bool_or(o.blue) AS near FROM k a JOIN k o ON o.img = a.img AND o.r BETWEEN a.r - 1 AND a.r + 1 AND o.c BETWEEN a.c - 1 AND a.c + 1 GROUP BY a.img, a.r, a.c)
+SELECT img, r, c, CASE WHEN near THEN 255 ELSE b END AS b, CASE WHEN near THEN 255 ELSE g END AS g, CASE WHEN near THEN 255 ELSE red END AS red FROM bgr JOIN d USING (img, r, c)""")
+def blue_mask(spark, sf):
+    return P.without_blue(colours(spark, sf))
+
+
+def _line(name: str, source: str, fn: str, along: str, lo: int, hi: int) -> str:
+    other = "r" if along == "c" else "c"
+    return f"{name} AS (SELECT a.img, a.r, a.c, {fn}(o.v) AS v FROM {source} a JOIN {source} o ON o.img = a.img AND o.{other} = a.{other} AND o.{along} BETWEEN a.{along} + ({lo}) AND a.{along} + ({hi}) GROUP BY a.img, a.r, a.c)"
+
+
+INVERSE = "inv AS (SELECT img, r, c, 255 - v AS v FROM px)"
+
+
+@query(f"""WITH {PIXELS}, {INVERSE}, {_line('h1', 'inv', 'min', 'c', -4, 2)}, {_line('h2', 'h1', 'max', 'c', -2, 4)}, {_line('v1', 'inv', 'min', 'r', -4, 2)}, {_line('v2', 'v1', 'max', 'r', -2, 4)},
+b AS (SELECT h2.img, h2.r, h2.c, least(255, h2.v + v2.v) AS v FROM h2 JOIN v2 ON v2.img = h2.img AND v2.r = h2.r AND v2.c = h2.c), {_line('d1', 'b', 'max', 'c', -1, 1)}, {_line('d2', 'd1', 'max', 'r', -1, 1)}
+SELECT px.img, px.r, px.c, CASE WHEN d2.v > 0 THEN 255 ELSE px.v END AS v FROM px JOIN d2 ON d2.img = px.img AND d2.r = px.r AND d2.c = px.c""")
+def line_removal(spark, sf):
+    return P.without_lines(pixels(spark, sf), 4, 4)
+
+
+@query(f"""WITH {PIXELS}, {INVERSE}, {_line('v1', 'inv', 'min', 'r', -2, 2)}, {_line('v2', 'v1', 'max', 'r', -2, 2)} SELECT px.img, px.r, px.c, CASE WHEN v2.v > 0 THEN 255 ELSE px.v END AS v FROM px JOIN v2 ON v2.img = px.img AND v2.r = px.r AND v2.c = px.c""")
+def vertical_noise(spark, sf):
+    return P.without_vertical_noise(pixels(spark, sf), 3)
+
+
+@query(f"""WITH {PIXELS}, inv AS (SELECT img, r, c, 255 - v AS v FROM px WHERE c >= 6), {_line('v1', 'inv', 'min', 'r', -3, 3)}, {_line('v2', 'v1', 'max', 'r', -3, 3)}
+SELECT px.img, px.r, px.c, CASE WHEN v2.v > 0 THEN 255 ELSE px.v END AS v FROM px LEFT JOIN v2 ON v2.img = px.img AND v2.r = px.r AND v2.c = px.c""")
+def sidebar_noise(spark, sf):
+    return P.without_sidebar_noise(pixels(spark, sf), 0.3, 3)
+
+
+@query(f"WITH {PIXELS}, {INVERSE}, {_line('t1', 'inv', 'min', 'c', -1, 0)}, {_line('t2', 't1', 'min', 'r', -1, 0)} SELECT img, r, c, 255 - v AS v FROM t2")
+def thin_characters(spark, sf):
+    return P.thinned(pixels(spark, sf))
 
 
 def _morph(name: str, source: str, fn: str, lo: int, hi: int) -> str:
@@ -176,20 +271,97 @@ def morph_open_close(spark, sf):
     return P.open_close(pixels(spark, sf))
 
 
-@query(f"WITH {PIXELS}, b AS (SELECT img, min(c) AS x1, max(c) AS x2, min(r) AS y1, max(r) AS y2 FROM px WHERE v >= 230 GROUP BY img) SELECT px.img, r, c, CASE WHEN c >= 6 AND NOT coalesce(c BETWEEN x1 - 1 AND x2 + 1 AND r BETWEEN y1 - 1 AND y2 + 1, false) THEN 255 ELSE v END AS v FROM px LEFT JOIN b ON b.img = px.img")
+@query(f"""WITH {BOXES}, {PIXELS}, q AS (SELECT img AS page, c * 125 AS x, r * 175 AS y, v FROM px),
+w AS (SELECT page, greatest(0, x1 - 5) AS x1, greatest(0, y1 - 10) AS y1, least({W}, x2 + 25) AS x2, least({H}, y2 + 10) AS y2 FROM b)
+SELECT page, x, y, CASE WHEN x >= 850 AND NOT EXISTS (SELECT 1 FROM w WHERE w.page = q.page AND q.x >= w.x1 AND q.x < w.x2 AND q.y >= w.y1 AND q.y < w.y2) THEN 255 ELSE v END AS v FROM q""")
 def sidebar_mask(spark, sf):
-    """Pixels of the right margin that no padded box covers turn white."""
-    px = pixels(spark, sf)
-    b = px.filter("v >= 230").groupBy("img").agg(F.min("c").alias("x1"), F.max("c").alias("x2"), F.min("r").alias("y1"), F.max("r").alias("y2"))
-    covered = F.coalesce(F.col("c").between(F.col("x1") - 1, F.col("x2") + 1) & F.col("r").between(F.col("y1") - 1, F.col("y2") + 1), F.lit(False))
-    return px.join(b, "img", "left").select("img", "r", "c", F.when((F.col("c") >= 6) & ~covered, 255).otherwise(F.col("v")).alias("v"))
+    """Pixels of the right margin that no padded word box covers turn white; a raster stands for a page of its size."""
+    px = pixels(spark, sf).select(F.col("img").alias("page"), (F.col("c") * 125).alias("x"), (F.col("r") * 175).alias("y"), "v")
+    return G.sidebar_white(px, boxes(spark, sf), W, H)
 
 
-@query(f"WITH {PIXELS}, s AS (SELECT a.img, a.r, a.c, any_value(a.v) AS v, count(*) AS n, sum(o.v)::double AS s FROM px a JOIN px o ON {NEAR} GROUP BY a.img, a.r, a.c) SELECT img, r, c, least(255, greatest(0, round(1.5 * v - 0.5 * s / n)))::int AS v FROM s")
+@query(f"WITH {PIXELS}, {_blurred('g', 'px', 'v', _bell(19, 3.0))} SELECT img, r, c, least(255, greatest(0, round(1.5 * v - 0.5 * m)))::int AS v FROM g")
 def sharpen(spark, sf):
     return P.sharpen(pixels(spark, sf))
 
 
-@query()
+@query(rf"""WITH RECURSIVE {PIXELS}, lit AS (SELECT img, r, c, r * 8 + c AS pos FROM px WHERE v >= 128),
+walk AS (SELECT img, pos AS start, r, c FROM lit UNION SELECT w.img, w.start, l.r, l.c FROM walk w JOIN lit l ON l.img = w.img AND abs(l.r - w.r) <= 1 AND abs(l.c - w.c) <= 1)
+SELECT img, r, c, min(start)::bigint AS label FROM walk GROUP BY img, r, c""")
 def raster_components(spark, sf):
     return P.components(pixels(spark, sf))
+
+
+def _halves(name: str, source: str, along: str) -> str:
+    other = "r" if along == "c" else "c"
+    weight = "CASE d WHEN -2 THEN CASE half WHEN 0 THEN -0.03515625 ELSE 0 END WHEN -1 THEN CASE half WHEN 0 THEN 0.26171875 ELSE -0.10546875 END WHEN 0 THEN 0.87890625 WHEN 1 THEN CASE half WHEN 0 THEN -0.10546875 ELSE 0.26171875 END ELSE CASE half WHEN 0 THEN 0 ELSE -0.03515625 END END"
+    return f"""{name} AS (SELECT a.img, a.{other}, 2 * a.{along} + half AS {along}, sum(o.v * ({weight})::double) AS v FROM {source} a CROSS JOIN (SELECT unnest([0, 1]) AS half) CROSS JOIN {_offsets(2, 'd')} JOIN {source} o ON o.img = a.img AND o.{other} = a.{other} AND o.{along} = greatest(0, least(7, a.{along} + d)) GROUP BY a.img, a.{other}, a.{along}, half)"""
+
+
+@query(f"WITH {PIXELS}, {_halves('x', 'px', 'c')}, {_halves('y', 'x', 'r')} SELECT img, r, c, least(255, greatest(0, round(v)))::int AS v FROM y")
+def double_resolution(spark, sf):
+    return P.doubled(pixels(spark, sf))
+
+
+#: Eight vectors are a page of 320 x 80 pixels: a value is 5 x 10 of them, and two pages of three have a gutter.
+INK = f"""ink AS (SELECT vec_id // 8 AS page, i * 5 + dx AS x, vec_id % 8 * 10 + dy AS y FROM (SELECT vec_id, unnest(embedding)::double AS e, generate_subscripts(embedding, 1) - 1 AS i, list_min(embedding)::double AS lo, list_max(embedding)::double AS hi FROM embeddings)
+  CROSS JOIN (SELECT unnest(range(0, 5)) AS dx) CROSS JOIN (SELECT unnest(range(0, 10)) AS dy) WHERE floor((e - lo) / (hi - lo) * 255) >= 128 AND NOT (vec_id // 8 % 3 > 0 AND i >= 20 + vec_id // 8 % 20 AND i < 28 + vec_id // 8 % 20)),
+pages AS (SELECT DISTINCT vec_id // 8 AS page FROM embeddings)"""
+
+
+def ink(spark, sf):
+    px = P.pixels(table(spark, sf, "embeddings"), "vec_id", "embedding", 64)
+    page, first = F.floor(F.col("img") / 8), F.floor(F.col("img") / 8) % 20 + 20
+    gutter = (page % 3 > 0) & (F.col("c") >= first) & (F.col("c") < first + 8)
+    dark = px.filter((F.col("v") >= 128) & ~gutter).select(page.alias("page"), "img", "c", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("dx"))
+    return dark.select("page", (F.col("c") * 5 + F.col("dx")).alias("x"), F.explode(F.sequence((F.col("img") % 8 * 10).cast("int"), (F.col("img") % 8 * 10 + 9).cast("int"))).alias("y"))
+
+
+def _active(name: str, counts: str, keys: str, at: str, n: int, k: int, percentile: float, floor: float, gap: int) -> str:
+    """SQL: runs (keys, start, "end") of the smoothed counts over their level, with gaps below ``gap`` closed."""
+    same = " AND ".join(f"o.{c} = a.{c}" for c in keys.split(", "))
+    own = ", ".join(f"a.{c}" for c in keys.split(", "))
+    return f"""{name}_s AS (SELECT {own}, a.{at}, avg(o.n) AS m FROM {counts} a CROSS JOIN {_offsets(k)} JOIN {counts} o ON {same} AND o.{at} = {_reflected(f'a.{at} + i', n)} GROUP BY {own}, a.{at}),
+{name}_l AS (SELECT {keys}, greatest({floor}, 0.35 * quantile_cont(m, {percentile})) AS level FROM {name}_s GROUP BY {keys}),
+{name}_m AS (SELECT {keys}, {at}, {at} - row_number() OVER (PARTITION BY {keys} ORDER BY {at}) AS island FROM {name}_s JOIN {name}_l USING ({keys}) WHERE m > level),
+{name}_r AS (SELECT {keys}, min({at}) AS start, max({at}) + 1 AS fin FROM {name}_m GROUP BY {keys}, island),
+{name}_g AS (SELECT *, CASE WHEN start - lag(fin) OVER (PARTITION BY {keys} ORDER BY start) < {gap} THEN 0 ELSE 1 END AS new FROM {name}_r),
+{name}_k AS (SELECT *, sum(new) OVER (PARTITION BY {keys} ORDER BY start) AS run FROM {name}_g),
+{name} AS (SELECT {keys}, min(start) AS start, max(fin) AS fin FROM {name}_k GROUP BY {keys}, run)"""
+
+
+@query(f"""WITH {INK}, box AS (SELECT page, ix, x1, y1, x2, y2 FROM pages CROSS JOIN (VALUES (1, 0, 0, 320, 40), (2, 0, 40, 320, 72), (3, 0, 0, 100, 30)) v(ix, x1, y1, x2, y2)),
+flat AS (SELECT * FROM box WHERE x2 - x1 >= 230.4 AND y2 - y1 <= 75), places AS (SELECT *, unnest(range(0, x2 - x1)) AS a FROM flat),
+cnt AS (SELECT p.page, p.ix, p.a, count(ink.x) AS n FROM places p LEFT JOIN ink ON ink.page = p.page AND ink.x = p.x1 + p.a AND ink.y >= p.y1 AND ink.y < p.y2 GROUP BY p.page, p.ix, p.a),
+{_active('run', 'cnt', 'page, ix', 'a', 320, 8, 0.70, 1.0, 18)},
+piece AS (SELECT page, ix, start, fin, row_number() OVER (PARTITION BY page, ix ORDER BY start) AS piece, count(*) OVER (PARTITION BY page, ix) AS k FROM run WHERE fin - start >= 55)
+SELECT b.page, b.ix, coalesce(piece, 0)::int AS piece, x1 + coalesce(start, 0) AS x1, y1, coalesce(x1 + fin, x2) AS x2, y2 FROM box b LEFT JOIN (SELECT * FROM piece WHERE k > 1) p ON p.page = b.page AND p.ix = b.ix""")
+def split_wide_boxes(spark, sf):
+    pages = table(spark, sf, "embeddings").select(F.floor(F.col("vec_id") / 8).alias("page")).distinct()
+    held = [(1, 0, 0, 320, 40), (2, 0, 40, 320, 72), (3, 0, 0, 100, 30)]
+    each = F.explode(F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip(("ix", *G.BOX), b, strict=True)]) for b in held]))
+    return G.split_wide_boxes(pages.select("page", each.alias("b")).select("page", "b.*"), ink(spark, sf), 320, 80)
+
+
+@query(f"""WITH {INK}, ys AS (SELECT page, unnest(range(0, 80)) AS y FROM pages), n AS (SELECT ys.page, ys.y, count(ink.x) AS n FROM ys LEFT JOIN ink ON ink.page = ys.page AND ink.y = ys.y GROUP BY ys.page, ys.y),
+use AS (SELECT page, y, (n BETWEEN 3 AND 208)::int AS u FROM n),
+di AS (SELECT page, y, u, max(u) OVER (PARTITION BY page ORDER BY y ROWS BETWEEN 12 PRECEDING AND 12 FOLLOWING) AS d FROM use), cl AS (SELECT page, y, u, min(d) OVER (PARTITION BY page ORDER BY y ROWS BETWEEN 12 PRECEDING AND 12 FOLLOWING) AS k FROM di),
+isl AS (SELECT page, y, y - row_number() OVER (PARTITION BY page ORDER BY y) AS island FROM cl WHERE k > 0), band AS (SELECT page, min(y) AS b1, max(y) + 1 AS b2 FROM isl GROUP BY page, island HAVING max(y) + 1 - min(y) >= 55),
+rowz AS (SELECT cl.page, y, b1, b2 FROM cl JOIN band ON band.page = cl.page AND y >= b1 AND y < b2 WHERE u = 1), ok AS (SELECT page, b1, b2 FROM rowz GROUP BY ALL HAVING count(*) >= 8),
+dark AS (SELECT r.page, r.b1, ink.x, count(*) AS n FROM ink JOIN rowz r ON r.page = ink.page AND r.y = ink.y GROUP BY ALL), xs AS (SELECT page, b1, unnest(range(0, 320)) AS x FROM ok),
+cnt AS (SELECT xs.page, xs.b1, xs.x, coalesce(dark.n, 0) AS n FROM xs LEFT JOIN dark ON dark.page = xs.page AND dark.b1 = xs.b1 AND dark.x = xs.x),
+{_active('run', 'cnt', 'page, b1', 'x', 320, 10, 0.65, 2.0, 18)},
+col AS (SELECT r.page, r.b1, ok.b2, greatest(0, start - greatest(4, trunc((fin - start) * 0.015)::int)) AS x1, least(320, fin + greatest(4, trunc((fin - start) * 0.015)::int)) AS x2, count(*) OVER (PARTITION BY r.page, r.b1) AS k FROM run r JOIN ok ON ok.page = r.page AND ok.b1 = r.b1 WHERE fin - start >= 85),
+txt AS (SELECT c.page, c.b1, c.x1, c.x2, i.y, count(*) AS n FROM col c JOIN ink i ON i.page = c.page AND i.y >= c.b1 AND i.y < c.b2 AND i.x >= c.x1 AND i.x < c.x2 WHERE k > 1 GROUP BY c.page, c.b1, c.x1, c.x2, i.y)
+SELECT page, x1, min(y) AS y1, x2, max(y) + 1 AS y2 FROM txt WHERE n > greatest(3, trunc((x2 - x1) * 0.018)) AND n < (x2 - x1) * 0.60 GROUP BY page, b1, x1, x2 HAVING count(*) >= 5 AND max(y) + 1 - min(y) >= 45""")
+def projection_columns(spark, sf):
+    pages = table(spark, sf, "embeddings").select(F.floor(F.col("vec_id") / 8).alias("page")).distinct()
+    return G.projection_columns(ink(spark, sf), pages, 320, 80)
+
+
+@query()
+def detect_layout_regions(spark, sf):
+    """Regions of a page from its line boxes and its projection columns, in reading order."""
+    pages = table(spark, sf, "embeddings").select(F.floor(F.col("vec_id") / 8).alias("page")).distinct()
+    columns = G.projection_columns(ink(spark, sf), pages, 320, 80)
+    return G.layout_regions(boxes(spark, sf), columns, W, H)

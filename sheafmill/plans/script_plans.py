@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from ..functions import translit
-from ..session import ship
+from ..session import shared_folder, ship
 from ..sources import providers
 from ..streaming import sessions
 from .registry import query, table
@@ -28,7 +26,7 @@ def transliteration(spark, sf):
 def stream_sessions(spark, sf):
     """Conversations replayed as a live stream until its input ends; the last row of each session."""
     ship(spark)
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="/tmp/checkpoints-")
+    root = shared_folder(spark)
     at = f"{root}/sessions-{spark.sparkContext.applicationId}-{spark.range(1).select(F.uuid()).first()[0]}"
     c = table(spark, sf, "conversations")
     events = c.select(F.col("conv_id").alias("session_id"), F.col("turn").alias("seq"), F.lit(None).cast("timestamp_ntz").alias("ts"), F.lit("chunk").alias("kind"), F.col("text").alias("payload"))

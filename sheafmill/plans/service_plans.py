@@ -64,10 +64,12 @@ def provider_race(spark, sf):
     return best.select("item_id", "b.model", "b.latency_s")
 
 
-@query(f"WITH {CANDIDATES}, k AS (SELECT *, variant || ':' || (ordinal % 3) AS signature FROM c) SELECT page_id, signature, min(ordinal) AS ordinal FROM k GROUP BY ALL")
+@query(f"WITH {CANDIDATES}, k AS (SELECT *, 'max=' || CASE WHEN ordinal % 3 = 0 THEN '1000' ELSE '2500' END || ';resize=' || CASE WHEN ordinal % 2 = 0 THEN 'false' ELSE 'true' END AS signature FROM c) SELECT page_id, signature, min(ordinal) AS ordinal FROM k GROUP BY ALL")
 def config_dedupe(spark, sf):
-    """The first candidate of each signature, which is its sorted settings without debug ones."""
-    c = candidates(spark, sf).withColumn("signature", F.concat_ws(":", "variant", (F.col("ordinal") % 3).cast("string")))
+    """The first candidate of each signature: its settings sorted by name, without those for debugging."""
+    i = F.col("ordinal")
+    settings = F.create_map(F.lit("resize"), F.when(i % 2 == 0, "false").otherwise("true"), F.lit("max"), F.when(i % 3 == 0, "1000").otherwise("2500"), F.lit("debug"), F.col("variant"), F.lit("debug_output_dir"), i.cast("string"))
+    c = candidates(spark, sf).withColumn("signature", Q.signature(settings))
     return Q.best_by(c, ["page_id", "signature"], F.asc("ordinal")).select("page_id", "signature", "ordinal")
 
 
@@ -97,18 +99,30 @@ def candidate_acceptance(spark, sf):
     )
 
 
-@query("""WITH a AS (SELECT event_id, CASE WHEN event_id % 97 >= 78 THEN 'high' WHEN event_id % 97 >= 60 THEN 'medium' ELSE 'low' END AS status, event_id % 5 = 0 AS ai, event_id % 3 = 0 AS suspicious, event_type AS variant FROM events)
-SELECT event_id, CASE WHEN ai THEN 'vision' ELSE 'adaptive_' || variant || '+layout' END AS strategy, status = 'low' OR ai OR suspicious AS review_required,
-  CASE WHEN ai THEN 'check the transcription' WHEN status = 'low' THEN 'low quality' WHEN suspicious THEN 'candidates disagree' ELSE '' END AS message FROM a""")
+@query(f"""WITH a AS (SELECT event_id, round((event_id % 9973) / 9973.0::double, 4) AS score, CASE WHEN event_id % 5 = 0 THEN 'model-' || (event_id % 4) END AS ai, event_id % 3 = 0 AS suspicious, event_type AS variant, CASE WHEN event_id % 4 > 0 THEN 'opencv_layout_tesseract' END AS run FROM events),
+s AS (SELECT *, CASE WHEN score >= 0.80 THEN 'high' WHEN score >= 0.62 THEN 'medium' ELSE 'low' END AS status FROM a)
+SELECT event_id, status, CASE WHEN ai IS NOT NULL THEN 'gemini_vision_fallback_' || ai ELSE 'adaptive_' || variant || '+' || coalesce(run, 'unknown') END AS strategy, status = 'low' OR ai IS NOT NULL OR suspicious AS review_required,
+  CASE WHEN ai IS NOT NULL THEN 'Conventional OCR was unreliable, so Gemini Vision produced this transcription. Review it before translating.'
+    WHEN status = 'low' THEN 'OCR quality is low. Review the extracted text or retake the image with even lighting and the page filling the frame.'
+    WHEN suspicious THEN 'OCR candidates disagreed substantially on this complex layout. Review the extracted text before translating.' ELSE '' END AS message FROM s""")
 def review_label(spark, sf):
     """Strategy label, review flag and message of a page after a vision answer was or was not accepted."""
-    i, k = F.col("event_id"), F.col("event_id") % 97
-    status, ai, doubt = F.when(k >= 78, "high").when(k >= 60, "medium").otherwise("low"), i % 5 == 0, i % 3 == 0
-    return table(spark, sf, "events").select(
+    i = F.col("event_id")
+    a = table(spark, sf, "events").select(
         i,
-        F.when(ai, F.lit("vision")).otherwise(F.concat(F.lit("adaptive_"), "event_type", F.lit("+layout"))).alias("strategy"),
-        ((status == "low") | ai | doubt).alias("review_required"),
-        F.when(ai, "check the transcription").when(status == "low", "low quality").when(doubt, "candidates disagree").otherwise("").alias("message"),
+        Q.quality_status(F.round((i % 9973) / 9973.0, 4)).alias("status"),
+        F.when(i % 5 == 0, F.concat(F.lit("model-"), (i % 4).cast("string"))).alias("ai"),
+        (i % 3 == 0).alias("suspicious"),
+        F.col("event_type").alias("variant"),
+        F.when(i % 4 > 0, "opencv_layout_tesseract").alias("run"),
+    )
+    accepted = F.col("ai").isNotNull()
+    return a.select(
+        "event_id",
+        "status",
+        Q.strategy_label(F.col("ai"), F.col("variant"), F.col("run")).alias("strategy"),
+        ((F.col("status") == "low") | accepted | F.col("suspicious")).alias("review_required"),
+        Q.review_message(accepted, F.col("status"), F.col("suspicious")).alias("message"),
     )
 
 
@@ -270,9 +284,9 @@ def nested_transcript(spark, sf):
     )
 
 
-@query("SELECT conv_id, string_agg(round(turn * 1.234567, 2)::double || ':' || trim(text), ' ' ORDER BY turn) AS segments, round(max(turn * 1.234567 + 1)::double, 2) AS seconds FROM (SELECT conv_id, turn, role AS text FROM conversations) GROUP BY conv_id")
+@query("SELECT conv_id, string_agg(round(turn * 1.234567, 2)::double || ':' || regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g'), ' ' ORDER BY turn) AS segments, round(max(turn * 1.234567 + 1)::double, 2) AS seconds FROM conversations GROUP BY conv_id")
 def segments_projection(spark, sf):
-    c = table(spark, sf, "conversations").select("conv_id", F.struct("turn", (F.col("turn") * F.lit(1.234567)).alias("start"), F.concat(F.lit(" "), "role", F.lit(" ")).alias("text")).alias("s"))
+    c = table(spark, sf, "conversations").select("conv_id", F.struct("turn", (F.col("turn") * F.lit(1.234567)).alias("start"), F.coalesce("text", F.lit("")).alias("text")).alias("s"))
     g = c.groupBy("conv_id").agg(F.array_sort(F.collect_list("s")).alias("s"))
     shown = F.transform("s", lambda s: F.concat_ws(":", F.round(s["start"], 2).cast("string"), T.strip(s["text"])))
     return g.select("conv_id", F.array_join(shown, " ").alias("segments"), F.round(F.array_max(F.transform("s", lambda s: s["start"])) + 1, 2).alias("seconds"))
@@ -331,12 +345,12 @@ def small_chunk_filter(spark, sf):
     return c.filter("bytes >= 100")
 
 
-@query("SELECT conv_id, turn, string_agg(role, '') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS transcript FROM conversations WHERE octet_length(encode(text)) >= 100")
+@query("SELECT conv_id, turn, string_agg(text, '') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS transcript FROM conversations WHERE octet_length(encode(text)) >= 100")
 def cumulative_transcript(spark, sf):
     """After each kept chunk, all kept chunks of the session so far."""
     c = table(spark, sf, "conversations").filter(F.octet_length("text") >= 100)
     w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return c.select("conv_id", "turn", F.array_join(F.collect_list("role").over(w), "").alias("transcript"))
+    return c.select("conv_id", "turn", F.array_join(F.collect_list("text").over(w), "").alias("transcript"))
 
 
 @query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w >= INTERVAL 6 HOUR OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),

@@ -54,9 +54,9 @@ def quality_by_language(spark, sf):
 
 @query(rf"""WITH {QUALITY}
 SELECT page_id, reasons, len(reasons) > 0 AS try_ai FROM (SELECT page_id, CASE WHEN score >= 0.68 OR character_count < 80 THEN '' ELSE concat_ws(',',
-  CASE WHEN latin_characters >= 80 AND devanagari_characters <= greatest(12, trunc(0.18 * latin_characters)) THEN 'latin_heavy' END,
-  CASE WHEN single_character_token_ratio >= 0.32 AND confidence < 0.58 THEN 'fragmented_tokens' END,
-  CASE WHEN valid_character_ratio < 0.72 AND confidence < 0.55 THEN 'invalid_characters' END) END AS reasons FROM quality)""")
+  CASE WHEN latin_characters >= 80 AND devanagari_characters <= greatest(12, trunc(0.18 * latin_characters)) THEN 'latin_like_wrong_script_ocr' END,
+  CASE WHEN single_character_token_ratio >= 0.32 AND confidence < 0.58 THEN 'fragmented_low_confidence_ocr' END,
+  CASE WHEN valid_character_ratio < 0.72 AND confidence < 0.55 THEN 'noisy_low_confidence_ocr' END) END AS reasons FROM quality)""")
 def wrong_script_gate(spark, sf):
     q = Q.page_quality(pages(spark, sf)).withColumn("r", F.array_join(Q.wrong_script_reasons(None), ","))
     return q.select("page_id", F.col("r").alias("reasons"), (F.length("r") > 0).alias("try_ai"))
@@ -65,8 +65,8 @@ def wrong_script_gate(spark, sf):
 @query("""WITH d AS (SELECT doc_id AS page_id, doc_id % 3 > 0 AS complex_layout, doc_id % 5 > 0 AS layout_attempted, n_chars AS g, (n_chars * (doc_id % 13)) // 5 AS l,
   (doc_id % 101) / 100.0::double AS gc, (doc_id % 37) / 37.0::double AS lc, (doc_id % 53) / 53.0::double AS gq, (doc_id % 29) / 29.0::double AS lq FROM documents)
 SELECT page_id, CASE WHEN complex_layout AND layout_attempted THEN concat_ws(',',
-  CASE WHEN l >= g + 250 AND l / greatest(1, g)::double >= 1.60 THEN 'layout_much_longer' END, CASE WHEN l / greatest(1, g)::double >= 1.35 AND lq < 0.62 THEN 'layout_low_quality' END,
-  CASE WHEN l / greatest(1, g)::double >= 1.35 AND abs(gc - lc) >= 0.25 THEN 'confidence_gap' END, CASE WHEN l / greatest(1, g)::double >= 2.0 AND abs(gq - lq) >= 0.15 THEN 'quality_gap' END) ELSE '' END AS reasons FROM d""")
+  CASE WHEN l >= g + 250 AND l / greatest(1, g)::double >= 1.60 THEN 'major_candidate_length_disagreement' END, CASE WHEN l / greatest(1, g)::double >= 1.35 AND lq < 0.62 THEN 'layout_candidate_gibberish' END,
+  CASE WHEN l / greatest(1, g)::double >= 1.35 AND gc - lc >= 0.25 THEN 'large_layout_confidence_gap' END, CASE WHEN l / greatest(1, g)::double >= 2.0 AND gq - lq >= 0.15 THEN 'possible_global_ocr_omission' END) ELSE '' END AS reasons FROM d""")
 def layout_suspicion(spark, sf):
     d = table(spark, sf, "documents")
     i = F.col("doc_id")
@@ -98,10 +98,12 @@ def strip_artifact_lines(spark, sf):
     return table(spark, sf, "pages").select("page_id", T.without_artifact_lines(page).alias("text"))
 
 
-UNITS = r"""u AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') AS t FROM documents),
-lines AS (SELECT doc_id, t, list_filter(list_transform(string_split(t, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS ls,
-  list_filter(list_transform(string_split(regexp_replace(t, '([.!?।])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS ss FROM u),
-units AS (SELECT doc_id, CASE WHEN len(ls) > 1 THEN ls WHEN len(ss) > 0 THEN ss ELSE [t] END AS units FROM lines)"""
+EACH = r"lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')"
+UNITS = rf"""u AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') AS t FROM documents),
+parts AS (SELECT doc_id, t, list_filter(list_transform(regexp_split_to_array(t, '\n\s*\n'), {EACH} AS ps,
+  list_filter(list_transform(regexp_split_to_array(t, '\r\n|[\n\r\x0B\x0C\x1C-\x1E]'), {EACH} AS ls,
+  list_filter(list_transform(string_split(regexp_replace(t, '([.!?।])\s+', '\1' || chr(1), 'g'), chr(1)), {EACH} AS ss FROM u),
+units AS (SELECT doc_id, CASE WHEN len(ps) > 1 THEN ps WHEN len(ls) > 1 THEN ls WHEN len(ss) > 0 THEN ss ELSE [t] END AS units FROM parts)"""
 
 
 @query(f"WITH {UNITS} SELECT doc_id, len(units) AS n_units, array_to_string(units, '|') AS units FROM units")
@@ -123,11 +125,13 @@ g AS (SELECT doc_id, i, n, m, CASE WHEN n > 220 THEN 0 ELSE n END AS held, 1 AS
   UNION ALL SELECT f.doc_id, f.i, f.n, f.m, CASE WHEN f.n > 220 THEN 0 WHEN g.held + f.n > 220 AND g.held > 0 THEN f.n ELSE g.held + f.n END,
     CASE WHEN f.n > 220 THEN CASE WHEN g.held > 0 THEN g.chunk + 1 ELSE g.upto END WHEN g.was_long THEN g.upto WHEN g.held + f.n > 220 AND g.held > 0 THEN g.chunk + 1 ELSE g.chunk END, f.n > 220,
     CASE WHEN f.n > 220 THEN CASE WHEN g.held > 0 THEN g.chunk + 1 ELSE g.upto END + (f.n + 219) // 220 WHEN g.was_long THEN g.upto WHEN g.held + f.n > 220 AND g.held > 0 THEN g.chunk + 1 ELSE g.chunk END
-  FROM g JOIN f ON f.doc_id = g.doc_id AND f.i = g.i + 1)
-SELECT doc_id, max(CASE WHEN was_long THEN upto - 1 ELSE chunk END)::int AS n_chunks, sum(n)::bigint AS n_words FROM g GROUP BY doc_id""")
+  FROM g JOIN f ON f.doc_id = g.doc_id AND f.i = g.i + 1),
+small AS (SELECT g.doc_id, chunk, string_agg(unit, chr(10) || chr(10) ORDER BY g.i) AS text FROM g JOIN f ON f.doc_id = g.doc_id AND f.i = g.i WHERE NOT was_long GROUP BY g.doc_id, chunk),
+cut AS (SELECT g.doc_id, g.chunk, list_filter(regexp_split_to_array(f.unit, '\s+'), lambda x: x <> '') AS w, unnest(range(0, (g.n + 219) // 220)) AS k FROM g JOIN f ON f.doc_id = g.doc_id AND f.i = g.i WHERE was_long)
+SELECT doc_id, (chunk - 1)::int AS chunk, text FROM small UNION ALL SELECT doc_id, (chunk - 1 + k)::int, array_to_string(w[k * 220 + 1 : k * 220 + 220], ' ') FROM cut""")
 def greedy_chunks(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", T.greedy_chunks(T.units(F.col("text"))).alias("c"))
-    return d.select("doc_id", F.size("c").alias("n_chunks"), F.aggregate("c", F.lit(0).cast("long"), lambda a, c: a + F.size(T.tokens(c))).alias("n_words"))
+    """A row a chunk."""
+    return table(spark, sf, "documents").select("doc_id", F.posexplode(T.greedy_chunks(T.units(F.col("text")))).alias("chunk", "text"))
 
 
 FLAT = r"regexp_replace(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'), '^ | $', '', 'g')"
@@ -172,6 +176,26 @@ def pdf_rollup(spark, sf):
     )
 
 
+@query(f"""WITH {QUALITY}, q AS (SELECT page_id // 50 AS pdf, page_id, score, score < 0.62 AS low, {STATUS} AS status, 'tesseract_multi_psm_' || (page_id % 3) AS strategy, page_id % 7 = 0 AS odd FROM quality),
+m AS (SELECT *, CASE WHEN status = 'low' THEN '{Q.LOW_MESSAGE}' WHEN odd THEN '{Q.LAYOUT_MESSAGE}' ELSE '' END AS message FROM q),
+st AS (SELECT pdf, string_agg(strategy, '+' ORDER BY first_page) AS strategy FROM (SELECT pdf, strategy, min(page_id) AS first_page FROM q GROUP BY ALL) GROUP BY pdf),
+w AS (SELECT pdf, status, message FROM m QUALIFY row_number() OVER (PARTITION BY pdf ORDER BY score, page_id) = 1)
+SELECT pdf, st.strategy, round(avg(score), 4) AS score, w.status, w.message, bool_or(low) AS review_required, string_agg(page_id, ',' ORDER BY page_id) AS pages FROM m JOIN st USING (pdf) JOIN w USING (pdf) GROUP BY ALL""")
+def pdf_pages_rollup(spark, sf):
+    """A document of up to 50 pages: its mean score, what its first weakest page says, its pages, and its strategies as they were first seen."""
+    i = F.col("page_id")
+    q = Q.page_quality(pages(spark, sf)).withColumn("status", Q.quality_status(F.col("score")))
+    q = q.select(F.floor(i / 50).alias("pdf"), i, "score", "status", F.concat(F.lit("tesseract_multi_psm_"), (i % 3).cast("string")).alias("strategy"), Q.review_message(F.lit(False), F.col("status"), i % 7 == 0).alias("message"))
+    found = q.groupBy("pdf").agg(
+        F.round(F.avg("score"), 4).alias("score"),
+        F.min_by(F.struct("status", "message"), F.struct("score", "page_id")).alias("w"),
+        F.bool_or(F.col("score") < Q.MEDIUM).alias("review_required"),
+        F.array_sort(F.collect_list(F.struct("page_id", "strategy"))).alias("p"),
+    )
+    joined = F.array_join(F.array_distinct(F.transform("p", lambda p: p["strategy"])), "+").alias("strategy")
+    return found.select("pdf", joined, "score", "w.status", "w.message", "review_required", F.array_join(F.transform("p", lambda p: p["page_id"].cast("string")), ",").alias("pages"))
+
+
 @query("SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS text, count(*) AS n_pages FROM conversations GROUP BY conv_id")
 def page_concat(spark, sf):
     c = table(spark, sf, "conversations")

@@ -10,6 +10,8 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 PACKAGE = Path(__file__).resolve().parent
+#: Where tests and single machines write; a cluster names its own folder.
+LOCAL_SHARED = "/tmp/checkpoints"
 _SHIPPED: set[str] = set()
 
 
@@ -38,3 +40,13 @@ def ship(spark: SparkSession) -> SparkSession:
                 z.write(p, os.path.join("sheafmill", p.relative_to(PACKAGE)))
         spark.sparkContext.addPyFile(str(where))
     return spark
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the cluster's spark.checkpoint.dir; only a local master may do without."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return LOCAL_SHARED

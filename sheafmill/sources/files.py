@@ -8,8 +8,11 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import routing as R
 
@@ -60,13 +63,58 @@ def with_id(rows: DataFrame, *natural: str) -> DataFrame:
     return rows.withColumn("id", F.sha2(F.concat_ws("\x1f", *[F.col(c).cast("string") for c in natural]), 256))
 
 
+def typed(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` in the schema of a stored table; columns that they lack are null."""
+    schema = StructType.fromDDL(TABLES[name])
+    return rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema])
+
+
 def append(rows: DataFrame, root: str, name: str) -> DataFrame:
     """Append to one of the stored tables in its own schema; the write is the unit that commits."""
-    spark = rows.sparkSession
-    empty = spark.createDataFrame([], TABLES[name])
-    typed = rows.select(*[F.col(f.name).cast(f.dataType) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in empty.schema])
-    typed.write.mode("append").parquet(f"{root}/{name}")
-    return typed
+    out = typed(rows, name)
+    out.write.mode("append").parquet(f"{root}/{name}")
+    return out
+
+
+def append_or_skip(rows: DataFrame, root: str, name: str) -> tuple[DataFrame, str]:
+    """As ``append``, but a table that cannot be written does not stop the answer: the rows come back with "saved" or "skipped"."""
+    try:
+        return append(rows, root, name), "saved"
+    except (AnalysisException, Py4JJavaError):
+        return typed(rows, name), "skipped"
+
+
+def with_persistence(rows: DataFrame, saved: Column, may_skip: Column, warning: str) -> DataFrame:
+    """``rows`` with answered, persistence_status, document_status and warning: what may skip saving is answered all the same."""
+    return rows.withColumns(
+        {
+            "answered": may_skip | saved,
+            "persistence_status": F.when(saved, "saved").when(may_skip, "skipped"),
+            "document_status": F.when(saved, "Completed"),
+            "warning": F.when(may_skip & ~saved, warning),
+        }
+    )
+
+
+def create_tables(spark: SparkSession, root: str, database: str = "default") -> None:
+    """The stored tables in the catalog, over the folders that ``append`` writes; those that are there stay."""
+    for name, columns in TABLES.items():
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {database}.{name} ({columns}) USING parquet LOCATION '{root}/{name}'")
+
+
+def drop_tables(spark: SparkSession, database: str = "default") -> None:
+    for name in TABLES:
+        spark.sql(f"DROP TABLE IF EXISTS {database}.{name}")
+
+
+def dashed(hexes: Column) -> Column:
+    return F.regexp_replace(hexes, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
+
+
+def canonical_uuid(text: Column) -> Column:
+    """A UUID in lower case with its dashes, however it was written; null for anything else."""
+    plain = F.lower(text)
+    return F.when(plain.rlike("^([0-9a-f]{32}|[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12})$"), dashed(F.replace(plain, F.lit("-"), F.lit(""))))
 
 
 def read_stored(spark: SparkSession, root: str, name: str) -> DataFrame:

@@ -5,8 +5,13 @@ A ladder tries providers in order, each only on the rows that those before it le
 
 from __future__ import annotations
 
+import io
+import re
+import wave
+import zlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
@@ -56,3 +61,77 @@ def ladder(rows: DataFrame, text: str, names: list[str]) -> DataFrame:
             yield f.assign(output=out.where(out.notna(), f[text]), provider=used, ok=out.notna())
 
     return rows.mapInPandas(run, schema)
+
+
+def plain_pdf_text(content: bytes) -> list[str]:
+    """A stand-in for a PDF library: the shown strings of each content stream, plain or deflated."""
+    pages = []
+    for body in re.findall(rb"stream\r?\n(.*?)endstream", content, re.S):
+        try:
+            body = zlib.decompress(body)
+        except zlib.error:
+            pass
+        shown = re.findall(rb"\(((?:[^()\\]|\\.)*)\)\s*Tj", body)
+        if shown:
+            pages.append("\n".join(re.sub(rb"\\(.)", rb"\1", s).decode("latin-1") for s in shown))
+    if not content.startswith(b"%PDF"):
+        raise ValueError("no PDF")
+    return pages
+
+
+def pdf_pages(files: DataFrame, provider: Callable[[bytes], list[str]] = plain_pdf_text) -> DataFrame:
+    """path, page_no and the stripped text of each page of (path, content); a file that the provider fails on has no pages."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for path, content in zip(f["path"], f["content"], strict=True):
+                try:
+                    texts = provider(content)
+                except Exception:  # whatever a library raises: the page images are read instead
+                    texts = []
+                yield pd.DataFrame({"path": [path] * len(texts), "page_no": range(len(texts)), "text": [t.strip() for t in texts]}).astype({"page_no": "int32", "path": object, "text": object})
+
+    return files.select("path", "content").mapInPandas(run, "path string, page_no int, text string")
+
+
+def page_images(files: DataFrame, provider: Callable[[bytes, int], list[bytes]], dpi: int = 150) -> DataFrame:
+    """path, page_no, dpi and image of each page of (path, content), as the provider draws it."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for path, content in zip(f["path"], f["content"], strict=True):
+                drawn = provider(content, dpi)
+                yield pd.DataFrame({"path": [path] * len(drawn), "page_no": range(len(drawn)), "dpi": dpi, "image": drawn}).astype({"page_no": "int32", "dpi": "int32", "path": object, "image": object})
+
+    return files.select("path", "content").mapInPandas(run, "path string, page_no int, dpi int, image binary")
+
+
+def mono_16k(content: bytes) -> bytes:
+    """A stand-in for an audio library: 16-bit PCM WAV of any rate and channels as 16 kHz mono."""
+    with wave.open(io.BytesIO(content)) as w:
+        channels, rate, raw = w.getnchannels(), w.getframerate(), np.frombuffer(w.readframes(w.getnframes()), dtype="<i2")
+    x = raw.reshape(-1, channels).mean(axis=1)
+    n = int(len(x) * 16_000 / rate)
+    y = np.interp(np.arange(n) * rate / 16_000, np.arange(len(x)), x) if len(x) else np.zeros(0)
+    out = io.BytesIO()
+    with wave.open(out, "wb") as w:
+        w.setparams((1, 2, 16_000, n, "NONE", ""))
+        w.writeframes(np.round(y).astype("<i2").tobytes())
+    return out.getvalue()
+
+
+def normalized_audio(files: DataFrame, provider: Callable[[bytes], bytes] = mono_16k) -> DataFrame:
+    """path, audio, ok and error of (path, content); a recording that cannot be converted says why."""
+
+    def one(content: bytes) -> tuple[bytes | None, str | None]:
+        try:
+            return provider(content), None
+        except Exception as e:  # whatever a library raises
+            return None, f"Audio normalization failed: {e}"
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            made = [one(c) for c in f["content"]]
+            yield pd.DataFrame({"path": f["path"], "audio": [a for a, _ in made], "ok": [a is not None for a, _ in made], "error": [e for _, e in made]})
+
+    return files.select("path", "content").mapInPandas(run, "path string, audio binary, ok boolean, error string")

@@ -1,18 +1,22 @@
 """Live transcript sessions as a stream.
 
 Rows are (session_id, seq, ts, kind, payload). Chunks of fewer than 100 bytes are ignored and do not count; each kept chunk makes a segment with the
-text of the session so far, an empty text a status, "done" a final row that closes the session, and silence an error row. State is the
-running text and a count, not a list of chunks.
+text of the session so far, an empty text a status, "done" a final row that closes the session, and silence an error row. A chunk that its
+transcriber fails on is an error row of its own and the session goes on. State is the running text and a count, not a list of chunks; of a
+closed session only the mark is left.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.window import Window
+
+from ..functions.text import strip
 
 MIN_BYTES = 100
 EVENT = "session_id long, seq long, ts timestamp_ntz, kind string, payload string"
@@ -24,7 +28,7 @@ def read_events(spark: SparkSession, path: str, files_per_batch: int = 1) -> Dat
     return spark.readStream.schema(EVENT).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def transcribe(events: DataFrame, timeout_ms: int | None = 60_000) -> DataFrame:
+def transcribe(events: DataFrame, timeout_ms: int | None = 60_000, transcriber: Callable[[str], str] | None = None) -> DataFrame:
     """The stream of results; update mode, the last row of a session replaces those before. A finite replay has no timeout."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -42,10 +46,15 @@ def transcribe(events: DataFrame, timeout_ms: int | None = 60_000) -> DataFrame:
                 closed = True
                 out.append((key[0], n, "done", text, True))
             elif r.kind == "chunk" and r.payload is not None and len(r.payload.encode()) >= MIN_BYTES:
+                try:
+                    heard = transcriber(r.payload) if transcriber else r.payload
+                except Exception as e:  # whatever a provider raises is this chunk's alone
+                    out.append((key[0], n, "error", f"Transcription error: {e}", False))
+                    continue
                 n += 1
-                text += r.payload
+                text += heard
                 out.append((key[0], n, "segment" if text.strip() else "status", text, False))
-        state.update((n, text, closed))
+        state.update((n, "" if closed else text, closed))
         if not closed and timeout_ms:
             state.setTimeoutDuration(timeout_ms)
         yield pd.DataFrame(out, columns=RESULT_NAMES)
@@ -59,14 +68,36 @@ RESULT_NAMES = ["session_id", "chunk_index", "kind", "text", "is_final"]
 
 def replay(events: DataFrame) -> DataFrame:
     """The batch counterpart: for every kept chunk before "done", the text so far."""
-    from pyspark.sql.window import Window
-
     w = Window.partitionBy("session_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     kept = events.withColumn("_done", F.max((F.col("kind") == "done").cast("int")).over(w)).filter("_done = 0 and kind = 'chunk'")
     kept = kept.filter(F.octet_length("payload") >= MIN_BYTES)
     return kept.select("session_id", F.row_number().over(Window.partitionBy("session_id").orderBy("seq")).cast("long").alias("chunk_index"), F.array_join(F.collect_list("payload").over(w), "").alias("text"))
 
 
+def resent(events: DataFrame) -> DataFrame:
+    """The chunks of more than MIN_BYTES with their places, as a client sends them again after a reconnection."""
+    w = Window.partitionBy("session_id").orderBy("seq")
+    return events.filter(F.octet_length("payload") > MIN_BYTES).withColumn("place", F.row_number().over(w))
+
+
+def isolated(events: DataFrame, failure: Column) -> DataFrame:
+    """session_id, place, kind and text of each kept chunk: its text, or an error where ``failure`` names one."""
+    kept = events.filter(F.octet_length("payload") >= MIN_BYTES).withColumn("_failure", failure)
+    place = F.row_number().over(Window.partitionBy("session_id").orderBy("seq"))
+    text = F.when(F.col("_failure").isNull(), F.col("payload")).otherwise(F.concat(F.lit("Transcription error: "), "_failure"))
+    return kept.select("session_id", place.alias("place"), F.when(F.col("_failure").isNull(), "segment").otherwise("error").alias("kind"), text.alias("text"))
+
+
+def with_interim(results: DataFrame) -> DataFrame:
+    """session_id, event, text from (session_id, event, seq, final, text): the final texts so far and the event's interim ones, stripped."""
+    parts = results.groupBy("session_id", "event").agg(F.array_sort(F.collect_list(F.struct("seq", "final", F.coalesce("text", F.lit("")).alias("text")))).alias("p"))
+    done = F.array_join(F.transform(F.filter("p", lambda x: x["final"]), lambda x: F.concat(x["text"], F.lit(" "))), "")
+    interim = F.array_join(F.transform(F.filter("p", lambda x: ~x["final"]), lambda x: x["text"]), "")
+    w = Window.partitionBy("session_id").orderBy("event").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    made = parts.select("session_id", "event", done.alias("done"), interim.alias("interim"))
+    return made.select("session_id", "event", strip(F.concat(F.array_join(F.collect_list("done").over(w), ""), F.col("interim"))).alias("text"))
+
+
 def write_results(results: DataFrame, path: str, checkpoint: str):
     """Append every micro-batch to a Parquet table; a batch that fails is retried from the checkpoint."""
 

@@ -5,7 +5,10 @@ from __future__ import annotations
 import io
 import random
 import statistics
+import struct
+import wave
 import zipfile
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -15,6 +18,7 @@ from sheafmill.functions import text as T
 from sheafmill.functions import translit
 from sheafmill.operators import geometry as G
 from sheafmill.operators import quality as Q
+from sheafmill.operators import raster as P
 from sheafmill.sources import files, providers
 from sheafmill.streaming import sessions
 
@@ -29,10 +33,9 @@ def one(spark, column, **values):
     [("", 0, 0, 0, 0), (" \t\n", 0, 0, 0, 0), ("की", 2, 1, 2, 1), ("a bc १२", 5, 3, 2, 1), ("a b", 2, 2, 0, 2), ("--- ab", 5, 2, 0, 1)],
 )
 def test_counts(spark, text, characters, words, deva, single):
-    t = F.col("t")
-    df = spark.createDataFrame([(text,)], "t string")
-    got = df.select(T.characters(t), F.size(T.tokens(t)), T.devanagari(t), T.single_character_tokens(t)).first()
-    assert tuple(got) == (characters, words, deva, single)
+    df = T.character_counts(spark.createDataFrame([(text,)], "t string"), F.col("t"))
+    got = df.select("character_count", "word_count", "devanagari_characters", "_single", T.characters(F.col("t")), F.size(T.tokens(F.col("t")))).first()
+    assert tuple(got) == (characters, words, deva, single, characters, words)
 
 
 @pytest.mark.parametrize(("n", "factor"), [(39, 39 / 40), (40, 1.0), (299, 1.0), (300, 1.0)])
@@ -122,35 +125,33 @@ def test_stream_equals_batch(spark, tmp_path):
     assert out.filter("kind = 'status'").count() == 1
 
 
-def surveyed_regions(lines, w_img, h_img):
-    """The surveyed fold L3 with the size filter F9, on lists: the lines' numbers of each region that stays."""
-    order = sorted(range(len(lines)), key=lambda i: (lines[i][1], lines[i][0]))
-    median_h = statistics.median(b[3] - b[1] for b in lines)
-    regions = []
-    for i in order:
-        line, best, best_score = lines[i], None, 0.0
-        for box, members in regions:
-            gap = line[1] - box[3]
-            if gap < -median_h or gap > max(18, int(median_h * 2.7)):
-                continue
-            a, b = box[2] - box[0], line[2] - line[0]
-            overlap = max(0, min(box[2], line[2]) - max(box[0], line[0])) / float(max(1, min(a, b)))
-            comparable = min(a, b) / float(max(a, b)) >= 0.42
-            both_wide = a >= w_img * 0.62 and b >= w_img * 0.62
-            centred = abs((line[0] + line[2]) / 2.0 - (box[0] + box[2]) / 2.0) <= max(a, b) * 0.28
-            if (overlap >= 0.35 and (comparable or both_wide)) or (centred and comparable):
-                score = overlap + 1.0 / (1.0 + max(0, gap))
-                if score > best_score:
-                    best, best_score = (box, members), score
-        if best is None:
-            regions.append((list(line), [i]))
-            continue
-        box, members = best
-        box[:] = [min(box[0], line[0]), min(box[1], line[1]), max(box[2], line[2]), max(box[3], line[3])]
-        members.append(i)
-    size = lambda b: (b[2] - b[0], b[3] - b[1])
-    kept = [(size(b), m) for b, m in regions]
-    return [set(m) for (w, h), m in kept if w >= max(30, int(w_img * 0.025)) and h >= 7 and w * h <= h_img * w_img * 0.35]
+def affinity(region, line, h, width):
+    """The score of a line for an open region; None where they do not go together."""
+    (x1, _, x2, bottom), (a1, top, a2, _) = region, line
+    w, v, below = x2 - x1, a2 - a1, top - bottom
+    share = max(0, min(x2, a2) - max(x1, a1)) / max(1, min(w, v))
+    alike = min(w, v) / max(w, v) >= 0.42
+    column = (share >= 0.35 and (alike or min(w, v) >= 0.62 * width)) or (alike and abs(x1 + x2 - a1 - a2) / 2 <= 0.28 * max(w, v))
+    return share + 1 / (1 + max(0, below)) if column and -h <= below <= max(18, int(2.7 * h)) else None
+
+
+def surveyed_regions(lines, width, height):
+    """The lines' numbers of each region that is of the size of text."""
+    h = statistics.median(y2 - y1 for _, y1, _, y2 in lines)
+    open_: list[tuple] = []
+    homes: list[set] = []
+    for i in sorted(range(len(lines)), key=lambda i: (lines[i][1], lines[i][0])):
+        scores = [(affinity(r, lines[i], h, width) or 0, -k) for k, r in enumerate(open_)]
+        score, k = max(scores, default=(0, 0))
+        if not score:
+            open_.append(lines[i])
+            homes.append({i})
+        else:
+            both = list(zip(open_[-k], lines[i], strict=True))
+            open_[-k] = (min(both[0]), min(both[1]), max(both[2]), max(both[3]))
+            homes[-k].add(i)
+    sizes = [(x2 - x1, y2 - y1) for x1, y1, x2, y2 in open_]
+    return [m for (w, v), m in zip(sizes, homes, strict=True) if w >= max(30, int(width * 0.025)) and v >= 7 and w * v <= 0.35 * width * height]
 
 
 def test_lines_are_grouped_by_the_surveyed_rule(spark):
@@ -171,3 +172,157 @@ def test_lines_are_grouped_by_the_surveyed_rule(spark):
     for p, lines in pages.items():
         assert [got.get(p, {})[k] for k in sorted(got.get(p, {}))] == surveyed_regions(lines, 1000, 1400), p
     assert got[1] == {0: {0}, 1: {1, 2}, 2: {3}} and got[3] == {0: {2}} and 4 not in got
+
+
+def test_reading_order_by_its_definition(spark):
+    rng = random.Random(9)
+    pages = {p: [(x, y, x + rng.choice([90, 200, 400, 700]), y + 30) for x, y in ((rng.randrange(0, 300, 10), rng.randrange(0, 900, 50)) for _ in range(12))] for p in range(25)}
+    rows = [(p, i, *b) for p, regions in pages.items() for i, b in enumerate(regions)]
+    got = {}
+    for r in G.reading_order(spark.createDataFrame(rows, "page int, ix int, x1 int, y1 int, x2 int, y2 int"), 1000).orderBy("page", "place").collect():
+        got.setdefault(r.page, []).append(r.ix)
+    for p, regions in pages.items():
+        want, waiting = [], []
+
+        def empty(waiting=waiting, want=want, regions=regions):
+            columns = []
+            for i in sorted(waiting, key=lambda i: (regions[i][0], regions[i][1], i)):
+                def fits(column, i=i):
+                    left, right = min(regions[k][0] for k in column), max(regions[k][2] for k in column)
+                    own = regions[i][2] - regions[i][0]
+                    return abs(regions[i][0] + regions[i][2] - left - right) / 2 <= 0.45 * max(own, right - left)
+
+                home = next((c for c in columns if fits(c)), None)
+                if home is None:
+                    columns.append([i])
+                else:
+                    home.append(i)
+            for c in sorted(columns, key=lambda c: min(regions[k][0] for k in c)):
+                want.extend(sorted(c, key=lambda k: (regions[k][1], regions[k][0])))
+            waiting.clear()
+
+        for i in sorted(range(len(regions)), key=lambda i: (regions[i][1], regions[i][0], i)):
+            if regions[i][2] - regions[i][0] >= 680:
+                empty()
+                want.append(i)
+            else:
+                waiting.append(i)
+        empty()
+        assert got[p] == want, p
+
+
+@pytest.mark.parametrize(("gap", "found"), [(0.25, True), (-0.25, False), (0.24, False)])
+def test_confidence_gaps_count_only_where_the_global_run_leads(spark, gap, found):
+    row = (True, True, 100, 140, 0.5 + gap, 0.5, 0.9, 0.9)
+    names = "complex_layout boolean, layout_attempted boolean, global_text_length int, layout_text_length int, global_confidence double, layout_confidence double, global_quality double, layout_quality double"
+    got = spark.createDataFrame([row], names).select(Q.layout_reasons().alias("r")).first().r
+    assert got == (["large_layout_confidence_gap"] if found else [])
+
+
+def test_units_of_every_kind(spark):
+    cases = {
+        "a b\n\n c\nd": ["a b", "c\nd"],
+        "a b\r\nc\x0bd": ["a b", "c", "d"],
+        "One. Two! Three? चार। पाँच": ["One.", "Two!", "Three?", "चार।", "पाँच"],
+        "  one ": ["one"],
+        "": [""],
+        None: [""],
+    }
+    rows = spark.createDataFrame([(t,) for t in cases], "t string").select("t", T.units(F.col("t")).alias("u")).collect()
+    assert {r.t: r.u for r in rows} == cases
+
+
+def test_chunks_by_their_definition(spark):
+    rng = random.Random(3)
+    texts = ["\n".join(" ".join(f"w{rng.randrange(9)}" for _ in range(rng.choice([1, 5, 60, 110, 219, 220, 221, 500]))) for _ in range(rng.randrange(1, 9))) for _ in range(60)]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.greedy_chunks(T.units(F.col("t"))).alias("c")).collect()
+    for r in got:
+        units = r.t.split("\n") if "\n" in r.t else [r.t]
+        want: list[list[str]] = []
+        full = True
+        for u in units:
+            w = u.split()
+            if len(w) > 220:
+                want += [[" ".join(w[i : i + 220])] for i in range(0, len(w), 220)]
+                full = True
+            elif full or len(" ".join(want[-1]).split()) + len(w) > 220:
+                want.append([u])
+                full = False
+            else:
+                want[-1].append(u)
+        assert r.c == ["\n\n".join(c) for c in want]
+
+
+def test_reflected_windows(spark):
+    px = spark.createDataFrame([(1, 0, c, v) for c, v in enumerate([10, 20, 40])], "img long, r int, c int, v int")
+    wide = P.padded(px, "r", "c", 3).orderBy("c").collect()
+    assert [(r.c, r.v) for r in wide] == [(-3, 20), (-2, 40), (-1, 20), (0, 10), (1, 20), (2, 40), (3, 20), (4, 10), (5, 20)]
+    ends = P.padded(px, "r", "c", 2, "repeat").orderBy("c").collect()
+    assert [r.v for r in ends] == [10, 10, 10, 20, 40, 40, 40]
+    assert P.sharpen(px.limit(0)).count() == 0 and P.sauvola(px.limit(0)).count() == 0
+
+
+def test_sidebar_pads(spark):
+    px = spark.createDataFrame([(1, x, y, 7) for x in (80, 86, 99) for y in (9, 10, 49, 50)], "page long, x int, y int, v int")
+    words = spark.createDataFrame([(1, 70, 20, 74, 40)], "page long, x1 int, y1 int, x2 int, y2 int")
+    got = {(r.x, r.y): r.v for r in G.sidebar_white(px, words, 100, 100).collect()}
+    assert {k for k, v in got.items() if v == 7} == {(80, 9), (80, 10), (80, 49), (80, 50), (86, 10), (86, 49)}
+
+
+def test_regions_of_a_page_are_read_in_order(spark):
+    lines = [(1, k, 50, 100 + 30 * k, 350, 120 + 30 * k) for k in range(8)] + [(1, 10 + k, 650, 100 + 30 * k, 950, 120 + 30 * k) for k in range(8)] + [(1, 20, 50, 20, 950, 60)]
+    lines = spark.createDataFrame(lines, "page int, ix int, x1 int, y1 int, x2 int, y2 int")
+    columns = spark.createDataFrame([(1, 40, 95, 360, 340), (1, 640, 95, 960, 340)], "page int, x1 int, y1 int, x2 int, y2 int")
+    got = G.layout_regions(lines, columns, 1000, 1400).orderBy("place").collect()
+    assert [(r.x1, r.y1) for r in got]== [(50, 20), (40, 95), (640, 95)]
+    none = G.layout_regions(lines, columns.limit(1), 1000, 1400).orderBy("place").collect()
+    assert [(r.x1, r.lines) for r in none] == [(50, 8), (650, 8)]  # the heading spans several columns
+
+
+def test_a_failing_chunk_is_an_error_of_its_own(spark, tmp_path):
+    rows = [(1, 0, None, "chunk", "a" * 100), (1, 1, None, "chunk", "!" * 100), (1, 2, None, "chunk", "c" * 100), (1, 3, None, "done", None), (1, 4, None, "chunk", "d" * 100)]
+    spark.createDataFrame(rows, sessions.EVENT).coalesce(1).write.parquet(str(tmp_path / "in"))
+
+    def hear(text):
+        if "!" in text:
+            raise ValueError("noise")
+        return text
+
+    live = sessions.transcribe(sessions.read_events(spark, str(tmp_path / "in")), timeout_ms=None, transcriber=hear)
+    sessions.write_results(live, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    got = [(r.kind, r.text) for r in spark.read.parquet(str(tmp_path / "out")).collect()]
+    assert got == [("segment", "a" * 100), ("error", "Transcription error: noise"), ("segment", "a" * 100 + "c" * 100), ("done", "a" * 100 + "c" * 100)]
+
+
+def test_saving_is_skipped_where_the_table_cannot_be_written(spark, tmp_path):
+    rows = spark.createDataFrame([("1", "x")], "id string, original_filename string")
+    assert files.append_or_skip(rows, str(tmp_path), "documents")[1] == "saved"
+    (tmp_path / "blocked").write_text("a file, not a folder")
+    kept, status = files.append_or_skip(rows, str(tmp_path / "blocked"), "documents")
+    assert status == "skipped" and kept.first().original_filename == "x"
+
+
+def test_stored_tables_in_the_catalog(spark, tmp_path):
+    spark.sql("CREATE DATABASE IF NOT EXISTS stored_test")
+    files.create_tables(spark, str(tmp_path), "stored_test")
+    files.append(spark.createDataFrame([("1", "x")], "id string, original_filename string"), str(tmp_path), "documents")
+    spark.catalog.refreshTable("stored_test.documents")
+    assert spark.table("stored_test.documents").count() == 1 and spark.table("stored_test.translations").count() == 0
+    files.drop_tables(spark, "stored_test")
+    spark.sql("DROP DATABASE stored_test")
+
+
+def test_files_of_other_libraries(spark):
+    pdf = b"%PDF-1.4\n1 0 obj\nstream\nBT (Hello \\(you\\)) Tj ( there ) Tj ET\nendstream\n2 0 obj\nstream\n" + zlib.compress(b"BT (two) Tj ET") + b"endstream"
+    rows = spark.createDataFrame([("a.pdf", pdf), ("b.pdf", b"junk")], "path string, content binary")
+    assert [tuple(r) for r in providers.pdf_pages(rows).orderBy("page_no").collect()] == [("a.pdf", 0, "Hello (you)\n there"), ("a.pdf", 1, "two")]
+    drawn = providers.page_images(rows.limit(1), lambda content, dpi: [content[:4], str(dpi).encode()]).collect()
+    assert [(r.page_no, r.dpi, bytes(r.image)) for r in drawn] == [(0, 150, b"%PDF"), (1, 150, b"150")]
+    out = io.BytesIO()
+    with wave.open(out, "wb") as w:
+        w.setparams((2, 2, 8000, 0, "NONE", ""))
+        w.writeframes(struct.pack("<8h", *[100, 300, 200, 400, 0, 0, 10, 30]))
+    heard = {r.path: r for r in providers.normalized_audio(spark.createDataFrame([("a", out.getvalue()), ("b", b"x")], "path string, content binary")).collect()}
+    with wave.open(io.BytesIO(bytes(heard["a"].audio))) as w:
+        assert (w.getnchannels(), w.getframerate(), w.getnframes()) == (1, 16_000, 8) and struct.unpack("<8h", w.readframes(8))[:3] == (200, 250, 300)
+    assert not heard["b"].ok and heard["b"].error.startswith("Audio normalization failed")
