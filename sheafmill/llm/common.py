@@ -9,10 +9,8 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import shared_folder, ship
 
-#: Where tests and single machines write; a cluster names its own folder in spark.checkpoint.dir.
-LOCAL_SHARED = "/tmp/checkpoints"
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: White space as the word rule [^\x20\x09-\x0D]+ has it.
 BLANKS = " \t\n\x0b\f\r"
@@ -21,14 +19,10 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share. Only a local master has one of its own where the session names none."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        found = LOCAL_SHARED
+    found = shared_folder(spark)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
+    return found
 
 
 def fresh_path(spark: SparkSession, tag: str) -> str:

@@ -325,27 +325,33 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "__x", "__y").mapInArrow(run, _PAIRS)
 
 
-def _open_groups(labelled: DataFrame, rows: DataFrame, family_rows: int) -> DataFrame:
-    """group, class, root of the families of several components; of a family of more than ``family_rows`` classes, of its band buckets."""
-    parts = labelled.groupBy("family", "root").agg(F.count("*").alias("m")).groupBy("family")
-    apart = materialise(parts.agg(F.count("*").alias("parts"), F.sum("m").alias("n")).filter("parts > 1").select("family", "n"), "apart")
-    members = labelled.join(apart, "family")
-    small = members.filter(F.col("n") <= family_rows).select(F.xxhash64("family").alias("group"), "class", "root")
-    if not apart.filter(F.col("n") > family_rows).limit(1).count():
-        return small
-    large = members.filter(F.col("n") > family_rows).select("class", "root").join(rows.select("bucket", "class"), "class")
-    return small.unionByName(large.select(F.xxhash64("bucket", F.lit(1)).alias("group"), "class", "root"))
+def _groups(members: DataFrame, group: str) -> DataFrame:
+    """Of each group of several components: its key, the largest one, how many classes it has and how many of them are in that one."""
+    parts = members.groupBy(group, "root").agg(F.count("*").alias("m")).groupBy(group)
+    found = parts.agg(F.count("*").alias("parts"), F.max_by("root", "m").alias("main"), F.sum("m").alias("n"), F.max("m").alias("most"))
+    return found.filter("parts > 1").drop("parts")
+
+
+def _open_members(labelled: DataFrame, rows: DataFrame, family_rows: int) -> DataFrame:
+    """group, class, root, main, n, most of the families of several components; of a family of more than ``family_rows`` classes, of its band buckets."""
+    families = materialise(_groups(labelled, "family"), "families-apart")
+    small = families.filter(F.col("n") <= family_rows)
+    members = labelled.join(small, "family").withColumn("group", F.xxhash64("family")).drop("family")
+    large = families.filter(F.col("n") > family_rows).select("family")
+    if large.limit(1).count():
+        within = labelled.join(large, "family").select("class", "root").join(rows.select("bucket", "class"), "class")
+        within = materialise(within, "large-families")
+        split = within.join(_groups(within, "bucket"), "bucket").withColumn("group", F.xxhash64("bucket", F.lit(1))).drop("bucket")
+        members = members.unionByName(split)
+    return members
 
 
 def _second_round(labelled: DataFrame, rows: DataFrame, classes: DataFrame, sets: DataFrame, least: float, percent: int, block: int, family_rows: int) -> DataFrame:
     """Links that join components of one family."""
-    members = materialise(_open_groups(labelled, rows, family_rows), "members")
-    parts = members.groupBy("group", "root").agg(F.count("*").alias("m")).groupBy("group")
-    groups = parts.agg(F.count("*").alias("parts"), F.max_by("root", "m").alias("main"), F.sum("m").alias("n"), F.max("m").alias("most")).filter("parts > 1")
     blocks = lambda n: F.ceil(n / block).cast("long")
-    groups = materialise(groups.select("group", "main", blocks(F.col("n")).alias("ni"), blocks(F.col("n") - F.col("most")).alias("nq")), "groups")
-    open_ = members.join(groups, "group").withColumn("outer", F.col("root") != F.col("main"))
-    open_ = materialise(open_.join(classes.select("class", "sig"), "class").join(sets, "class"), "open")
+    open_ = _open_members(labelled, rows, family_rows).withColumns({"ni": blocks(F.col("n")), "nq": blocks(F.col("n") - F.col("most")), "outer": F.col("root") != F.col("main")})
+    open_ = open_.join(classes.select("class", "sig"), "class").join(sets, "class")
+    open_ = materialise(open_.select("group", "class", "root", "ni", "nq", "outer", "sig", "set"), "open")
     all_of = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     index = open_.withColumn("bi", F.pmod(F.xxhash64("class"), F.col("ni"))).withColumn("bq", all_of("nq")).withColumn("query", F.lit(False))
     query = open_.filter("outer").withColumn("bq", F.pmod(F.xxhash64("class"), F.col("nq"))).withColumn("bi", all_of("ni")).withColumn("query", F.lit(True))
@@ -391,10 +397,9 @@ def _components(docs: DataFrame, text: str, key: str, words: int, percent: int,
     sets = _class_sets(docs, text, words, classes.join(ends, "class", "left_semi").select("class", "text_hash"))
     links = materialise(_confirmed(first, sets, percent), "links-1")
     roots = materialise(connected_components(links), "roots-1")
-    split = rows.filter(F.col("n") > block).select("bucket", "class")
-    heads = materialise(split.groupBy("bucket").agg(F.min("class").alias("a")), "heads")
-    bridges = split.join(heads, "bucket").select("a", F.col("class").alias("b"))
+    bridges = rows.filter(F.col("n") > block).select(F.col("class").alias("a"), F.unhex(F.hex("bucket")).alias("b"))  # a bucket in blocks is a node
     families = materialise(connected_components(first.unionByName(bridges)), "families").select(F.col("node").alias("class"), F.col("root").alias("family"))
+    families = families.filter(F.octet_length("class") == 16)  # without the buckets
     labelled = families.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     more = _second_round(materialise(labelled, "labelled"), rows, classes, sets, least, percent, max(1, block // 2), family_rows)
     joined = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)
