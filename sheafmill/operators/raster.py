@@ -89,6 +89,45 @@ def adaptive_ink(px: DataFrame, window: int = 51, offset: int = 11) -> DataFrame
     return d.select("img", "r", "c", F.when(F.col("v") - F.round("mean") <= -offset, 255).otherwise(0).alias("v"))
 
 
+def equalized(px: DataFrame, across: int = 8, down: int = 8, clip: float = 3.0) -> DataFrame:
+    """Histogram equalization by tiles with a limit on a bin, between the tiles' tables in proportion, then stretched to 0..255.
+
+    An image's sides are multiples of the tiles' numbers. What is over the limit is shared out evenly over the 256 bins.
+    """
+    w = Window.partitionBy("img")
+    sized = px.withColumns({"_w": F.floor((F.max("c").over(w) + 1) / across).cast("int"), "_h": F.floor((F.max("r").over(w) + 1) / down).cast("int")})
+    tiled = sized.withColumns({"_tx": F.floor(F.col("c") / F.col("_w")).cast("int"), "_ty": F.floor(F.col("r") / F.col("_h")).cast("int")})
+    bins = tiled.filter("v is not null").groupBy("img", "_ty", "_tx", "_w", "_h", "v").agg(F.count("*").alias("n"))
+    bins = bins.groupBy("img", "_ty", "_tx", "_w", "_h").agg(F.map_from_entries(F.collect_list(F.struct("v", "n"))).alias("_n"))
+    area = F.col("_w") * F.col("_h")
+    limit = F.greatest(F.lit(1), (clip * area / 256).cast("int"))
+    raw = F.transform(F.sequence(F.lit(0), F.lit(255)), lambda i: F.coalesce(F.try_element_at("_n", i), F.lit(0)))
+    bins = bins.withColumns({"_raw": raw, "_limit": limit}).withColumn("_over", F.aggregate("_raw", F.lit(0).cast("long"), lambda a, n: a + F.greatest(F.lit(0), n - F.col("_limit"))))
+    rest = F.col("_over") % 256
+    step = F.greatest(F.lit(1), F.floor(256 / F.greatest(F.lit(1), rest)))
+    shared = F.transform(
+        "_raw", lambda n, i: F.least(n, F.col("_limit")) + F.floor(F.col("_over") / 256) + F.when((rest > 0) & (i % step == 0) & (F.floor(i / step) < rest), 1).otherwise(0)
+    )
+    none = F.struct(F.array().cast("array<long>").alias("sums"), F.lit(0).cast("long").alias("s"))
+    summed = F.aggregate(shared, none, lambda a, n: F.struct(F.array_append(a["sums"], a["s"] + n).alias("sums"), (a["s"] + n).alias("s")), lambda a: a["sums"])
+    tables = bins.select("img", F.col("_ty").alias("_y"), F.col("_tx").alias("_x"), F.transform(summed, lambda s: F.bround(s * 255 / area)).alias("_table"))
+    at = lambda p, n: F.col(p) / F.col(n) - 0.5
+    place = sized.withColumns({"_fx": at("c", "_w"), "_fy": at("r", "_h")}).withColumns({"_x1": F.floor("_fx").cast("int"), "_y1": F.floor("_fy").cast("int")})
+    near = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1)])).alias("_o")
+    part = lambda f, one, o: F.when(o == 1, F.col(f) - F.col(one)).otherwise(1 - (F.col(f) - F.col(one)))
+    four = place.select("img", "r", "c", "v", "_fx", "_fy", "_x1", "_y1", near)
+    four = four.withColumns(
+        {
+            "_x": F.least(F.lit(across - 1), F.greatest(F.lit(0), F.col("_x1") + F.col("_o.j"))),
+            "_y": F.least(F.lit(down - 1), F.greatest(F.lit(0), F.col("_y1") + F.col("_o.i"))),
+            "_weight": part("_fx", "_x1", F.col("_o.j")) * part("_fy", "_y1", F.col("_o.i")),
+        }
+    )
+    mixed = four.join(tables, ["img", "_y", "_x"], "left").groupBy("img", "r", "c").agg(F.bround(F.sum(F.get("_table", F.col("v")) * F.col("_weight"))).alias("v"))
+    low, high = F.min("v").over(w), F.max("v").over(w)
+    return mixed.withColumn("v", F.when(high > low, F.bround((F.col("v") - low) * 255 / (high - low))).otherwise(F.col("v") * 0).cast("int"))
+
+
 def grayscale(bgr: DataFrame) -> DataFrame:
     """Pixels with b, g and r channels (``red`` to tell it from the row) as one value."""
     v = F.round(0.114 * F.col("b") + 0.587 * F.col("g") + 0.299 * F.col("red")).cast("int")

@@ -203,6 +203,19 @@ def adaptive_ink(spark, sf):
     return P.adaptive_ink(pixels(spark, sf))
 
 
+@query(f"""WITH {PIXELS}, tile AS (SELECT DISTINCT img, r // 4 AS ty, c // 4 AS tx FROM px), bin AS (SELECT *, unnest(range(0, 256)) AS b FROM tile),
+n AS (SELECT bin.img, bin.ty, bin.tx, b, count(px.v) AS n FROM bin LEFT JOIN px ON px.img = bin.img AND px.r // 4 = bin.ty AND px.c // 4 = bin.tx AND px.v = b GROUP BY ALL),
+o AS (SELECT img, ty, tx, sum(greatest(0, n - 1))::bigint AS over FROM n GROUP BY ALL),
+s AS (SELECT n.img, n.ty, n.tx, b, least(n, 1) + over // 256 + CASE WHEN over % 256 > 0 AND b % greatest(1, 256 // greatest(1, over % 256)) = 0 AND b // greatest(1, 256 // greatest(1, over % 256)) < over % 256 THEN 1 ELSE 0 END AS k FROM n JOIN o ON o.img = n.img AND o.ty = n.ty AND o.tx = n.tx),
+lut AS (SELECT img, ty, tx, b, round_even(sum(k) OVER (PARTITION BY img, ty, tx ORDER BY b) * 255 / 16.0::double, 0) AS l FROM s),
+f AS (SELECT img, r, c, v, r / 4.0::double - 0.5 AS fy, c / 4.0::double - 0.5 AS fx FROM px), g AS (SELECT *, floor(fy)::int AS y, floor(fx)::int AS x FROM f),
+q AS (SELECT g.img, g.r, g.c, round_even(sum(l * (CASE j WHEN 1 THEN fx - x ELSE 1 - (fx - x) END) * (CASE i WHEN 1 THEN fy - y ELSE 1 - (fy - y) END)), 0) AS v FROM g CROSS JOIN (VALUES (0), (1)) a(i) CROSS JOIN (VALUES (0), (1)) d(j)
+  JOIN lut ON lut.img = g.img AND lut.ty = least(1, greatest(0, y + i)) AND lut.tx = least(1, greatest(0, x + j)) AND lut.b = g.v GROUP BY g.img, g.r, g.c)
+SELECT img, r, c, CASE WHEN max(v) OVER (PARTITION BY img) > min(v) OVER (PARTITION BY img) THEN round_even((v - min(v) OVER (PARTITION BY img)) * 255 / (max(v) OVER (PARTITION BY img) - min(v) OVER (PARTITION BY img)), 0) ELSE 0 END::int AS v FROM q""")
+def contrast_by_tiles(spark, sf):
+    return P.equalized(pixels(spark, sf), 2, 2)
+
+
 BGR = "bgr AS (SELECT img, r, c, v AS b, v * 7 % 256 AS g, v * 13 % 256 AS red FROM px)"
 
 

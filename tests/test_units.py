@@ -326,3 +326,43 @@ def test_files_of_other_libraries(spark):
     with wave.open(io.BytesIO(bytes(heard["a"].audio))) as w:
         assert (w.getnchannels(), w.getframerate(), w.getnframes()) == (1, 16_000, 8) and struct.unpack("<8h", w.readframes(8))[:3] == (200, 250, 300)
     assert not heard["b"].ok and heard["b"].error.startswith("Audio normalization failed")
+
+
+BOXES = "page long, ix int, x1 int, y1 int, x2 int, y2 int, lines int"
+
+
+@pytest.mark.parametrize("kind", ["empty", "nulls"])
+def test_boxes_of_empty_tables_and_null_sides(spark, kind):
+    rows = [] if kind == "empty" else [(1, 1, None, None, None, None, None), (1, 2, 0, 0, 100, 20, 2), (1, 2, 0, 0, 100, 20, 2), (1, 3, 5, 5, 5, 5, 1), (None, 1, 0, 0, 900, 30, 1)]
+    b = spark.createDataFrame(rows, BOXES)
+    n = len(rows)
+    assert G.replace_overlapped(b, b.limit(0)).count() == n
+    assert G.without_redundant(b, 1000, 1400).count() <= n
+    assert G.complex_layout(b, 1000).filter("complex").count() == 0
+    assert G.reading_bands(b, 1000).count() == n
+    ok = b.filter("page is not null and x1 is not null")
+    assert G.reading_order(ok, 1000).count() == ok.count()
+    assert G.merge_nearby(ok).count() <= ok.count() and G.group_lines(ok, 1000, 1400).count() <= ok.count()
+    px = spark.createDataFrame([], "page long, x int, y int, v int")
+    assert G.sidebar_white(px, b, 1000, 1400).count() == 0
+    ink = px.select("page", "x", "y")
+    assert G.split_wide_boxes(b, ink, 1000, 1400).count() >= n
+    assert G.projection_columns(ink, b.select("page").distinct(), 1000, 1400).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["empty", "nulls"])
+def test_rasters_of_empty_tables_and_null_values(spark, kind):
+    rows = [] if kind == "empty" else [(1, r, c, None if r == c else 40 * r) for r in range(4) for c in range(4)] + [(2, 0, 0, None)]
+    px = spark.createDataFrame(rows, "img long, r int, c int, v int")
+    for made in (P.sauvola(px, 1), P.adaptive_ink(px, 5), P.open_close(px), P.without_lines(px, 2, 2), P.without_vertical_noise(px, 2), P.without_sidebar_noise(px, 0.5, 2), P.thinned(px), P.sharpen(px)):
+        assert made.count() == len(rows)
+    assert P.doubled(px).count() == 4 * len(rows) and P.components(px).count() <= len(rows)
+    bgr = px.select("img", "r", "c", F.col("v").alias("b"), F.col("v").alias("g"), F.lit(1).alias("red"))
+    assert P.grayscale(bgr).count() == P.without_blue(bgr).count() == len(rows)
+
+
+def test_texts_of_empty_tables_and_nulls(spark):
+    for rows in ([], [(None, None), ("", 0.5), ("a" * 300_000, 0.5)]):
+        df = spark.createDataFrame(rows, "text string, confidence double")
+        assert Q.page_quality(df).count() == len(rows)
+        assert df.select(T.units(F.col("text")), T.greedy_chunks(T.units(F.col("text"))), T.clean_transcription(F.col("text")), T.without_artifact_lines(F.col("text"))).count() == len(rows)
