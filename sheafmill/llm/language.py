@@ -338,8 +338,8 @@ def held_out(key: str) -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def identify(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> DataFrame:
+def identify(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", max_languages: int = MAX_LANGUAGES) -> DataFrame:
     """Train on the documents that are not held out and label them all: key, held_out, lang_pred, score."""
-    chains = training_chains(docs, text, lang, key, ~held_out(key) & F.col(key).isNotNull())
+    chains = training_chains(docs, text, lang, key, ~held_out(key) & F.col(key).isNotNull(), max_languages)
     found = label_documents(docs, train(chains) if chains else None, text, (key,))
     return found.select(F.col(key), held_out(key).alias("held_out"), "lang_pred", "score")
