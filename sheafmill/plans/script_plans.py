@@ -1,4 +1,4 @@
-"""Queries that SQL does not express: transliteration, live sessions and provider ladders."""
+"""Queries whose work is done in Python or as a stream: transliteration, live sessions, provider ladders, exports."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import translit
 from ..session import shared_folder, ship
-from ..sources import providers
+from ..sources import files, providers
 from ..streaming import sessions
 from .registry import query, table
 
@@ -22,7 +22,8 @@ def transliteration(spark, sf):
     return both.select("*", translit.column(translit.from_tamyig, F.col("tamyig")).alias("from_tamyig"), translit.column(translit.from_ranjana, F.col("ranjana")).alias("from_ranjana"))
 
 
-@query()
+@query("""WITH k AS (SELECT conv_id, turn, text FROM conversations WHERE octet_length(encode(text)) >= 100), s AS (SELECT conv_id, count(*) AS n, string_agg(text, '' ORDER BY turn) AS text FROM k GROUP BY conv_id)
+SELECT conv_id AS session_id, n AS chunk_index, CASE WHEN regexp_matches(text, '\\S') THEN 'segment' ELSE 'status' END AS kind, text FROM s""")
 def stream_sessions(spark, sf):
     """Conversations replayed as a live stream until its input ends; the last row of each session."""
     ship(spark)
@@ -37,7 +38,16 @@ def stream_sessions(spark, sf):
     return out.groupBy("session_id").agg(F.max_by(F.struct("chunk_index", "kind", "text"), F.struct("batch_id", "chunk_index")).alias("r")).select("session_id", "r.chunk_index", "r.kind", "r.text")
 
 
-@query()
+@query("""SELECT conv_id, turn, text, CASE WHEN regexp_matches(text, '\\S') AND length(text) % 2 = 0 THEN replace(upper(text), 'ẞ', 'SS') ELSE text END AS output, CASE WHEN NOT coalesce(regexp_matches(text, '\\S'), false) THEN NULL WHEN length(text) % 2 = 0 THEN 'upper' ELSE 'echo' END AS provider,
+ coalesce(regexp_matches(text, '\\S'), false) AS ok FROM conversations""")
 def provider_ladder(spark, sf):
     ship(spark)
     return providers.ladder(table(spark, sf, "conversations").select("conv_id", "turn", "text"), "text", ["fails", "upper", "echo"])
+
+
+@query("SELECT unnest(string_split(regexp_replace(text, '\\r\\n|\\r', chr(10), 'g'), chr(10))) AS line FROM conversations WHERE text IS NOT NULL AND text <> ''")
+def exported_lines(spark, sf):
+    """Transcripts written as plain text and read back, a row a line."""
+    at = f"{shared_folder(spark)}/transcripts-{spark.sparkContext.applicationId}-{spark.range(1).select(F.uuid()).first()[0]}"
+    files.write_transcripts(table(spark, sf, "conversations").filter("text is not null and text <> ''"), at)
+    return spark.read.text(at).select(F.col("value").alias("line"))

@@ -366,3 +366,41 @@ def test_texts_of_empty_tables_and_nulls(spark):
         df = spark.createDataFrame(rows, "text string, confidence double")
         assert Q.page_quality(df).count() == len(rows)
         assert df.select(T.units(F.col("text")), T.greedy_chunks(T.units(F.col("text"))), T.clean_transcription(F.col("text")), T.without_artifact_lines(F.col("text"))).count() == len(rows)
+
+
+def png(width, height, rgb):
+    """An uncompressed-filter PNG of 8-bit RGB pixels."""
+    def chunk(kind, body):
+        return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+
+    rows = b"".join(b"\0" + bytes(v for p in rgb[y * width : (y + 1) * width] for v in p) for y in range(height))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
+
+
+def test_transliteration_of_every_letter_both_ways():
+    for there, back, table in ((translit.to_tamyig, translit.from_tamyig, translit.T_BASES), (translit.to_ranjana, translit.from_ranjana, translit.R_BASES)):
+        first = {}
+        for letter, sign in table.items():
+            assert there(letter) == sign and there(f"a{letter} ") == f"a{sign} "
+            first.setdefault(sign, letter)
+        for sign, letter in first.items():
+            assert back(sign) == letter
+    for base in "कखगचजतदनपबमयरलसह":
+        for mark, sign in translit.T_MARKS.items():
+            assert translit.to_tamyig(base + mark) == translit.T_BASES[base] + sign and translit.from_tamyig(translit.T_BASES[base] + sign) == base + mark
+        for joined, sign in translit.T_JOINED.items():
+            if f"{base}्{joined}" not in translit.T_BASES:
+                assert translit.to_tamyig(f"{base}्{joined}") == translit.T_BASES[base] + sign
+        for mark, sign in translit.R_MARKS.items():
+            assert translit.to_ranjana(base + mark) == translit.R_BASES[base] + sign
+        assert translit.to_ranjana(base + "ि") == "l" + translit.R_BASES[base]
+
+
+def test_images_are_decoded_as_blue_green_red(spark, tmp_path):
+    (tmp_path / "a.png").write_bytes(png(2, 1, [(1, 2, 3), (40, 50, 60)]))
+    (tmp_path / "b.png").write_bytes(b"no image")
+    got = {r.origin.rsplit("/", 1)[1]: r for r in files.read_images(spark, str(tmp_path)).collect()}
+    assert (got["a.png"].width, got["a.png"].height, got["a.png"].nChannels) == (2, 1, 3)
+    assert bytes(got["a.png"].data) == bytes([3, 2, 1, 60, 50, 40]) and got["b.png"].height == -1
+    scanned = {r.path.rsplit("/", 1)[1]: (r.length, r.ext, r.route) for r in files.read_files(spark, str(tmp_path)).collect()}
+    assert scanned["b.png"] == (8, ".png", "image")
