@@ -252,3 +252,31 @@ def doubled(px: DataFrame) -> DataFrame:
         both = taps.select("img", line, F.col(along).alias("_at"), F.posexplode(F.array(*[half(w) for w in CUBIC])).alias("_half", "v"))
         held = both.select("img", line, (2 * F.col("_at") + F.col("_half")).alias(along), "v")
     return held.select("img", "r", "c", F.least(F.lit(255), F.greatest(F.lit(0), F.round("v"))).cast("int").alias("v"))
+
+
+def denoised(px: DataFrame, strength: float = 10.0, patch: int = 7, search: int = 21) -> DataFrame:
+    """Each pixel as a mean of those up to search // 2 away, weighed by how alike the patches around the two are (exp(-mean square / strength^2)).
+
+    An image is one group: its neighbourhoods overlap everywhere. Beyond the edges it is reflected; a null value counts as 0.
+    """
+    k, reach = patch // 2, search // 2
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        h, w = int(pdf.r.max()) + 1, int(pdf.c.max()) + 1
+        image = np.zeros((h, w))
+        image[pdf.r, pdf.c] = pdf.v.fillna(0)
+        wide = np.pad(image, k + reach, mode="reflect" if min(h, w) > 1 else "edge")
+        inner = wide[reach : reach + h + 2 * k, reach : reach + w + 2 * k]
+        total, weights = np.zeros((h, w)), np.zeros((h, w))
+        for i in range(2 * reach + 1):
+            for j in range(2 * reach + 1):
+                other = wide[i : i + h + 2 * k, j : j + w + 2 * k]
+                sums = np.pad(((inner - other) ** 2).cumsum(0).cumsum(1), ((1, 0), (1, 0)))
+                square = (sums[patch:, patch:] - sums[:-patch, patch:] - sums[patch:, :-patch] + sums[:-patch, :-patch]) / (patch * patch)
+                weight = np.exp(-square / (strength * strength))
+                total += weight * other[k : k + h, k : k + w]
+                weights += weight
+        v = np.floor(total / weights + 0.5)
+        return pd.DataFrame({"img": pdf.img, "r": pdf.r, "c": pdf.c, "v": v[pdf.r, pdf.c].astype(int)})
+
+    return px.select("img", "r", "c", "v").groupBy("img").applyInPandas(run, "img long, r int, c int, v int")

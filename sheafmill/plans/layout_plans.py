@@ -216,6 +216,14 @@ def contrast_by_tiles(spark, sf):
     return P.equalized(pixels(spark, sf), 2, 2)
 
 
+@query(f"""WITH {PIXELS}, pair AS (SELECT a.img, a.r, a.c, i, j, ti, tj, {_reflected('a.r + ti')} AS r1, {_reflected('a.c + tj')} AS c1, {_reflected('a.r + i + ti')} AS r2, {_reflected('a.c + j + tj')} AS c2
+  FROM px a CROSS JOIN {_offsets(2)} CROSS JOIN {_offsets(2, 'j')} CROSS JOIN {_offsets(1, 'ti')} CROSS JOIN {_offsets(1, 'tj')}),
+d AS (SELECT p.img, p.r, p.c, i, j, sum((x.v - y.v) * (x.v - y.v)) / 9::double AS d, any_value(y.v) FILTER (ti = 0 AND tj = 0) AS v FROM pair p JOIN px x ON x.img = p.img AND x.r = r1 AND x.c = c1 JOIN px y ON y.img = p.img AND y.r = r2 AND y.c = c2 GROUP BY p.img, p.r, p.c, i, j)
+SELECT img, r, c, floor(sum(exp(-d / 1600.0) * v) / sum(exp(-d / 1600.0)) + 0.5)::int AS v FROM d GROUP BY img, r, c""")
+def denoise(spark, sf):
+    return P.denoised(pixels(spark, sf), 40.0, 3, 5)
+
+
 BGR = "bgr AS (SELECT img, r, c, v AS b, v * 7 % 256 AS g, v * 13 % 256 AS red FROM px)"
 
 

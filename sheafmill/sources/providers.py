@@ -135,3 +135,19 @@ def normalized_audio(files: DataFrame, provider: Callable[[bytes], bytes] = mono
             yield pd.DataFrame({"path": f["path"], "audio": [a for a, _ in made], "ok": [a is not None for a, _ in made], "error": [e for _, e in made]})
 
     return files.select("path", "content").mapInPandas(run, "path string, audio binary, ok boolean, error string")
+
+
+def encoded_images(images: DataFrame, provider: Callable[[bytes, int], bytes], quality: int = 92) -> DataFrame:
+    """path and image of (path, image), as the provider encodes it for an upload; one that it fails on is null."""
+
+    def one(image: bytes) -> bytes | None:
+        try:
+            return provider(image, quality)
+        except Exception:  # whatever a library raises
+            return None
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield pd.DataFrame({"path": f["path"], "image": f["image"].map(one)})
+
+    return images.select("path", "image").mapInPandas(run, "path string, image binary")

@@ -316,6 +316,8 @@ def test_files_of_other_libraries(spark):
     pdf = b"%PDF-1.4\n1 0 obj\nstream\nBT (Hello \\(you\\)) Tj ( there ) Tj ET\nendstream\n2 0 obj\nstream\n" + zlib.compress(b"BT (two) Tj ET") + b"endstream"
     rows = spark.createDataFrame([("a.pdf", pdf), ("b.pdf", b"junk")], "path string, content binary")
     assert [tuple(r) for r in providers.pdf_pages(rows).orderBy("page_no").collect()] == [("a.pdf", 0, "Hello (you)\n there"), ("a.pdf", 1, "two")]
+    coded = providers.encoded_images(spark.createDataFrame([("a", b"xy"), ("b", b"")], "path string, image binary"), lambda image, quality: image[:1] + bytes([quality, image[0]])).collect()
+    assert {r.path: r.image and bytes(r.image) for r in coded} == {"a": b"x\x5cx", "b": None}
     drawn = providers.page_images(rows.limit(1), lambda content, dpi: [content[:4], str(dpi).encode()]).collect()
     assert [(r.page_no, r.dpi, bytes(r.image)) for r in drawn] == [(0, 150, b"%PDF"), (1, 150, b"150")]
     out = io.BytesIO()
