@@ -237,10 +237,10 @@ def grayscale(spark, sf):
     return P.grayscale(colours(spark, sf))
 
 
-@query(f"WITH {PIXELS}, {BGR} SELECT img, r, c, [red, g, b] AS rgb FROM bgr")
+@query(f"WITH {PIXELS}, {BGR} SELECT img, r, c, red || ',' || g || ',' || b AS rgb FROM bgr")
 def channel_swap(spark, sf):
     """Blue, green, red to red, green, blue."""
-    return colours(spark, sf).select("img", "r", "c", F.reverse(F.array("b", "g", "red")).alias("rgb"))
+    return colours(spark, sf).select("img", "r", "c", F.array_join(F.reverse(F.array("b", "g", "red")).cast("array<string>"), ",").alias("rgb"))
 
 
 @query(f"""WITH {PIXELS}, {BGR}, h AS (SELECT *, greatest(b, g, red)::double AS top, (greatest(b, g, red) - least(b, g, red))::double AS span FROM bgr),
