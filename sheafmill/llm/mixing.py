@@ -183,10 +183,13 @@ def _planned(
     sources, streams = (_streams_on_driver if few else _streams_as_tables)(sums, weights, most, block_words, seed)
     before = Window.partitionBy("__src", "__t").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     bases = _dealt(sums, sources).select("__src", "__t", "__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
-    bases = materialise(_joined(bases, streams.drop("__s", "__n"), "__src", "__t"), "mix-bases")
-    within = Window.partitionBy("__src", "__t", "__b").orderBy("__order").rowsBetween(Window.unboundedPreceding, -1)
-    placed = _dealt(sized, sources).drop("__streams", "__fine").withColumn("__before", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    ranked = _joined(placed, bases, "__src", "__t", "__b").withColumn("start", F.col("__base") + F.col("__before"))
+    # Keys without nulls: the window's partitioning then serves the join too, and texts are exchanged once.
+    plain = {"__none": F.col("__src").isNull(), "__name": F.coalesce(F.col("__src").cast("string"), F.lit(""))}
+    place = [*plain, "__t", "__b"]
+    bases = materialise(_joined(bases, streams.drop("__s", "__n"), "__src", "__t").withColumns(plain).drop("__src"), "mix-bases")
+    within = Window.partitionBy(*place).orderBy("__order").rowsBetween(Window.unboundedPreceding, -1)
+    placed = _dealt(sized, sources).drop("__streams", "__fine").withColumns(plain).withColumn("__before", F.coalesce(F.sum("size").over(within), F.lit(0)))
+    ranked = placed.join(bases.hint("merge"), place).withColumn("start", F.col("__base") + F.col("__before"))
     taken = f"repeats * size + ({_words_before('start + size', block_words)}) - ({_words_before('start', block_words)})"
     return ranked.withColumn("taken", F.expr(taken)), bases
 
