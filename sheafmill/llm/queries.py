@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import codec, embeddings, language, minhash, mixing, packing, quality, secrets, sharding, urls
+from . import additive, clusters, codec, embeddings, language, minhash, mixing, packing, quality, secrets, sharding, urls, variants
 from .common import table
 
 #: The rules of op7: host, path prefix and verdict.
@@ -79,6 +79,19 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+def op11_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return additive.judge_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(table(spark, sf_dir, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = clusters.cluster(table(spark, sf_dir, "embeddings"), k=8, dims=64, rounds=10, seed=3, scale=1024)
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
@@ -139,7 +152,36 @@ r AS (SELECT doc_id, len(ws)::bigint AS n_words, length(regexp_replace(t, '[\x20
 SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND lost_chars <= 0.4 * word_chars AS kept FROM r
 """
 
+#: crc32 by its table; near words by what a deletion leaves of them.
+OP12_SQL = r"""
+WITH RECURSIVE t AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END)) ORDER BY i) AS t FROM range(256) AS r(i)),
+r AS (SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{00C0}-\x{00FF}]+')) AS run FROM documents) GROUP BY ALL),
+b AS (SELECT run, n, flatten(list_transform(string_split(coalesce(doc_id::varchar, '') || ':' || run, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)::bigint] ELSE [192 + (unicode(x) >> 6)::bigint, 128 + (unicode(x) & 63)::bigint] END)) AS bytes FROM r),
+h AS (SELECT run, n, xor(4294967295, list_reduce(list_prepend(4294967295::bigint, bytes), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]))) AS h FROM b, t),
+w AS (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, (h % length(run))::int) || substr(run, (h % length(run))::int + 2) ELSE run END AS word, sum(n)::bigint AS n FROM h GROUP BY 1),
+v AS MATERIALIZED (SELECT word, n FROM w WHERE length(word) >= 6 AND n >= 5),
+d AS MATERIALIZED (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM v, unnest(range(1, length(word) + 1)) AS u(i)),
+l AS (SELECT DISTINCT * FROM (SELECT a.word, b.word AS near, b.n FROM d a JOIN d b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION ALL SELECT a.word, b.word, b.n FROM d a JOIN v b ON a.rest = b.word UNION ALL SELECT b.word, a.word, a.n FROM d a JOIN v b ON a.rest = b.word)),
+best AS (SELECT word, count(*) AS n_near, max(n) AS best_n FROM l GROUP BY word),
+f AS MATERIALIZED (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 5 * v.n THEN (SELECT min(near) FROM l WHERE l.word = v.word AND l.n = best_n) END AS form, CASE WHEN best_n >= 5 * v.n THEN best_n END AS form_n FROM v LEFT JOIN best USING (word)),
+p AS (SELECT word, word AS root FROM f WHERE form IS NULL UNION ALL SELECT f.word, p.root FROM p JOIN f ON f.form = p.word)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN p USING (word)
+"""
+
+#: Assignment and means of a round, ten times over.
+ROUND_SQL = """
+a{i} AS MATERIALIZED (SELECT vec_id, any_value(q) AS q, min(8 * list_sum(list_transform(list_zip(q, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint + cluster) AS m FROM v, c{i} GROUP BY vec_id),
+c{j} AS MATERIALIZED (SELECT c{i}.cluster, coalesce(new, c) AS c FROM c{i} LEFT JOIN (
+  SELECT cluster, list(x ORDER BY k) AS new FROM (SELECT m % 8 AS cluster, k, floor(sum(q[k]) / count(*))::bigint AS x FROM a{i}, unnest(range(1, 65)) AS u(k) GROUP BY ALL) GROUP BY cluster) n ON n.cluster = c{i}.cluster)"""
+OP13_SQL = f"""
+WITH v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) AS q FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS cluster, q AS c FROM v ORDER BY cluster LIMIT 8),{",".join(ROUND_SQL.format(i=i, j=i + 1) for i in range(11))}
+SELECT vec_id, cluster::int AS cluster, distance, sum(distance) OVER (PARTITION BY cluster)::bigint AS cluster_inertia, sum(distance) OVER ()::bigint AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM (SELECT vec_id, m % 8 AS cluster, m // 8 AS distance FROM a10) JOIN c10 USING (cluster)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     """SQL where it expresses a query; the others are tested against brute force, round trips and held-out accuracy in tests/llm."""
-    return {"op4_minhash": OP4_SQL, "op6_embedding_dedup": OP6_SQL, "op7_url_filter": OP7_SQL, "op9_quality_rules": OP9_SQL}
+    return {"op4_minhash": OP4_SQL, "op6_embedding_dedup": OP6_SQL, "op7_url_filter": OP7_SQL, "op9_quality_rules": OP9_SQL, "op12_spelling_variants": OP12_SQL, "op13_centroid_clusters": OP13_SQL}
