@@ -52,17 +52,27 @@ def padded(px: DataFrame, line: str, along: str, k: int, border: str = "reflect"
 
 
 def smoothed(px: DataFrame, values: dict[str, str], weights: list[float], border: str = "reflect") -> DataFrame:
-    """img, r, c, v and ``values`` (column: what it smooths): weighted sums over the neighbours within len(weights) // 2 rows and columns."""
+    """img, r, c, v and ``values`` (column: what it smooths): weighted sums over the neighbours within len(weights) // 2 rows and columns.
+
+    Equal weights take differences of running sums; they are applied at the end, so sums of whole numbers stay exact.
+    """
     k, held = len(weights) // 2, px.select("img", "r", "c", "v", *[F.col(v).cast("double").alias(name) for name, v in values.items()])
     if not k:
         return held
+    even = len(set(weights)) == 1
     w = F.array(*[F.lit(float(x)) for x in weights])
     for line, along in (("r", "c"), ("c", "r")):
-        frame = _frame(line, along, -k, k)
-        sums = {name: F.aggregate(F.zip_with(F.collect_list(name).over(frame), w, lambda a, b: a * b), F.lit(0.0), lambda x, y: x + y) for name in values}
         wide = padded(held, line, along, k, border)
-        held = wide.withColumns(sums).filter((F.col(along) >= 0) & (F.col(along) < F.col("_n"))).drop("_n")
-    return held
+        if even:
+            order = Window.partitionBy("img", line).orderBy(along)
+            running = wide.withColumns({name: F.sum(name).over(order.rowsBetween(Window.unboundedPreceding, 0)) for name in values})
+            sums = {name: F.lead(name, k).over(order) - F.coalesce(F.lag(name, k + 1).over(order), F.lit(0.0)) for name in values}
+            wide = running.withColumns(sums)
+        else:
+            frame = _frame(line, along, -k, k)
+            wide = wide.withColumns({name: F.aggregate(F.zip_with(F.collect_list(name).over(frame), w, lambda a, b: a * b), F.lit(0.0), lambda x, y: x + y) for name in values})
+        held = wide.filter((F.col(along) >= 0) & (F.col(along) < F.col("_n"))).drop("_n")
+    return held.withColumns({name: F.col(name) * (weights[0] * weights[0]) for name in values}) if even else held
 
 
 def box(k: int) -> list[float]:
@@ -153,11 +163,20 @@ def _reach(k: int, times: int) -> tuple[int, int]:
     return -(k // 2) * times, (k - 1 - k // 2) * times
 
 
+def dilated(px: DataFrame, wide: int, high: int, times: int = 1) -> DataFrame:
+    """Greatest value over ``wide`` columns and ``high`` rows; the kernel's pixel ``size // 2`` is the one that is set, as in an erosion."""
+    (cl, ch), (rl, rh) = _reach(max(1, wide), times), _reach(max(1, high), times)
+    return px.withColumn("v", F.max("v").over(_frame("r", "c", cl, ch))).withColumn("v", F.max("v").over(_frame("c", "r", rl, rh)))
+
+
+def eroded(px: DataFrame, wide: int, high: int, times: int = 1) -> DataFrame:
+    (cl, ch), (rl, rh) = _reach(max(1, wide), times), _reach(max(1, high), times)
+    return px.withColumn("v", F.min("v").over(_frame("r", "c", cl, ch))).withColumn("v", F.min("v").over(_frame("c", "r", rl, rh)))
+
+
 def opened(px: DataFrame, wide: int, high: int, times: int = 1) -> DataFrame:
     """Erosion, then dilation, by ``wide`` columns and ``high`` rows."""
-    (cl, ch), (rl, rh) = _reach(max(1, wide), times), _reach(max(1, high), times)
-    eroded = px.withColumn("v", F.min("v").over(_frame("r", "c", cl, ch))).withColumn("v", F.min("v").over(_frame("c", "r", rl, rh)))
-    return eroded.withColumn("v", F.max("v").over(_frame("r", "c", -ch, -cl))).withColumn("v", F.max("v").over(_frame("c", "r", -rh, -rl)))
+    return dilated(eroded(px, wide, high, times), wide, high, times)
 
 
 def _inverted(px: DataFrame) -> DataFrame:
@@ -201,7 +220,8 @@ def erode(px: DataFrame, lo: int = -1, hi: int = 0) -> DataFrame:
     return rows.select("img", "r", "c", F.min("_m").over(_frame("c", "r", lo, hi)).alias("v"))
 
 
-def dilate(px: DataFrame, lo: int = 0, hi: int = 1, keep: tuple[str, ...] = ()) -> DataFrame:
+def dilate(px: DataFrame, lo: int = -1, hi: int = 0, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Greatest value over the same offsets."""
     rows = px.withColumn("_m", F.max("v").over(_frame("r", "c", lo, hi)))
     return rows.select("img", "r", "c", F.max("_m").over(_frame("c", "r", lo, hi)).alias("v"), *keep)
 
@@ -210,27 +230,6 @@ def open_close(px: DataFrame) -> DataFrame:
     return erode(dilate(dilate(erode(px))))
 
 
-def components(px: DataFrame, on: int = 128) -> DataFrame:
-    """img, r, c, label: 8-connected pixels of at least ``on`` share the place (in row order) of their first one."""
-
-    def label(pdf: pd.DataFrame) -> pd.DataFrame:
-        h, w = int(pdf.r.max()) + 1, int(pdf.c.max()) + 1
-        ids = np.full((h + 2, w + 2), h * w, dtype=np.int64)
-        lit = pdf[pdf.v >= on]
-        ids[lit.r + 1, lit.c + 1] = lit.r * w + lit.c
-        mask = ids < h * w
-        while True:
-            least = np.min([ids[1 + i : h + 1 + i, 1 + j : w + 1 + j] for i in (-1, 0, 1) for j in (-1, 0, 1)], axis=0)
-            new = ids.copy()
-            new[1:-1, 1:-1] = np.where(mask[1:-1, 1:-1], least, h * w)
-            if (new == ids).all():
-                break
-            ids = new
-        return pd.DataFrame({"img": lit.img, "r": lit.r, "c": lit.c, "label": ids[lit.r + 1, lit.c + 1]})
-
-    return px.groupBy("img").applyInPandas(label, "img long, r int, c int, label long")
-
-
 def sharpen(px: DataFrame, amount: float = 1.5, rest: float = -0.5, sigma: float = 3.0) -> DataFrame:
     """Unsharp mask: a Gaussian blur of ``sigma`` (kernel of 6 sigma, odd) taken off, clipped to 0..255."""
     size = round(6 * sigma + 1) | 1

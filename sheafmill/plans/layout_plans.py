@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators import geometry as G
+from ..operators import lines as L
 from ..operators import raster as P
 from .registry import query, table
 
@@ -260,22 +261,22 @@ def _line(name: str, source: str, fn: str, along: str, lo: int, hi: int) -> str:
 INVERSE = "inv AS (SELECT img, r, c, 255 - v AS v FROM px)"
 
 
-@query(f"""WITH {PIXELS}, {INVERSE}, {_line('h1', 'inv', 'min', 'c', -4, 2)}, {_line('h2', 'h1', 'max', 'c', -2, 4)}, {_line('v1', 'inv', 'min', 'r', -4, 2)}, {_line('v2', 'v1', 'max', 'r', -2, 4)},
+@query(f"""WITH {PIXELS}, {INVERSE}, {_line('h1', 'inv', 'min', 'c', -4, 2)}, {_line('h2', 'h1', 'max', 'c', -4, 2)}, {_line('v1', 'inv', 'min', 'r', -4, 2)}, {_line('v2', 'v1', 'max', 'r', -4, 2)},
 b AS (SELECT h2.img, h2.r, h2.c, least(255, h2.v + v2.v) AS v FROM h2 JOIN v2 ON v2.img = h2.img AND v2.r = h2.r AND v2.c = h2.c), {_line('d1', 'b', 'max', 'c', -1, 1)}, {_line('d2', 'd1', 'max', 'r', -1, 1)}
 SELECT px.img, px.r, px.c, CASE WHEN d2.v > 0 THEN 255 ELSE px.v END AS v FROM px JOIN d2 ON d2.img = px.img AND d2.r = px.r AND d2.c = px.c""")
 def line_removal(spark, sf):
     return P.without_lines(pixels(spark, sf), 4, 4)
 
 
-@query(f"""WITH {PIXELS}, {INVERSE}, {_line('v1', 'inv', 'min', 'r', -2, 2)}, {_line('v2', 'v1', 'max', 'r', -2, 2)} SELECT px.img, px.r, px.c, CASE WHEN v2.v > 0 THEN 255 ELSE px.v END AS v FROM px JOIN v2 ON v2.img = px.img AND v2.r = px.r AND v2.c = px.c""")
+@query(f"""WITH {PIXELS}, {INVERSE}, {_line('v1', 'inv', 'min', 'r', -4, 2)}, {_line('v2', 'v1', 'max', 'r', -4, 2)} SELECT px.img, px.r, px.c, CASE WHEN v2.v > 0 THEN 255 ELSE px.v END AS v FROM px JOIN v2 ON v2.img = px.img AND v2.r = px.r AND v2.c = px.c""")
 def vertical_noise(spark, sf):
-    return P.without_vertical_noise(pixels(spark, sf), 3)
+    return P.without_vertical_noise(pixels(spark, sf), 4)
 
 
-@query(f"""WITH {PIXELS}, inv AS (SELECT img, r, c, 255 - v AS v FROM px WHERE c >= 6), {_line('v1', 'inv', 'min', 'r', -3, 3)}, {_line('v2', 'v1', 'max', 'r', -3, 3)}
+@query(f"""WITH {PIXELS}, inv AS (SELECT img, r, c, 255 - v AS v FROM px WHERE c >= 6), {_line('v1', 'inv', 'min', 'r', -3, 0)}, {_line('v2', 'v1', 'max', 'r', -3, 0)}
 SELECT px.img, px.r, px.c, CASE WHEN v2.v > 0 THEN 255 ELSE px.v END AS v FROM px LEFT JOIN v2 ON v2.img = px.img AND v2.r = px.r AND v2.c = px.c""")
 def sidebar_noise(spark, sf):
-    return P.without_sidebar_noise(pixels(spark, sf), 0.3, 3)
+    return P.without_sidebar_noise(pixels(spark, sf), 0.3, 2)
 
 
 @query(f"WITH {PIXELS}, {INVERSE}, {_line('t1', 'inv', 'min', 'c', -1, 0)}, {_line('t2', 't1', 'min', 'r', -1, 0)} SELECT img, r, c, 255 - v AS v FROM t2")
@@ -287,7 +288,7 @@ def _morph(name: str, source: str, fn: str, lo: int, hi: int) -> str:
     return f"{name} AS (SELECT a.img, a.r, a.c, {fn}(o.v) AS v FROM {source} a JOIN {source} o ON a.img = o.img AND o.r BETWEEN a.r + {lo} AND a.r + {hi} AND o.c BETWEEN a.c + {lo} AND a.c + {hi} GROUP BY a.img, a.r, a.c)"
 
 
-@query(f"WITH {PIXELS}, {_morph('m1', 'px', 'min', -1, 0)}, {_morph('m2', 'm1', 'max', 0, 1)}, {_morph('m3', 'm2', 'max', 0, 1)}, {_morph('m4', 'm3', 'min', -1, 0)} SELECT img, r, c, v FROM m4")
+@query(f"WITH {PIXELS}, {_morph('m1', 'px', 'min', -1, 0)}, {_morph('m2', 'm1', 'max', -1, 0)}, {_morph('m3', 'm2', 'max', -1, 0)}, {_morph('m4', 'm3', 'min', -1, 0)} SELECT img, r, c, v FROM m4")
 def morph_open_close(spark, sf):
     return P.open_close(pixels(spark, sf))
 
@@ -310,7 +311,7 @@ def sharpen(spark, sf):
 walk AS (SELECT img, pos AS start, r, c FROM lit UNION SELECT w.img, w.start, l.r, l.c FROM walk w JOIN lit l ON l.img = w.img AND abs(l.r - w.r) <= 1 AND abs(l.c - w.c) <= 1)
 SELECT img, r, c, min(start)::bigint AS label FROM walk GROUP BY img, r, c""")
 def raster_components(spark, sf):
-    return P.components(pixels(spark, sf))
+    return L.labelled_pixels(pixels(spark, sf))
 
 
 def _halves(name: str, source: str, along: str) -> str:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-MODULES = ("text_plans", "service_plans", "layout_plans", "script_plans", "response_plans", "ladder_plans")
+MODULES = ("text_plans", "service_plans", "layout_plans", "script_plans", "response_plans", "ladder_plans", "page_plans")
 
 
 def query(sql: str | None = None) -> Callable:
