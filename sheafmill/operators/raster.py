@@ -3,12 +3,14 @@
 Windows run within an image's rows or columns, so the work is spread by image and line. A blur or local mean at an edge reads pixels reflected
 about the outermost one (2 1 | 0 1 2), or the outermost one again where ``border`` is "repeat"; least and largest values ignore what lies outside.
 
-Edge cases: a null value is no pixel of a mean and passes through a least or largest value; an image without pixels has no rows; an empty table gives an empty one.
+Edge cases: a null value counts as 0 in a sum of neighbours and passes through a least or largest value; an image without pixels has no rows; an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -32,10 +34,8 @@ def _frame(line: str, along: str, lo: int, hi: int):
     return Window.partitionBy("img", line).orderBy(along).rowsBetween(lo, hi)
 
 
-def _source(p: Column, n: Column, border: str) -> Column:
-    """The position that an outer position ``p`` of a line of ``n`` pixels reads."""
-    if border == "repeat":
-        return F.least(F.greatest(p, F.lit(0)), n - 1)
+def _source(p: Column, n: Column) -> Column:
+    """The position that an outer position ``p`` of a line of ``n`` pixels reads by reflection."""
     m = F.pmod(p, F.greatest(F.lit(1), 2 * n - 2))
     return F.when(m < n, m).otherwise(2 * n - 2 - m)
 
@@ -43,10 +43,15 @@ def _source(p: Column, n: Column, border: str) -> Column:
 def padded(px: DataFrame, line: str, along: str, k: int, border: str = "reflect") -> DataFrame:
     """``px`` and the k outer pixels at both ends of each line, copies of those that they read."""
     n = F.max(along).over(Window.partitionBy("img", line)) + 1
-    outer = F.concat(F.sequence(F.lit(-k), F.lit(-1)), F.sequence(F.col("_n"), F.col("_n") + k - 1))
-    copies = F.filter(outer, lambda p: _source(p, F.col("_n"), border) == F.col(along))
-    near = (F.col(along) <= k) | (F.col(along) >= F.col("_n") - 1 - k)
-    at = F.explode(F.concat(F.array(F.col(along)), F.when(near, copies).otherwise(F.array().cast("array<int>"))))
+    place, last, none = F.col(along).cast("int"), F.col("_n") - 1, F.array().cast("array<int>")
+    if border == "repeat":
+        copies = F.concat(F.when(place == 0, F.sequence(F.lit(-k), F.lit(-1))).otherwise(none), F.when(place == last, F.sequence(F.col("_n"), last + k)).otherwise(none))
+    else:
+        once = F.array_compact(F.array(F.when(place.between(1, k), -place), F.when(place.between(last - k, last - 1), 2 * last - place)))
+        outer = F.concat(F.sequence(F.lit(-k), F.lit(-1)), F.sequence(F.col("_n"), last + k))
+        copies = F.when(F.col("_n") > k, once).otherwise(F.filter(outer, lambda p: _source(p, F.col("_n")) == place))  # a line shorter than k is reflected again and again
+    near = (place <= k) | (place >= last - k)
+    at = F.explode(F.concat(F.array(place), F.when(near, copies).otherwise(none)))
     own = [c for c in px.columns if c != along]
     return px.withColumn("_n", n.cast("int")).select(*own, "_n", at.alias(along))
 
@@ -56,22 +61,18 @@ def smoothed(px: DataFrame, values: dict[str, str], weights: list[float], border
 
     Equal weights take differences of running sums; they are applied at the end, so sums of whole numbers stay exact.
     """
-    k, held = len(weights) // 2, px.select("img", "r", "c", "v", *[F.col(v).cast("double").alias(name) for name, v in values.items()])
+    k, held = len(weights) // 2, px.select("img", "r", "c", "v", *[F.coalesce(F.col(v).cast("double"), F.lit(0.0)).alias(name) for name, v in values.items()])
     if not k:
         return held
     even = len(set(weights)) == 1
-    w = F.array(*[F.lit(float(x)) for x in weights])
     for line, along in (("r", "c"), ("c", "r")):
-        wide = padded(held, line, along, k, border)
+        wide, order = padded(held, line, along, k, border), Window.partitionBy("img", line).orderBy(along)
         if even:
-            order = Window.partitionBy("img", line).orderBy(along)
-            running = wide.withColumns({name: F.sum(name).over(order.rowsBetween(Window.unboundedPreceding, 0)) for name in values})
+            wide = wide.withColumns({name: F.sum(name).over(order.rowsBetween(Window.unboundedPreceding, 0)) for name in values})
             sums = {name: F.lead(name, k).over(order) - F.coalesce(F.lag(name, k + 1).over(order), F.lit(0.0)) for name in values}
-            wide = running.withColumns(sums)
         else:
-            frame = _frame(line, along, -k, k)
-            wide = wide.withColumns({name: F.aggregate(F.zip_with(F.collect_list(name).over(frame), w, lambda a, b: a * b), F.lit(0.0), lambda x, y: x + y) for name in values})
-        held = wide.filter((F.col(along) >= 0) & (F.col(along) < F.col("_n"))).drop("_n")
+            sums = {name: reduce(add, [F.lag(name, k - i).over(order) * float(x) for i, x in enumerate(weights)]) for name in values}
+        held = wide.withColumns(sums).filter((F.col(along) >= 0) & (F.col(along) < F.col("_n"))).drop("_n")
     return held.withColumns({name: F.col(name) * (weights[0] * weights[0]) for name in values}) if even else held
 
 
@@ -253,6 +254,28 @@ def doubled(px: DataFrame) -> DataFrame:
     return held.select("img", "r", "c", F.least(F.lit(255), F.greatest(F.lit(0), F.round("v"))).cast("int").alias("v"))
 
 
+def shrunk(px: DataFrame, most: int = 2500) -> DataFrame:
+    """Images whose longer side is over ``most`` brought down to it; a pixel is the mean of what it covers, parts of pixels by their share.
+
+    One pass a direction: a source pixel goes to the target places that it overlaps (at most two, as images only shrink), and each place sums its parts.
+    """
+    w = Window.partitionBy("img")
+    sized = px.withColumns({"_w": (F.max("c").over(w) + 1).cast("int"), "_h": (F.max("r").over(w) + 1).cast("int")})
+    scale = F.lit(float(most)) / F.greatest("_w", "_h")
+    small = sized.filter(F.greatest("_w", "_h") <= most).select("img", "r", "c", "v")
+    held = sized.filter(F.greatest("_w", "_h") > most).select("img", "r", "c", F.col("v").cast("double").alias("v"), F.greatest(F.lit(1), (F.col("_w") * scale).cast("int")).alias("tc"), "_w", F.greatest(F.lit(1), (F.col("_h") * scale).cast("int")).alias("tr"), "_h")
+    for at, other, size, target in (("c", "r", "_w", "tc"), ("r", "c", "_h", "tr")):
+        step = F.col(size) / F.col(target)
+        first, last = F.floor(F.col(at) / step - 1e-9), F.least(F.floor((F.col(at) + 1) / step + 1e-9), F.col(target) - 1)
+        spread = held.withColumn("_t", F.explode(F.sequence(F.greatest(F.lit(0), first).cast("int"), last.cast("int"))))
+        part = F.least(F.col(at) + 1, (F.col("_t") + 1) * step) - F.greatest(F.col(at), F.col("_t") * step)
+        spread = spread.withColumn("_p", part).filter("_p > 1e-9")
+        rest = ["_w", "tc", "_h", "tr"]
+        held = spread.groupBy("img", other, "_t", *rest).agg((F.sum(F.col("v") * F.col("_p")) / F.sum(F.when(F.col("v").isNotNull(), F.col("_p")))).alias("v")).withColumnRenamed("_t", at)
+    v = F.least(F.lit(255), F.greatest(F.lit(0), F.floor(F.round("v", 6) + 0.5))).cast("int")
+    return small.unionByName(held.select("img", "r", "c", v.alias("v")))
+
+
 def denoised(px: DataFrame, strength: float = 10.0, patch: int = 7, search: int = 21) -> DataFrame:
     """Each pixel as a mean of those up to search // 2 away, weighed by how alike the patches around the two are (exp(-mean square / strength^2)).
 

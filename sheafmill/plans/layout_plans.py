@@ -178,13 +178,13 @@ def run_merge(spark, sf):
     return G.merge_runs(G.mask_runs(pixels(spark, sf), ["img", "r"], "c", F.col("v") >= 128), ["img", "r"], 2)
 
 
-def _blurred(name: str, source: str, value: str, weights: list[str], border: str = "reflect") -> str:
+def _blurred(name: str, source: str, value: str, weights: list[str], border: str = "reflect", wide: int = 8, high: int = 8) -> str:
     """SQL: ``source`` (img, r, c, v, value) with m, the weighted sum over rows and columns around, one direction after the other."""
     k = len(weights) // 2
-    at = _reflected if border == "reflect" else (lambda p: f"greatest(0, least(7, {p}))")
+    at = _reflected if border == "reflect" else (lambda p, n: f"greatest(0, least({n - 1}, {p}))")
     w = "CASE i " + " ".join(f"WHEN {i - k} THEN {x}" for i, x in enumerate(weights)) + " END"
-    return f"""{name}_1 AS (SELECT a.img, a.r, a.c, any_value(a.v) AS v, sum(o.{value} * ({w})) AS m FROM {source} a CROSS JOIN {_offsets(k)} JOIN {source} o ON o.img = a.img AND o.r = a.r AND o.c = {at('a.c + i')} GROUP BY a.img, a.r, a.c),
-{name} AS (SELECT a.img, a.r, a.c, any_value(a.v) AS v, sum(o.m * ({w})) AS m FROM {name}_1 a CROSS JOIN {_offsets(k)} JOIN {name}_1 o ON o.img = a.img AND o.c = a.c AND o.r = {at('a.r + i')} GROUP BY a.img, a.r, a.c)"""
+    return f"""{name}_1 AS (SELECT a.img, a.r, a.c, any_value(a.v) AS v, sum(o.{value} * ({w})) AS m FROM {source} a CROSS JOIN {_offsets(k)} JOIN {source} o ON o.img = a.img AND o.r = a.r AND o.c = {at('a.c + i', wide)} GROUP BY a.img, a.r, a.c),
+{name} AS (SELECT a.img, a.r, a.c, any_value(a.v) AS v, sum(o.m * ({w})) AS m FROM {name}_1 a CROSS JOIN {_offsets(k)} JOIN {name}_1 o ON o.img = a.img AND o.c = a.c AND o.r = {at('a.r + i', high)} GROUP BY a.img, a.r, a.c)"""
 
 
 def _bell(size: int, sigma: float) -> list[str]:
@@ -379,11 +379,3 @@ SELECT page, x1, min(y) AS y1, x2, max(y) + 1 AS y2 FROM txt WHERE n > greatest(
 def projection_columns(spark, sf):
     pages = table(spark, sf, "embeddings").select(F.floor(F.col("vec_id") / 8).alias("page")).distinct()
     return G.projection_columns(ink(spark, sf), pages, 320, 80)
-
-
-@query()
-def detect_layout_regions(spark, sf):
-    """Regions of a page from its line boxes and its projection columns, in reading order."""
-    pages = table(spark, sf, "embeddings").select(F.floor(F.col("vec_id") / 8).alias("page")).distinct()
-    columns = G.projection_columns(ink(spark, sf), pages, 320, 80)
-    return G.layout_regions(boxes(spark, sf), columns, W, H)

@@ -10,6 +10,7 @@ from ..operators import lines as L
 from ..operators import raster as P
 from ..operators import skew as S
 from ..operators.graph import held
+from .layout_plans import _bell, _blurred
 from .registry import query, table
 
 W, H = 128, 80
@@ -84,3 +85,50 @@ SELECT tap.img, tap.r, tap.c, least(255, greatest(0, floor(round(sum(weight * g.
 UNION ALL SELECT img, r, c, v FROM gray WHERE img NOT IN (SELECT img FROM skew)""")
 def deskew_pages(spark, sf):
     return S.deskewed(pages(spark, sf), **HOW)
+
+
+BOX_SQL = f"""{_blurred('sft', 'gray', 'v', ['0.25', '0.5', '0.25'], 'reflect', W, H)}, soft AS MATERIALIZED (SELECT img, r, c, round(m)::int AS v FROM sft), {_blurred('bel', 'soft', 'v', _bell(51, 8.0), 'repeat', W, H)},
+bin AS MATERIALIZED (SELECT img, r, c FROM bel WHERE v - round(m) <= -11), wid AS MATERIALIZED (SELECT DISTINCT img, r, c + o AS c FROM bin CROSS JOIN (SELECT unnest(range(-7, 9)) AS o) WHERE c + o BETWEEN 0 AND {W - 1}),
+isl AS (SELECT img, r, c, c - row_number() OVER (PARTITION BY img, r ORDER BY c) AS k FROM wid), runs AS MATERIALIZED (SELECT img, r, min(c) AS s, max(c) + 1 AS e, r * {L.ROW} + min(c) AS id FROM isl GROUP BY img, r, k),
+walk AS (SELECT img, id AS start, id, r, s, e FROM runs UNION SELECT w.img, w.start, n.id, n.r, n.s, n.e FROM walk w JOIN runs n ON n.img = w.img AND abs(n.r - w.r) = 1 AND n.s <= w.e AND n.e >= w.s),
+lab AS (SELECT img, id, r, s, e, min(start) AS root FROM walk GROUP BY ALL), box AS MATERIALIZED (SELECT img, root, min(s) AS x1, min(r) AS y1, max(e) AS x2, max(r) + 1 AS y2 FROM lab GROUP BY ALL),
+gap AS (SELECT img, r, c, c - row_number() OVER (PARTITION BY img, r ORDER BY c) AS k FROM gray ANTI JOIN wid USING (img, r, c)), free AS MATERIALIZED (SELECT img, r, min(c) AS s, max(c) + 1 AS e FROM gap GROUP BY img, r, k),
+outside AS (SELECT * FROM free WHERE r IN (0, {H - 1}) OR s = 0 OR e = {W} UNION SELECT n.* FROM outside w JOIN free n ON n.img = w.img AND abs(n.r - w.r) = 1 AND n.s < w.e AND n.e > w.s),
+ext AS (SELECT * FROM box b WHERE root < {L.ROW} OR EXISTS (SELECT 1 FROM outside o WHERE o.img = b.img AND o.r = root // {L.ROW} - 1 AND root % {L.ROW} >= o.s AND root % {L.ROW} < o.e)),
+inked AS MATERIALIZED (SELECT b.img, root, x1, y1, x2, y2, count(k.c) AS ink FROM ext b LEFT JOIN bin k ON k.img = b.img AND k.r >= y1 AND k.r < y2 AND k.c >= x1 AND k.c < x2 GROUP BY ALL),
+kept AS (SELECT img AS page, row_number() OVER (PARTITION BY img ORDER BY root) AS ix, x1, y1, x2, y2, ink FROM inked WHERE x2 - x1 >= 24 AND y2 - y1 BETWEEN 5 AND 120 AND (x2 - x1) * (y2 - y1) <= 0.22 * {W * H} AND ink / ((x2 - x1) * (y2 - y1))::double BETWEEN 0.035 AND 0.72)"""
+
+
+@query(f"WITH RECURSIVE {PAGES}, {BOX_SQL} SELECT * FROM kept")
+def text_line_boxes(spark, sf):
+    """Line-like boxes of the pages as they are, with the ink inside."""
+    return L.text_line_boxes(pages(spark, sf), W, H)
+
+
+def page_regions(px):
+    """page, place, x1 .. y2, lines of pages of W x H pixels: their line boxes merged, split and grouped, replaced where projection columns cover them, in reading order."""
+    ink = held(P.adaptive_ink(px).filter("v > 0").select(F.col("img").alias("page"), F.col("c").alias("x"), F.col("r").alias("y")))
+    merged = G.merge_nearby(L.text_line_boxes(px, W, H).drop("ink"))
+    pieces = held(G.split_wide_boxes(merged, ink, W, H))
+    lines = pieces.select("page", (F.col("ix") * 1000 + F.col("piece")).alias("ix"), *G.BOX)
+    columns = G.projection_columns(ink, px.select(F.col("img").alias("page")).distinct(), W, H)
+    return G.layout_regions(lines, held(columns), W, H)
+
+
+@query()
+def detect_layout_regions(spark, sf):
+    """Regions of the straightened pages, from their pixels."""
+    return page_regions(held(S.deskewed(pages(spark, sf), **HOW)))
+
+
+def _shares(along: str, size: int, target: int) -> str:
+    """SQL: each target place with the source places that it covers and their parts."""
+    a, b = f"({along}_t * {size / target!r}e0)", f"(({along}_t + 1) * {size / target!r}e0)"
+    return f"s{along} AS (SELECT {along}_t, {along}, least({along} + 1, {b}) - greatest({along}, {a}) AS part FROM (SELECT unnest(range(0, {target})) AS {along}_t) CROSS JOIN (SELECT unnest(range(0, {size})) AS {along}) WHERE least({along} + 1, {b}) - greatest({along}, {a}) > 1e-9)"
+
+
+@query(f"""WITH {PAGES}, {_shares('c', W, 50)}, {_shares('r', H, 31)}
+SELECT img, r_t AS r, c_t AS c, least(255, greatest(0, floor(round(sum(v * sr.part * sc.part) / sum(sr.part * sc.part), 6) + 0.5)))::int AS v FROM gray g JOIN sc ON sc.c = g.c JOIN sr ON sr.r = g.r GROUP BY img, r_t, c_t""")
+def area_resize(spark, sf):
+    """Pages whose longer side is over 50 pixels, brought down to it."""
+    return P.shrunk(pages(spark, sf), 50)
