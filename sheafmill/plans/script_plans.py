@@ -23,7 +23,7 @@ def transliteration(spark, sf):
 
 
 @query("""WITH k AS (SELECT conv_id, turn, text FROM conversations WHERE octet_length(encode(text)) >= 100), s AS (SELECT conv_id, count(*) AS n, string_agg(text, '' ORDER BY turn) AS text FROM k GROUP BY conv_id)
-SELECT conv_id AS session_id, n AS chunk_index, CASE WHEN regexp_matches(text, '\\S') THEN 'segment' ELSE 'status' END AS kind, text FROM s""")
+SELECT conv_id AS session_id, n AS chunk_index, CASE WHEN regexp_matches(text, '\\S') THEN 'segment' ELSE 'status' END AS kind, CASE WHEN regexp_matches(text, '\\S') THEN text ELSE 'No speech detected in this chunk yet...' END AS text FROM s""")
 def stream_sessions(spark, sf):
     """Conversations replayed as a live stream until its input ends; the last row of each session."""
     ship(spark)
@@ -34,7 +34,7 @@ def stream_sessions(spark, sf):
     events.write.parquet(f"{at}/in")
     live = sessions.transcribe(sessions.read_events(spark, f"{at}/in", 1000), timeout_ms=None)
     sessions.write_results(live, f"{at}/out", f"{at}/state").awaitTermination()
-    out = spark.read.schema(sessions.RESULT + ", batch_id long").parquet(f"{at}/out")
+    out = sessions.read_results(spark, f"{at}/out")
     return out.groupBy("session_id").agg(F.max_by(F.struct("chunk_index", "kind", "text"), F.struct("batch_id", "chunk_index")).alias("r")).select("session_id", "r.chunk_index", "r.kind", "r.text")
 
 

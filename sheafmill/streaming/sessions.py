@@ -1,69 +1,110 @@
 """Live transcript sessions as a stream.
 
-Rows are (session_id, seq, ts, kind, payload). Chunks of fewer than 100 bytes are ignored and do not count; each kept chunk makes a segment with the
-text of the session so far, an empty text a status, "done" a final row that closes the session, and silence an error row. A chunk that its
-transcriber fails on is an error row of its own and the session goes on. State is the running text and a count, not a list of chunks; of a
-closed session only the mark is left.
+Rows are (session_id, seq, ts, kind, payload). Chunks of fewer than 100 bytes are ignored and do not count. Every kept chunk counts and stays in the session's
+audio, whether or not it can be transcribed: the transcriber hears all audio so far, its text makes a segment, no text a status, and a failure an
+error row after which the session goes on. "done" makes a final row and closes the session; so does silence, by a timer. Chunks that a client sends
+again are told by ``seq``: what is not above the last one seen is passed over.
+
+State is a session's count, audio and last seq; of a closed session only the last seq is left, and that expires after ``forget_ms``. A chunk after that opens a new session.
 """
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import LongType, StringType, StructType
 from pyspark.sql.window import Window
 
 from ..functions.text import strip
+from ..sources import unit
 
 MIN_BYTES = 100
 EVENT = "session_id long, seq long, ts timestamp_ntz, kind string, payload string"
 RESULT = "session_id long, chunk_index long, kind string, text string, is_final boolean"
-STATE = "n long, text string, closed boolean"
+RESULT_NAMES = ["session_id", "chunk_index", "kind", "text", "is_final"]
+OPEN = StructType().add("n", LongType()).add("audio", StringType()).add("seq", LongType())
+CLOSED = StructType().add("seq", LongType())
+PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: What a client is told.
+TIMED_OUT = "Connection timed out after 60 seconds of inactivity"
+NO_SPEECH = "No speech detected in this chunk yet..."
 
 
 def read_events(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
     return spark.readStream.schema(EVENT).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def transcribe(events: DataFrame, timeout_ms: int | None = 60_000, transcriber: Callable[[str], str] | None = None) -> DataFrame:
-    """The stream of results; update mode, the last row of a session replaces those before. A finite replay has no timeout."""
+class Sessions(StatefulProcessor):
+    """One session's state, its timer of silence and the mark that it leaves."""
+
+    def __init__(self, timeout_ms: int | None, forget_ms: int, transcriber: Callable[[str], str] | None) -> None:
+        self.timeout_ms, self.forget_ms, self.transcriber = timeout_ms, forget_ms, transcriber
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getValueState("open", OPEN)
+        self.closed = handle.getValueState("closed", CLOSED, self.forget_ms if self.timeout_ms else None)
+
+    def _close(self, seq: int) -> None:
+        self.open.clear()
+        self.closed.update((seq,))
+        self._stop_timers()
+
+    def _stop_timers(self) -> None:
+        for t in list(self.handle.listTimers()) if self.timeout_ms else ():
+            self.handle.deleteTimer(t)
+
+    def _heard(self, key: int, n: int, audio: str) -> tuple:
+        try:
+            text = self.transcriber(audio) if self.transcriber else audio
+        except Exception as e:  # whatever a provider raises is this chunk's alone
+            return (key, n, "error", f"Transcription error: {e}", False)
+        return (key, n, "segment", text, False) if text.strip() else (key, n, "status", NO_SPEECH, False)
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, text, closed = state.get if state.exists else (0, "", False)
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        last = self.closed.get()[0] if self.closed.exists() else None
+        n, audio, seq = self.open.get() if self.open.exists() else (0, "", -1)
         out: list[tuple] = []
-        if state.hasTimedOut:
-            state.remove()
-            yield pd.DataFrame([(key[0], n, "error", "timeout", True)], columns=RESULT_NAMES)
-            return
-        rows = pd.concat(list(frames)).sort_values("seq")
-        for r in rows.itertuples():
-            if closed:
-                break
+        events = pd.concat(list(rows)).sort_values("seq") if last is None else pd.DataFrame()
+        for r in events.itertuples():
+            if r.seq <= seq:
+                continue
+            seq = int(r.seq)
             if r.kind == "done":
-                closed = True
-                out.append((key[0], n, "done", text, True))
-            elif r.kind == "chunk" and r.payload is not None and len(r.payload.encode()) >= MIN_BYTES:
-                try:
-                    heard = transcriber(r.payload) if transcriber else r.payload
-                except Exception as e:  # whatever a provider raises is this chunk's alone
-                    out.append((key[0], n, "error", f"Transcription error: {e}", False))
-                    continue
-                n += 1
-                text += heard
-                out.append((key[0], n, "segment" if text.strip() else "status", text, False))
-        state.update((n, "" if closed else text, closed))
-        if not closed and timeout_ms:
-            state.setTimeoutDuration(timeout_ms)
+                out.append((key[0], n, "done", "", True))
+                self._close(seq)
+                break
+            if r.kind == "chunk" and r.payload is not None and len(r.payload.encode()) >= MIN_BYTES:
+                n, audio = n + 1, audio + r.payload
+                out.append(self._heard(key[0], n, audio))
+        else:
+            if last is None:
+                self.open.update((n, audio, seq))
+                self._wait(timerValues)
         yield pd.DataFrame(out, columns=RESULT_NAMES)
 
-    timeout = GroupStateTimeout.ProcessingTimeTimeout if timeout_ms else GroupStateTimeout.NoTimeout
-    return events.groupBy("session_id").applyInPandasWithState(step, RESULT, STATE, "update", timeout)
+    def _wait(self, timers) -> None:
+        if self.timeout_ms:
+            self._stop_timers()
+            self.handle.registerTimer(timers.getCurrentProcessingTimeInMs() + self.timeout_ms)
 
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        n, _, seq = self.open.get() if self.open.exists() else (0, "", -1)
+        self._close(seq)
+        yield pd.DataFrame([(key[0], n, "error", TIMED_OUT, True)], columns=RESULT_NAMES)
 
-RESULT_NAMES = ["session_id", "chunk_index", "kind", "text", "is_final"]
+
+def transcribe(events: DataFrame, timeout_ms: int | None = 60_000, transcriber: Callable[[str], str] | None = None, forget_ms: int = 3_600_000) -> DataFrame:
+    """The stream of results; update mode, the last row of a session replaces those before. A finite replay has neither timers nor marks that expire."""
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])  # the driver's own worker has no shipped package on its path
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
+    return events.groupBy("session_id").transformWithStateInPandas(Sessions(timeout_ms, forget_ms, transcriber), RESULT, "update", "ProcessingTime" if timeout_ms else "None")
 
 
 def replay(events: DataFrame) -> DataFrame:
@@ -98,10 +139,14 @@ def with_interim(results: DataFrame) -> DataFrame:
     return made.select("session_id", "event", strip(F.concat(F.array_join(F.collect_list("done").over(w), ""), F.col("interim"))).alias("text"))
 
 
-def write_results(results: DataFrame, path: str, checkpoint: str):
-    """Append every micro-batch to a Parquet table; a batch that fails is retried from the checkpoint."""
+def write_results(results: DataFrame, path: str, checkpoint: str, **trigger):
+    """Publish every micro-batch once: a batch that is run again after it was published writes nothing."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(path)
+        unit.publish(path, f"batch-{batch_id:012d}", {"results": batch.withColumn("batch_id", F.lit(batch_id).cast("long"))})
+
+    return results.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
 
-    return results.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def read_results(spark: SparkSession, path: str) -> DataFrame:
+    return unit.read(spark, path, "results", RESULT + ", batch_id long")
