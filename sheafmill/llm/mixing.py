@@ -1,10 +1,14 @@
 """Mixing sources to target weights: Sainte-Lague apportionment of equal-token blocks, then seeded selection.
 
 Every source is dealt by hash into streams. A stream's documents, in seeded hash order, are one run of words cut into
-blocks of ``block_words``. All streams get integer quotas of blocks by highest quotients; a stream with n blocks and
+equal blocks. The streams of all sources with the same block get integer quotas by highest quotients; a stream with n blocks and
 a quota of q takes each block q // n times and a seeded, evenly spread q % n of them once more. Which blocks those
 are is arithmetic on the block number, so no block is ever a row.
 
+A block has ``block_words`` words, but a source whose target is under ``FINE`` such blocks has one of the largest power of two that goes ``FINE`` times into its
+target, of one word at least. A stream is entitled to its blocks times its source's target over its size. So a source's taken words differ from its
+target by about a block a stream: a FINE-th of the target, or a word where that is more.
+
 Positions come from sums by (source, bucket), then a window within a bucket, so a source with a third of all rows is many tasks. Up to
 ``driver_sources`` sources are apportioned on the driver: a row a source and one a stream, at most ``MAX_STREAMS`` plus two a source. More
 are apportioned as tables: the water level and the multiplier are found by sums, and what ties leave over goes by rank.
@@ -26,7 +30,8 @@ from pyspark.sql.window import Window
 from .common import materialise, n_words, scratch
 
 MAX_STREAMS = 256
-ADDED = ("size", "source_size", "target", "taken", "stream", "start", "repeats", "n_blocks", "extra", "phase")
+FINE = 16
+ADDED = ("size", "source_size", "target", "taken", "stream", "start", "repeats", "block", "n_blocks", "extra", "phase")
 
 
 def water_fill(sizes: list[int], weights: list[float], most: float = 3.0, total: float | None = None) -> list[float]:
@@ -73,10 +78,19 @@ def _chosen_before(k: str) -> str:
     return f"(({k}) * extra + phase) div n_blocks"
 
 
-def _words_before(p: str, block: int) -> str:
+def _words_before(p: str) -> str:
     """SQL: how many of the stream's first p words those blocks hold."""
-    k = f"(({p}) div {block})"
-    return f"({_chosen_before(k)}) * {block} + (({p}) % {block}) * (({_chosen_before(f'{k} + 1')}) - ({_chosen_before(k)}))"
+    k = f"(({p}) div block)"
+    return f"({_chosen_before(k)}) * block + (({p}) % block) * (({_chosen_before(f'{k} + 1')}) - ({_chosen_before(k)}))"
+
+
+def block_sizes(block_words: int) -> list[int]:
+    """The blocks that sources may have: ``block_words`` and the powers of two below."""
+    return [1 << i for i in range(block_words.bit_length()) if 1 << i < block_words] + [block_words]
+
+
+def block_of(target: float, block_words: int) -> int:
+    return max(b for b in block_sizes(block_words) if b == 1 or FINE * b <= target)
 
 
 def _numbered(rows: DataFrame, *order, tag: str) -> DataFrame:
@@ -99,7 +113,7 @@ def _joined(left: DataFrame, right: DataFrame, *keys: str) -> DataFrame:
     return left.join(named, on).drop(*[f"{k}_" for k in keys])
 
 
-STREAMS = "__s long, __t long, source_size long, target double, __n long, stream string, repeats long, n_blocks long, extra long, phase long"
+STREAMS = "__s long, __t long, source_size long, target double, __n long, stream string, repeats long, block long, n_blocks long, extra long, phase long"
 
 
 def _streams_on_driver(sums: DataFrame, weights: tuple[float, ...], most: int, block: int, seed: int) -> tuple[DataFrame, DataFrame]:
@@ -115,13 +129,15 @@ def _streams_on_driver(sums: DataFrame, weights: tuple[float, ...], most: int, b
     rank = {s: i for i, (s, _) in enumerate(found)}
     dealt = _dealt(sums, sources).groupBy("__src", "__t").agg(F.sum("__n").alias("n")).collect()
     dealt = sorted((rank[r["__src"]], r["__t"], r["n"]) for r in dealt)
-    blocks = [-(-n // block) for _, _, n in dealt]
-    entitled = [targets[s] * n / max(1, sizes[s]) / block for s, _, n in dealt]
-    quotas = sainte_lague(entitled, round(sum(entitled)), [most * n for n in blocks])
     rows = []
-    for (s, t, size), n, q in zip(dealt, blocks, quotas, strict=True):
-        n = max(n, 1)
-        rows.append((found[s][0], s, t, sizes[s], targets[s], size, f"{s}-{t}", q // n, n, q % n, (s * 7919 + t * 104_729 + seed * 31) % n))
+    for size in block_sizes(block):
+        own_streams = [d for d in dealt if block_of(targets[d[0]], block) == size]
+        blocks = [-(-n // size) for _, _, n in own_streams]
+        entitled = [targets[s] * n / max(1, sizes[s]) for (s, _, _), n in zip(own_streams, blocks, strict=True)]
+        quotas = sainte_lague(entitled, round(sum(entitled)), [most * n for n in blocks])
+        for (s, t, words), n, q in zip(own_streams, blocks, quotas, strict=True):
+            n = max(n, 1)
+            rows.append((found[s][0], s, t, sizes[s], targets[s], words, f"{s}-{t}", q // n, size, n, q % n, (s * 7919 + t * 104_729 + seed * 31) % n))
     return sources, spark.createDataFrame(rows, f"{own}, {STREAMS}")
 
 
@@ -152,25 +168,35 @@ def _streams_as_tables(sums: DataFrame, weights: tuple[float, ...], most: int, b
     ranked = ranked.withColumns({"target": target, "__streams": F.greatest(F.lit(1), F.ceil(F.col("source_size") / stream_words)).cast("long")})
     dealt = _dealt(sums, ranked.select("__src", "__streams")).groupBy("__src", "__t").agg(F.sum("__n").alias("__n"))
     own = _joined(dealt, ranked.drop("__w", "__streams"), "__src")
-    own = own.withColumns({"__e": F.col("target") * F.col("__n") / F.greatest(F.lit(1), "source_size") / block, "__blocks": F.ceil(F.col("__n") / block)})
+    fitting = [F.when(F.col("target") >= FINE * b, b) for b in reversed(block_sizes(block)) if b > 1]
+    own = own.withColumn("block", F.coalesce(*fitting, F.lit(1)).cast("long"))
+    own = own.withColumn("__blocks", F.ceil(F.col("__n") / F.col("block")))
+    own = own.withColumn("__e", F.col("target") * F.col("__blocks") / F.greatest(F.lit(1), "source_size"))
     own = materialise(own, "mix-entitled")
-    seats = round(own.agg(F.sum("__e")).first()[0] or 0.0)
+    seats = {r["block"]: round(r["e"] or 0.0) for r in own.groupBy("block").agg(F.sum("__e").alias("e")).collect()}  # a row a block size
     held = lambda f: F.least(most * F.col("__blocks"), F.floor(F.col("__e") * f + 0.5))
-    taken = lambda f: own.agg(F.sum(held(f))).first()[0] or 0
-    low, high = 0.0, 2.0
-    for _ in range(60):
-        middle = (low + high) / 2
-        low, high = (middle, high) if taken(middle) <= seats else (low, middle)
-    rest = seats - taken(low)
-    own = own.withColumn("__q", held(low))
+    of = lambda values: F.coalesce(*[F.when(F.col("block") == b, F.lit(float(v))) for b, v in values.items()], F.lit(0.0))
+    low, high = dict.fromkeys(seats, 0.0), dict.fromkeys(seats, 2.0)
+    for _ in range(12):  # the largest multiplier whose rounding stays within the seats, narrowed 32 times a pass
+        tried = {b: [low[b] + (high[b] - low[b]) * i / 32 for i in range(1, 32)] for b in seats}
+        taken = own.groupBy("block").agg(*[F.sum(held(of({b: t[i] for b, t in tried.items()}))).alias(f"n{i}") for i in range(31)]).collect()
+        for r in taken:
+            b = r["block"]
+            fits = sum((r[f"n{i}"] or 0) <= seats[b] for i in range(31))
+            low[b], high[b] = [low[b], *tried[b], high[b]][fits : fits + 2]
+    own = own.withColumn("__q", held(of(low)))
+    rest = {r["block"]: seats[r["block"]] - (r["q"] or 0) for r in own.groupBy("block").agg(F.sum("__q").alias("q")).collect()}
     nexts = F.when(F.col("__q") < most * F.col("__blocks"), F.col("__e") / (2 * F.col("__q") + 1)).otherwise(-1.0)
-    own = _numbered(own.withColumn("__next", nexts), F.desc("__next"), F.asc("__s"), F.asc("__t"), tag="mix-quotas")
+    own = _numbered(own.withColumn("__next", nexts), F.asc("block"), F.desc("__next"), F.asc("__s"), F.asc("__t"), tag="mix-quotas")
+    first = own.groupBy("block").agg(F.min("__at").alias("at")).collect()
+    own = own.withColumn("__at", F.col("__at") - of({r["block"]: r["at"] for r in first}).cast("long"))
+    rest = of(rest)
     own = own.withColumns({"__q": F.col("__q") + ((F.col("__at") < rest) & (F.col("__next") >= 0)).cast("long"), "n_blocks": F.greatest(F.lit(1), "__blocks")})
     phase = F.pmod(F.col("__s") * 7919 + F.col("__t") * 104_729 + seed * 31, "n_blocks")
     own = own.withColumns({"stream": F.concat_ws("-", "__s", "__t"), "repeats": F.floor(F.col("__q") / F.col("n_blocks")), "extra": F.pmod("__q", "n_blocks"), "phase": phase})
     split = ranked.filter("__streams > 1").select("__src", "__streams")
     split = sums.sparkSession.createDataFrame(split.collect(), split.schema)  # at most MAX_STREAMS
-    return split, materialise(own.select("__src", "__s", "__t", "source_size", "target", "__n", "stream", "repeats", "n_blocks", "extra", "phase"), "mix-streams")
+    return split, materialise(own.select("__src", "__s", "__t", "source_size", "target", "__n", "stream", "repeats", "block", "n_blocks", "extra", "phase"), "mix-streams")
 
 
 def _planned(
@@ -190,7 +216,7 @@ def _planned(
     within = Window.partitionBy(*place).orderBy("__order").rowsBetween(Window.unboundedPreceding, -1)
     placed = _dealt(sized, sources).drop("__streams", "__fine").withColumns(plain).withColumn("__before", F.coalesce(F.sum("size").over(within), F.lit(0)))
     ranked = placed.join(bases.hint("merge"), place).withColumn("start", F.col("__base") + F.col("__before"))
-    taken = f"repeats * size + ({_words_before('start + size', block_words)}) - ({_words_before('start', block_words)})"
+    taken = f"repeats * size + ({_words_before('start + size')}) - ({_words_before('start')})"
     return ranked.withColumn("taken", F.expr(taken)), bases
 
 
@@ -245,7 +271,7 @@ def mix_documents(
     extra = F.col("taken") - F.col("repeats") * F.col("size")
     cut = F.expr(
         "array_join(filter(regexp_extract_all(__text, '[\\\\x20\\\\x09-\\\\x0D]*[^\\\\x20\\\\x09-\\\\x0D]+', 0), "
-        f"(x, i) -> ({_chosen_before(f'(start + i) div {block_words} + 1')}) > ({_chosen_before(f'(start + i) div {block_words}')})), '')"
+        f"(x, i) -> ({_chosen_before('(start + i) div block + 1')}) > ({_chosen_before('(start + i) div block')})), '')"
     )
     whole = F.array_repeat(F.col("__text"), F.col("repeats").cast("int"))
     part = F.when(extra == 0, F.array().cast("array<string>")).when(extra == F.col("size"), F.array("__text")).otherwise(F.array(cut))

@@ -2,8 +2,9 @@
 
 Rows are ordered by the hash of their text, then by a hash of the row, so equal texts are neighbours. A pass counts,
 for the 4,096 sub-intervals of every interval that holds an unsettled splitter, exact bytes and rows; a splitter
-settles on a boundary within ``tolerance`` of a shard's size. Boundaries between texts are tried first, so a group of
-equal texts is cut only if it is too large for the tolerance. On the driver: 4,096 sums an open splitter and pass.
+settles on a boundary within ``tolerance`` of a shard's size, or else on the nearer side of the group of equal texts that it falls in. Only a group of
+more than ``CUT`` of a shard's bytes is cut, by the row's hash. So a shard's size is off by at most CUT of a shard at each end. On the driver: 4,096 sums an open
+splitter and pass.
 
 Only DataFrame functions. Edge cases: null text has size 8 and is one group; repeated rows with equal keys stay together and are
 numbered apart; an empty table gives an empty result; other columns pass through and the names added replace their namesakes.
@@ -15,10 +16,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialise
+from .common import materialise, scratch
 
 DIGIT, BITS = 12, 60
 LEVELS = BITS // DIGIT
+#: The part of a shard's bytes above which a group of equal texts is cut.
+CUT = 0.25
 ADDED = ("size", "shard", "slot")
 
 
@@ -69,7 +72,8 @@ def find_splitters(keys: DataFrame, shards: int, tolerance: float) -> list[tuple
                     continue
                 low, high = want - below, below + n - want
                 bound = lambda x: (x << shift, 0) if first else (h, x << shift)  # noqa: B023, E731
-                if min(low, high) <= near or c <= 1 or level == 2 * LEVELS - 1:
+                whole = level == LEVELS - 1 and n <= CUT * total / shards  # one text's rows
+                if min(low, high) <= near or c <= 1 or whole or level == 2 * LEVELS - 1:
                     settled[i] = bound(d if low <= high else d + 1)
                     del open_[i]
                 else:
@@ -99,13 +103,15 @@ def shard_documents(docs: DataFrame, shards: int = 24, text: str = "text", key:
             "__t": row_key(F.col(key), F.col(text)),
         }
     )
-    keys = materialise(sized.select(F.col("__h").alias("h"), F.col("__t").alias("t"), "size"), "shard-keys")
-    splitters = find_splitters(keys, shards, tolerance)
-    buckets = max(16, keys.count() // (shards * bucket_rows))
-    bucket = lambda t: F.pmod(F.xxhash64(t), F.lit(buckets))
-    counts = keys.groupBy(shard_of(F.col("h"), F.col("t"), splitters).alias("shard"), bucket(F.col("t")).alias("__bucket")).agg(F.count("*").alias("__n"))
-    before = Window.partitionBy("shard").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    bases = counts.select("shard", "__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
+    with scratch(docs.sparkSession) as kept:
+        keys = materialise(sized.select(F.col("__h").alias("h"), F.col("__t").alias("t"), "size"), "shard-keys")
+        splitters = find_splitters(keys, shards, tolerance)
+        buckets = max(16, keys.count() // (shards * bucket_rows))
+        bucket = lambda t: F.pmod(F.xxhash64(t), F.lit(buckets))
+        counts = keys.groupBy(shard_of(F.col("h"), F.col("t"), splitters).alias("shard"), bucket(F.col("t")).alias("__bucket")).agg(F.count("*").alias("__n"))
+        before = Window.partitionBy("shard").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+        bases = materialise(counts.select("shard", "__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base")), "shard-bases")
+        kept.append(bases)
     dealt = sized.withColumns({"shard": shard_of(F.col("__h"), F.col("__t"), splitters), "__bucket": bucket(F.col("__t"))})
     within = Window.partitionBy("shard", "__bucket").orderBy("__h", "__t")
     numbered = dealt.withColumn("__row", F.row_number().over(within)).join(bases, ["shard", "__bucket"])

@@ -132,6 +132,33 @@ def test_shards_are_near_equal_whole_and_the_same_again(spark):
     assert Counter((r.doc_id, r.shard, r.slot) for r in got) == Counter((r.doc_id, r.shard, r.slot) for r in again)
 
 
+def test_equal_texts_stay_in_one_shard_unless_they_fill_a_quarter(spark):
+    docs = spark.createDataFrame([(2 * i + k, f"{i} " + "w" * (500 + i % 90)) for i in range(500) for k in (0, 1)], "doc_id long, text string")
+    homes, sizes = defaultdict(set), Counter()
+    for r in sharding.shard_documents(docs, shards=24).collect():
+        homes[r.text].add(r.shard)
+        sizes[r.shard] += r["size"]
+    mean = sum(sizes.values()) / 24
+    assert all(len(s) == 1 for s in homes.values()) and all(abs(n - mean) <= 2 * 610 for n in sizes.values())
+    hot = docs.union(spark.range(2000, 2300).selectExpr("id", "repeat('a copy ', 80)"))
+    spread = {r.shard for r in sharding.shard_documents(hot, shards=24).filter("text like 'a copy%'").collect()}
+    assert len(spread) > 2
+
+
+@pytest.mark.parametrize("on_driver", [100_000, 5])
+def test_small_sources_get_their_targets(spark, on_driver):
+    docs = spark.createDataFrame([(i, "word", f"s{i:04d}") for i in range(1000)] + [(5000 + i, "many words here " * 20, "t") for i in range(167)] + [(9000 + i, "x y z " * (5 * i), f"u{i}") for i in range(12)], "doc_id long, text string, source string")
+    rows = mixing.plan_mixture(docs, driver_sources=on_driver).collect()
+    taken, about = Counter(), {}
+    for r in rows:
+        taken[r.source] += r.taken
+        about[r.source] = (r.target, r.source_size)
+        assert 0 <= r.taken <= 3 * r["size"]
+    for s, (target, _) in about.items():
+        assert abs(taken[s] - target) <= max(1, target / 8), (s, target, taken[s])
+    assert sum(taken.values()) == pytest.approx(sum(t for t, _ in about.values()), rel=0.01)
+
+
 def test_clashing_columns_stay(spark):
     rows = [(1, prose(20, 80), 7, "w", True, 3.0), (2, prose(21, 90), 8, "w", None, 4.0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_words int, source string, kept boolean, target double")
