@@ -18,7 +18,7 @@ OTHER_DIGITS = (
     "\\u2488-\\u2490\\u24EA\\u24F5-\\u24FD\\u24FF\\u2776-\\u277E\\u2780-\\u2788\\u278A-\\u2792"
 )
 #: Lines a scanner application leaves, and answers that mean that nothing was read.
-WATERMARKS = ("camscanner", "scan with camscanner", "scanned with camscanner")
+WATERMARKS = ("camscanner", "scanned with camscanner", "scan with camscanner")
 EMPTY_ANSWERS = (
     "",
     "no readable text",
@@ -154,7 +154,7 @@ def compact_context(text: Column, n_chunks: Column, most: int = 1800) -> Column:
 
 def unfenced(text: Column) -> Column:
     t = strip(F.coalesce(text, F.lit("")))
-    inner = strip(F.regexp_replace(F.regexp_replace(t, "^```[^\\n]*\\n?", ""), "\\n?```$", ""))
+    inner = strip(F.regexp_replace(F.regexp_replace(t, "^```[^\\n]*\\n?", ""), f"(^|\\n){SPACE}*```$", ""))
     return F.when(t.startswith("```") & t.endswith("```"), inner).otherwise(t)
 
 

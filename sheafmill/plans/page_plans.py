@@ -4,14 +4,22 @@ greater values are ink of 2 pixels' width; two pages of three have a gutter, and
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from ..functions import wrap as WRAP
 from ..operators import geometry as G
 from ..operators import lines as L
+from ..operators import quality as Q
 from ..operators import raster as P
 from ..operators import skew as S
+from ..operators import waves as WAVES
 from ..operators.graph import held
+from ..session import own_folder
+from ..sources import files, unit
 from .layout_plans import _bell, _blurred
 from .registry import query, table
+from .text_plans import QUALITY
+from .text_plans import pages as documents
 
 W, H = 128, 80
 #: Few votes and short lines for pages of this size.
@@ -132,3 +140,78 @@ SELECT img, r_t AS r, c_t AS c, least(255, greatest(0, floor(round(sum(v * sr.pa
 def area_resize(spark, sf):
     """Pages whose longer side is over 50 pixels, brought down to it."""
     return P.shrunk(pages(spark, sf), 50)
+
+
+def _glyphs(word: str) -> str:
+    return f"coalesce(list_sum(list_transform(list_filter(string_split({word}, ''), lambda x: x <> ''), lambda x: coalesce({WRAP.WIDTHS}[unicode(x) - 31], {WRAP.OTHER}))), 0)"
+
+
+@query(f"""WITH RECURSIVE p AS (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS para, generate_subscripts(string_split(text, chr(10)), 1) AS ix FROM conversations WHERE text IS NOT NULL),
+w AS (SELECT conv_id, turn, ix, unnest(string_split(para, ' ')) AS word, generate_subscripts(string_split(para, ' '), 1) AS k FROM p), m AS MATERIALIZED (SELECT *, {_glyphs('word')} AS wide FROM w),
+f AS (SELECT conv_id, turn, ix, k, 0 AS line, word, wide FROM m WHERE k = 1 UNION ALL SELECT m.conv_id, m.turn, m.ix, m.k, CASE WHEN f.wide + {WRAP.BLANK} + m.wide <= {WRAP.LINE} THEN f.line ELSE f.line + 1 END, m.word, CASE WHEN f.wide + {WRAP.BLANK} + m.wide <= {WRAP.LINE} THEN f.wide + {WRAP.BLANK} + m.wide ELSE m.wide END
+  FROM f JOIN m ON m.conv_id = f.conv_id AND m.turn = f.turn AND m.ix = f.ix AND m.k = f.k + 1),
+l AS (SELECT conv_id, turn, ix, line, string_agg(word, ' ' ORDER BY k) AS text FROM f GROUP BY ALL), n AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, ix, line) - 1 AS line_no, text FROM l)
+SELECT conv_id, line_no, text, CASE WHEN line_no < 38 THEN 1 ELSE 2 + (line_no - 38) // 39 END AS page_no, CASE WHEN line_no < 38 THEN 20 + 7 * line_no ELSE 15 + 7 * ((line_no - 38) % 39) END AS y FROM n""")
+def wrapped_export(spark, sf):
+    """Each conversation as a document of wrapped lines on numbered pages."""
+    c = table(spark, sf, "conversations").filter("text is not null")
+    paragraphs = c.select("conv_id", "turn", F.posexplode(F.split("text", "\n")).alias("ix", "para"))
+    lines = paragraphs.select("conv_id", "turn", "ix", F.posexplode(WRAP.wrapped("para")).alias("line", "text"))
+    line_no = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "ix", "line")).cast("long") - 1
+    return lines.select("conv_id", line_no.alias("line_no"), "text").withColumns({"page_no": WRAP.page_of(F.col("line_no")), "y": WRAP.top_of(F.col("line_no"))})
+
+
+FIXED = QUALITY.replace("coalesce(text, '')", "regexp_replace(coalesce(text, ''), '[#*$%&|<>!]', '', 'g')").replace("(doc_id % 101) / 100.0 AS conf", "least(1.0, (doc_id % 101) / 100.0 + 0.1) AS conf")
+LEVEL = QUALITY.replace("coalesce(text, '')", "lower(coalesce(text, ''))").replace("(doc_id % 101) / 100.0 AS conf", "(doc_id % 101) / 200.0 AS conf")
+
+
+@query(f"""WITH a AS (WITH {QUALITY} SELECT page_id, score, confidence, character_count, 'grayscale_deskew' AS variant, 0 AS ordinal FROM quality), b AS (WITH {FIXED} SELECT page_id, score, confidence, character_count, 'safe_enhanced' AS variant, 1 AS ordinal FROM quality),
+c AS (WITH {LEVEL} SELECT page_id, score, confidence, character_count, 'configured_preprocessing' AS variant, 2 AS ordinal FROM quality),
+u AS (SELECT * FROM a UNION ALL SELECT * FROM b WHERE page_id NOT IN (SELECT page_id FROM a WHERE score >= 0.80) UNION ALL SELECT * FROM c WHERE page_id NOT IN (SELECT page_id FROM a WHERE score >= 0.80))
+SELECT page_id, variant, score, count(*) OVER (PARTITION BY page_id) AS n_variants, score < 0.62 AS vision_attempted FROM u QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY score DESC, confidence DESC, character_count DESC, ordinal) = 1""")
+def adaptive_variants(spark, sf):
+    """Pages read as they are, then again as far as needed: without symbols, and in small letters with half the confidence. The best reading, and whether a vision model is asked."""
+    conf = F.col("confidence")
+    read = lambda change: lambda rows: Q.page_quality(change(rows)).withColumn("strategy", F.lit("tesseract")).select("page_id", "score", "confidence", "character_count", "strategy")
+    steps = [
+        WAVES.Variant("grayscale_deskew", {"remove_colors": False, "denoise": False}, read(lambda d: d)),
+        WAVES.Variant("safe_enhanced", {"remove_colors": False}, read(lambda d: d.withColumns({"text": F.regexp_replace("text", "[#*$%&|<>!]", ""), "confidence": F.least(F.lit(1.0), conf + 0.1)}))),
+        WAVES.Variant("configured_preprocessing", {"remove_colors": True}, read(lambda d: d.withColumns({"text": F.lower("text"), "confidence": conf / 2}))),
+    ]
+    found = WAVES.candidates(documents(spark, sf), ["page_id"], steps)
+    n = F.count("*").over(Window.partitionBy("page_id"))
+    best = WAVES.best(found.withColumn("n_variants", n), ["page_id"])
+    return best.select("page_id", "variant", "score", "n_variants", WAVES.vision_attempted(F.col("score"), F.array()).alias("vision_attempted"))
+
+
+@query(f"""WITH {QUALITY}, l AS (SELECT l_orderkey AS page_id, count(*) AS regions FROM lineitem GROUP BY 1)
+SELECT page_id, coalesce(regions, 0) > 0 AND (regions >= 5 OR confidence < 0.85) AS layout_attempted, score < 0.68 AND character_count >= 80 AND ((latin_characters >= 80 AND devanagari_characters <= greatest(12, trunc(0.18 * latin_characters))) OR (single_character_token_ratio >= 0.32 AND confidence < 0.58) OR (valid_character_ratio < 0.72 AND confidence < 0.55)) AS early_vision,
+  score < 0.62 AS late_vision FROM quality LEFT JOIN l USING (page_id)""")
+def attempt_predicates(spark, sf):
+    """Which further readings a page gets: by regions (the boxes of its order; five make it complex), by a vision model at once, or at the end."""
+    regions = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("page_id")).agg(F.count("*").alias("regions"))
+    q = Q.page_quality(documents(spark, sf)).join(regions, "page_id", "left")
+    return q.select(
+        "page_id",
+        WAVES.layout_attempted(F.col("regions"), F.col("regions") >= 5, F.col("confidence")).alias("layout_attempted"),
+        (F.size(Q.wrong_script_reasons(None)) > 0).alias("early_vision"),
+        WAVES.vision_attempted(F.col("score"), F.array()).alias("late_vision"),
+    )
+
+
+@query("""SELECT sha256('document' || chr(31) || doc_id) AS id, lang || '-' || doc_id || '.png' AS original_filename, 'Completed' AS status, sha256('ocr' || chr(31) || doc_id) AS ocr_id, length(text) AS characters, round((doc_id % 101) / 100.0::double, 4) AS confidence, sha256('translation' || chr(31) || doc_id) AS translation_id, lower(text) AS translated_text, source AS model_used FROM documents""")
+def unit_of_work(spark, sf):
+    """Documents, their extractions and translations, written as two units of work, each of them twice, and read back from what was published."""
+    d = table(spark, sf, "documents")
+    root = own_folder(spark, "units")
+    conf = (F.col("doc_id") % 101) / 100.0
+    for name, part in (("labelled", "left_semi"), ("others", "left_anti")):
+        rows = d.join(table(spark, sf, "labels").select("doc_id"), "doc_id", part)
+        made = unit.consolidated(rows, "doc_id", F.concat("lang", F.lit("-"), "doc_id", F.lit(".png")), F.col("text"), conf, F.lower("text"), F.col("source"))
+        made = {k: files.typed(v, k) for k, v in made.items()}
+        for _ in range(2):  # the second time nothing is written
+            unit.publish(root, name, made)
+    docs, ocr, translated = (unit.read(spark, root, t, files.TABLES[t]) for t in ("documents", "ocr_results", "translations"))
+    ocr = ocr.select(F.col("document_id").alias("id"), F.col("id").alias("ocr_id"), F.length("extracted_text").alias("characters"), F.round("confidence", 4).alias("confidence"))
+    translated = translated.select(F.col("document_id").alias("id"), F.col("id").alias("translation_id"), "translated_text", "model_used")
+    return docs.select("id", "original_filename", "status").join(ocr, "id").join(translated, "id")

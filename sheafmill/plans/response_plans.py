@@ -58,10 +58,10 @@ def translation_records(spark, sf):
     return files.typed(rows, "translations")
 
 
-@query("""SELECT sha256(conv_id || chr(31) || turn) AS id, conv_id::varchar AS document_id, text AS transcribed_text, CASE WHEN turn % 2 = 0 THEN 'ne' ELSE 'en' END AS language_detected, (turn * 1.5)::double AS audio_duration, NULL::timestamp AS created_at, 'Completed' AS status FROM conversations""")
+@query("""SELECT sha256(conv_id || chr(31) || turn) AS id, conv_id::varchar AS document_id, text AS transcribed_text, CASE WHEN turn % 2 = 0 THEN 'ne' ELSE 'en' END AS language_detected, (turn * 1.5)::double AS audio_duration, NULL::timestamp AS created_at, 'Transcribed' AS status FROM conversations""")
 def transcription_records(spark, sf):
     c = table(spark, sf, "conversations")
-    rows = files.with_id(c, "conv_id", "turn").select("id", F.col("conv_id").alias("document_id"), F.col("text").alias("transcribed_text"), F.when(F.col("turn") % 2 == 0, "ne").otherwise("en").alias("language_detected"), (F.col("turn") * 1.5).alias("audio_duration"), F.lit("Completed").alias("status"))
+    rows = files.with_id(c, "conv_id", "turn").select("id", F.col("conv_id").alias("document_id"), F.col("text").alias("transcribed_text"), F.when(F.col("turn") % 2 == 0, "ne").otherwise("en").alias("language_detected"), (F.col("turn") * 1.5).alias("audio_duration"), F.lit("Transcribed").alias("status"))
     return files.typed(rows, "audio_transcriptions")
 
 
@@ -255,7 +255,7 @@ def isolated_errors(spark, sf):
 
 
 @query("""WITH d AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'file' WHEN 1 THEN 'text' WHEN 2 THEN 'ranjana' ELSE 'tamyig' END AS mode, doc_id % 8 < 4 AS has_file, doc_id % 3 = 0 AS review, CASE WHEN doc_id % 5 = 0 THEN '  ' ELSE text END AS t FROM documents)
-SELECT doc_id, mode, CASE WHEN mode = 'file' AND NOT has_file THEN 'Please upload a document first.' WHEN mode = 'file' AND review AND NOT coalesce(regexp_matches(t, '\\S'), false) THEN 'Please review the extracted OCR text before translating.'
+SELECT doc_id, mode, CASE WHEN mode = 'ranjana' AND NOT coalesce(regexp_matches(t, '\\S'), false) THEN 'Please paste Ranjana text to convert and translate.' WHEN mode = 'tamyig' AND NOT coalesce(regexp_matches(t, '\\S'), false) THEN 'Please paste Tamyig text to convert and translate.' WHEN mode = 'file' AND NOT has_file THEN 'Please upload a document first.' WHEN mode = 'file' AND review AND NOT coalesce(regexp_matches(t, '\\S'), false) THEN 'Please review the extracted OCR text before translating.'
   WHEN mode <> 'file' AND NOT coalesce(regexp_matches(t, '\\S'), false) THEN 'Please enter or paste some text to translate.' END AS reason FROM d""")
 def client_request_validation(spark, sf):
     """What a client says before it sends anything: a file is missing, a reviewed text or a typed one is blank."""
@@ -266,6 +266,8 @@ def client_request_validation(spark, sf):
     reason = (
         F.when(file & ~F.col("has_file"), "Please upload a document first.")
         .when(file & F.col("review") & F.col("blank"), "Please review the extracted OCR text before translating.")
+        .when((F.col("mode") == "ranjana") & F.col("blank"), "Please paste Ranjana text to convert and translate.")
+        .when((F.col("mode") == "tamyig") & F.col("blank"), "Please paste Tamyig text to convert and translate.")
         .when(~file & F.col("blank"), "Please enter or paste some text to translate.")
     )
     return d.select("doc_id", "mode", reason.alias("reason"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import translit
-from ..session import shared_folder, ship
+from ..session import own_folder, ship
 from ..sources import files, providers
 from ..streaming import sessions
 from .registry import query, table
@@ -27,8 +27,7 @@ SELECT conv_id AS session_id, n AS chunk_index, CASE WHEN regexp_matches(text, '
 def stream_sessions(spark, sf):
     """Conversations replayed as a live stream until its input ends; the last row of each session."""
     ship(spark)
-    root = shared_folder(spark)
-    at = f"{root}/sessions-{spark.sparkContext.applicationId}-{spark.range(1).select(F.uuid()).first()[0]}"
+    at = own_folder(spark, "sessions")
     c = table(spark, sf, "conversations")
     events = c.select(F.col("conv_id").alias("session_id"), F.col("turn").alias("seq"), F.lit(None).cast("timestamp_ntz").alias("ts"), F.lit("chunk").alias("kind"), F.col("text").alias("payload"))
     events.write.parquet(f"{at}/in")
@@ -48,6 +47,6 @@ def provider_ladder(spark, sf):
 @query("SELECT unnest(string_split(regexp_replace(text, '\\r\\n|\\r', chr(10), 'g'), chr(10))) AS line FROM conversations WHERE text IS NOT NULL AND text <> ''")
 def exported_lines(spark, sf):
     """Transcripts written as plain text and read back, a row a line."""
-    at = f"{shared_folder(spark)}/transcripts-{spark.sparkContext.applicationId}-{spark.range(1).select(F.uuid()).first()[0]}"
+    at = own_folder(spark, "transcripts")
     files.write_transcripts(table(spark, sf, "conversations").filter("text is not null and text <> ''"), at)
     return spark.read.text(at).select(F.col("value").alias("line"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import bodies as B
 from ..functions import routing as R
 from ..functions import text as T
 from ..operators import quality as Q
@@ -235,32 +236,48 @@ def config_merge(spark, sf):
     return table(spark, sf, "events").select("event_id", merged.alias("m")).select("event_id", F.concat_ws(";", pair("resize"), pair("max"), pair("debug")).alias("config"))
 
 
-@query("""WITH r AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN '{"script": " Ranjana ", "confidence": 0.' || (event_id % 90 + 10) || ', "is_special_lipi": false, "reason": " seen "}' WHEN 1 THEN '```json' || chr(10) || '{"script": "devanagari", "confidence": "1.7"}' || chr(10) || '```' WHEN 2 THEN 'not json' WHEN 3 THEN '{"confidence": "x", "is_special_lipi": true}' ELSE '{"script": "tibetan", "confidence": 0.54}' END AS raw FROM events),
-j AS (SELECT event_id, event_id % 5 = 2 AS bad, CASE WHEN event_id % 5 = 2 THEN NULL ELSE regexp_extract(raw, '((?s)[{].*[}])', 1)::json END AS j FROM r),
-f AS (SELECT event_id, bad, lower(trim(coalesce(j ->> 'script', 'unknown'))) AS script, greatest(0.0, least(1.0, coalesce(try_cast(j ->> 'confidence' AS double), 0.0))) AS c, coalesce((j ->> 'is_special_lipi') = 'true', false) AS flag, trim(coalesce(j ->> 'reason', '')) AS reason FROM j)
-SELECT event_id, script, round(c, 4) AS confidence, (flag OR script IN ('ranjana', 'prachalit', 'tamyig', 'tibetan')) AND c >= 0.55 AS is_special, CASE WHEN bad THEN 'Invalid script detection response' ELSE reason END AS reason FROM f""")
+@query("""WITH r AS (SELECT event_id, CASE event_id % 9 WHEN 0 THEN '{"script": " Ranjana ", "confidence": 0.' || (event_id % 90 + 10) || ', "is_special_lipi": false, "reason": " seen "}' WHEN 1 THEN '```json' || chr(10) || '{"script": "devanagari", "confidence": "1.7"}' || chr(10) || '```' WHEN 2 THEN 'not json'
+  WHEN 3 THEN '{"confidence": "x", "is_special_lipi": true}' WHEN 4 THEN '{"script": "tibetan", "confidence": 0.54}' WHEN 5 THEN '{"script": "", "confidence": 0.9, "is_special_lipi": 1}' WHEN 6 THEN '{"script": "latin", "confidence": 0.8, "is_special_lipi": "no"}' WHEN 7 THEN '{"script": null, "confidence": null, "is_special_lipi": 0}' ELSE '{"script": "latin", "confidence": true, "is_special_lipi": [""]}' END AS raw FROM events),
+j AS (SELECT event_id, event_id % 9 = 2 AS bad, CASE WHEN event_id % 9 = 2 THEN NULL ELSE regexp_extract(raw, '((?s)[{].*[}])', 1)::json END AS j FROM r),
+f AS (SELECT event_id, bad, lower(trim(coalesce(nullif(j ->> 'script', ''), 'unknown'))) AS script, greatest(0.0, least(1.0, CASE j ->> 'confidence' WHEN 'true' THEN 1.0 ELSE coalesce(try_cast(j ->> 'confidence' AS double), 0.0) END)) AS c,
+  CASE json_type(j -> 'is_special_lipi') WHEN 'BOOLEAN' THEN (j ->> 'is_special_lipi') = 'true' WHEN 'UBIGINT' THEN (j ->> 'is_special_lipi') <> '0' WHEN 'VARCHAR' THEN (j ->> 'is_special_lipi') <> '' WHEN 'ARRAY' THEN json_array_length(j -> 'is_special_lipi') > 0 ELSE false END AS flag, trim(coalesce(j ->> 'reason', '')) AS reason FROM j)
+SELECT event_id, script, round(c, 4)::double AS confidence, (coalesce(flag, false) OR script IN ('ranjana', 'prachalit', 'tamyig', 'tibetan')) AND c >= 0.55 AS is_special, CASE WHEN bad THEN 'Invalid script detection response' ELSE reason END AS reason FROM f""")
 def script_detection_parse(spark, sf):
-    i = F.col("event_id")
+    i = F.col("event_id") % 9
     raw = (
-        F.when(i % 5 == 0, F.concat(F.lit('{"script": " Ranjana ", "confidence": 0.'), (i % 90 + 10).cast("string"), F.lit(', "is_special_lipi": false, "reason": " seen "}')))
-        .when(i % 5 == 1, F.lit('```json\n{"script": "devanagari", "confidence": "1.7"}\n```'))
-        .when(i % 5 == 2, "not json")
-        .when(i % 5 == 3, '{"confidence": "x", "is_special_lipi": true}')
-        .otherwise('{"script": "tibetan", "confidence": 0.54}')
+        F.when(i == 0, F.concat(F.lit('{"script": " Ranjana ", "confidence": 0.'), (F.col("event_id") % 90 + 10).cast("string"), F.lit(', "is_special_lipi": false, "reason": " seen "}')))
+        .when(i == 1, F.lit('```json\n{"script": "devanagari", "confidence": "1.7"}\n```'))
+        .when(i == 2, "not json")
+        .when(i == 3, '{"confidence": "x", "is_special_lipi": true}')
+        .when(i == 4, '{"script": "tibetan", "confidence": 0.54}')
+        .when(i == 5, '{"script": "", "confidence": 0.9, "is_special_lipi": 1}')
+        .when(i == 6, '{"script": "latin", "confidence": 0.8, "is_special_lipi": "no"}')
+        .when(i == 7, '{"script": null, "confidence": null, "is_special_lipi": 0}')
+        .otherwise('{"script": "latin", "confidence": true, "is_special_lipi": [""]}')
     )
-    parsed = F.from_json(T.unfenced(raw), "script string, confidence string, is_special_lipi string, reason string, _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"})
-    d = table(spark, sf, "events").select(i, parsed.alias("p"))
-    bad = F.col("p").isNull() | F.col("p._corrupt").isNotNull()
-    d = d.select(
-        i,
-        bad.alias("bad"),
-        F.lower(T.strip(F.coalesce("p.script", F.lit("unknown")))).alias("script"),
-        F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.col("p.confidence").try_cast("double"), F.lit(0.0)))).alias("c"),
-        F.coalesce(F.col("p.is_special_lipi") == "true", F.lit(False)).alias("flag"),
-        T.strip(F.coalesce("p.reason", F.lit(""))).alias("reason"),
+    return table(spark, sf, "events").select("event_id", B.detected_script(raw).alias("d")).select("event_id", "d.*")
+
+
+@query(r"""WITH b AS (SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN '{"text": ' || to_json(coalesce(text, '')) || '}' WHEN 1 THEN '{"text": "  "}' WHEN 2 THEN '{"text": [' || to_json(coalesce(text, '')) || ', "' || lang || '"]}' WHEN 3 THEN '{"text": [" ", 5, null]}' WHEN 4 THEN '{"text": 7}' WHEN 5 THEN '{"source_lang": "ne"}' ELSE '{"text": [1, ' || to_json(coalesce(text, '')) || ', []]}' END AS body FROM documents),
+k AS (SELECT doc_id, CASE json_type(body::json -> 'text') WHEN 'VARCHAR' THEN 'string' WHEN 'ARRAY' THEN 'list' ELSE 'other' END AS kind, CASE json_type(body::json -> 'text') WHEN 'VARCHAR' THEN [body::json ->> 'text'] WHEN 'ARRAY' THEN list_transform(list_filter((body::json -> 'text')::json[], lambda x: json_type(x) = 'VARCHAR'), lambda x: x ->> '$') ELSE [] END AS texts FROM b),
+n AS (SELECT doc_id, kind, len(list_filter(texts, lambda x: regexp_matches(x, '\S'))) AS n_texts, list_sum(list_transform(texts, lambda x: length(x)))::bigint AS characters FROM k)
+SELECT doc_id, kind, n_texts, coalesce(characters, 0) AS characters, n_texts > 0 AS valid, CASE WHEN kind = 'other' THEN 'Invalid text format. Expected string or list of strings.' WHEN n_texts > 0 THEN NULL WHEN kind = 'list' THEN 'Text list for translation cannot be empty' ELSE 'Text for translation cannot be empty' END AS reason FROM n""")
+def translate_bodies(spark, sf):
+    """Bodies of requests whose text is a string, a list that may hold other things, or neither: what is in them and why some are rejected."""
+    i, quoted = F.col("doc_id") % 7, F.expr("substring(to_json(array(coalesce(text, ''))), 2, char_length(to_json(array(coalesce(text, '')))) - 2)")
+    body = (
+        F.when(i == 0, F.concat(F.lit('{"text": '), quoted, F.lit("}")))
+        .when(i == 1, '{"text": "  "}')
+        .when(i == 2, F.concat(F.lit('{"text": ['), quoted, F.lit(', "'), "lang", F.lit('"]}')))
+        .when(i == 3, '{"text": [" ", 5, null]}')
+        .when(i == 4, '{"text": 7}')
+        .when(i == 5, '{"source_lang": "ne"}')
+        .otherwise(F.concat(F.lit('{"text": [1, '), quoted, F.lit(", []]}")))
     )
-    special = (F.col("flag") | F.col("script").isin("ranjana", "prachalit", "tamyig", "tibetan")) & (F.col("c") >= 0.55)
-    return d.select("event_id", "script", F.round("c", 4).alias("confidence"), special.alias("is_special"), F.when(F.col("bad"), "Invalid script detection response").otherwise(F.col("reason")).alias("reason"))
+    found = table(spark, sf, "documents").select("doc_id", B.request_texts(body).alias("q")).select("doc_id", "q.*")
+    filled = F.size(F.filter("texts", lambda x: ~T.is_blank(x)))
+    characters = F.aggregate("texts", F.lit(0).cast("long"), lambda a, x: a + F.char_length(x))
+    return found.select("doc_id", "kind", filled.cast("long").alias("n_texts"), characters.alias("characters"), (filled > 0).alias("valid"), B.rejection(F.col("kind"), F.col("texts")).alias("reason"))
 
 
 @query("""WITH r AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '{"language": "' || lang || '", "code": "' || left(lang, 2) || '", "confidence": 0.5}' WHEN 1 THEN 'oops' ELSE '   ' END AS raw, CASE WHEN doc_id % 3 = 2 THEN ' ' ELSE text END AS t FROM documents)
@@ -293,14 +310,14 @@ def segments_projection(spark, sf):
 
 
 @query(r"""WITH r AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN text WHEN 1 THEN '   ' WHEN 2 THEN '' ELSE chr(9) || chr(10) END AS t, doc_id % 8 >= 4 AS is_list FROM documents)
-SELECT doc_id, is_list, coalesce(regexp_matches(t, '\S'), false) AS valid, CASE WHEN coalesce(regexp_matches(t, '\S'), false) THEN NULL ELSE 'text is empty' END AS reason FROM r""")
+SELECT doc_id, is_list, coalesce(regexp_matches(t, '\S'), false) AS valid, CASE WHEN coalesce(regexp_matches(t, '\S'), false) THEN NULL WHEN is_list THEN 'Text list for translation cannot be empty' ELSE 'Text for translation cannot be empty' END AS reason FROM r""")
 def translate_request_validation(spark, sf):
     """A request's text is a string or a list; it is rejected if every item is blank."""
     i = F.col("doc_id")
     t = F.when(i % 4 == 0, F.col("text")).when(i % 4 == 1, "   ").when(i % 4 == 2, "").otherwise("\t\n")
     d = table(spark, sf, "documents").select(i, (i % 8 >= 4).alias("is_list"), F.array(t).alias("texts"))
     valid = F.exists("texts", lambda x: ~T.is_blank(x))
-    return d.select("doc_id", "is_list", valid.alias("valid"), F.when(~valid, "text is empty").alias("reason"))
+    return d.select("doc_id", "is_list", valid.alias("valid"), F.when(~valid & F.col("is_list"), B.EMPTY_LIST).when(~valid, B.EMPTY_TEXT).alias("reason"))
 
 
 @query("SELECT doc_id, nullif(concat_ws(' ', CASE WHEN doc_id % 2 = 0 THEN 'Saving was skipped.' END, CASE WHEN doc_id % 3 = 0 THEN 'Check the text.' END), '') AS warning FROM documents")

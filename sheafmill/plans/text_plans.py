@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions import wrap
 from ..operators import quality as Q
 from .registry import query, table
 
@@ -235,9 +236,8 @@ def line_reconstruction(spark, sf):
 
 
 @query("""WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS ix FROM documents)
-SELECT doc_id, ix - 1 AS line_no, CASE WHEN ix - 1 < 37 THEN 1 ELSE 2 + (ix - 1 - 37) // 38 END AS page_no, CASE WHEN ix - 1 < 37 THEN 20 + 7 * (ix - 1) ELSE 15 + 7 * ((ix - 1 - 37) % 38) END AS y FROM l""")
+SELECT doc_id, ix - 1 AS line_no, CASE WHEN ix - 1 < 38 THEN 1 ELSE 2 + (ix - 1 - 38) // 39 END AS page_no, CASE WHEN ix - 1 < 38 THEN 20 + 7 * (ix - 1) ELSE 15 + 7 * ((ix - 1 - 38) % 39) END AS y FROM l""")
 def paginate_lines(spark, sf):
-    """A 297 mm page with lines 7 mm apart: the first starts at 20, later ones at 15, a line must not pass 282."""
+    """A 297 mm page with lines 7 mm apart: the first starts at 20, later ones at 15, a line may start down to 282."""
     d = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "t"))
-    i, first = F.col("line_no"), F.col("line_no") < 37
-    return d.select("doc_id", "line_no", F.when(first, F.lit(1)).otherwise(2 + F.floor((i - 37) / 38)).cast("long").alias("page_no"), F.when(first, 20 + 7 * i).otherwise(15 + 7 * ((i - 37) % 38)).alias("y"))
+    return d.select("doc_id", "line_no", wrap.page_of(F.col("line_no")).alias("page_no"), wrap.top_of(F.col("line_no")).alias("y"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -50,3 +51,13 @@ def shared_folder(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return LOCAL_SHARED
+
+
+def own_folder(spark: SparkSession, tag: str) -> str:
+    """A new path in the shared folder, which goes when the application ends."""
+    root = f"{shared_folder(spark)}/sheafmill-plans-{spark.sparkContext.applicationId}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    return f"{root}/{tag}-{uuid.uuid4().hex}"

@@ -2,10 +2,10 @@
 
 Rows are (session_id, seq, ts, kind, payload). Chunks of fewer than 100 bytes are ignored and do not count. Every kept chunk counts and stays in the session's
 audio, whether or not it can be transcribed: the transcriber hears all audio so far, its text makes a segment, no text a status, and a failure an
-error row after which the session goes on. "done" makes a final row and closes the session; so does silence, by a timer. Chunks that a client sends
+error row after which the session goes on. "done" makes a final row with the last text and closes the session; so does silence, by a timer. Chunks that a client sends
 again are told by ``seq``: what is not above the last one seen is passed over.
 
-State is a session's count, audio and last seq; of a closed session only the last seq is left, and that expires after ``forget_ms``. A chunk after that opens a new session.
+State is a session's count, audio, last text and last seq; of a closed session only the last seq is left, and that expires after ``forget_ms``. A chunk after that opens a new session.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ MIN_BYTES = 100
 EVENT = "session_id long, seq long, ts timestamp_ntz, kind string, payload string"
 RESULT = "session_id long, chunk_index long, kind string, text string, is_final boolean"
 RESULT_NAMES = ["session_id", "chunk_index", "kind", "text", "is_final"]
-OPEN = StructType().add("n", LongType()).add("audio", StringType()).add("seq", LongType())
+OPEN = StructType().add("n", LongType()).add("audio", StringType()).add("text", StringType()).add("seq", LongType())
 CLOSED = StructType().add("seq", LongType())
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: What a client is told.
@@ -69,7 +69,7 @@ class Sessions(StatefulProcessor):
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         last = self.closed.get()[0] if self.closed.exists() else None
-        n, audio, seq = self.open.get() if self.open.exists() else (0, "", -1)
+        n, audio, text, seq = self.open.get() if self.open.exists() else (0, "", "", -1)
         out: list[tuple] = []
         events = pd.concat(list(rows)).sort_values("seq") if last is None else pd.DataFrame()
         for r in events.itertuples():
@@ -77,15 +77,16 @@ class Sessions(StatefulProcessor):
                 continue
             seq = int(r.seq)
             if r.kind == "done":
-                out.append((key[0], n, "done", "", True))
+                out.append((key[0], n, "done", text, True))
                 self._close(seq)
                 break
             if r.kind == "chunk" and r.payload is not None and len(r.payload.encode()) >= MIN_BYTES:
                 n, audio = n + 1, audio + r.payload
                 out.append(self._heard(key[0], n, audio))
+                text = out[-1][3] if out[-1][2] == "segment" else text
         else:
             if last is None:
-                self.open.update((n, audio, seq))
+                self.open.update((n, audio, text, seq))
                 self._wait(timerValues)
         yield pd.DataFrame(out, columns=RESULT_NAMES)
 
@@ -95,7 +96,7 @@ class Sessions(StatefulProcessor):
             self.handle.registerTimer(timers.getCurrentProcessingTimeInMs() + self.timeout_ms)
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        n, _, seq = self.open.get() if self.open.exists() else (0, "", -1)
+        n, _, _, seq = self.open.get() if self.open.exists() else (0, "", "", -1)
         self._close(seq)
         yield pd.DataFrame([(key[0], n, "error", TIMED_OUT, True)], columns=RESULT_NAMES)
 
