@@ -6,7 +6,7 @@ the loss most by a cut in both features then get tables of their own in the same
 batch of documents at once.
 
 Features are counted over whole texts: a text goes through in segments of at most ``SEGMENT`` characters, cut at line ends or white space, and what is
-kept of it are counts and 8 bytes a word. Training takes at most ``TRAIN_DOCS`` labelled documents, those with the lowest hashes of their keys: a bounded,
+kept of it are counts and 8 bytes a word (a line longer than a segment counts as several). Training takes at most ``TRAIN_DOCS`` labelled documents, those with the lowest hashes of their keys: a bounded,
 reproducible sample; only its feature values reach the driver, only the tables go back.
 
 Edge cases: null and empty texts have the features of no words and are scored; without labelled documents every score is 0.5, with one label only it is near that label;

@@ -48,7 +48,7 @@ def distances(raw: np.ndarray, centroids: list[list[int]], scale: int) -> tuple[
     with np.errstate(over="ignore"):
         x = np.floor(raw * scale)
     top_c = max((abs(v) for c in centroids for v in c), default=0)
-    limit = math.isqrt((EXACT - 1) // max(1, raw.shape[1])) - top_c
+    limit = max(-1, math.isqrt((EXACT - 1) // max(1, raw.shape[1])) - top_c)
     exact = np.abs(x).max(axis=1, initial=0) <= limit
     near, far, wide = np.zeros(len(x), dtype=np.int32), np.zeros(len(x), dtype=np.int64), {}
     if exact.any():

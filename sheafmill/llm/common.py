@@ -100,6 +100,13 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+def fresh(docs: DataFrame, *names: str) -> list[str]:
+    """``names``, lengthened until no column of ``docs`` has one of them."""
+    taken = {c.lower() for c in docs.columns}
+    end = next("_" * i for i in range(len(taken) + 1) if not taken & {f"{n}{'_' * i}".lower() for n in names})
+    return [n + end for n in names]
+
+
 def swapped(text: Column, chars: str, by: str) -> Column:
     """Each of ``chars`` replaced; byte searches, many times as fast as translate()."""
     for c in chars:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import materialise, scratch
+from .common import fresh, materialise, scratch
 from .graph import binary_matrix, connected_components, whole_groups
 
 K, BITS = 128, 4
@@ -415,22 +415,23 @@ def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id", **opt
 
     Rows are told apart by key and text, not by key alone; of rows equal in both, the one with the least hash of all columns stays.
     """
-    names = [F.col(f"`{c}`") for c in docs.columns]
+    names, (k, h, row) = [F.col(f"`{c}`") for c in docs.columns], fresh(docs, "__k", "__h", "__row")
+    shown = [F.col(f"`{f.name}`").cast("string") if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in docs.schema]  # maps have no hash
     own = F.struct(F.col(key).isNull().alias("n"), F.col(key).alias("k"), F.xxhash64(text).alias("h"))
     seen = materialise(near_duplicates(docs.select(own.alias("__id"), F.col(text)), text, "__id", **options).select("__id.k", "__id.h", "n_shingles", "kept"), "seen")
 
     def listed(rows: DataFrame, tag: str) -> tuple[DataFrame, int]:
-        rows = materialise(rows.select(F.col("k").alias("__k"), F.col("h").alias("__h")), tag)
+        rows = materialise(rows.select(F.col("k").alias(k), F.col("h").alias(h)), tag)
         n = rows.count()
         return (F.broadcast(rows) if n <= MAX_BROADCAST_TEXTS else rows), n
 
-    same = F.col(key).eqNullSafe(F.col("__k")) & (F.xxhash64(text) == F.col("__h"))
+    same = F.col(key).eqNullSafe(F.col(k)) & (F.xxhash64(text) == F.col(h))
     repeated, n_repeated = listed(seen.filter("kept and n_shingles > 0").groupBy("k", "h").count().filter("count > 1"), "repeated")
     gone = seen.filter("not kept").select("k", "h").distinct()
     if n_repeated:
-        gone = gone.unionByName(repeated.select(F.col("__k").alias("k"), F.col("__h").alias("h")))
+        gone = gone.unionByName(repeated.select(F.col(k).alias("k"), F.col(h).alias("h")))
     kept = docs.join(listed(gone, "dropped")[0], same, "left_anti").select(*names)
     if n_repeated:
-        rows = docs.join(repeated, same).groupBy("__k", "__h").agg(F.min_by(F.struct(*names), F.xxhash64(*names)).alias("__row"))
-        kept = kept.unionByName(rows.select("__row.*"))
+        rows = docs.join(repeated, same).groupBy(k, h).agg(F.min_by(F.struct(*names), F.xxhash64(*shown)).alias(row))
+        kept = kept.unionByName(rows.select(f"{row}.*"))
     return kept

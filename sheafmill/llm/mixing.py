@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialise, n_words, scratch
+from .common import fresh, materialise, n_words, scratch
 
 MAX_STREAMS = 256
 FINE = 16
@@ -225,6 +225,11 @@ def _sized(docs: DataFrame, text: str, source: str, key: str, seed: int, *passed
     return docs.select(*passed, F.col(source).alias("__src"), n_words(F.col(text)).alias("size"), order.alias("__order"))
 
 
+def _packed(docs: DataFrame, columns: list[str]):
+    """Columns passed through, as one whose name clashes with none."""
+    return F.struct(F.lit(0).alias(fresh(docs, "__")[0]), *[F.col(f"`{c}`") for c in columns]).alias("__doc")
+
+
 def plan_mixture(
     docs: DataFrame,
     text: str = "text",
@@ -243,9 +248,9 @@ def plan_mixture(
     """
     own = [c for c in docs.columns if c not in (*ADDED, text)]
     with scratch(docs.sparkSession) as held:
-        sized = materialise(_sized(docs, text, source, key, seed, *[F.col(f"`{c}`") for c in own]), "mix-sizes")
+        sized = materialise(_sized(docs, text, source, key, seed, _packed(docs, own)), "mix-sizes")
         planned = _planned(sized, weights, most, block_words, seed, buckets, driver_sources)[0]
-        planned = materialise(planned.select(*own, *ADDED), "mix-plan")
+        planned = materialise(planned.select(*[F.col(f"__doc.`{c}`").alias(c) for c in own], *ADDED), "mix-plan")
         held.append(planned)
     return planned
 
@@ -263,7 +268,7 @@ def mix_documents(
     driver_sources: int = 100_000,
 ) -> DataFrame:
     """The mixture itself: a row for every whole repeat of a document and one for the words taken once more, in the columns of ``docs``."""
-    others = F.struct(F.col(key).alias("__key"), *[F.col(f"`{c}`") for c in docs.columns if c != text]).alias("__doc")
+    others = _packed(docs, [c for c in docs.columns if c != text])
     with scratch(docs.sparkSession) as held:
         sized = _sized(docs, text, source, key, seed, others, F.col(text).alias("__text"))
         planned, bases = _planned(sized, weights, most, block_words, seed, buckets, driver_sources)

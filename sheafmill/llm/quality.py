@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, swapped, words_of
+from .common import BLANKS, fresh, swapped, words_of
 
 SYMBOLS = "#*$%&|<>"
 #: Fixed phrases of page furniture (lower case).
@@ -172,6 +172,6 @@ def quality_metrics(
 
 def clean_documents(docs: DataFrame, text: str = "text", **rules) -> DataFrame:
     """The documents that pass, with their failing lines removed and the columns they came with."""
-    others = F.struct(F.lit(0).alias("__"), *[F.col(f"`{c}`") for c in docs.columns if c != text]).alias("__doc")
+    others = F.struct(F.lit(0).alias(fresh(docs, "__")[0]), *[F.col(f"`{c}`") for c in docs.columns if c != text]).alias("__doc")
     judged = quality_metrics(docs.select(F.col(text).alias("__text"), others), "__text", **rules).filter("kept")
     return judged.select(*[F.col("clean_text").alias(text) if c == text else F.col(f"__doc.`{c}`").alias(c) for c in docs.columns])

@@ -26,7 +26,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS, materialise, swapped
+from .common import BLANKS, fresh, materialise, swapped
 
 MIN_CHARS = 16
 SHAPE = "[A-Za-z0-9+/_.\\-]{16,}={0,2}"
@@ -283,10 +283,10 @@ def find_secrets(docs: DataFrame, keys: list[Column], text: str = "text", path:
 
 def redacted(docs: DataFrame, text: str = "text", key: str = "doc_id", path: str | None = "source", mask: str = "[SECRET]") -> DataFrame:
     """``docs`` with every secret's text replaced by ``mask``."""
-    own = F.xxhash64(F.col(key), F.col(text))
+    own, (k, held) = F.xxhash64(F.col(key), F.col(text)), fresh(docs, "__k", "__secrets")
     found = find_secrets(docs, [own], text, path).filter("is_secret")
-    secrets = materialise(found.groupBy(F.col("__key0").alias("__k")).agg(F.collect_set("finding").alias("__secrets")), "secrets")
+    secrets = materialise(found.groupBy(F.col("__key0").alias(k)).agg(F.collect_set("finding").alias(held)), "secrets")
     small = F.broadcast if secrets.count() <= MAX_BROADCAST_DOCS else lambda x: x
-    joined = docs.withColumn("__k", own).join(small(secrets), "__k", "left")
-    masked = F.aggregate(F.reverse(F.array_sort(F.transform("__secrets", lambda s: F.struct(F.length(s).alias("n"), s.alias("s"))))), F.col(text), lambda t, s: _masked(t, s["s"], mask))
-    return joined.withColumn(text, F.when(F.col("__secrets").isNull(), F.col(text)).otherwise(masked)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    joined = docs.withColumn(k, own).join(small(secrets), k, "left")
+    masked = F.aggregate(F.reverse(F.array_sort(F.transform(held, lambda s: F.struct(F.length(s).alias("n"), s.alias("s"))))), F.col(text), lambda t, s: _masked(t, s["s"], mask))
+    return joined.withColumn(text, F.when(F.col(held).isNull(), F.col(text)).otherwise(masked)).select(*[F.col(f"`{c}`") for c in docs.columns])

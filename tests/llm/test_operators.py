@@ -166,6 +166,19 @@ def test_clashing_columns_stay(spark):
         assert made.columns == docs.columns and {(r.doc_id, r.n_words, r.kept, r.target) for r in made.collect()} <= {(1, 7, True, 3.0), (2, 8, None, 4.0)}
 
 
+def test_names_of_ones_own_and_maps_stay(spark):
+    rows = [(1, prose(20, 80) + " api_key = 'A8f3kQ9zLw27xTb5'", "w", 1, 2, 3, 4, 5, {"a": 1}), (2, prose(21, 90), None, 1, 2, 3, 4, 5, None)]
+    names = ["__k", "__h", "__key", "__secrets", "__"]
+    docs = spark.createDataFrame([*rows, rows[1]], "doc_id long, text string, source string, " + ", ".join(f"{n} int" for n in names) + ", m map<string, int>")
+    for made in (quality.clean_documents(docs), mixing.mix_documents(docs), mixing.plan_mixture(docs).select(*[c for c in docs.columns if c != "text"]), secrets.redacted(docs), minhash.deduplicated(docs)):
+        got = made.collect()
+        assert {r.doc_id for r in got} == {1, 2} and all([r[n] for n in names] == [1, 2, 3, 4, 5] for r in got)
+        assert {r.doc_id: r.m for r in got} == {1: {"a": 1}, 2: None}
+    assert minhash.deduplicated(docs).count() == 2
+    packed = packing.pack_documents(docs).collect()
+    assert {r.doc_id for r in packed} == {1, 2}
+
+
 def test_token_files_of_one_hot_key(spark, tmp_path):
     rows = [(None if i % 2 else 7, prose(i, 50)) for i in range(200)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
