@@ -1,6 +1,8 @@
 """Boxes on pages: overlaps, replacement, redundancy, layout tests, runs of a mask and folds over sorted boxes.
 
-Every pair of boxes is of one page: joins are equi-joins on the page with the geometry as a residual condition.
+Every pair of boxes is of one page. Boxes that overlap meet on a grid of tiles: each is a row for every tile that it touches, and a pair counts in the tile of
+its intersection's upper left corner, so a page of many boxes is many tasks. Where pairs need not touch, joins are equi-joins on the page with the geometry as a
+residual condition.
 
 Edge cases: a box with a null side overlaps nothing (a null overlap fails every test) and keeps its place in an order, nulls first; boxes of no width or
 height have an area of 0, and divisors are at least 1; equal boxes are told apart by ``ix``; an empty table gives an empty one.
@@ -8,6 +10,9 @@ height have an area of 0, and divisors are at least 1; equal boxes are told apar
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -37,11 +42,32 @@ def named(boxes: DataFrame, prefix: str, *more: str) -> DataFrame:
     return boxes.select("page", *[F.col(c).alias(f"{prefix}{c}") for c in ("ix", *BOX, *more)])
 
 
+#: Sides of a tile of the grid on which boxes meet.
+TILE = 128
+
+
+def tiled(boxes: DataFrame, prefix: str = "", tile: int = TILE) -> DataFrame:
+    """A row for each tile (tx, ty) that a box touches; boxes of no width or height, or with a null side, touch none."""
+    x1, y1, x2, y2 = (F.col(f"{prefix}{c}") for c in BOX)
+    some = boxes.filter((x2 > x1) & (y2 > y1))
+    across, down = F.sequence(F.floor(x1 / tile), F.ceil(x2 / tile) - 1), F.sequence(F.floor(y1 / tile), F.ceil(y2 / tile) - 1)
+    return some.withColumn("tx", F.explode(across)).withColumn("ty", F.explode(down))
+
+
+def overlapping(a: DataFrame, b: DataFrame, tile: int = TILE) -> DataFrame:
+    """Pairs of boxes (page, a_ and b_ columns) that share area, each once."""
+    pair = tiled(a, "a_", tile).join(tiled(b, "b_", tile), ["page", "tx", "ty"])
+    corner = (F.floor(F.greatest("a_x1", "b_x1") / tile) == F.col("tx")) & (F.floor(F.greatest("a_y1", "b_y1") / tile) == F.col("ty"))
+    return pair.filter(corner & (intersection("a_", "b_") > 0)).drop("tx", "ty")
+
+
 def replace_overlapped(regions: DataFrame, replacements: DataFrame, least: float = 0.35) -> DataFrame:
     """Regions of which no replacement of the page covers more than ``least``, and all replacements."""
-    r = replacements.select(F.col("page").alias("r_page"), *[F.col(c).alias(f"r_{c}") for c in BOX])
-    covered = (F.col("page") == F.col("r_page")) & (intersection("", "r_") / F.greatest(F.lit(1), area()) > least)
-    return regions.join(r, covered, "left_anti").unionByName(replacements)
+    pair = overlapping(named(regions, "a_"), named(replacements, "b_"))
+    gone = pair.filter(intersection("a_", "b_") / F.greatest(F.lit(1), area("a_")) > least).select("page", *[F.col(f"a_{c}") for c in ("ix", *BOX)]).distinct()
+    same = [F.col(c).eqNullSafe(F.col(f"a_{c}")) for c in ("ix", *BOX)]
+    on = reduce(and_, same, F.col("page") == F.col("a_page"))
+    return regions.join(gone.withColumnRenamed("page", "a_page"), on, "left_anti").unionByName(replacements)
 
 
 def without_redundant(regions: DataFrame, width: int, height: int) -> DataFrame:
@@ -197,11 +223,11 @@ def sidebar_white(px: DataFrame, words: DataFrame, width: int, height: int, shar
         F.least(F.lit(width), F.col("x2") + 25).alias("gx2"),
         F.least(F.lit(height), F.col("y2") + 10).alias("gy2"),
     ).filter(F.col("gx2") > side)
-    inside = (F.col("x") >= F.col("gx1")) & (F.col("x") < F.col("gx2")) & (F.col("y") >= F.col("gy1")) & (F.col("y") < F.col("gy2"))
-    outer = px.filter(F.col("x") >= side)
-    bare = outer.join(grown.withColumnRenamed("page", "g_page"), (F.col("page") == F.col("g_page")) & inside, "left_anti")
-    covered = outer.join(grown.withColumnRenamed("page", "g_page"), (F.col("page") == F.col("g_page")) & inside, "left_semi")
-    return px.filter(F.col("x") < side).unionByName(covered).unionByName(bare.withColumn("v", F.lit(255)))
+    boxes = tiled(grown.withColumnsRenamed({f"g{c}": c for c in BOX})).groupBy("page", "tx", "ty").agg(F.collect_list(F.struct(*BOX)).alias("_boxes"))
+    outer = px.filter(F.col("x") >= side).withColumns({"tx": F.floor(F.col("x") / TILE), "ty": F.floor(F.col("y") / TILE)})
+    inside = F.exists("_boxes", lambda b: (F.col("x") >= b["x1"]) & (F.col("x") < b["x2"]) & (F.col("y") >= b["y1"]) & (F.col("y") < b["y2"]))
+    masked = outer.join(boxes, ["page", "tx", "ty"], "left").withColumn("v", F.when(inside, F.col("v")).otherwise(255)).select(*px.columns)
+    return px.filter(F.col("x") < side).unionByName(masked)
 
 
 def active_runs(counts: DataFrame, keys: list[str], at: str, value: str, smooth: int, percentile: float, floor: float, gap: int) -> DataFrame:

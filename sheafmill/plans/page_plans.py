@@ -15,7 +15,7 @@ from ..operators import skew as S
 from ..operators import waves as WAVES
 from ..operators.graph import held
 from ..session import own_folder
-from ..sources import files, unit
+from ..sources import files, revisions, unit
 from .layout_plans import _bell, _blurred
 from .registry import query, table
 from .text_plans import QUALITY
@@ -215,3 +215,22 @@ def unit_of_work(spark, sf):
     ocr = ocr.select(F.col("document_id").alias("id"), F.col("id").alias("ocr_id"), F.length("extracted_text").alias("characters"), F.round("confidence", 4).alias("confidence"))
     translated = translated.select(F.col("document_id").alias("id"), F.col("id").alias("translation_id"), "translated_text", "model_used")
     return docs.select("id", "original_filename", "status").join(ocr, "id").join(translated, "id")
+
+
+@query("""SELECT md5('d' || doc_id)::uuid::varchar AS id, lang || '.png' AS original_filename, md5('o' || doc_id)::uuid::varchar AS ocr_id, text AS extracted_text FROM documents""")
+def revised_tables(spark, sf):
+    """Stored documents and extractions after their ids became UUIDs, were taken back and became UUIDs again."""
+    root, d = own_folder(spark, "revisions"), table(spark, sf, "documents")
+    hexes = lambda kind: F.md5(F.concat(F.lit(kind), F.col("doc_id")).cast("binary"))
+    raw = F.when(F.col("doc_id") % 2 == 0, F.upper(hexes("d"))).otherwise(files.dashed(hexes("d")))
+    rows = {
+        "documents": files.typed(d.select(raw.alias("id"), F.concat("lang", F.lit(".png")).alias("original_filename"), F.lit("Completed").alias("status")), "documents"),
+        "ocr_results": files.typed(d.select(hexes("o").alias("id"), raw.alias("document_id"), F.col("text").alias("extracted_text")), "ocr_results"),
+    }
+    filled = revisions.Revision("rows", lambda spark, had: had | rows, lambda spark, had: had)
+    empty, created, ids = revisions.REVISIONS
+    for to in ("uuid ids", "rows", "uuid ids"):
+        revisions.migrate(spark, root, [empty, created, filled, ids], to)
+    now = revisions.tables(spark, root)
+    ocr = now["ocr_results"].select(F.col("document_id").alias("id"), F.col("id").alias("ocr_id"), "extracted_text")
+    return now["documents"].select("id", "original_filename").join(ocr, "id")

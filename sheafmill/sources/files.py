@@ -48,14 +48,14 @@ def docx_text(content: bytes) -> str | None:
 
 
 def word_pages(files: DataFrame) -> DataFrame:
-    """One page of confidence 1 a Word file: path, page_no, text, confidence, ok."""
+    """One page of confidence 1 a Word file: path, page_no, text, confidence, ok. Files of the older format, and others that cannot be read, are rows that are not ok."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             text = f.content.map(docx_text)
             yield pd.DataFrame({"path": f.path, "page_no": 0, "text": text, "confidence": 1.0, "ok": text.notna()})
 
-    return files.filter("ext = '.docx'").select("path", "content").mapInPandas(run, "path string, page_no int, text string, confidence double, ok boolean")
+    return files.filter(F.col("ext").isin(*R.WORD_FILE)).select("path", "content").mapInPandas(run, "path string, page_no int, text string, confidence double, ok boolean")
 
 
 def with_id(rows: DataFrame, *natural: str) -> DataFrame:

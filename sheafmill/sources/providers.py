@@ -95,15 +95,18 @@ def pdf_pages(files: DataFrame, provider: Callable[[bytes], list[str]] = plain_p
 
 
 def page_images(files: DataFrame, provider: Callable[[bytes, int], list[bytes]], dpi: int = 150) -> DataFrame:
-    """path, page_no, dpi and image of each page of (path, content), as the provider draws it."""
+    """path, page_no, dpi, image and error of each page of (path, content), as the provider draws it; a file that it fails on is one row with the reason."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for path, content in zip(f["path"], f["content"], strict=True):
-                drawn = provider(content, dpi)
-                yield pd.DataFrame({"path": [path] * len(drawn), "page_no": range(len(drawn)), "dpi": dpi, "image": drawn}).astype({"page_no": "int32", "dpi": "int32", "path": object, "image": object})
+                try:
+                    drawn = [(path, i, dpi, image, None) for i, image in enumerate(provider(content, dpi))]
+                except Exception as e:  # whatever a library raises is this file's alone
+                    drawn = [(path, None, dpi, None, str(e))]
+                yield pd.DataFrame(drawn, columns=["path", "page_no", "dpi", "image", "error"]).astype({"page_no": "Int32", "dpi": "int32", "path": object, "image": object, "error": object})
 
-    return files.select("path", "content").mapInPandas(run, "path string, page_no int, dpi int, image binary")
+    return files.select("path", "content").mapInPandas(run, "path string, page_no int, dpi int, image binary, error string")
 
 
 def mono_16k(content: bytes) -> bytes:

@@ -13,11 +13,12 @@ from pyspark.sql import functions as F
 
 from sheafmill.functions import bodies as B
 from sheafmill.functions import wrap
+from sheafmill.operators import geometry as G
 from sheafmill.operators import lines as L
 from sheafmill.operators import raster as P
 from sheafmill.operators import skew as S
 from sheafmill.operators import waves
-from sheafmill.sources import files, unit
+from sheafmill.sources import files, providers, revisions, unit
 from sheafmill.streaming import sessions
 
 
@@ -265,3 +266,51 @@ def test_wrapped_lines(spark):
 def test_bodies(spark, body, kind, texts, reason):
     q = spark.createDataFrame([(body,)], "b string").select(B.request_texts(F.col("b")).alias("q")).select("q.*", B.rejection(F.col("q.kind"), F.col("q.texts")).alias("why")).first()
     assert (q.kind, q.texts, q.why) == (kind, texts, reason)
+
+
+def test_revisions_go_up_and_down(spark, tmp_path):
+    root = str(tmp_path)
+    ids = [f"{i:032X}" for i in range(3)]
+    rows = lambda had: had | {"documents": files.typed(spark.createDataFrame([(i, "n") for i in ids], "id string, original_filename string"), "documents")}
+    empty, created, uuids = revisions.REVISIONS
+    steps = [empty, created, revisions.Revision("rows", lambda s, had: rows(had), lambda s, had: had), uuids]
+    seen = lambda: {k: sorted(map(tuple, v.collect())) for k, v in revisions.tables(spark, root).items()}
+    assert revisions.migrate(spark, root, steps, "uuid ids") == ["up empty", "up tables", "up rows", "up uuid ids"]
+    up = seen()
+    assert [r[0] for r in up["documents"]] == [f"00000000-0000-0000-0000-{i:012d}" for i in range(3)] and set(up) == set(revisions.IDS)
+    assert revisions.migrate(spark, root, steps, "rows") == ["down uuid ids"]
+    revisions.migrate(spark, root, steps, "uuid ids")
+    assert seen() == up
+    assert revisions.migrate(spark, root, steps, None)[-1] == "down empty" and seen() == {}
+    assert [e["revision"] for e in revisions.ledger(spark, root)][-3:] == ["tables", "empty", None]
+    ids[1] = "not a uuid"
+    with pytest.raises(PySparkException):
+        revisions.migrate(spark, root, steps, "uuid ids")
+    assert revisions.current(spark, root)["revision"] == "rows" and [r[0] for r in seen()["documents"]] == sorted(ids)
+    n = len(revisions.ledger(spark, root))
+    with pytest.raises(RuntimeError):  # another step was first
+        revisions._enter(spark, root, {"number": n, "revision": "x", "tables": {}})
+    before = seen()
+    assert revisions.vacuum(spark, root) > 0 and seen() == before
+
+
+def test_boxes_meet_on_the_grid_once(spark):
+    rng = np.random.default_rng(4)
+    boxes = [(int(p), i, int(x), int(y), int(x + w), int(y + h)) for i, (p, x, y, w, h) in enumerate(rng.integers([0, -200, -200, 0, 0], [2, 500, 500, 300, 200], (120, 5)))] + [(0, 500, None, 1, 2, 3)]
+    df = spark.createDataFrame(boxes, "page int, ix int, x1 int, y1 int, x2 int, y2 int")
+    pairs = [(r.a_ix, r.b_ix) for r in G.overlapping(G.named(df, "a_"), G.named(df, "b_")).collect()]
+    shared = lambda a, b: a[0] == b[0] and None not in a + b and min(a[4], b[4]) > max(a[2], b[2]) and min(a[5], b[5]) > max(a[3], b[3])
+    assert sorted(pairs) == sorted((a[1], b[1]) for a in boxes for b in boxes if shared(a, b))
+
+
+def test_files_that_cannot_be_read_are_rows_of_their_own(spark):
+    found = spark.createDataFrame([("a.docx", ".docx", b"x"), ("b.doc", ".doc", b"y"), ("c.pdf", ".pdf", b"z")], "path string, ext string, content binary")
+    assert {(r.path, r.ok) for r in files.word_pages(found).collect()} == {("a.docx", False), ("b.doc", False)}
+
+    def draw(content, dpi):
+        if content == b"x":
+            raise ValueError("broken")
+        return [content, content]
+
+    rows = providers.page_images(found, draw).collect()
+    assert {(r.path, r.page_no, r.error) for r in rows} == {("a.docx", None, "broken"), ("b.doc", 0, None), ("b.doc", 1, None), ("c.pdf", 0, None), ("c.pdf", 1, None)}
