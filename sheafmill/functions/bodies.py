@@ -60,11 +60,16 @@ def rejection(kind_: Column, texts: Column) -> Column:
 
 def detected_script(raw: Column) -> Column:
     """script, confidence, is_special and reason of a model's answer, fenced or not; what cannot be read is unknown."""
-    body = F.try_parse_json(T.clean_transcription(raw))
-    script, confidence, reason = (value_of(body, f"$.{f}") for f in ("script", "confidence", "reason"))
-    name = F.lower(T.strip(F.when(truthy(script), text_of(script)).otherwise("unknown")))
-    number = F.when(kind(confidence) == "BOOLEAN", F.when(text_of(confidence) == "true", 1.0).otherwise(0.0)).otherwise(F.coalesce(text_of(confidence).try_cast("double"), F.lit(0.0)))
-    sure = F.greatest(F.lit(0.0), F.least(F.lit(1.0), number))
-    special = (truthy(value_of(body, "$.is_special_lipi")) | name.isin(*SPECIAL)) & (sure >= SURE)
-    why = F.when(body.isNull(), UNREADABLE).otherwise(T.strip(F.when(truthy(reason), text_of(reason)).otherwise("")))
-    return F.struct(name.alias("script"), F.round(sure, 4).alias("confidence"), special.alias("is_special"), why.alias("reason"))
+
+    def read(body: Column) -> Column:
+        script, confidence, reason = (value_of(body, f"$.{f}") for f in ("script", "confidence", "reason"))
+        name = F.lower(T.strip(F.when(truthy(script), text_of(script)).otherwise("unknown")))
+        number = F.when(kind(confidence) == "BOOLEAN", F.when(text_of(confidence) == "true", 1.0).otherwise(0.0)).otherwise(F.coalesce(text_of(confidence).try_cast("double"), F.lit(0.0)))
+        why = F.when(body.isNull(), UNREADABLE).otherwise(T.strip(F.when(truthy(reason), text_of(reason)).otherwise("")))
+        return F.struct(name.alias("script"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), number)).alias("sure"), truthy(value_of(body, "$.is_special_lipi")).alias("flag"), why.alias("why"))
+
+    def judged(d: Column) -> Column:
+        special = (d["flag"] | d["script"].isin(*SPECIAL)) & (d["sure"] >= SURE)
+        return F.struct(d["script"].alias("script"), F.round(d["sure"], 4).alias("confidence"), special.alias("is_special"), d["why"].alias("reason"))
+
+    return T.bound(T.bound(F.try_parse_json(T.clean_transcription(raw)), read), judged)

@@ -41,13 +41,14 @@ def response_envelope(spark, sf):
     return table(spark, sf, "documents").select(i, F.to_json(body, {"ignoreNullFields": "false"}).alias("body"))
 
 
-@query(f"""WITH e AS (SELECT event_id, event_id % 3 = 0 AS audio, event_id % 11 > 0 AS first, event_id % 7 > 0 AS last FROM events)
+@query(f"""WITH e AS (SELECT event_id, event_type IN ('view', 'signup') AS audio, event_type <> 'error' AS first, coalesce(lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id), '') <> 'error' AS last FROM events)
 SELECT event_id, NOT audio OR (first AND last) AS answered, CASE WHEN first AND last THEN 'saved' WHEN NOT audio THEN 'skipped' END AS persistence_status, CASE WHEN first AND last THEN 'Completed' END AS document_status,
   CASE WHEN NOT audio AND NOT (first AND last) THEN '{SKIPPED}' END AS warning FROM e""")
 def degraded_persistence(spark, sf):
-    """A document is answered without being saved if the database fails at the first or the last write; a recording is not."""
-    i = F.col("event_id")
-    e = table(spark, sf, "events").select(i, (i % 3 == 0).alias("audio"), ((i % 11 > 0) & (i % 7 > 0)).alias("saved"))
+    """A document is answered without being saved if the database fails at the first or the last write, here an event or the user's next; a recording (views and signups) is not."""
+    after = F.coalesce(F.lead("event_type").over(Window.partitionBy("user_id").orderBy("ts", "event_id")), F.lit(""))
+    saved = (F.col("event_type") != "error") & (after != "error")
+    e = table(spark, sf, "events").select("event_id", F.col("event_type").isin("view", "signup").alias("audio"), saved.alias("saved"))
     return files.with_persistence(e, F.col("saved"), ~F.col("audio"), SKIPPED).select("event_id", "answered", "persistence_status", "document_status", "warning")
 
 
@@ -245,12 +246,13 @@ def interim_results(spark, sf):
 
 
 @query("""WITH c AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place FROM conversations WHERE octet_length(encode(text)) >= 100),
-f AS (SELECT *, turn % 5 = 3 AS bad FROM c)
+f AS (SELECT c.*, e.event_type = 'error' AS bad FROM c LEFT JOIN events e ON e.event_id = c.conv_id)
 SELECT conv_id, place, CASE WHEN bad THEN 'error' ELSE 'segment' END AS kind, CASE WHEN bad THEN 'Transcription error: turn ' || turn ELSE text END AS text FROM f""")
 def isolated_errors(spark, sf):
-    """A chunk that cannot be transcribed is an error row; those after it go on."""
+    """A chunk that cannot be transcribed is an error row and counts; here those of conversations whose event is an error."""
     c = table(spark, sf, "conversations").select(F.col("conv_id").alias("session_id"), F.col("turn").alias("seq"), F.col("text").alias("payload"))
-    failed = F.when(F.col("seq") % 5 == 3, F.concat(F.lit("turn "), F.col("seq").cast("string")))
+    c = c.join(table(spark, sf, "events").select(F.col("event_id").alias("session_id"), "event_type"), "session_id", "left")
+    failed = F.when(F.col("event_type") == "error", F.concat(F.lit("turn "), F.col("seq").cast("string")))
     return sessions.isolated(c, failed).select(F.col("session_id").alias("conv_id"), "place", "kind", "text")
 
 
