@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import fresh_path, materialise
+from .common import fresh_path, materialise, qualified, scratch
 from .tokens import default_tokenizer, encoder
 
 MAGIC = b"FRQB"
@@ -148,10 +148,18 @@ def write_token_files(
     tokenizer = tokenizer or default_tokenizer()
     enc = encoder(tokenizer)
     itemsize, vocab_size = enc.dtype.itemsize, max(enc.vocab_size, end_id + 1)
-    coded = materialise(tokenized(docs, text, key, tokenizer, end_id), "token-ids")
-    counts = id_counts(coded, itemsize, vocab_size)
+    with scratch(spark) as kept:
+        coded = materialise(tokenized(docs, text, key, tokenizer, end_id), "token-ids")
+        manifest = _write_files(coded, path, file_ids, itemsize, id_counts(coded, itemsize, vocab_size))
+        kept.append(manifest)
+    return manifest
+
+
+def _write_files(coded: DataFrame, path: str | None, file_ids: int, itemsize: int, counts: np.ndarray) -> DataFrame:
+    """The files of documents with their ids, in the order of their keys, and the manifest."""
+    spark, vocab_size = coded.sparkSession, len(counts)
     by_rank = np.lexsort((np.arange(vocab_size), -counts)).astype("<u4")
-    path = path or fresh_path(spark, "token-files")
+    path = qualified(spark, path or fresh_path(spark, "token-files"))  # workers and Spark must mean the same file system
     filesystem, folder = _files(path)
     filesystem.create_dir(folder, recursive=True)
     ranks = f"{path}/ranks-{uuid.uuid4().hex}.bin"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -38,7 +39,16 @@ def fresh_path(spark: SparkSession, tag: str) -> str:
 
 
 _ROOTS: dict[str, str] = {}
-_OPEN: list[list[str]] = []
+
+
+class _Scopes(threading.local):
+    """The open scratches of a thread, the innermost last."""
+
+    def __init__(self) -> None:
+        self.open: list[list[str]] = []
+
+
+_SCOPES = _Scopes()
 
 
 def _hadoop(spark: SparkSession, path: str):
@@ -46,6 +56,12 @@ def _hadoop(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme and host of the file system that Spark would use for it."""
+    p, files = _hadoop(spark, path)
+    return files.makeQualified(p).toString()
+
+
 def remove(spark: SparkSession, *paths: str) -> None:
     for path in paths:
         p, files = _hadoop(spark, path)
@@ -63,14 +79,14 @@ def cleanup(spark: SparkSession) -> None:
 def scratch(spark: SparkSession) -> Iterator[list[DataFrame]]:
     """Removes the tables written inside when it ends, but for those put in the list that it gives: what the result reads."""
     kept: list[DataFrame] = []
-    _OPEN.append([])
+    _SCOPES.open.append([])
     try:
         yield kept
     finally:
-        written, stay = _OPEN.pop(), {getattr(d, "_table", None) for d in kept}
+        written, stay = _SCOPES.open.pop(), {getattr(d, "_table", None) for d in kept}
         remove(spark, *[w for w in written if w not in stay])
-        if _OPEN:
-            _OPEN[-1] += [w for w in written if w in stay]
+        if _SCOPES.open:
+            _SCOPES.open[-1] += [w for w in written if w in stay]
 
 
 @contextmanager
@@ -93,8 +109,8 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     path = fresh_path(spark, tag)
     with _conf(spark, CLEANUP, "true"):
         df.write.option("compression", "zstd").parquet(path)
-    if _OPEN:
-        _OPEN[-1].append(path)
+    if _SCOPES.open:
+        _SCOPES.open[-1].append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._table = path
     return out

@@ -6,15 +6,18 @@ import hashlib
 import math
 import random
 import re
+import threading
+import time
 import zlib
 from collections import Counter
 from fractions import Fraction
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sheafmill.llm import additive, clusters, queries, variants
+from sheafmill.llm import additive, clusters, codec, common, language, queries, variants
 
 DOCS = "doc_id long, text string, lang string"
 
@@ -220,3 +223,39 @@ def test_queries_return_the_contracts_columns(spark, sf):
     assert queries.op12_spelling_variants(spark, sf).dtypes == [("word", "string"), ("form", "string"), ("root", "string"), ("n", "bigint"), ("n_near", "bigint"), ("form_n", "bigint")]
     kinds = [("vec_id", "bigint"), ("cluster", "int"), ("distance", "bigint"), ("cluster_inertia", "bigint"), ("inertia", "bigint"), ("centroid_sha256", "string")]
     assert queries.op13_centroid_clusters(spark, sf).dtypes == kinds
+
+
+# Tables and folders
+
+
+def test_token_files_leave_nothing_but_what_is_read(spark):
+    docs = spark.createDataFrame([(i, f"some words {i} " * 30, "x") for i in range(40)], DOCS)
+    root = Path(common.fresh_path(spark, "x")).parent
+    before = set(root.iterdir())
+    manifest = codec.write_token_files(docs)
+    assert all(r.file.startswith("file:") and r.ranks.startswith("file:") for r in manifest.collect())
+    assert codec.read_token_files(manifest).count() == 40
+    assert sorted("-".join(p.name.split("-")[:2]) for p in set(root.iterdir()) - before) == ["token-files", "token-manifest"]
+
+
+def test_scratches_of_two_threads_do_not_meet(spark):
+    began, gone = threading.Event(), threading.Event()
+    kept = {}
+
+    def other() -> None:
+        with common.scratch(spark) as held:
+            began.wait(60)
+            held.append(common.materialise(spark.range(5).toDF("a"), "other"))
+            kept["table"] = held[0]
+            gone.wait(60)
+
+    thread = threading.Thread(target=other)
+    thread.start()
+    with common.scratch(spark):
+        common.materialise(spark.range(3).toDF("a"), "mine")
+        began.set()
+        while "table" not in kept:
+            time.sleep(0.1)
+    gone.set()
+    thread.join()
+    assert kept["table"].count() == 5
