@@ -18,6 +18,7 @@ from sheafmill.operators import lines as L
 from sheafmill.operators import raster as P
 from sheafmill.operators import skew as S
 from sheafmill.operators import waves
+from sheafmill.plans import page_plans
 from sheafmill.sources import files, providers, revisions, unit
 from sheafmill.streaming import sessions
 
@@ -314,3 +315,15 @@ def test_files_that_cannot_be_read_are_rows_of_their_own(spark):
 
     rows = providers.page_images(found, draw).collect()
     assert {(r.path, r.page_no, r.error) for r in rows} == {("a.docx", None, "broken"), ("b.doc", 0, None), ("b.doc", 1, None), ("c.pdf", 0, None), ("c.pdf", 1, None)}
+
+
+def test_regions_of_a_page_from_its_pixels(spark):
+    page = np.full((page_plans.H, page_plans.W), 255)
+    for top in (6, 14, 22, 56, 64):  # two blocks of lines, the second to the right
+        left = 4 if top < 40 else 60
+        for x in range(left, left + 60, 5):
+            page[top : top + 5, x : x + 2] = 0
+    found = page_plans.page_regions(pixels_of(spark, {3: page, 4: np.full((page_plans.H, page_plans.W), 255)})).orderBy("place").collect()
+    assert [(r.page, r.place, r.lines) for r in found] == [(3, 0, 3), (3, 1, 2)]
+    assert all(abs(a - b) <= 1 for r, (top, end) in zip(found, [(6, 27), (56, 69)], strict=True) for a, b in ((r.y1, top), (r.y2, end)))
+    assert found[0].x1 < 10 and found[1].x1 > 50
