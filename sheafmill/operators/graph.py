@@ -8,14 +8,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import shared_folder
+from ..session import own_folder
 
 
 def held(df: DataFrame) -> DataFrame:
     """``df`` written to the checkpoint folder: what follows does not work it out again."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
+        context.setCheckpointDir(own_folder(df.sparkSession, "checkpoints"))
     return df.checkpoint()
 
 
