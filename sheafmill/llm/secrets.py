@@ -1,8 +1,9 @@
 """Secret scan: candidates by shape, false positives removed by a random forest trained on labelled findings.
 
 Candidates inside one word of the text are (1) every run of at least ``MIN_CHARS`` key characters that has a digit, both cases, a known
-prefix or a key word beside it, and (2) every value of 4 or more characters assigned to a name with a key word in it, unless the value is
-such a run. A value of (2) may hold a run of (1): both are rows. The forest sees length, character transitions (the mean log-odds of its
+prefix or a key word beside it, (2) every value of 4 or more characters assigned to a name with a key word in it, unless the value is
+such a run, (3) such a value with a digit after a verb ("the password is ..."), and (4) the password of a URL's user. A value of (2) may
+hold a run of (1): both are rows. A quoted value of (2) may have spaces and ends with its quote, on its line; it counts as one word. The forest sees length, character transitions (the mean log-odds of its
 pairs of neighbouring characters, and how often the class of character changes), how much of it dictionary words cover, the path it
 comes from and the neighbouring words.
 The labelled findings are generated (``labelled_findings``, a bounded number of rows): formats of live keys against digests, ids, hosts,
@@ -35,8 +36,8 @@ NAMED = "[A-Za-z_][A-Za-z0-9_.\\-]*[\"'`\\]]*[=:]+[\"'`(\\[]*$"
 #: Up to this many redacted documents their secrets are broadcast (about 100 bytes each); beyond, the join is shuffled.
 MAX_BROADCAST_DOCS = 50_000
 #: Words that stand beside keys, and words that stand beside what only looks like one.
-KEY_WORDS = "token|secret|passw|pwd|api.?key|access.?key|private.?key|[a-z0-9][_-]key|auth|bearer|credential|signing|passphrase"
-OTHER_WORDS = "sha|md5|checksum|commit|digest|hash|uuid|guid|version|revision|isbn|phone|mail|file|image|host|order|etag|example"
+KEY_WORDS = "token|secret|passw|pwd|api.?key|access.?key|private.?key|[a-z0-9][_-]key|auth|bearer|credential|signing|passphrase|kennwort|contrase.a|(?<![a-z])(?:passe|clave|cookie|keys?)(?![a-z])|session.?id"
+OTHER_WORDS = "sha|md5|checksum|commit|digest|hash|uuid|guid|version|revision|isbn|phone|mail|file|image|host|order|etag|example|(?<![a-z])ids?(?![a-z])"
 #: Common words of code and of four languages, four letters or more.
 DICTIONARY = (
     "about abstract access account action after agent alle also application async auth author avec base batch been before body boolean buffer build "
@@ -60,12 +61,22 @@ OPEN = "[\"'`(\\[\\\\]{0,3}"
 #: An assigned value: up to the quote if one opens it, else up to a delimiter; "&" ends it only before another assignment.
 _PLAIN = "\\s\"'`,;&<>(){}\\[\\]"
 _INNER = f"(?:[^{_PLAIN}]|&(?![A-Za-z0-9_.\\-]{{1,60}}=))"
-VALUE = f"(?i)(?<={NAME} ?{SIGN} ?{OPEN})(?:(?<=[\"'`])[^\"'`\\s]{{4,}}(?<!\\\\)|(?<![\"'`])[^{_PLAIN}=:\\\\]{_INNER}{{3,}})"
+#: Verbs that assign in the four languages.
+VERBS = ("is", "ist", "lautet", "est", "es")
+USER = "://[A-Za-z0-9._%+\\-]{1,60}:"
+VALUE = (
+    f"(?i)(?<={NAME} ?{SIGN} ?{OPEN})(?:(?<=[\"'`])[^\"'`\\s]{{4,}}(?<!\\\\)|(?<![\"'`])[^{_PLAIN}=:\\\\]{_INNER}{{3,}})"
+    f"|(?<={NAME} (?:{'|'.join(VERBS)}):? {OPEN})(?=[^\\s]*[0-9])[^{_PLAIN}=:\\\\]{_INNER}{{3,}}"
+    f"|(?<={USER})[^\\s/@\"'`]{{4,}}(?=@)"
+)
 #: The end of the words before that is a name, with its sign or before it.
-PENDING = f"(?i){NAME} ?(?:{SIGN}{OPEN})?$"
+PENDING = f"(?i){NAME}(?: ?(?:{SIGN}{OPEN})?| (?:{'|'.join(VERBS)}):?)$"
+#: A space inside a quoted value of a name with a key word, and what stands for it in the value's word.
+INSIDE = f"(?i)((?:[\"'`](?<={NAME} ?{SIGN} ?[\"'`])(?=[^\"'`\\n]*[\"'`])|\\G(?!^))[^\"'`\\s]*) "
+MARK = "\ue000"
 FEATURES = [
     "f_length", "f_digits", "f_upper", "f_lower", "f_other", "f_symbols", "f_prefix", "f_distinct", "f_runs", "f_vowels", "f_hex", "f_alpha_runs",
-    "f_transition", "f_dictionary", "f_path", "f_key_near", "f_other_near", "f_assigned", "f_quoted",
+    "f_transition", "f_dictionary", "f_path", "f_key_near", "f_other_near", "f_assigned", "f_quoted", "f_blanks",
 ]
 #: Letters, digits as one and all else as one.
 SYMBOLS = "abcdefghijklmnopqrstuvwxyz0-"
@@ -103,10 +114,11 @@ def features(core: Column, before: Column, after: Column, path: Column, pairs: C
         "f_transition": F.aggregate(pairs, F.lit(0.0), lambda x, p: x + F.get(odds, p.cast("int"))) / F.greatest(F.size(pairs), F.lit(1)),
         "f_dictionary": (n - F.length(spelled)) / n,
         "f_path": F.coalesce(path, F.lit("")).rlike(TEST_PATHS).cast("double"),
-        "f_key_near": context.rlike(KEY_WORDS).cast("double"),
+        "f_key_near": (context.rlike(KEY_WORDS) | F.coalesce(before, F.lit("")).rlike(f"{USER}$")).cast("double"),
         "f_other_near": context.rlike(OTHER_WORDS).cast("double"),
         "f_assigned": F.coalesce(before, F.lit("")).rlike("[=:]\\s*[\"'`(]*$").cast("double"),
         "f_quoted": F.coalesce(before, F.lit("")).rlike("[\"'`]$").cast("double"),
+        "f_blanks": share(" "),
     }
 
 
@@ -116,7 +128,7 @@ def labelled_findings(spark: SparkSession, rows: int = 8000) -> DataFrame:
     sha = F.sha2(i.cast("string").cast("binary"), 256)
     b64 = F.regexp_replace(F.base64(F.unhex(sha)), "=", "")
     pick = lambda salt, values: F.element_at(F.array(*[F.lit(v) for v in values]), (F.pmod(F.xxhash64(i, F.lit(salt)), F.lit(len(values))) + 1).cast("int"))
-    key = pick(1, ["token", "secret", "password", "api_key", "access_key", "auth token", "client_secret", "private key", "credential", "passwd", "first_key", "signing_key"])
+    key = pick(1, ["token", "secret", "password", "api_key", "access_key", "auth token", "client_secret", "private key", "credential", "passwd", "first_key", "signing_key", "session_id", "access_key_id", "Kennwort", "clave", "contraseña", "mot de passe", "cookie", "key"])
     sign = pick(2, [" = \"", "=\"", ": '", "=", ": ", " = ", " := \"", " \""])
     note = pick(3, ["commit", "sha1", "md5", "checksum", "sha256:", "digest", "etag:", "revision", "image", "file hash", "order", "uuid", "guid ="])
     word = pick(4, ["the", "and", "of", "see", "der", "que", "le", "un", "on", "with", "is", "a"])
@@ -142,6 +154,15 @@ def labelled_findings(spark: SparkSession, rows: int = 8000) -> DataFrame:
     akia = F.concat(pick(43, ["AKIA", "ASIA"]), F.upper(F.substring(sha, 1, 16)))
     domain = F.concat(one, pick(40, [".", "-", "2.", "7."]), two, pick(41, [".com", ".org", ".net", ".io", ".de", ".fr"]))
     where = F.concat_ws("/", one, two, F.concat(three, F.substring(digits, 2, 3)))
+    user = F.concat(word, F.lit(" "), pick(61, ["postgres", "mysql", "amqp", "https", "redis", "mongodb"]), F.lit("://"), pick(62, ["admin", "root", "app", "mailer", "ci"]), F.lit(":"))
+    told = F.concat(word, F.lit(" "), key, F.lit(" "), pick(63, list(VERBS)), F.lit(" "))
+    header = F.concat(word, F.lit(" "), pick(64, ["x-api-key", "api key", "access token", "auth-token", "client_secret", "secret key"]), sign)
+    keyed = F.concat(word, F.lit(" key "))
+    numbered = F.concat(word, pick(65, [" document id ", " page id ", " id: ", " node id=", " build id ", " object ids "]))
+    things = [pick(k, ["kettle", "river", "stone", "candle", "ocean", "tiger", "lemon", "marble", "cloud", "pepper", "anchor", "velvet"]) for k in (66, 67, 68)]
+    phrase = F.concat_ws(" ", things[0], F.when(i % 2 == 0, F.concat(F.substring(digits, 2, 2), things[1])).otherwise(F.concat_ws(" ", F.substring(digits, 2, 1), things[1])), things[2])
+    said = F.concat_ws(" ", *[pick(k, DICTIONARY) for k in (69, 70, 71)], pick(72, ["here", "again", "please", "first", "or null", "of the page"]))
+    named = F.concat_ws(" ", pick(73, ["Anna", "John", "Marie", "Karl", "Lucía"]), F.initcap(one), pick(74, ["wrote this", "and sons", "of London", ""]))
     live_kinds = [
         (hexes, live), (hexes, live), (hexes, either), (F.substring(b64, 1, 40), live), (F.substring(b64, 1, 40), either), (akia, anywhere),
         (F.concat(F.lit("AKIA"), F.translate(F.upper(F.substring(sha, 1, 16)), "0123456789", "GHJKLMNPQR")), anywhere),
@@ -152,6 +173,8 @@ def labelled_findings(spark: SparkSession, rows: int = 8000) -> DataFrame:
         (F.concat(cut(b64, 24, 4, 9), pick(25, ["&", "!", "#", "@", "$", "%"]), F.substring(b64, 12, 3)), either),
         (cut(sha, 26, 6, 15), either), (cut(b64, 27, 6, 15), either), (cut(letters, 28, 8, 15), either), (cut(lower, 29, 8, 15), quoted),
         (pick(30, ["letmein", "swordfish", "iloveyou", "qwertz", "dragonfly", "sunshine"]), quoted),
+        (uuid, header), (weak, user), (cut(b64, 75, 6, 15), user), (weak, told), (cut(sha, 76, 6, 15), told), (F.concat(F.initcap(things[0]), F.substring(digits, 2, 2), things[1]), told),
+        (F.concat(F.initcap(things[0]), pick(77, ["", "_", "-", "!"]), F.substring(digits, 2, 2), things[1]), either), (phrase, quoted), (F.substring(b64, 1, 40), keyed),
     ]
     other_kinds = [
         (hexes, noted), (hexes, noted), (hexes, plain), (uuid, noted), (uuid, plain), (F.substring(F.concat(digits, digits), 1, 18), plain), (F.substring(digits, 1, 16), noted),
@@ -169,13 +192,15 @@ def labelled_findings(spark: SparkSession, rows: int = 8000) -> DataFrame:
         (cut(digits, 33, 4, 6), F.concat(word, pick(34, [" tokens: ", " max_tokens=", " token_count = ", " auth: "]))),
         (F.concat(F.lit("//"), domain, F.lit("/"), three), F.concat(pick(35, ["see https:", "auth url: https:", "token from https:"]))),
         (cut(letters, 36, 16, 40), noted), (F.concat(domain, F.lit("/"), pick(37, ["login", "passwords", "Reset", "tokens"])), either),
+        (cut(b64, 78, 16, 40), numbered), (letters, numbered), (hexes, numbered), (uuid, numbered), (said, quoted), (named, quoted), (F.concat(F.lit("20"), F.substring(digits, 2, 2)), told),
+        (pick(79, ["password", "secret", "changeme", "<password>", "${PASS}", "pass"]), user), (cut(digits, 80, 4, 6), told), (one, keyed), (uuid, noted),
     ]
     label = F.pmod(F.xxhash64(i, F.lit(50)), F.lit(5)) < 2
     choose = lambda kinds, salt, at: F.coalesce(*[F.when(F.pmod(F.xxhash64(i, F.lit(salt)), F.lit(len(kinds))) == k, x[at]) for k, x in enumerate(kinds)])
     either_of = lambda at: F.when(label, choose(live_kinds, 51, at)).otherwise(choose(other_kinds, 52, at))
     code = pick(8, ["src/app.py", "config/prod.env", "deploy/values.yaml", "notes/setup.txt", "web", "forum", ""])
     fixture = pick(8, ["tests/data/cases.json", "docs/readme.md", "examples/quickstart.py", "test/fixtures.rb"])
-    path = F.when(F.pmod(F.xxhash64(i, F.lit(53)), F.lit(100)) < F.when(label, 8).otherwise(25), fixture).otherwise(code)
+    path = F.when(F.pmod(F.xxhash64(i, F.lit(53)), F.lit(100)) < F.when(label, 4).otherwise(40), fixture).otherwise(code)
     made = spark.range(0, rows, 1, 4).select("id", either_of(0).alias("core"), either_of(1).alias("before"), word.alias("after"), path.alias("path"), label.cast("int").alias("label"))
     return made
 
@@ -247,19 +272,23 @@ def _masked(text: Column, secret: Column, mask: str) -> Column:
 
 def find_secrets(docs: DataFrame, keys: list[Column], text: str = "text", path: str | None = "source", least: float = 0.5) -> DataFrame:
     """Per candidate: ``keys``, word_ix (its word, from 0; a word may hold several), finding, score (the forest's) and is_secret."""
-    spaced = F.split(swapped(F.coalesce(F.col(text), F.lit("")), BLANKS[1:], " "), " ")
+    whole = F.coalesce(F.col(text), F.lit(""))
+    joined = F.when(whole.contains(MARK), whole).otherwise(F.regexp_replace(whole, INSIDE, f"$1{MARK}"))
+    spaced = F.split(swapped(joined, BLANKS[1:], " "), " ")
     names = [f"__key{i}" for i in range(len(keys))]
     named = [k.alias(n) for k, n in zip(keys, names, strict=True)]
     origin = (F.col(path) if path else F.lit("")).cast("string").alias("__path")
     words = docs.select(*named, origin, F.filter(spaced, lambda w: w != "").alias("__w"))
     w = F.col("__w")
     around = F.transform(w, lambda x, i: F.struct(i.alias("i"), x.alias("x"), F.get(w, i - 1).alias("b1"), F.get(w, i - 2).alias("b2"), F.get(w, i + 1).alias("a")))
-    signed = lambda s: s["x"].contains("=") | s["x"].contains(":") | F.substring(s["b1"], -1, 1).isin("=", ":", ">")
+    told = lambda s: F.rtrim(F.lower(s["b1"]), F.lit(":")).isin(*VERBS) & s["x"].rlike("[0-9]")
+    signed = lambda s: s["x"].contains("=") | s["x"].contains(":") | F.substring(s["b1"], -1, 1).isin("=", ":", ">") | told(s)
     keyed = lambda s: F.concat_ws(" ", s["b2"], s["b1"], s["x"]).rlike(f"(?i){KEY_WORDS}")
-    shaped = F.filter(around, lambda s: ((F.length(s["x"]) >= MIN_CHARS) & s["x"].rlike(SHAPE)) | (signed(s) & keyed(s)))
+    valued = lambda s: (signed(s) & keyed(s)) | s["x"].rlike(f"{USER}[^\\s/@]+@")
+    shaped = F.filter(around, lambda s: ((F.length(s["x"]) >= MIN_CHARS) & s["x"].rlike(SHAPE)) | valued(s))
     rows = words.select(*names, "__path", F.explode(shaped).alias("s"))
     pending = F.regexp_extract(F.concat_ws(" ", "s.b2", "s.b1"), PENDING, 0)
-    rows = rows.select(*names, "__path", "s", F.when(signed(F.col("s")) & keyed(F.col("s")), F.concat(pending, F.when(pending != "", " ").otherwise(""), "s.x")).otherwise("").alias("__y"))
+    rows = rows.select(*names, "__path", "s", F.when(valued(F.col("s")), F.concat(pending, F.when(pending != "", " ").otherwise(""), "s.x")).otherwise("").alias("__y"))
     # Columns of their own: inside the lambdas below the expressions would run once a run, not once a word.
     runs = (F.regexp_extract_all("s.x", F.lit(SHAPE), F.lit(0)), F.split("s.x", SHAPE))
     values = (F.regexp_extract_all("__y", F.lit(VALUE), F.lit(0)), F.split("__y", VALUE))
@@ -272,8 +301,8 @@ def find_secrets(docs: DataFrame, keys: list[Column], text: str = "text", path:
     rows = rows.select(
         *names,
         F.col("i").cast("long").alias("word_ix"),
-        F.col("r.finding").alias("finding"),
-        F.col("r.finding").alias("core"),
+        F.translate("r.finding", MARK, " ").alias("finding"),
+        F.translate("r.finding", MARK, " ").alias("core"),
         F.col("r.before").alias("before"),
         F.col("r.after").alias("after"),
         F.col("__path").alias("path"),
