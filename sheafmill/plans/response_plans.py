@@ -7,25 +7,26 @@ from pyspark.sql.window import Window
 
 from ..functions import routing as R
 from ..functions import text as T
+from ..operators import quality as Q
 from ..sources import files
 from ..streaming import sessions
 from .layout_plans import BOXES, H, W, boxes
 from .registry import query, table
-from .service_plans import KEY, LANGUAGES, NORMAL, PICK, languages
+from .service_plans import KEY, LANGUAGES, NORMAL, PICK, SKIPPED, languages
 
-SKIPPED = "Database unavailable; processed without saving records"
-
-
-@query(f"""WITH d AS (SELECT doc_id, text, lang, doc_id % 7 > 0 AS saved, (doc_id % 101) / 100.0::double AS conf, doc_id % 4 = 0 AS review FROM documents)
+@query(f"""WITH d AS (SELECT doc_id, text, lang, doc_id % 7 > 0 AS saved, (doc_id % 101) / 100.0::double AS conf, doc_id % 4 = 0 AS suspicious FROM documents),
+r AS (SELECT *, conf < 0.62 OR suspicious AS review, CASE WHEN conf < 0.62 THEN '{Q.LOW_MESSAGE}' WHEN suspicious THEN '{Q.LAYOUT_MESSAGE}' END AS message FROM d)
 SELECT doc_id, json_object('message', CASE WHEN saved THEN 'Document processed successfully' ELSE 'Document processed successfully, but database save was skipped' END,
   'document_id', doc_id, 'persistence_status', CASE WHEN saved THEN 'saved' ELSE 'skipped' END,
-  'warning', nullif(concat_ws(' ', CASE WHEN NOT saved THEN '{SKIPPED}' END, CASE WHEN review THEN 'Check the text.' END), ''),
+  'warning', nullif(concat_ws(' ', CASE WHEN NOT saved THEN '{SKIPPED}' END, message), ''),
   'original_filename', lang || '.png', 'ocr_confidence', conf, 'ocr_review_required', review, 'characters', length(text),
-  'timing', json_object('ocr_processing_seconds', doc_id % 9 + 0.25::double, 'total_processing_seconds', doc_id % 9 + 1.5::double))::varchar AS body FROM d""")
+  'timing', json_object('ocr_processing_seconds', doc_id % 9 + 0.25::double, 'total_processing_seconds', doc_id % 9 + 1.5::double))::varchar AS body FROM r""")
 def response_envelope(spark, sf):
     """The JSON body of a response: missing values are null, warnings are one text or null, and nothing but the message tells that saving was skipped."""
-    i, saved, review = F.col("doc_id"), F.col("doc_id") % 7 > 0, F.col("doc_id") % 4 == 0
-    warning = F.nullif(F.concat_ws(" ", F.when(~saved, SKIPPED), F.when(review, "Check the text.")), F.lit(""))
+    i, saved = F.col("doc_id"), F.col("doc_id") % 7 > 0
+    message = F.nullif(Q.review_message(F.lit(False), Q.quality_status((i % 101) / 100.0), i % 4 == 0), F.lit(""))
+    review = message.isNotNull()
+    warning = F.nullif(F.concat_ws(" ", F.when(~saved, SKIPPED), message), F.lit(""))
     timing = F.struct((i % 9 + 0.25).cast("double").alias("ocr_processing_seconds"), (i % 9 + 1.5).cast("double").alias("total_processing_seconds"))
     body = F.struct(
         F.when(saved, "Document processed successfully").otherwise("Document processed successfully, but database save was skipped").alias("message"),

@@ -11,6 +11,8 @@ from ..functions import text as T
 from ..operators import quality as Q
 from .registry import query, table
 
+#: Fixed value: what is said where records could not be saved.
+SKIPPED = "Database unavailable; processed without saving records"
 CANDIDATES = """c AS (SELECT user_id AS page_id, event_id AS ordinal, event_type AS variant, round(value, 0) AS score, (event_id % 7) / 7.0::double AS confidence, (event_id * 31 % 500)::bigint AS character_count FROM events)"""
 
 
@@ -320,11 +322,15 @@ def translate_request_validation(spark, sf):
     return d.select("doc_id", "is_list", valid.alias("valid"), F.when(~valid & F.col("is_list"), B.EMPTY_LIST).when(~valid, B.EMPTY_TEXT).alias("reason"))
 
 
-@query("SELECT doc_id, nullif(concat_ws(' ', CASE WHEN doc_id % 2 = 0 THEN 'Saving was skipped.' END, CASE WHEN doc_id % 3 = 0 THEN 'Check the text.' END), '') AS warning FROM documents")
+@query(f"""SELECT d.doc_id, nullif(concat_ws(' ', CASE WHEN d.doc_id % 2 = 0 THEN '{SKIPPED}' END,
+  CASE WHEN l.toxic = 1 THEN '{Q.AI_MESSAGE}' WHEN l.quality = 0 THEN '{Q.LOW_MESSAGE}' WHEN d.lang = 'fr' THEN '{Q.LAYOUT_MESSAGE}' END), '') AS warning
+FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""")
 def warning_merge(spark, sf):
-    i = F.col("doc_id")
-    both = F.concat_ws(" ", F.when(i % 2 == 0, "Saving was skipped."), F.when(i % 3 == 0, "Check the text."))
-    return table(spark, sf, "documents").select("doc_id", F.nullif(both, F.lit("")).alias("warning"))
+    """What was not saved and what to review, in one text or null; the labels stand for an accepted vision answer and a low quality."""
+    judged = table(spark, sf, "documents").join(table(spark, sf, "labels").select("doc_id", "quality", "toxic"), "doc_id", "left")
+    review = Q.review_message(F.col("toxic") == 1, F.when(F.col("quality") == 0, "low"), F.col("lang") == "fr")
+    both = F.concat_ws(" ", F.when(F.col("doc_id") % 2 == 0, SKIPPED), F.nullif(review, F.lit("")))
+    return judged.select("doc_id", F.nullif(both, F.lit("")).alias("warning"))
 
 
 @query("SELECT l.doc_id, coalesce(r.label, l.lang) AS lang, round(l.n_chars / 100.0::double + coalesce(r.q, 0), 2) AS total_seconds FROM documents l LEFT JOIN (SELECT doc_id, CASE WHEN quality = 1 THEN 'checked' END AS label, quality::double AS q FROM labels) r ON l.doc_id = r.doc_id")
