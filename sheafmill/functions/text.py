@@ -171,3 +171,10 @@ def has_devanagari(text: Column) -> Column:
 def shown(many: Column, one: Column) -> Column:
     """A list with blank lines between its items, else the text, else nothing."""
     return F.coalesce(F.array_join(many, "\n\n"), one, F.lit(""))
+
+
+def joined_blocks(lines: Column) -> Column:
+    """The text of ``lines`` (array of structs with block and t, in order): a newline between lines of a block, an empty line between blocks; without lines, empty."""
+    before = F.concat(F.array(F.lit(-1).cast("long")), F.transform(lines, lambda x: x["block"]))
+    first = lambda x, b: F.when(b == -1, "").when(b == x["block"], "\n").otherwise("\n\n")
+    return F.array_join(F.zip_with(lines, before, lambda x, b: F.concat(first(x, b), x["t"])), "")
