@@ -30,7 +30,7 @@ def test_texts_of_blocks_where_lines_and_blocks_are_empty(spark, tmp_path):
     assert got == {1: ("a b\nc\n\nd", 4), 2: ("", 0), 3: ("", 0), 4: ("x", 1)}
 
 
-@pytest.mark.parametrize("name", ["group_lines"])
+@pytest.mark.parametrize("name", ["group_lines", "reading_order"])
 def test_many_small_pages_take_no_call_each(spark, name):
     page = F.floor(F.col("id") / 3)
     x = F.col("id") * 37 % 600
