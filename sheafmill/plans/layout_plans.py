@@ -332,11 +332,14 @@ pages AS (SELECT DISTINCT vec_id // 8 AS page FROM embeddings)"""
 
 
 def ink(spark, sf):
-    px = P.pixels(table(spark, sf, "embeddings"), "vec_id", "embedding", 64)
-    page, first = F.floor(F.col("img") / 8), F.floor(F.col("img") / 8) % 20 + 20
-    gutter = (page % 3 > 0) & (F.col("c") >= first) & (F.col("c") < first + 8)
-    dark = px.filter((F.col("v") >= 128) & ~gutter).select(page.alias("page"), "img", "c", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("dx"))
-    return dark.select("page", (F.col("c") * 5 + F.col("dx")).alias("x"), F.explode(F.sequence((F.col("img") % 8 * 10).cast("int"), (F.col("img") % 8 * 10 + 9).cast("int"))).alias("y"))
+    """page, y, xs: the places of the dark pixels of each line of pixels."""
+    page, first = F.floor(F.col("vec_id") / 8), F.floor(F.col("vec_id") / 8) % 20 + 20
+    gutter = lambda c: (page % 3 > 0) & (c >= first) & (c < first + 8)
+    places = lambda x, c: F.when(x & ~gutter(c), F.sequence(c * 5, c * 5 + 4)).otherwise(F.array().cast("array<int>"))
+    v = table(spark, sf, "embeddings").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), page)
+    v = v.select(page.alias("page"), "vec_id", F.flatten(F.transform(P.dark("embedding"), places)).alias("xs")).filter(F.size("xs") > 0)
+    top = (F.col("vec_id") % 8 * 10).cast("int")
+    return v.select("page", F.explode(F.sequence(top, top + 9)).alias("y"), "xs")
 
 
 def _active(name: str, counts: str, keys: str, at: str, n: int, k: int, percentile: float, floor: float, gap: int) -> str:
