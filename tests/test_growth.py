@@ -4,12 +4,19 @@ from __future__ import annotations
 
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from sheafmill.operators import geometry as G
+from sheafmill.operators import lines as L
+from sheafmill.operators import raster as P
 from sheafmill.plans import registry
 
+#: Queries on pages of pixels, and the exchanges that they may have: vectors by page, and small rows of a page after that.
+PAGES = {"page_edges": 1, "area_resize": 1, "skew_lines": 4, "deskew_pages": 3}
+TABLES = ["projection_columns", "text_line_boxes", "detect_layout_regions"]
+
 
 def plan_of(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
@@ -40,3 +47,33 @@ def test_many_small_pages_take_no_call_each(spark, name):
     assert "FlatMapGroups" not in plan_of(out)
     assert out.count() == 120_000 and out.select("page").distinct().count() == 40_000
     assert time.time() - began < 60
+
+
+def test_pages_of_pixels_go_by_page_without_an_exchange_of_pixels(spark, sf):
+    for name in PAGES:
+        plan = plan_of(registry.queries()[name](spark, sf))
+        assert "BroadcastExchange" not in plan and "Window" not in plan, name
+        assert plan.count("Exchange hashpartitioning") <= PAGES[name], name
+
+
+def test_no_estimate_of_pixels_decides_a_broadcast(spark, sf):
+    for name in TABLES:
+        assert "BroadcastExchange" not in plan_of(registry.queries()[name](spark, sf)), name
+
+
+def test_ink_of_a_page_equals_ink_by_windows(spark):
+    rng = np.random.default_rng(5)
+    for h, w in ((9, 14), (70, 60), (1, 8)):
+        v = rng.integers(0, 256, (h, w))
+        rows = [(1, r, c, int(v[r, c])) for r in range(h) for c in range(w)]
+        got = {(x.r, x.c) for x in P.adaptive_ink(spark.createDataFrame(rows, "img long, r int, c int, v int")).filter("v > 0").collect()}
+        assert got == set(zip(*(a.tolist() for a in np.nonzero(P.ink_mask(v.astype(float)))), strict=True))
+
+
+def test_lines_and_points_of_a_raster_with_nulls(spark):
+    rows = [(1, 0, 0, 5), (1, 0, 1, None), (1, 1, 0, 7), (1, 1, 1, 9), (1, 1, 1, 9)]  # one pixel twice
+    px = spark.createDataFrame(rows, "img long, r int, c int, v int")
+    assert {tuple(x) for x in P.points(P.lines(px)).collect()} == set(rows)
+    assert {tuple(x) for x in P.shrunk(px, 9).collect()} == set(rows)
+    assert [x.v for x in P.shrunk(px, 1).collect()] == [7]
+    assert P.shrunk(px.limit(0), 9).count() == 0 and L.text_line_boxes(px.limit(0), 9, 9).count() == 0
