@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from sheafmill.operators import geometry as G
 from sheafmill.operators import lines as L
 from sheafmill.operators import raster as P
+from sheafmill.operators import skew as S
 from sheafmill.plans import registry
 
 #: Queries on pages of pixels, and the exchanges that they may have: vectors by page, and small rows of a page after that.
@@ -77,3 +78,12 @@ def test_lines_and_points_of_a_raster_with_nulls(spark):
     assert {tuple(x) for x in P.shrunk(px, 9).collect()} == set(rows)
     assert [x.v for x in P.shrunk(px, 1).collect()] == [7]
     assert P.shrunk(px.limit(0), 9).count() == 0 and L.text_line_boxes(px.limit(0), 9, 9).count() == 0
+
+
+def test_votes_and_links_are_no_rows(spark):
+    rows = [(1, r, c, 0 if r in (20, 21, 22) else 255) for r in range(40) for c in range(60)]
+    px = spark.createDataFrame(rows, "img long, r int, c int, v int")
+    found = S.segments(S.edges(px), L.sizes(px), votes=30)
+    assert "Generate" not in plan_of(found) and {round(x.slope, 6) for x in found.collect()} == {0.0}
+    runs = L.labelled_runs(L.dark_runs(px, F.col("v") < 128))  # three rows of one component
+    assert "Join" not in plan_of(runs) and {x.root for x in runs.collect()} == {20 * L.ROW}
