@@ -87,3 +87,26 @@ def test_votes_and_links_are_no_rows(spark):
     assert "Generate" not in plan_of(found) and {round(x.slope, 6) for x in found.collect()} == {0.0}
     runs = L.labelled_runs(L.dark_runs(px, F.col("v") < 128))  # three rows of one component
     assert "Join" not in plan_of(runs) and {x.root for x in runs.collect()} == {20 * L.ROW}
+
+
+def test_a_page_is_a_row_from_its_pixels_to_its_segments(spark, sf):
+    plan = plan_of(registry.queries()["skew_lines"](spark, sf))
+    assert plan.count("Exchange hashpartitioning") == 1 and not any(x in plan for x in ("FlatMapGroups", "Join", "Generate"))
+    a = np.full((60, 150), 255)
+    for x in range(5, 140):
+        a[20 + x // 12, x] = a[21 + x // 12, x] = a[45, x] = a[46, x] = 0
+    rows = [(1, r, c, int(a[r, c])) for r in range(60) for c in range(150)] + [(2, r, c, 255) for r in range(9) for c in range(9)]
+    px = spark.createDataFrame(rows, "img long, r int, c int, v int")
+    found = S.level_lines(P.whole(px), votes=60, gap=12).collect()
+    assert len(found) > 2 and set(found) == set(S.segments(S.edges(px), L.sizes(px), votes=60, gap=12).collect())
+    assert {tuple(x) for x in L.sizes(P.whole(px)).collect()} == {(1, 60, 150), (2, 9, 9)}
+
+
+def test_forms_of_a_raster_give_the_same(spark):
+    rng = np.random.default_rng(3)
+    rows = [(k, r, c, int(rng.integers(0, 256))) for k in range(300) for r in range(6) for c in range(7)] + [(900, 4, 0, 7), (900, 4, 1, None)]  # four lines missing
+    px = spark.createDataFrame(rows, "img long, r int, c int, v int")
+    want = {tuple(x) for x in S.edges(px).collect()}
+    assert want and want == {tuple(x) for x in S.edges(P.lines(px)).collect()} == {tuple(x) for x in S.edges(P.whole(px)).collect()}
+    assert {tuple(x) for x in P.points(P.whole(px)).collect()} == set(rows)
+    assert P.shrunk(P.whole(px), 5).columns == ["img", "lines"] and P.shrunk(P.lines(px), 5).columns == ["img", "r", "line"]
