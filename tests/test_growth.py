@@ -110,3 +110,20 @@ def test_forms_of_a_raster_give_the_same(spark):
     assert want and want == {tuple(x) for x in S.edges(P.lines(px)).collect()} == {tuple(x) for x in S.edges(P.whole(px)).collect()}
     assert {tuple(x) for x in P.points(P.whole(px)).collect()} == set(rows)
     assert P.shrunk(P.whole(px), 5).columns == ["img", "lines"] and P.shrunk(P.lines(px), 5).columns == ["img", "r", "line"]
+
+
+def test_boxes_of_a_page_equal_boxes_from_tables_of_runs(spark, sf):
+    plan = plan_of(registry.queries()["text_line_boxes"](spark, sf))
+    assert plan.count("Exchange hashpartitioning") <= 2 and not any(x in plan for x in ("FlatMapGroups", "Join", "Scan ExistingRDD"))
+    rng, rows, want = np.random.default_rng(8), [], set()
+    for k, share in enumerate((0.0, 0.3, 0.45, 0.6, 1.0)):
+        on = rng.random((40, 90)) < share
+        on[5:30, 20] = on[5:30, 60] = on[5, 20:60] = on[29, 20:60] = share > 0  # a frame
+        on[6:29, 21:60] &= rng.random((23, 39)) < 0.2
+        rows += [(k, int(r), int(c)) for r, c in zip(*np.nonzero(on), strict=True)]
+        want |= {(k, *map(int, b)) for b in zip(*L.outer_boxes(on, on), strict=True)}
+    px = spark.createDataFrame(rows, "img long, r int, c int")
+    dark, pages = L.dark_runs(px, F.lit(True)), spark.createDataFrame([(k, 40, 90) for k in range(5)], "img long, h int, w int")
+    runs = L.labelled_runs(dark)
+    boxes = L.component_boxes(runs).drop("ink").join(L.outermost(runs, pages), ["img", "root"], "left_semi").withColumnRenamed("root", "ix")
+    assert want == {(b.img, b.x1, b.y1, b.x2, b.y2, b.ink) for b in L.ink_in(boxes, dark).collect()} and len(want) > 100
