@@ -127,3 +127,41 @@ def test_boxes_of_a_page_equal_boxes_from_tables_of_runs(spark, sf):
     runs = L.labelled_runs(dark)
     boxes = L.component_boxes(runs).drop("ink").join(L.outermost(runs, pages), ["img", "root"], "left_semi").withColumnRenamed("root", "ix")
     assert want == {(b.img, b.x1, b.y1, b.x2, b.y2, b.ink) for b in L.ink_in(boxes, dark).collect()} and len(want) > 100
+
+
+def test_reading_order_takes_sorted_regions_across_batches(spark):
+    rng, rows = np.random.default_rng(6), []
+    for page in [*range(40), None, 41]:
+        for ix in range(700 if page == 41 else int(rng.integers(1, 30))):
+            x, y, w = (int(rng.integers(0, n)) for n in (900, 1300, 800))
+            rows.append((page, ix, x, y, x + w if rng.random() > 0.1 else None))
+    boxes = spark.createDataFrame(rows, "page long, ix int, x1 int, y1 int, x2 int")
+    plan = plan_of(G.reading_order(boxes, 1000))
+    assert "Window" not in plan and "Aggregate" not in plan and plan.count("Exchange hashpartitioning") == 1
+    want = set()
+    for page in {r[0] for r in rows}:
+        own, band, at = sorted([r for r in rows if r[0] == page], key=lambda r: (r[3], r[2], r[1])), 0, 0
+        bands = {}
+        for r in own:
+            wide = r[4] is not None and r[4] - r[2] >= 680
+            band += wide
+            bands.setdefault(band, ([], []))[0 if wide else 1].append(r)
+        for _, (wide, narrow) in sorted(bands.items()):
+            columns = []
+            for r in sorted(narrow, key=lambda r: (r[2], r[3], r[1])):
+                fits = [c for c in columns if r[4] is not None and c[1] is not None and abs((r[2] + r[4]) / 2 - (c[0] + c[1]) / 2) <= 0.45 * max(c[1] - c[0], r[4] - r[2])]
+                if fits:
+                    fits[0][1] = max(fits[0][1], r[4])
+                    fits[0][2].append(r)
+                else:
+                    columns.append([r[2], r[4], [r]])
+            for r in [*wide, *(r for c in columns for r in sorted(c[2], key=lambda r: (r[3], r[2])))]:
+                want.add((page, r[1], at))
+                at += 1
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for size in (before, "50"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            assert {tuple(r) for r in G.reading_order(boxes, 1000).collect()} == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
