@@ -12,7 +12,7 @@ from sheafmill.operators import geometry as G
 from sheafmill.operators import lines as L
 from sheafmill.operators import raster as P
 from sheafmill.operators import skew as S
-from sheafmill.plans import registry
+from sheafmill.plans import page_plans, registry
 
 #: Queries on pages of pixels, and the exchanges that they may have: vectors by page, and small rows of a page after that.
 PAGES = {"page_edges": 1, "area_resize": 1, "skew_lines": 4, "deskew_pages": 3}
@@ -165,3 +165,27 @@ def test_reading_order_takes_sorted_regions_across_batches(spark):
             assert {tuple(r) for r in G.reading_order(boxes, 1000).collect()} == want
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_pages_are_drawn_and_traced_without_a_sort_of_pixels(spark, sf, tmp_path):
+    plan = plan_of(registry.queries()["page_edges"](spark, sf))
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("MapInArrow") == 2 and not any(x in plan for x in ("FlatMapGroups", "Generate", "transform(shifts"))
+    rows = [(8 * p + k, [float((p + k + i) % 7) for i in range(64)]) for p in (1, 4) for k in range(8)] + [(16, None), (17, [None, *map(float, range(63))]), (None, [1.0, 2.0]), (24, [])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    drawn = {x.img: np.array([y.line for y in sorted(x.lines)]) for x in page_plans.pages(spark, str(tmp_path)).collect()}
+    assert set(drawn) == {None, 1, 2, 3, 4} and all(v.shape == (page_plans.H, page_plans.W) for v in drawn.values())
+    assert (drawn[None] == 255).all() and (drawn[3] == 255).all() and (drawn[1] == 0).any()
+    assert {int(c) // 2 for c in np.nonzero(drawn[2] == 0)[1]} <= set(range(32, 64)) and (drawn[2] == 0).any()  # the greater half of one vector
+
+
+def test_components_over_chains_of_runs():
+    r, start, end = (np.array(x) for x in zip(*[(y, x, x + 1) for y in range(60) for x in range(0, 60, 2) if y % 3 or x % 4 == 0], strict=True))
+    for reach in (0, 1):
+        root = list(range(len(r)))
+        for _ in range(60):
+            for i in range(len(r)):
+                for j in np.nonzero((np.abs(r - r[i]) == 1) & (start < end[i] + reach) & (end > start[i] - reach))[0].tolist():
+                    root[i] = root[j] = min(root[i], root[j])
+            if root == list(L.first_runs(r, start, end, reach)):
+                break
+        assert root == list(L.first_runs(r, start, end, reach))
