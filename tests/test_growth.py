@@ -178,6 +178,46 @@ def test_pages_are_drawn_and_traced_without_a_sort_of_pixels(spark, sf, tmp_path
     assert {int(c) // 2 for c in np.nonzero(drawn[2] == 0)[1]} <= set(range(32, 64)) and (drawn[2] == 0).any()  # the greater half of one vector
 
 
+def test_no_pixel_goes_through_rows_before_the_work_on_its_page(spark, sf):
+    for name in ("page_edges", "skew_lines", "text_line_boxes"):
+        plan = plan_of(registry.queries()[name](spark, sf))
+        assert "lines" not in plan and "collect_list" not in plan and plan.count("MapInArrow") == 2, name
+    drawn = page_plans.sheets(spark, sf)
+    want = {tuple(x) for x in S.edges(page_plans.pages(spark, sf)).collect()}
+    assert want and want == {tuple(x) for x in S.edges(drawn).collect()} and P.like(drawn, page_plans.pages(spark, sf)).columns == list(drawn.columns)
+
+
+def test_edges_of_a_stack_of_pages_equal_those_of_each_alone(spark):
+    rng = np.random.default_rng(9)
+    for h, w, most in ((1, 1, 256), (1, 9, 256), (7, 1, 256), (12, 15, 256), (12, 15, 90_000), (3, 40, 2049)):
+        v = rng.integers(0, most, (40, h, w)) * (rng.random((40, h, w)) < 0.4)
+        v[::3] //= 6  # weak edges beside strong ones of the next page
+        page, r, c = S.stack_edges(v, 50, 150)
+        alone = [S.page_edges(x.astype(float), 50, 150) for x in v]
+        assert [*zip(page.tolist(), r.tolist(), c.tolist(), strict=True)] == [(i, *x) for i, own in enumerate(alone) for x in zip(*(a.tolist() for a in own), strict=True)]
+        assert len(page) or h * w < 10
+        gx, gy = S.gradients(v.astype(object))  # whole numbers of any size
+        assert (gx == S.gradients(S._small(v))[0]).all() and (gy == S.gradients(S._small(v.astype(float)))[1]).all()
+    assert all(not len(x) for x in S.stack_edges(np.zeros((3, 0, 0)))) and all(not len(x) for x in S.stack_edges(np.zeros((0, 5, 5), int)))
+    pages = [(i, [(r, x) for r, x in enumerate(rng.integers(0, 256, (h, 9)).tolist())]) for i, h in enumerate((4, 4, 5, 0, 4))]
+    pages[1][1][2] = (2, [None] * 9)
+    px = spark.createDataFrame(pages, f"img long, {P.PAGE}").coalesce(1)
+    want = {(i, int(r), int(c)) for i, own in pages if own for r, c in zip(*S.page_edges(np.array([x for _, x in own], float)), strict=True)}
+    assert want and {tuple(x) for x in S.edges(px).collect()} == want
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_bits_of_a_vector_are_its_dark_numbers(spark, kind):
+    rng, nan, inf = np.random.default_rng(2), float("nan"), float("inf")
+    plain = [np.round(rng.normal(size=64), 2).tolist() for _ in range(50)] + [[0.0] * 64, [float(i) for i in range(64)], [-inf, *[1.0] * 62, inf], [nan, *map(float, range(63))]]
+    odd = [None, [], [None] * 64, [1.0, 2.0], [None, *map(float, range(63))], [nan] * 3, [*map(float, range(90))], [5.0, None, nan, 1.0], *plain[:3]]
+    for vectors in (plain, odd):
+        v = spark.createDataFrame(list(enumerate(vectors)), f"line long, embedding array<{kind}>").coalesce(1).withColumn("img", F.lit(7).cast("long"))
+        got = {x.line: x.bits for x in v.mapInArrow(page_plans._flagged, "img long, line long, bits long").collect()}
+        for x in v.select("line", P.dark("embedding").alias("dark")).collect():
+            assert got[x.line] % (1 << 64) == sum(1 << i for i, on in enumerate((x.dark or [])[:64]) if on), vectors[x.line]
+
+
 def test_components_over_chains_of_runs():
     r, start, end = (np.array(x) for x in zip(*[(y, x, x + 1) for y in range(60) for x in range(0, 60, 2) if y % 3 or x % 4 == 0], strict=True))
     for reach in (0, 1):
